@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import mixing, preference, sharding, url_filter
+from quire.llm import decontam, mixing, preference, sharding, token_counts, topk, url_filter
 from quire.llm.work import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: Given rules (host/path), then the method's own patterns for hosts that are named after spam.
 URL_RULES = [
     url_filter.prefix_rule("net/", "block", 2),
@@ -61,6 +67,21 @@ from r
 """
 
 
+@query
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+ORACLE["op3_exact_topk"] = """
+with v as (select distinct vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (select q.vec_id as query_id, d.vec_id, list_dot_product(q.v, d.v)::bigint as score from v q join v d on q.vec_id % 20 = 0 and d.vec_id <> q.vec_id
+), r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
+
 @query
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -83,6 +104,15 @@ from c, lateral (select unnest(range(1, n::bigint + 1)) r) r
 """
 
 
+#: A file of a public tokenizer that every executor has.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=1024)
+
+
 @query
 def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = preference.pairs_of(table(spark, sf_dir, "conversations"))
