@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontam, mixing, preference, sharding, token_counts, topk, url_filter
+from quire.llm import decontam, mixing, preference, sharding, substring, token_counts, topk, url_filter
 from quire.llm.work import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,25 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=1024)
 
 
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE["op6_substring_dedup"] = r"""
+with w as materialized (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), s as materialized (select doc_id, i, hash(array_to_string(w[i:i + 34], ' ')) as h from w, lateral (select unnest(range(1, len(w) - 33)) i) where len(w) >= 35
+), twice as (select h from s group by h having count(*) > 1
+), gone as (select distinct doc_id, i + k as p from s join twice using (h), (select unnest(range(0, 35)) k)
+), words as (select doc_id, w, p from (select doc_id, w, unnest(range(1, len(w) + 1)) p from w)
+), kept as (select words.doc_id, p, w[p] as word from words left join gone using (doc_id, p) where gone.doc_id is null
+), joined as (select doc_id, string_agg(word, ' ' order by p) as t, count(*) n from kept group by doc_id)
+select w.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from w left join joined using (doc_id)
+"""
+
+
 @query
 def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = preference.pairs_of(table(spark, sf_dir, "conversations"))
