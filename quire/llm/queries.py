@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontam, mixing, preference, sharding, substring, token_counts, topk, url_filter
+from quire.llm import decontam, jaccard, mixing, preference, sharding, substring, token_counts, topk, url_filter
 from quire.llm.work import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,6 +156,24 @@ from n
 """
 
 
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+ORACLE["op9_jaccard_join"] = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as materialized (
+  select distinct doc_id, hash(array_to_string(w[i:i + 3], ' ')) as h from w, lateral (select unnest(range(1, len(w) - 2)) i) where len(w) >= 4
+  union all select doc_id, hash(array_to_string(w, ' ')) from w where len(w) between 1 and 3
+), n as materialized (select doc_id, count(*) as n from s group by doc_id
+), pairs as materialized (select a.doc_id as x, b.doc_id as y, count(*) as i from s a join s b on a.h = b.h and a.doc_id <> b.doc_id group by x, y
+), links as materialized (select x, y from pairs join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * i >= 85 * (nx.n + ny.n - i)
+), reach(doc_id, root) as (select doc_id, doc_id from documents union select reach.doc_id, links.y from reach join links on links.x = reach.root)
+select doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(root) as component_id from reach left join n using (doc_id) group by doc_id
+"""
+
+
 @query
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.shard_corpus(table(spark, sf_dir, "documents"), new_folder(spark, "shards"))
