@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontam, jaccard, mixing, preference, sharding, substring, token_counts, topk, url_filter
+from quire.llm import decontam, jaccard, language, mixing, preference, sharding, substring, token_counts, topk, url_filter
 from quire.llm.work import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +132,14 @@ from w left join joined using (doc_id)
 """
 
 
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = language.fit(language.sample(docs))
+    named = language.identify(docs.select("doc_id", "text"), field)
+    return named.select("doc_id", F.coalesce(~language.may_learn(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = preference.pairs_of(table(spark, sf_dir, "conversations"))
