@@ -9,6 +9,7 @@ pieces seen before are looked up.
 from __future__ import annotations
 
 import json
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,10 +19,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.words import blocks
+
 #: Entries of each lookup table of a worker; a full table is emptied, so that memory is bounded.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 #: Pieces longer than this many characters are counted anew each time.
 CACHE_CHARS = 64
+#: A space that the next word does not take.
+_WIDE = re.compile(r" (?:\s|\Z)")
+#: Text whose new words are counted together.
+LEARN_BYTES = 1 << 22
+#: A word of ASCII or Latin-1 letters and marks after it: two pre-tokens, whatever is around them.
+_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\Z")
 
 
 class PrefixCounter:
@@ -47,6 +56,10 @@ class PrefixCounter:
             self.merged[self.ids[a], self.ids[b]] = order
             if t not in self.made:
                 self.made[t], self.halves[t] = order, (self.ids[a], self.ids[b])
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        moved = [b for b in range(256) if b not in printed]
+        #: The byte alphabet: printable bytes stand for themselves, the others follow from 256 on.
+        self.alphabet = {b: chr(256 + moved.index(b)) if b in moved else chr(b) for b in range(256)}
         self.follows_seen: dict[int, bool] = {}
         self.pretoken_seen: dict[str, int] = {}
         self.pieces = _Pieces(self)
@@ -88,15 +101,56 @@ class PrefixCounter:
     def of_pretoken(self, s: str) -> list[int]:
         """Counts of every prefix of a pre-token in the byte alphabet, from the empty one on."""
         last, counts = [-1], [0]
-        get, longest, follows = self.ids.get, self.longest, self.follows
-        for i in range(1, len(s) + 1):
+        self._extend(s, last, counts)
+        return counts
+
+    def _extend(self, s: str, last: list[int], counts: list[int]) -> None:
+        """Carry last tokens and counts on from the prefix that they cover to all of ``s``."""
+        get, follows, seen, longest = self.ids.get, self.follows, self.follows_seen.get, self.longest
+        for i in range(len(last), len(s) + 1):
             for j in range(max(0, i - longest), i):
                 t = get(s[j:i])
-                if t is not None and (j == 0 or follows(last[j], t)):
+                if t is not None:
+                    if j:
+                        before = last[j]
+                        ok = seen(before << 32 | t)
+                        if not (ok or ok is None and follows(before, t)):
+                            continue
                     last.append(t)
                     counts.append(counts[j] + 1)
                     break
-        return counts
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Count the pieces of some texts that were not seen; pre-tokens in order share the work on what they begin with."""
+        pieces = set().union(*texts) - self.pieces.keys()
+        wanted = set()
+        for piece in pieces:
+            word = _WORD.match(piece)
+            if word:
+                wanted.update(p.encode().decode("latin-1").translate(self.alphabet) for p in word.groups() if p)
+        if len(self.pretoken_seen) + len(wanted) > CACHE_ENTRIES:
+            self.pretoken_seen.clear()
+        last, counts, before = [-1], [0], ""
+        for s in sorted(wanted - self.pretoken_seen.keys()):
+            k = 0
+            for a, b in zip(s, before):  # noqa: B905
+                if a != b:
+                    break
+                k += 1
+            del last[k + 1 :], counts[k + 1 :]
+            self._extend(s, last, counts)
+            self.pretoken_seen[s] = counts[-1]
+            before = s
+
+    def _of_pretoken(self, s: str) -> int:
+        c = self.pretoken_seen.get(s)
+        if c is None:
+            c = self.of_pretoken(s)[-1]
+            if len(s) <= CACHE_CHARS:
+                if len(self.pretoken_seen) >= CACHE_ENTRIES:
+                    self.pretoken_seen.clear()
+                self.pretoken_seen[s] = c
+        return c
 
     def count(self, text: str) -> int:
         """Tokens of a text, without looking at pieces seen before."""
@@ -104,26 +158,17 @@ class PrefixCounter:
             if special in text:
                 parts = text.split(special)
                 return len(parts) - 1 + sum(map(self.count, parts))
-        n, seen = 0, self.pretoken_seen
-        for s, _ in self.pre.pre_tokenize_str(text):
-            c = seen.get(s)
-            if c is None:
-                c = self.of_pretoken(s)[-1]
-                if len(s) <= CACHE_CHARS:
-                    if len(seen) >= CACHE_ENTRIES:
-                        seen.clear()
-                    seen[s] = c
-            n += c
-        return n
+        word = _WORD.match(text)
+        if word:
+            table = self.alphabet
+            return sum(self._of_pretoken(p.encode().decode("latin-1").translate(table)) for p in word.groups() if p)
+        return sum(self._of_pretoken(s) for s, _ in self.pre.pre_tokenize_str(text))
 
     @staticmethod
     def cut(text: str) -> list[str]:
         """Pieces whose counts add up to the text's: a space before a non-space begins a new one."""
         parts = text.split(" ")
-        for i in range(1, len(parts)):
-            if not parts[i] or parts[i][0].isspace():
-                break
-        else:
+        if not _WIDE.search(text):
             return parts[:1] + [" " + p for p in parts[1:]]
         out, held = [], parts[0]
         for p in parts[1:]:
@@ -213,10 +258,14 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, doc_id: str = "d
         c = counter(path)
         for batch in batches:
             tokens, cuts = [], []
-            for t in batch.column(1).to_pylist():
-                n = sum(map(c.pieces.__getitem__, c.cut(t)))
-                tokens.append(n)
-                cuts.append(len(t) if n <= limit else c.longest_prefix(t, limit))
+            for b in blocks(batch.column(1), LEARN_BYTES):
+                texts = batch.column(1).slice(b.lo, b.hi - b.lo).to_pylist()
+                pieces = [c.cut(t) for t in texts]
+                c.learn(pieces)
+                for t, p in zip(texts, pieces, strict=True):
+                    n = sum(map(c.pieces.__getitem__, p))
+                    tokens.append(n)
+                    cuts.append(len(t) if n <= limit else c.longest_prefix(t, limit))
             over = [n > limit for n in tokens]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tokens, pa.int64()), pa.array(over), pa.array(cuts, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_chars"])
 
