@@ -135,7 +135,10 @@ def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, bins, sets = [], [], []
+            expected = batch.column(0).to_pylist()
             for row, s in shingle_sets(batch.column(1), size):
+                if signature(s) != expected[row]:  # another text under the same id
+                    continue
                 rows.append(row)
                 bins.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS).astype(np.int32))
                 sets.append(s.tobytes())
@@ -200,16 +203,23 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: st
     held = saved(prefix.join(met.hint("shuffle_hash"), "token", "left_semi").distinct(), "held")
     discard(prefix, met)
 
-    # Whole sets, for one row of each signature that is anyone's candidate.
-    first = known.join(held.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("_q_id").alias("_q_id"))
-    again = rows.join(first.hint("shuffle_hash"), "_q_id").select("sig", "text")
-    sets = saved(again.mapInArrow(_sets(size), "sig long, bins array<int>, set binary").dropDuplicates(["sig"]), "sets")
+    repeated = known.groupBy("_q_id").count().where("count > 1").limit(1).count() > 0
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """Whole sets of the signatures in candidate pairs, each from one row that has it."""
+        sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+        first = known.join(sigs, "sig", "left_semi").groupBy("sig").agg(F.min("_q_id").alias("_q_id"))
+        again = rows.join(first.hint("shuffle_hash"), "_q_id").select("sig", "text")
+        sets = again.mapInArrow(_sets(size), "sig long, bins array<int>, set binary")
+        return saved(sets.dropDuplicates(["sig"]) if repeated else sets, "sets")
 
     earliest = held.groupBy("token").agg(F.min(F.struct("at", "sig", "n")).alias("e")).select("token", F.col("e.sig").alias("sig"), F.col("e.n").alias("n"), F.col("e.at").alias("at"))
     ordered = (F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"))
     star = held.alias("x").join(earliest.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.sig") != F.col("y.sig")) & _enough("x", "y", percent))
     tried = saved(star.select(*ordered).distinct(), "tried")
+    sets = sets_of(tried)
     linked = saved(_links(tried, sets, percent), "links")
+    discard(sets)
 
     group = components(linked)
     placed = saved(held.join(group, held["sig"] == group["node"], "left").select("token", "sig", "n", "at", F.coalesce("label", "sig").alias("group")), "placed")
@@ -227,10 +237,11 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: st
             & _enough("x", "y", percent),
         )
     )
-    rest = cross.select(*ordered).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = saved(cross.select(*ordered).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    sets = sets_of(rest)
     more = saved(_links(rest, sets, percent), "links")
     final = components(linked.union(more))
-    discard(held, sets, tried, placed, split_tokens, apart)
+    discard(held, sets, tried, placed, split_tokens, apart, rest)
 
     named = known.join(final, known["sig"] == final["node"], "left").select("_q_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "sig")).alias("group"))
     named = saved(named, "named")
