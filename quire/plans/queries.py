@@ -95,12 +95,11 @@ def match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-with d as (select doc_id, text, {normal("text")} as t from documents where contains({normal("text")}, 'thth')
-), p as (select doc_id, text, t, list_transform(string_split(t, 'thth'), lambda s: length(s)) as p from d
-), k as (select doc_id, text, t, p, unnest(range(1, len(p)))::int as k from p
-), a as (select doc_id, text, (list_sum(p[1:k]) + 4 * (k - 1))::int as a, k from k
-), c as (select doc_id, k, a, list_filter(range(1, length(text) + 1), lambda i: length({normal("text[i]")}) > 0) as solid from a)
-select doc_id, (k - 1)::int as idx, (solid[a + 1] - 1)::int as "from", solid[a + 4]::int as "to" from c
+with d as materialized (select doc_id, string_split(text, '') as l, {normal("text")} as t from documents where contains({normal("text")}, 'thth')
+), s as materialized (select doc_id, list_filter(range(1, len(l) + 1), lambda i: length({normal("l[i]")}) > 0) as solid, list_transform(string_split(t, 'thth'), lambda s: length(s)) as p from d
+), k as (select doc_id, solid, p, unnest(range(1, len(p)))::int as k from s
+), a as (select doc_id, solid, k, (list_sum(p[1:k]) + 4 * (k - 1))::int as a from k)
+select doc_id, (k - 1)::int as idx, (solid[a + 1] - 1)::int as "from", solid[a + 4]::int as "to" from a
 """)
 def match_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.search(table(spark, sf_dir, "documents"), "text", "TH th")
