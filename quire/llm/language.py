@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quire.llm.words import Block, Words, blocks, lower_ascii, rows_of, split, word_hashes
 
@@ -297,7 +298,7 @@ def identify(docs: DataFrame, field: Field | None, text: str = "text", into: str
             kept = batch.select(range(batch.num_columns - 2))
             yield pa.RecordBatch.from_arrays([*kept.columns, name, value], [*kept.schema.names, into, score])
 
-    schema = docs.schema.add(into, "string").add(score, "double")
+    schema = StructType([*docs.schema.fields, StructField(into, StringType()), StructField(score, DoubleType())])
     return docs.withColumn("_q_text", F.col(text)).withColumn("_q_letters", F.col(text).rlike(r"\p{L}")).mapInArrow(run, schema)
 
 

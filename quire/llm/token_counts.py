@@ -18,6 +18,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from quire.llm.words import blocks
 
@@ -285,7 +286,7 @@ def with_prefix_counts(docs: DataFrame, path: str, text: str = "text", into: str
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, into])
 
     docs = docs.drop(into)
-    schema = docs.schema.add(into, "array<int>")
+    schema = StructType([*docs.schema.fields, StructField(into, ArrayType(IntegerType()))])
     return docs.mapInArrow(run, schema)
 
 

@@ -115,12 +115,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
     sought = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk"), "id", "v")
 
     def run(d: pa.Table, q: pa.Table) -> pa.Table:
-        a, b = (t.column(c).combine_chunks() for t in (d, q) for c in ("id",))
-        x, y = (_matrix(t.column("v").combine_chunks(), width) for t in (d, q))
-        if not len(x) or not len(y):
+        if not d.num_rows or not q.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        at, found, score, _ = search_shard(np.asarray(a), x, np.asarray(b), y, k)
-        return pa.table({"query_id": np.asarray(b)[at], "vec_id": found, "score": score})
+        a, b = (np.asarray(t.column("id")) for t in (d, q))
+        x, y = (_matrix(t.column("v").combine_chunks(), width) for t in (d, q))
+        at, found, score, _ = search_shard(a, x, b, y, k)
+        return pa.table({"query_id": b[at], "vec_id": found, "score": score})
 
     parts = docs.groupBy("shard", "chunk").cogroup(sought.groupBy("shard", "chunk")).applyInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
