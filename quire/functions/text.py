@@ -12,6 +12,8 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 PLAIN = {"‘": "'", "’": "'", "“": '"', "”": '"', "‐": "-", "‑": "-", "–": "-", "—": "-"}
 #: What Windows-1252 has at 0x80 to 0x9F.
 CP1252_HIGH = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+#: White space and the soft hyphen.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\xad"
 WIN_ANSI = {"€": 0x80, "…": 0x85, "‘": 0x91, "’": 0x92, "“": 0x93, "”": 0x94, "•": 0x95, "–": 0x96, "—": 0x97}
 
 
@@ -38,8 +40,8 @@ def match_ranges(text: Column, query: str) -> Column:
     q = normalize_literal(query)
     if not q:
         return F.array().cast("array<struct<from:int,to:int>>")
-    chars = F.split(text, "(?s)(?<=.)(?=.)")
-    owner = F.flatten(F.transform(chars, lambda c, i: F.array_repeat(i, F.length(normalize(c)))))
+    length = lambda c: F.when(F.instr(F.lit(BLANKS), c) > 0, 0).when(F.instr(F.lit("ﬀﬁﬂﬅﬆİ"), c) > 0, 2).when(F.instr(F.lit("ﬃﬄ"), c) > 0, 3).otherwise(1)
+    owner = F.flatten(F.transform(F.split(text, ""), lambda c, i: F.array_repeat(i, length(c))))
     pieces = F.transform(F.split(normalize(text), _quoted(q), -1), lambda p: F.length(p))
     at = F.aggregate(
         F.slice(pieces, F.lit(1), F.size(pieces) - 1),
@@ -47,7 +49,10 @@ def match_ranges(text: Column, query: str) -> Column:
         lambda s, n: F.struct((s["end"] + n + len(q)).alias("end"), F.array_append(s["at"], s["end"] + n).alias("at")),
         lambda s: s["at"],
     )
-    return F.transform(at, lambda a: F.struct(F.element_at(owner, a + 1).alias("from"), (F.element_at(owner, a + len(q)) + 1).alias("to")))
+    # One struct holds the owners, so that they are not made again for each match.
+    held = F.array(F.struct(owner.alias("owner"), at.alias("at")))
+    ranges = lambda h: F.transform(h["at"], lambda a: F.struct(F.element_at(h["owner"], a + 1).alias("from"), (F.element_at(h["owner"], a + len(q)) + 1).alias("to")))
+    return F.element_at(F.transform(held, ranges), 1)
 
 
 def _quoted(q: str) -> str:
@@ -79,7 +84,7 @@ def win_ansi(text: Column) -> Column:
     """Bytes (as hex) of a line in the encoding of a standard font; what it lacks is a question mark."""
     code = lambda c: F.when(F.ascii(c).between(0x20, 0x7E) | F.ascii(c).between(0xA0, 0xFF), F.ascii(c))
     special = lambda c: F.element_at(F.create_map(*[F.lit(x) for pair in WIN_ANSI.items() for x in pair]), c)
-    return F.array_join(F.transform(F.split(text, "(?s)(?<=.)(?=.)"), lambda c: F.lpad(F.hex(F.coalesce(code(c), special(c), F.lit(0x3F))), 2, "0")), "")
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.lpad(F.hex(F.coalesce(code(c), special(c), F.lit(0x3F))), 2, "0")), "")
 
 
 def one_line(text: Column) -> Column:
