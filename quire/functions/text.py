@@ -106,5 +106,5 @@ def utf16_units(text: Column) -> Column:
 
 def pdf_string(value: Column) -> Column:
     """A PDF literal string of ASCII text: brackets and backslashes escaped, the rest in octal."""
-    escaped = F.regexp_replace(value, r"([()\\\\])", r"\\\\$1")
+    escaped = F.regexp_replace(value, r"([()\\])", r"\\$1")
     return F.concat(F.lit("("), escaped, F.lit(")"))
