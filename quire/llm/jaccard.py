@@ -208,7 +208,7 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: st
     def sets_of(pairs: DataFrame) -> DataFrame:
         """Whole sets of the signatures in candidate pairs, each from one row that has it."""
         sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-        first = known.join(sigs, "sig", "left_semi").groupBy("sig").agg(F.min("_q_id").alias("_q_id"))
+        first = known.groupBy("sig").agg(F.min("_q_id").alias("_q_id")).join(sigs, "sig", "left_semi")
         again = rows.join(first.hint("shuffle_hash"), "_q_id").select("sig", "text")
         sets = again.mapInArrow(_sets(size), "sig long, bins array<int>, set binary")
         return saved(sets.dropDuplicates(["sig"]) if repeated else sets, "sets")
@@ -243,11 +243,15 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: st
     final = components(linked.union(more))
     discard(held, sets, tried, placed, split_tokens, apart, rest)
 
-    named = known.join(final, known["sig"] == final["node"], "left").select("_q_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "sig")).alias("group"))
-    named = saved(named, "named")
-    least = named.where("group is not null").groupBy("group").agg(F.min("_q_id").alias("component_id"))
-    out = named.join(least, "group", "left")
-    return out.select(F.col("_q_id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_q_id")).alias("component_id"))
+    # Rows of equal sets meet as one row a set until the last join, whose sides are plain tables that Spark can split.
+    full = known.where("n > 0")
+    least = full.groupBy("sig").agg(F.min("_q_id").alias("least"))
+    placed = saved(least.join(final, least["sig"] == final["node"], "left").select("sig", "least", F.coalesce("label", "sig").alias("group")), "placed")
+    named = saved(placed.groupBy("group").agg(F.min("least").alias("component_id")), "named")
+    of_sig = saved(placed.join(named, "group").select("sig", "component_id"), "of_sig")
+    discard(placed, named)
+    out = full.join(of_sig, "sig", "left").select("_q_id", "n", "component_id").unionByName(known.where("n = 0").select("_q_id", "n", F.col("_q_id").alias("component_id")))
+    return out.select(F.col("_q_id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
