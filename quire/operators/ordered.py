@@ -39,18 +39,20 @@ def page_at(offsets: DataFrame, lookups: DataFrame, keys: list[str], page: str,
     return both.withColumn("page", F.coalesce(found, lowest)).where("_kind = 1").select(*keys, "_row.*", "page")
 
 
-def list_labels(items: DataFrame, levels: DataFrame, keys: list[str], pos: str) -> DataFrame:
+def list_labels(items: DataFrame, levels: DataFrame, keys: list[str], pos: str, level_keys: list[str] | None = None) -> DataFrame:
     """Adds label to list paragraphs (num, level): hierarchical counts of their list.
 
-    ``levels`` has (num, level, format, template, start). A level's count starts anew when a
+    ``levels`` has (num, level, format, template, start), and ``level_keys`` where documents have
+    lists of their own. A level's count starts anew when a
     shallower item of its list comes; a level that was not seen counts as start - 1. List 0 and
     unknown lists have no label.
     """
-    defs = levels.groupBy("num").agg(
+    by = [*(level_keys or []), "num"]
+    defs = levels.groupBy(*by).agg(
         *[F.max(F.when(F.col("level") == k, F.struct("format", "template", "start"))).alias(f"_d{k}") for k in range(LEVELS)]
     )
     level = F.least(F.coalesce(F.col("level"), F.lit(0)), F.lit(LEVELS - 1))
-    known = items.withColumn("_level", level).join(defs, (items["num"] == defs["num"]) & (items["num"] != 0), "left").drop(defs["num"])
+    known = items.withColumn("_level", level).join(defs.where("num <> 0"), by, "left")
     part = [*keys, "num"]
     resets = known.withColumns({f"_g{k}": F.sum((F.col("_level") < k).cast("int")).over(_upto(part, pos)) for k in range(LEVELS)})
     counted = resets.withColumns(

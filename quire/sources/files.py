@@ -297,3 +297,69 @@ def tiff_table(files: DataFrame) -> DataFrame:
     per_inch = lambda c: F.when((F.col(c) > 0) & (F.col("unit") == 3), F.col(c) * 2.54).when(F.col(c) > 0, F.col(c)).otherwise(F.lit(72.0))
     turn = F.when(F.col("orientation") == 6, 1).when(F.col("orientation") == 3, 2).when(F.col("orientation") == 8, 3).otherwise(0)
     return raw.select("path", "page", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), (F.col("width") / per_inch("x_dpi") * 72).alias("width_pt"), (F.col("height") / per_inch("y_dpi") * 72).alias("height_pt"), turn.alias("turn"))
+
+
+# More of word-processor packages -------------------------------------------------------
+
+#: What in a paragraph means that it is kept word for word.
+LOCKING = ["fldChar", "fldSimple", "instrText", "oMath", "oMathPara", "footnoteReference", "endnoteReference", "ins", "del", "moveFrom", "moveTo", "object", "pict", "lastRenderedPageBreak"]
+
+
+def _within(shredded: DataFrame, head: str) -> DataFrame:
+    """Elements with ``at``: the position of the last ``head`` element that begins before or with each."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("path", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return shredded.withColumn("at", F.last(F.when(F.col("name") == head, F.col("pos")), ignorenulls=True).over(w))
+
+
+def list_levels(shredded: DataFrame) -> DataFrame:
+    """(path, num, level, format, template, start) of numbering parts: lists, what they are based on, starts that they override."""
+    own = shredded.where("part = 'word/numbering.xml' and error is null")
+    val = lambda name: F.max(F.when(F.col("name") == name, F.element_at("attrs", "val")))
+    abstract = _within(own, "abstractNum").where("at is not null").withColumnRenamed("at", "abs_at")
+    ids = own.where("name = 'abstractNum'").select("path", F.col("pos").alias("abs_at"), F.element_at("attrs", "abstractNumId").alias("abstract"))
+    inner = _within(abstract, "lvl").where("at is not null and at > abs_at")
+    levels = inner.groupBy("path", "abs_at", "at").agg(F.max(F.when(F.col("name") == "lvl", F.element_at("attrs", "ilvl"))).try_cast("int").alias("level"), val("numFmt").alias("format"), val("lvlText").alias("template"), val("start").try_cast("int").alias("start"))
+    nums = _within(own, "num").where("at is not null")
+    heads = nums.groupBy("path", "at").agg(F.max(F.when(F.col("name") == "num", F.element_at("attrs", "numId"))).try_cast("int").alias("num"), val("abstractNumId").alias("abstract")).drop("at")
+    over = _within(nums.withColumnRenamed("at", "num_at"), "lvlOverride").where("at > num_at")
+    starts = over.groupBy("path", "num_at", "at").agg(F.max(F.when(F.col("name") == "lvlOverride", F.element_at("attrs", "ilvl"))).try_cast("int").alias("level"), val("startOverride").try_cast("int").alias("_start"))
+    named = starts.join(own.where("name = 'num'").select("path", F.col("pos").alias("num_at"), F.element_at("attrs", "numId").try_cast("int").alias("num")), ["path", "num_at"]).select("path", "num", "level", "_start")
+    full = heads.join(ids, ["path", "abstract"]).join(levels, ["path", "abs_at"]).join(named, ["path", "num", "level"], "left")
+    return full.select("path", "num", "level", F.coalesce("format", F.lit("decimal")).alias("format"), F.coalesce("template", F.lit("")).alias("template"), F.coalesce("_start", "start", F.lit(1)).alias("start"))
+
+
+def notes(shredded: DataFrame, kind: str = "footnote") -> DataFrame:
+    """(path, note_id, type, text) of the foot- or endnotes part; paragraphs apart by line ends."""
+    own = _within(shredded.where((F.col("part") == f"word/{kind}s.xml") & F.col("error").isNull()), kind).where("at is not null")
+    heads = own.where(F.col("name") == kind).select("path", "at", F.element_at("attrs", "id").try_cast("int").alias("note_id"), F.element_at("attrs", "type").alias("type"))
+    lines = own.where("name = 't'").groupBy("path", "at", "p").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("line"))
+    text = lines.groupBy("path", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return heads.join(text, ["path", "at"], "left").select("path", "note_id", "type", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def note_references(shredded: DataFrame) -> DataFrame:
+    """(path, pos, foot, note_id) of the references to notes in a document, in order of pos."""
+    refs = shredded.where("part = 'word/document.xml' and name in ('footnoteReference', 'endnoteReference')")
+    return refs.select("path", "pos", (F.col("name") == "footnoteReference").alias("foot"), F.element_at("attrs", "id").try_cast("int").alias("note_id"))
+
+
+def sections(shredded: DataFrame) -> DataFrame:
+    """(path, section, width, height, top, right, bottom, left) in points; what a section leaves out is that of the one before."""
+    from pyspark.sql import Window
+
+    own = _within(shredded.where("part = 'word/document.xml' and error is null"), "sectPr").where("at is not null")
+    attr = lambda name, a: formats.twips(F.max(F.when(F.col("name") == name, F.element_at("attrs", a))))
+    names = {"width": ("pgSz", "w"), "height": ("pgSz", "h"), **{m: ("pgMar", m) for m in ("top", "right", "bottom", "left")}}
+    rows = own.groupBy("path", "at").agg(*[attr(*where).alias(n) for n, where in names.items()])
+    w = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    number = F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1
+    return rows.select("path", number.alias("section"), *[F.last(n, ignorenulls=True).over(w).alias(n) for n in names])
+
+
+def locked_paragraphs(shredded: DataFrame) -> DataFrame:
+    """(path, pos) of paragraphs that are kept word for word: fields, equations, notes, tracked changes, objects, page breaks."""
+    body = shredded.where("part = 'word/document.xml' and error is null and p is not null")
+    breaks = (F.col("name") == "br") & F.element_at("attrs", "type").isin("page", "column")
+    return body.where(F.col("name").isin(*LOCKING) | breaks).select("path", F.col("p").alias("pos")).distinct()
