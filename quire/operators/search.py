@@ -49,7 +49,8 @@ def containment(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, que
     out = None
     for k in range(passes):
         part = asked.where(F.pmod(F.xxhash64("_id"), F.lit(passes)) == k).agg(F.collect_list(F.struct("_id", "_q")).alias("_all"))
-        held = normal.crossJoin(F.broadcast(part)).select(doc_id, F.explode(F.filter("_all", lambda q: F.contains(F.col("_t"), q["_q"]))).alias("_hit")).select(doc_id, F.col("_hit._id").alias(query_id))
+        hits = F.filter("_all", lambda q: F.contains(F.col("_t"), q["_q"]))
+        held = normal.withColumn("_all", part.scalar()).select(doc_id, F.explode(hits).alias("_hit")).select(doc_id, F.col("_hit._id").alias(query_id))
         out = held if out is None else out.unionByName(held)
     return out
 

@@ -325,12 +325,12 @@ def table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with r as (select conv_id, turn, role, left(text, 20) as text, coalesce(role is distinct from lag(role) over w, true) as new from conversations window w as (partition by conv_id order by turn)
+with r as (select conv_id, turn, role, text, coalesce(role is distinct from lag(role) over w, true) as new from conversations window w as (partition by conv_id order by turn)
 ), g as (select *, sum(new::int) over (partition by conv_id order by turn) as run from r)
 select conv_id, run::bigint as run, any_value(role) as format, string_agg(text, '|' order by turn) as text from g group by conv_id, run
 """)
 def run_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 20).alias("text"))
+    runs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return ordered.coalesce_runs(runs, ["conv_id"], "turn", "role", "text", "|")
 
 
@@ -352,10 +352,10 @@ def rebase_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.rebase_ids(table(spark, sf_dir, "orders"), "o_orderpriority", "o_custkey").select("o_orderkey", "new_id")
 
 
-@query("select n_nationkey as style_id, n_name as name from nation where n_nationkey < 10 union all select r_regionkey + 8, r_name from region where r_regionkey + 8 not in (select n_nationkey from nation where n_nationkey < 10)")
+@query("select n_nationkey as style_id, n_name as name from nation union all select r_regionkey + 22, r_name from region where r_regionkey + 22 not in (select n_nationkey from nation)")
 def styles_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ours = table(spark, sf_dir, "nation").where("n_nationkey < 10").select(F.col("n_nationkey").alias("style_id"), F.col("n_name").alias("name"))
-    theirs = table(spark, sf_dir, "region").select((F.col("r_regionkey") + 8).alias("style_id"), F.col("r_name").alias("name"))
+    ours = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("style_id"), F.col("n_name").alias("name"))
+    theirs = table(spark, sf_dir, "region").select((F.col("r_regionkey") + 22).alias("style_id"), F.col("r_name").alias("name"))
     return sets.first_wins(ours, theirs, "style_id")
 
 
