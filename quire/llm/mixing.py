@@ -38,10 +38,10 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
     else:
         given = literal_rows(spark, [{"_q_name": k, "weight": float(w)} for k, w in weights.items()], "_q_name: string, weight: double")
         weighed = stats.join(given, F.col("_q_source").cast("string").eqNullSafe(F.col("_q_name")), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0))).drop("_q_name")
-    sums = weighed.agg(F.sum("weight").alias("_q_weight"), F.sum("n_docs").alias("_q_docs"))
-    whole = F.lit(float(total)) if total is not None else F.col("_q_docs").cast("double")
-    share = F.when(F.col("_q_weight") > 0, F.col("weight") / F.col("_q_weight")).otherwise(F.lit(0.0))
-    return weighed.crossJoin(F.broadcast(sums)).select("_q_source", "n_docs", (whole * share / F.col("n_docs")).alias("rate"))
+    weight = weighed.agg(F.sum("weight")).scalar()
+    whole = F.lit(float(total)) if total is not None else weighed.agg(F.sum("n_docs")).scalar().cast("double")
+    share = F.when(weight > 0, F.col("weight") / weight).otherwise(F.lit(0.0))
+    return weighed.select("_q_source", "n_docs", (whole * share / F.col("n_docs")).alias("rate"))
 
 
 def _distribution(rate: Column) -> Column:
