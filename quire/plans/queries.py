@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import formats, geometry, numbers
 from quire.functions import text as T
-from quire.operators import lines, lookup, ordered, requests, search, sets, texts
+from quire.operators import editing, lines, lookup, ordered, requests, search, sets, texts
+from quire.plans import convert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -523,3 +524,114 @@ def inherited_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.when(F.col("role") == "system", F.col("turn")).alias("header"))
     filled = ordered.inherit_section(turns, ["conv_id"], "turn", ["header"])
     return ordered.owner_of_hidden(filled, ["conv_id"], "turn", F.col("role") == "assistant").select("conv_id", "turn", "header", "owner")
+
+
+# Scalars over columns that stand in for names, titles, lengths and colours ------------------
+
+
+@query("""
+with t as (select doc_id, trim(string_split(text, chr(10))[1]) as t from documents)
+select doc_id, case when not (t = '' or lower(t) in ('untitled', 'untitled document', 'microsoft word', 'document') or starts_with(lower(t), 'microsoft word - ')) then t end as title from t
+""")
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", formats.title(F.split("text", "\n")[0]).alias("title"))
+
+
+@query(r"""
+with f as (select p_partkey, p_name || ' ' || p_type as f, lower(p_name || ' ' || p_type) as l from part)
+select p_partkey, f || ',' || case when regexp_matches(l, 'mono|courier|consol|code|typewriter') then 'monospace'
+  when regexp_matches(l, 'times|georgia|cambria|garamond|serif|roman|book|palatino|minion') and not contains(l, 'sans') then 'serif' else 'sans-serif' end as family from f
+""")
+def font_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", formats.font_family(F.concat_ws(" ", "p_name", "p_type")).alias("family"))
+
+
+@query("""
+select n_nationkey, case when upper(left(n_name, 2)) in ('US', 'CA', 'MX', 'CL', 'CO', 'VE', 'PH', 'PR', 'GT', 'CR', 'PA', 'DO', 'SV', 'NI', 'BZ') then 'letter' else 'a4' end as paper from nation
+""")
+def local_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    locale = F.concat(F.lit("xx_"), F.lower(F.substring("n_name", 1, 2)), F.lit(".UTF-8@euro"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", formats.paper(locale).alias("paper"))
+
+
+@query("""
+with u as (select l_orderkey, l_linenumber, l_quantity, case l_returnflag when 'A' then 'pt' when 'N' then 'in' else 'em' end as u from lineitem)
+select l_orderkey, l_linenumber, case u when 'pt' then (l_quantity * 12700)::bigint when 'in' then (l_quantity * 914400)::bigint end as emu from u
+""")
+def css_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = F.when(F.col("l_returnflag") == "A", "pt").when(F.col("l_returnflag") == "N", "in").otherwise("em")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", formats.css_length_emu(F.concat(F.col("l_quantity").cast("string"), unit)).alias("emu"))
+
+
+@query("select p_partkey, case when p_size % 7 > 0 then (p_partkey * 977 % 16777216)::int end as colour from part")
+def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("p_size") % 7 > 0, F.lpad(F.hex(F.col("p_partkey") * 977 % 16777216), 6, "0")).otherwise("auto")
+    return table(spark, sf_dir, "part").select("p_partkey", formats.colour(text).alias("colour"))
+
+
+@query("select page_id, array_to_string(list_filter(string_split('word/' || url, '/'), lambda p: p not in ('', '.')), '/') as part from pages where url is not null and not contains(url, '..') and not starts_with(url, '/')")
+def resolved_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").where(~F.contains("url", F.lit("..")) & ~F.col("url").startswith("/"))
+    return pages.select("page_id", formats.resolve_path(F.lit("word/"), F.col("url")).alias("part"))
+
+
+@query("select l_orderkey, l_linenumber, case when l_quantity < 50 * (1.0 / 3) then 'previous' when l_quantity > 50 * (1 - 1.0 / 3) then 'next' end as turn from lineitem where l_quantity between 0 and 50")
+def tap_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").where("l_quantity between 0 and 50").select("l_orderkey", "l_linenumber", geometry.tap_turn(F.col("l_quantity"), F.lit(50.0)).alias("turn"))
+
+
+# Edits, notes and selections -----------------------------------------------------------------
+
+
+@query("select conv_id, turn, case when length(text) > 4 then substr(text, 2, 2) || '++' || substr(text, 4) else text end as text from conversations")
+def undo_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    long = turns.where(F.length("text") > 4)
+    log = long.selectExpr("conv_id", "turn", "1 as seq", "'delete' as op", "0 as at", "substr(text, 1, 1) as content").unionByName(long.selectExpr("conv_id", "turn", "2 as seq", "'insert' as op", "2 as at", "'++' as content"))
+    return editing.replay(turns, log, ["conv_id", "turn"], "text", "seq")
+
+
+@query("""
+select conv_id, turn, (case when turn = 1 then 5 else 0 end)::int as "from", (case when turn = 3 then least(10, length(text)) else length(text) end)::int as "to" from conversations
+where turn between 1 and 3 and (case when turn = 1 then 5 else 0 end) < (case when turn = 3 then least(10, length(text)) else length(text) end)
+""")
+def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
+    return editing.selection(pages, "turn", "n", (3, 10), (1, 5)).select("conv_id", "turn", "from", "to")
+
+
+@query("""
+with p as (select user_id, event_type, (row_number() over (partition by user_id order by ts, event_id) - 1)::int as pos from events
+), r as (select user_id, pos, pos - row_number() over (partition by user_id order by pos) as run from p where event_type <> 'click')
+select user_id, min(pos)::int as start, (max(pos) + 1)::int as "end" from r group by user_id, run
+""")
+def toggled_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    chars = table(spark, sf_dir, "events").select("user_id", at.alias("pos"), (F.col("event_type") == "click").alias("bold"))
+    return editing.toggled_ranges(chars, ["user_id"], "pos", "bold", True)
+
+
+@query("""
+select r.conv_id, r.turn as note_id, coalesce(n.text, '') as body from conversations r
+left join (select conv_id, turn, text from conversations where role <> 'system' and turn % 2 = 1) n on n.conv_id = r.conv_id and n.turn = r.turn
+""")
+def notes_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    notes = turns.where("turn % 2 = 1").select("conv_id", F.col("turn").alias("note_id"), F.when(F.col("role") == "system", "separator").alias("type"), "text")
+    return lookup.notes_of(turns.select("conv_id", F.col("turn").alias("note_id")), notes, ["conv_id"]).select("conv_id", "note_id", "body")
+
+
+@query("select l_orderkey, max(page)::int as page from (" + _PAGES_SQL + ") where 20 between l_quantity - 10 and l_quantity + 10 and 5 between page and page + 5 group by l_orderkey")
+def annotation_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = _pages(spark, sf_dir).select("l_orderkey", "page", (F.col("l_quantity") - 10).alias("x0"), (F.col("l_quantity") + 10).alias("x1"), F.col("page").alias("y0"), (F.col("page") + 5).alias("y1"))
+    return editing.topmost(boxes, ["l_orderkey"], "page", 20.0, 5.0)
+
+
+@query("select doc_id, md5((case when ends_with(text, chr(10)) then left(text, length(text) - 1) else text end) || chr(10)) as digest from documents where text is not null and not contains(text, chr(13))")
+def convert_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a text file, turned into a package and back."""
+    docs = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("\r")))
+    found = docs.select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"), F.lit("text").alias("format"))
+    made = convert.convert(found, "docx").select("path", "content", F.lit("docx").alias("format"))
+    back = convert.convert(made, "text")
+    return back.select(F.col("path").cast("long").alias("doc_id"), F.md5("content").alias("digest"))
