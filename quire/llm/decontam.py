@@ -23,6 +23,8 @@ MASKS = ("111111", "11011011", "1101001101", "101100010011")
 #: A stretch must match this many tokens, or LEAST_SHARE of a test item that is shorter.
 LEAST_TOKENS = 13
 LEAST_SHARE = 0.8
+#: Items of fewer tokens are too short to tell and overlap with nothing.
+LEAST_ITEM = 5
 #: Cost of a substitution within a stretch; a match brings 1.
 SUBSTITUTION = 1.5
 #: Tokens of the test set that are hashed and sent to the executors at a time, in blocks of items.
@@ -85,7 +87,7 @@ def seeds(items: list, texts: list[str | None]) -> Seeds:
     h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
     first = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
     short = {int(k) for k in n if 0 < k < max(map(len, MASKS))}
-    masks = [*MASKS, *("1" * k for k in sorted(short) if k < 6)]
+    masks = [*MASKS, *("1" * k for k in sorted(short) if LEAST_ITEM <= k < 6)]
     keys, places, bits = [], [], []
     for m in masks:
         run = _masked(h, m)
@@ -163,8 +165,8 @@ def _seed_blocks(benchmark: DataFrame, item_id: str, text: str) -> list:
 def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """Verified overlaps: doc_id, item_id, n_matched, start_token, end_token (exclusive), n_item_tokens.
 
-    A document and an item give their best overlap once. Null and empty texts overlap with
-    nothing; rows that repeat give their overlaps each. Tokens are lower-cased letters and digits.
+    A document and an item give their best overlap once. Null and empty texts, and items of
+    fewer than LEAST_ITEM tokens, overlap with nothing; rows that repeat give their overlaps each. Tokens are lower-cased letters and digits.
     """
     ids, kinds = [], [docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, n_matched int, start_token int, end_token int, n_item_tokens int"

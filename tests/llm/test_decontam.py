@@ -23,7 +23,7 @@ def brute(docs, items):
             for diagonal in range(-len(b) + 1, len(a)):
                 lo, hi = max(0, -diagonal), min(len(b), len(a) - diagonal)
                 same = np.array([a[q + diagonal] == b[q] for q in range(lo, hi)])
-                if len(same) and decontam.best_stretch(same)[0] >= min(decontam.LEAST_TOKENS, decontam.LEAST_SHARE * len(b)):
+                if len(b) >= decontam.LEAST_ITEM and len(same) and decontam.best_stretch(same)[0] >= min(decontam.LEAST_TOKENS, decontam.LEAST_SHARE * len(b)):
                     found.add((d, i))
     return found
 
@@ -31,14 +31,15 @@ def brute(docs, items):
 @pytest.fixture(scope="module")
 def planted(spark):
     rng = random.Random(1)
-    items = [(i, sentence(rng, 20 + i)) for i in range(8)] + [(8, "tiny item"), (9, None), (10, "")]
+    items = [(i, sentence(rng, 20 + i)) for i in range(8)] + [(8, "a tiny item of tokens"), (9, None), (10, ""), (11, "two words")]
     docs = [(i, sentence(rng, 80)) for i in range(30)]
     for k in range(6):
         words = items[k][1].split()
         if k % 2:
             words[7], words[15] = "other", "changed"  # substitutions are tolerated
         docs[k] = (k, f"{docs[k][1]} {'. '.join(words).upper()} {sentence(rng, 10)}")
-    docs[10] = (10, "before tiny item after")
+    docs[10] = (10, "before A tiny item, of tokens after")
+    docs[12] = (12, "has two words in it")
     docs += [(40, None), (41, ""), (42, "short"), docs[0]]
     return docs, items, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
 
@@ -67,7 +68,8 @@ def test_blocks_of_the_test_set(planted, monkeypatch):
 
 def test_odd_and_empty(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
-    some = spark.createDataFrame([(1, "null id text here")], "item_id long, text string")
+    some = spark.createDataFrame([(1, "null id text here now")], "item_id long, text string")
+    odd_docs = odd_docs.replace("null id text here", "so null id text here now", subset="text")
     assert decontam.overlaps(odd_docs, none).count() == 0
     assert decontam.overlaps(no_docs, some).count() == 0
     assert [r.doc_id for r in decontam.overlaps(odd_docs, some).collect()] == [None]
