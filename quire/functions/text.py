@@ -31,7 +31,11 @@ def normalize(text: Column) -> Column:
 
 def count_matches(text: Column, query: Column) -> Column:
     """Occurrences of ``query`` in ``text``, both compared normalised, that do not overlap; an empty query matches nothing."""
-    t, q = normalize(text), normalize(query)
+    return count_in_normalized(normalize(text), normalize(query))
+
+
+def count_in_normalized(t: Column, q: Column) -> Column:
+    """``count_matches`` of texts that are normalised already, for several queries over one text."""
     return F.when(F.length(q) > 0, (F.length(t) - F.length(F.replace(t, q, F.lit("")))) / F.length(q)).otherwise(0).cast("int")
 
 

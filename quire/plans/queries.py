@@ -90,9 +90,11 @@ with q(phrase, q) as (values {_PHRASES_SQL}), n as (select doc_id, {normal("text
 select doc_id, phrase, ((length(t) - length(replace(t, q, ''))) / length(q))::int as n from n, q where contains(t, q)
 """)
 def match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = docs.select("doc_id", "text", F.explode(F.array(*map(F.lit, PHRASES))).alias("phrase"))
-    return counted.select("doc_id", "phrase", T.count_matches(F.col("text"), F.col("phrase")).alias("n")).where("n > 0")
+    # The text is normalised once, below the explosion into phrases.
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("t"))
+    asked = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(T.normalize_literal(p)).alias("q")) for p in PHRASES])
+    counted = docs.select("doc_id", "t", F.explode(asked).alias("a"))
+    return counted.select("doc_id", "a.phrase", T.count_in_normalized(F.col("t"), F.col("a.q")).alias("n")).where("n > 0")
 
 
 @query(rf"""
