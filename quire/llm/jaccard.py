@@ -67,21 +67,21 @@ def _facts(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(RANGES, np.int32)
-        names = ["_q_id", "n", "sig", "chunk", "counts"]
+        names = ["_q_id", "_q_key", "n", "sig", "chunk", "counts"]
         kind, any_row = None, False
         for batch in batches:
             kind = batch.schema.field(0).type
             n, sig = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int64)
-            for row, s in shingle_sets(batch.column(1), size):
+            for row, s in shingle_sets(batch.column(2), size):
                 n[row], sig[row] = len(s), signature(s)
                 np.add.at(counts, (s >> np.uint64(44)).astype(np.int64), 1)
                 any_row = True
             nothing = pa.nulls(batch.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sig), nothing, pa.nulls(batch.num_rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(sig), nothing, pa.nulls(batch.num_rows, pa.binary())], names)
         if any_row:
             parts = [c.tobytes() for c in counts.reshape(-1, CHUNK)]
             k = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names)
 
     return run
 
@@ -133,12 +133,15 @@ def _prefixes(size: int, percent: int, shared):
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             rows, bins, sets = [], [], []
+            batch = batch.filter(pa.array([sig not in seen for sig in batch.column(0).to_pylist()], pa.bool_()))
             expected = batch.column(0).to_pylist()
             for row, s in shingle_sets(batch.column(1), size):
-                if signature(s) != expected[row]:  # another text under the same id
+                if expected[row] in seen or signature(s) != expected[row]:  # a row that repeats, or another text under the same key
                     continue
+                seen.add(expected[row])
                 rows.append(row)
                 bins.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS).astype(np.int32))
                 sets.append(s.tobytes())
@@ -183,19 +186,18 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return fetched.mapInArrow(_verify(percent), "a long, b long")
 
 
-def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: the smallest id that it reaches by links.
+def _key(doc_id: str, text: str) -> Column:
+    """A hash of a row's id and text; never null, and rows that share it are one text under one id."""
+    return F.xxhash64(F.col(doc_id), F.col(text))
 
-    Two documents link if 100 * intersection >= ``percent`` * union of their shingle sets. A row
-    without words has an empty set, links with nothing and is its own component. Rows that repeat
-    are linked as equal sets. Shingles are compared by 64-bit hashes. Null ids are kept; a group
-    of null ids only has a null component.
-    """
+
+def _linked(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(_q_id, _q_key, n, sig of every row; node and label of each set that links with another one)."""
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("_q_id"), F.col(text).alias("text"))
-    facts = saved(rows.mapInArrow(_facts(size), f"_q_id {kind}, n int, sig long, chunk int, counts binary"), "facts")
-    known = facts.where("chunk is null").select("_q_id", "n", "sig")
+    rows = docs.select(F.col(doc_id).alias("_q_id"), _key(doc_id, text).alias("_q_key"), F.col(text).alias("text"))
+    facts = saved(rows.mapInArrow(_facts(size), f"_q_id {kind}, _q_key long, n int, sig long, chunk int, counts binary"), "facts")
+    known = facts.where("chunk is null").select("_q_id", "_q_key", "n", "sig")
     shared = spark.sparkContext.broadcast(range_counts(facts))
 
     prefix = saved(rows.select("text").mapInArrow(_prefixes(size, percent, shared), "token long, sig long, n int, at int"), "prefix")
@@ -203,13 +205,13 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: st
     held = saved(prefix.join(met.hint("shuffle_hash"), "token", "left_semi").distinct(), "held")
     discard(prefix, met)
 
-    repeated = known.groupBy("_q_id").count().where("count > 1").limit(1).count() > 0
+    repeated = known.where("n > 0").groupBy("_q_key").count().where("count > 1").limit(1).count() > 0
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         """Whole sets of the signatures in candidate pairs, each from one row that has it."""
         sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-        first = known.groupBy("sig").agg(F.min("_q_id").alias("_q_id")).join(sigs, "sig", "left_semi")
-        again = rows.join(first.hint("shuffle_hash"), "_q_id").select("sig", "text")
+        first = known.groupBy("sig").agg(F.min("_q_key").alias("_q_key")).join(sigs, "sig", "left_semi")
+        again = rows.join(first.hint("shuffle_hash"), "_q_key").select("sig", "text")
         sets = again.mapInArrow(_sets(size), "sig long, bins array<int>, set binary")
         return saved(sets.dropDuplicates(["sig"]) if repeated else sets, "sets")
 
@@ -242,15 +244,33 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: st
     more = saved(_links(rest, sets, percent), "links")
     final = components(linked.union(more))
     discard(held, sets, tried, placed, split_tokens, apart, rest)
+    return known, final
+
+
+def _best_of_sets(known: DataFrame, final: DataFrame, best: Column) -> DataFrame:
+    """(sig, best): an aggregate (a least value) over all rows of the group of each set.
 
-    # Rows of equal sets meet as one row a set until the last join, whose sides are plain tables that Spark can split.
-    full = known.where("n > 0")
-    least = full.groupBy("sig").agg(F.min("_q_id").alias("least"))
+    Rows of equal sets meet as one row a set, so that callers' last join is of plain tables that Spark can split.
+    """
+    least = known.where("n > 0").groupBy("sig").agg(best.alias("least"))
     placed = saved(least.join(final, least["sig"] == final["node"], "left").select("sig", "least", F.coalesce("label", "sig").alias("group")), "placed")
-    named = saved(placed.groupBy("group").agg(F.min("least").alias("component_id")), "named")
-    of_sig = saved(placed.join(named, "group").select("sig", "component_id"), "of_sig")
+    named = saved(placed.groupBy("group").agg(F.min("least").alias("best")), "named")
+    of_sig = saved(placed.join(named, "group").select("sig", "best"), "of_sig")
     discard(placed, named)
-    out = full.join(of_sig, "sig", "left").select("_q_id", "n", "component_id").unionByName(known.where("n = 0").select("_q_id", "n", F.col("_q_id").alias("component_id")))
+    return of_sig
+
+
+def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: the smallest id that it reaches by links.
+
+    Two documents link if 100 * intersection >= ``percent`` * union of their shingle sets. A row
+    without words has an empty set, links with nothing and is its own component. Rows that repeat
+    are linked as equal sets. Shingles are compared by 64-bit hashes. Rows with null ids are kept
+    and link as any other; a group of null ids only has a null component.
+    """
+    known, final = _linked(docs, size, percent, doc_id, text)
+    of_sig = _best_of_sets(known, final, F.min("_q_id")).withColumnRenamed("best", "component_id")
+    out = known.where("n > 0").join(of_sig, "sig", "left").select("_q_id", "n", "component_id").unionByName(known.where("n = 0").select("_q_id", "n", F.col("_q_id").alias("component_id")))
     return out.select(F.col("_q_id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 

@@ -77,3 +77,16 @@ def test_components(spark):
     assert all(got[i] == 100 for i in range(100, 141))
     assert all(v == 7 for k, v in got.items() if 200 <= k < 260) and got[7] == 7 and got[300] == 300 and 5 not in got
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_null_ids_link_as_any_other(spark):
+    base = [f"b{i}" for i in range(120)]
+    chain = lambda k: " ".join([*base[k:], *(f"n{i}" for i in range(k))])
+    rows = [(50, chain(0)), (None, chain(8)), (40, chain(16))]  # 40 and 50 meet over the null id only
+    rows += [(None, "all of this group has no id"), (None, "all of this group has no id"), (None, None), (None, " ")]
+    rows += [(7, "a text on a null id and on another one"), (None, "a text on a null id and on another one"), (7, chain(24))]
+    assert 100 * len(shingles(rows[0][1], 4) & shingles(rows[2][1], 4)) < 80 * len(shingles(rows[0][1], 4) | shingles(rows[2][1], 4))
+    want = brute(rows, 4, 80)
+    assert (50, 117, 7) in want and (None, 117, 7) in want
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_groups(df, 4, 80).collect()), key=str) == want
