@@ -19,14 +19,17 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language; null texts and texts without a letter go."""
+    """Documents that have a language: null texts and texts without a letter go, and texts that score little above chance.
+
+    Without a labelled row to learn from there is no field, and every document with a letter stays.
+    """
     field = language.fit(language.sample(docs))
     named = language.identify(docs, field, into="_q_lang", score="_q_score")
-    return named.where(F.col("_q_lang") != language.UNKNOWN).select(*COLUMNS)
+    return named.where(language.has_language(field, "text", "_q_lang", "_q_score")).select(*COLUMNS)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more, the smallest id stays."""
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more; one row of each group stays, that of the smallest id."""
     return jaccard.one_of_each(docs, size=5, percent=80).select(*COLUMNS)
 
 

@@ -1,10 +1,11 @@
+import random
 import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from quire.llm import queries
+from quire.llm import language, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,3 +56,19 @@ def test_empty_documents(spark, tmp_path):
 
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_language_stage_without_labels_keeps_documents_with_letters(spark):
+    rows = [(1, "A clean text.", None), (2, "12 34", None), (3, None, None), (None, "no id", "en"), (5, "Здравствуй", None)]
+    docs = spark.createDataFrame([(d, t, lang, None, None) for d, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert ids(P.identified(spark, docs, SF)) == {1, None, 5}
+
+
+def test_language_stage_rejects_what_scores_near_chance(spark):
+    rng = random.Random(1)
+    noise = " ".join("".join(rng.choice("zqxjkwv") for _ in range(5)) for _ in range(40))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(6000, noise, None, None, None), (6001, "Q", None, None, None)], docs.schema)
+    kept = ids(P.identified(spark, docs.union(odd), SF))
+    held_out = ids(docs.where(~language.may_learn(F.col("doc_id"))))
+    assert 6000 not in kept and 6001 in kept and held_out and held_out <= kept
