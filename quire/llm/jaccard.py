@@ -275,10 +275,22 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: st
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their group, all columns as they were.
+    """One row of each group of ``docs``, all columns as they were.
 
-    Of rows that repeat an id all stay if it is the smallest of its group.
+    The row with the smallest id stays (nulls last), of several texts under that id the one with
+    the smallest key, of rows that repeat both the one whose hash over all columns is smallest.
+    A row without words is alone in its group, but rows that repeat its id and text go too.
     """
-    groups = similar_groups(docs, size, percent, doc_id, text)
-    gone = saved(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_q_gone")).distinct(), "gone")
-    return docs.join(gone.hint("shuffle_hash"), F.col(doc_id) == F.col("_q_gone"), "left_anti")
+    known, final = _linked(docs, size, percent, doc_id, text)
+    of_sig = _best_of_sets(known, final, F.min(F.struct(F.col("_q_id").isNull().alias("none"), "_q_id", "_q_key")))
+    stays = F.col("_q_id").eqNullSafe(F.col("best._q_id")) & (F.col("_q_key") == F.col("best._q_key"))
+    gone = saved(known.where("n > 0").join(of_sig, "sig").where(~stays).select(F.col("_q_id").alias("_q_gone"), F.col("_q_key").alias("_q_gone_key")).distinct(), "gone")
+    left = docs.withColumn("_q_key", _key(doc_id, text)).join(gone.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("_q_gone")) & (F.col("_q_key") == F.col("_q_gone_key")), "left_anti")
+    alone = "n = 0 and _q_id is null"
+    if not known.where(f"not ({alone})").groupBy("_q_id", "_q_key").count().where("count > 1").limit(1).count():
+        return left.select(*docs.columns)
+    left = saved(left, "left")
+    wordless = F.col(doc_id).isNull() & ~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    whole, order = F.struct(*docs.columns), F.xxhash64(*[c for c in docs.columns if not docs.schema[c].dataType.simpleString().count("map<")])
+    one = left.where(~wordless).groupBy(F.col(doc_id).alias("_q_id"), "_q_key").agg(F.min_by(whole, order).alias("row")).select("row.*")
+    return one.unionByName(left.where(wordless).select(*docs.columns))

@@ -90,3 +90,22 @@ def test_null_ids_link_as_any_other(spark):
     assert (50, 117, 7) in want and (None, 117, 7) in want
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_groups(df, 4, 80).collect()), key=str) == want
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(100)]
+    near = lambda: " ".join([*base[:-1], f"x{rng.randrange(10**6)}"])
+    twice = [(1, "a text that is there twice", "s"), (2, "another one that is there twice", None), (3, None, "s"), (4, "", "s")]
+    rows = twice + twice + [(None, near(), "s") for _ in range(3)] + [(20, near(), "s"), (None, near(), "s")]
+    rows += [(10, "the text of a smaller id", "s"), (11, "the text of a smaller id", "s"), (11, "words that stand nowhere but here", "s")]
+    rows += [(None, "only null ids have this", "s"), (None, "only null ids HAVE this", "s"), (None, "only null ids have this", "s")]
+    rows += [(None, None, "s"), (None, " ", "s"), (None, None, "s"), (2, "another one that is there twice", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = jaccard.one_of_each(df, 4, 80)
+    assert got.columns == df.columns
+    kept = sorted([(r.doc_id, (r.text or "").lower(), r.source) for r in got.collect()], key=str)
+    second = next(s for d, _, s in kept if d == 2)
+    want = [(1, twice[0][1], "s"), (2, twice[1][1], second), (3, "", "s"), (4, "", "s"), (20, rows[11][1], "s"), (10, "the text of a smaller id", "s")]
+    want += [(11, "words that stand nowhere but here", "s"), (None, "only null ids have this", "s"), (None, "", "s"), (None, " ", "s"), (None, "", "s")]
+    assert kept == sorted(want, key=str)
