@@ -1,210 +1,344 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A mask names the positions of a short run of tokens that count; the others may differ. Every
-run of test tokens and of training tokens is hashed under every mask; equal hashes are hits, and
-each hit is verified along its diagonal: the stretch around it of aligned tokens with the most
-matches, a substitution costing more than a match brings, must hold enough matching tokens.
+A mask names the positions of a short run of tokens that count; the others may differ. Every run
+of test tokens and of training tokens is hashed under every mask; equal hashes are hits, and each
+hit is verified: some WINDOW aligned tokens around it must hold enough matching ones.
+
+The masks follow from what is accepted, so that no accepted overlap is missed. A window of w
+tokens with at most k substitutions is cut into g blocks; g - k of them at least are untouched,
+so the masks of all choices of that many blocks, up to where they begin, find it.
+
+A test set of up to BLOCK_BYTES is sent to the executors as sorted arrays of hashes and nothing
+is shuffled. A larger one is joined on the hashes: a bitmap of fixed size over the test hashes
+keeps those training hashes that may meet one, and only these are shuffled, with the tokens
+around them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.words import Block, Words, blocks, mix, split, word_hashes
+from quire.llm.work import saved
 
-#: Six tokens count in each mask.
-MASKS = ("111111", "11011011", "1101001101", "101100010011")
-#: A stretch must match this many tokens, or LEAST_SHARE of a test item that is shorter.
-LEAST_TOKENS = 13
-LEAST_SHARE = 0.8
-#: Items of fewer tokens are too short to tell and overlap with nothing.
+#: Of WINDOW aligned tokens four fifths must match (13 of 16), or four fifths of a shorter test item.
+WINDOW = 16
+#: By default items of fewer tokens overlap with nothing; ``least_item=1`` takes every item.
 LEAST_ITEM = 5
-#: Cost of a substitution within a stretch; a match brings 1.
-SUBSTITUTION = 1.5
-#: Tokens of the test set that are hashed and sent to the executors at a time, in blocks of items.
-BLOCK_TOKENS = 1_000_000
+#: Tokens that a mask compares, where the item is long enough.
+WEIGHT = 6
+#: A test set of up to this many bytes of text is broadcast; a larger one is joined.
+BLOCK_BYTES = 8 << 20
+#: Hits that are verified side by side.
+LOT = 1 << 15
+#: Bits of the map of test hashes that every executor holds for the join (16 MB).
+MAP_BITS = 27
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
+def needed(n: int) -> int:
+    """Matching tokens that an overlap with an item of ``n`` tokens must have."""
+    return -(-4 * min(n, WINDOW) // 5)
+
+
+def masks_for(n: int) -> list[str]:
+    """Masks that find every accepted overlap with an item of ``n`` tokens."""
+    w = min(n, WINDOW)
+    k = w - needed(n)
+    plans = [(min(w // b - k, -(-WEIGHT // b)) * b, b) for b in (3, 2, 1) if w // b > k]
+    weight, b = max(plans)
+    found = {tuple(i - chosen[0] for i in chosen) for chosen in combinations(range(w // b), weight // b)}
+    return ["".join("01"[i in chosen] * b for i in range(chosen[-1] + 1)) for chosen in sorted(found)]
+
+
 def _tokens(block: Block) -> Words:
-    """Runs of letters and digits; ASCII punctuation and the general punctuation block separate."""
+    """Runs of letters and digits; each character of a script without spaces (U+3000 to U+9FFF, and beyond U+FFFF) is one.
+
+    ASCII punctuation, the general punctuation block and CJK punctuation separate.
+    """
     d = block.data
     ascii_word = (d >= 48) & (d <= 57) | (d >= 97) & (d <= 122) | (d >= 65) & (d <= 90)
     is_word = ascii_word | (d >= 128)
+    cuts = None
     if len(d) > 2:
-        at = np.flatnonzero((d[:-2] == 0xE2) & (d[1:-1] == 0x80))
+        at = np.flatnonzero((d[:-2] == 0xE2) & (d[1:-1] == 0x80) | (d[:-2] == 0xE3) & (d[1:-1] == 0x80))
         for k in range(3):
             is_word[at + k] = False
         is_word[np.flatnonzero((d[:-1] == 0xC2) & ((d[1:] == 0xA0) | (d[1:] == 0xAB) | (d[1:] == 0xBB)))[:, None] + [0, 1]] = False
-    return split(block, is_word)
+        three, four = np.flatnonzero((d >= 0xE3) & (d <= 0xE9)), np.flatnonzero(d >= 0xF0)
+        cuts = np.concatenate([three, three + 3, four, four + 4])
+    return split(block, is_word, cuts)
 
 
 def _masked(h: np.ndarray, mask: str) -> np.ndarray:
     """The hash of every run under a mask, by the run's first token."""
     n = len(h) - len(mask) + 1
-    out = np.full(max(n, 0), np.uint64(len(mask)), np.uint64)
+    out = np.full(max(n, 0), np.uint64(int("1" + mask, 2)), np.uint64)
     for k, c in enumerate(mask):
         if c == "1" and n > 0:
             out = out * _PRIME + h[k : k + n]
     return mix(out)
 
 
-def _inner(first: np.ndarray, size: int, n: int) -> np.ndarray:
-    """Starts of the runs of ``size`` tokens that lie within one row."""
-    left = np.repeat(first[1:], np.diff(first))[:n] - np.arange(n)
-    return np.flatnonzero(left >= size)
+def _bounds(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first token and end of the row) of each token."""
+    n = np.diff(first)
+    return np.repeat(np.arange(len(n)), n), np.repeat(first[:-1], n), np.repeat(first[1:], n)
+
+
+def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(token hashes of all rows, where each row begins)."""
+    counts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for b in blocks(column):
+        w = _tokens(b)
+        counts.append(w.counts())
+        hashes.append(word_hashes(b.data, w))
+    return np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
 
 
 @dataclass
 class Seeds:
-    """A block of the test set: token hashes of all items, and where each masked hash occurs."""
+    """A test set: token hashes of all items, and where each masked hash occurs."""
 
     items: list
-    first: np.ndarray
     hashes: np.ndarray
+    item: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
     masks: list[str]
     keys: list[np.ndarray]
     places: list[np.ndarray]
     bits: list[np.ndarray]
 
 
-def seeds(items: list, texts: list[str | None]) -> Seeds:
-    """Hash a block of test items. Items of fewer tokens than a mask also get masks of their own length."""
-    col = pa.array([t.lower() if t else "" for t in texts], pa.large_string())
-    counts, hashes = [], []
-    for b in blocks(col):
-        w = _tokens(b)
-        counts.append(w.counts())
-        hashes.append(word_hashes(b.data, w))
-    n = np.concatenate([*counts, np.zeros(0, np.int64)])
-    h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-    first = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-    short = {int(k) for k in n if 0 < k < max(map(len, MASKS))}
-    masks = [*MASKS, *("1" * k for k in sorted(short) if LEAST_ITEM <= k < 6)]
+def seeds(items: list, texts: list[str | None], least_item: int = LEAST_ITEM) -> Seeds:
+    """Hash a test set of lower-cased texts; each item under the masks of its length. Texts that share an id are one item."""
+    h, first = _hashed(pa.array([t or "" for t in texts], pa.large_string()))
+    item, begin, end = _bounds(first)
+    same = {name: k for k, name in reversed(list(enumerate(items)))}
+    item = np.array([same[name] for name in items], np.int64)[item]
+    size = end - begin
+    by_mask: dict[str, list[int]] = {}
+    for n in {min(int(n), WINDOW) for n in np.unique(size) if n >= least_item}:
+        for m in masks_for(n):
+            by_mask.setdefault(m, []).append(n)
     keys, places, bits = [], [], []
-    for m in masks:
+    for m, sizes in by_mask.items():
         run = _masked(h, m)
-        at = _inner(first, len(m), len(run))
-        if m not in MASKS:  # a short item only as a whole
-            whole = first[:-1][n == len(m)]
-            at = np.intersect1d(at, whole)
+        n = len(run)
+        at = np.flatnonzero((end[:n] - np.arange(n) >= len(m)) & np.isin(np.minimum(size[:n], WINDOW), sizes))
         order = np.argsort(run[at], kind="stable")
         keys.append(run[at][order])
         places.append(at[order])
-        table = np.zeros(1 << 16, bool)
-        table[(keys[-1] >> np.uint64(48)).astype(np.int64)] = True
+        table = np.zeros(1 << min(24, max(16, int(len(at) * 16).bit_length())), bool)
+        table[(keys[-1] & np.uint64(len(table) - 1)).astype(np.int64)] = True
         bits.append(table)
-    return Seeds(items, first, h, masks, keys, places, bits)
+    return Seeds(items, h, item, begin, end, list(by_mask), keys, places, bits)
+
+
+def _around(at: np.ndarray, mask: str, h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Token hashes of all windows around runs that begin at ``at``; 0 beyond the row."""
+    index = at[:, None] + np.arange(len(mask) - WINDOW, WINDOW)
+    inside = (index >= begin[at][:, None]) & (index < end[at][:, None])
+    return np.where(inside, h[np.clip(index, 0, len(h) - 1)], np.uint64(0))
+
 
+def _best_windows(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(matches of the best window of each pair, its first match and the end of its last, from where the tokens begin)."""
+    same = (x == y) & (x != 0)
+    sums = np.zeros((len(x), x.shape[1] + 1), np.int16)
+    np.cumsum(same, axis=1, out=sums[:, 1:])
+    inside = sums[:, WINDOW:] - sums[:, :-WINDOW]
+    best = inside.argmax(axis=1)
+    window = np.take_along_axis(same, best[:, None] + np.arange(WINDOW), 1)
+    return inside[np.arange(len(x)), best], best + window.argmax(axis=1), best + WINDOW - window[:, ::-1].argmax(axis=1)
 
-def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
-    """(matches, start, end) of the stretch with the highest sum of 1 a match and -SUBSTITUTION a difference."""
-    sums = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -SUBSTITUTION))])
-    low = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - low))
-    start = int(np.flatnonzero(sums[: end + 1] == low[end])[-1])
-    return int(same[start:end].sum()), start, end
 
+def _overlaps(h: np.ndarray, first: np.ndarray, s: Seeds, any_item: bool = False) -> np.ndarray:
+    """Rows of (row, item, matches, start and end in the row's tokens, item's tokens) of the overlaps in a block, the best of each row and item.
 
-def _overlaps(h: np.ndarray, first: np.ndarray, s: Seeds) -> list[tuple[int, int, int, int, int, int]]:
-    """(row, item, matches, start and end in the row's tokens, item's tokens) of verified overlaps in a block."""
-    found = set()
+    With ``any_item`` a row that overlaps is not looked at again, and may give any one item.
+    """
+    row, begin, end = _bounds(first)
+    found, done = [np.zeros((0, 6), np.int64)], np.zeros(len(first) - 1, bool)
+    enough = np.array([needed(n) for n in range(WINDOW + 1)])
     for m, keys, places, bits in zip(s.masks, s.keys, s.places, s.bits, strict=True):
-        if not len(keys):
-            continue
         run = _masked(h, m)
-        maybe = np.flatnonzero(bits[(run >> np.uint64(48)).astype(np.int64)])
-        lo, hi = np.searchsorted(keys, run[maybe], "left"), np.searchsorted(keys, run[maybe], "right")
-        hit = hi > lo
-        for p, a, b in zip(maybe[hit], lo[hit], hi[hit], strict=True):
-            row = int(np.searchsorted(first, p, "right")) - 1
-            if p + len(m) > first[row + 1]:
-                continue
-            for q in places[a:b]:
-                item = int(np.searchsorted(s.first, q, "right")) - 1
-                found.add((row, item, int(p - q)))
-    out: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-    for row, item, diagonal in found:
-        a, b = s.first[item], s.first[item + 1]
-        lo, hi = max(a, first[row] - diagonal), min(b, first[row + 1] - diagonal)
-        matches, start, end = best_stretch(h[lo + diagonal : hi + diagonal] == s.hashes[lo:hi])
-        at = int(lo + diagonal + start - first[row])
-        if matches >= min(LEAST_TOKENS, LEAST_SHARE * (b - a)):
-            best = (matches, -at, at + end - start, int(b - a))
-            out[row, item] = max(best, out.get((row, item), best))
-    return [(r, i, m, -a, e, n) for (r, i), (m, a, e, n) in sorted(out.items())]
-
-
-def _search(column: pa.Array, s: Seeds) -> Iterator[tuple[int, int, int, int, int, int]]:
+        at = np.flatnonzero(bits[(run & np.uint64(len(bits) - 1)).astype(np.int64)])
+        at = at[end[at] - at >= len(m)]
+        lo, hi = np.searchsorted(keys, run[at], "left"), np.searchsorted(keys, run[at], "right")
+        at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
+        while len(at):
+            if any_item:
+                left = ~done[row[at]]
+                at, lo, hi = at[left], lo[left], hi[left]
+            # A lot of hits: of each run in turn as many places as fit.
+            room = np.minimum(hi - lo, LOT)
+            n = max(1, int(np.searchsorted(np.cumsum(room), LOT, "right")))
+            size = room[:n]
+            p = np.repeat(at[:n], size)
+            q = places[np.repeat(lo[:n] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            matches, a, z = _best_windows(_around(p, m, h, begin, end), _around(q, m, s.hashes, s.begin, s.end))
+            n_item = s.end[q] - s.begin[q]
+            ok = matches >= enough[np.minimum(n_item, WINDOW)]
+            start = p + len(m) - WINDOW - begin[p]
+            found.append(np.stack([row[p], s.item[q], matches, start + a, start + z, n_item], axis=1)[ok])
+            done[row[p[ok]]] = True
+            lo = lo.copy()
+            lo[:n] += size
+            more = hi > lo
+            at, lo, hi = at[more], lo[more], hi[more]
+    all_found = np.concatenate(found)
+    all_found = all_found[np.lexsort((all_found[:, 4], all_found[:, 3], -all_found[:, 2], all_found[:, 1], all_found[:, 0]))]
+    new = np.ones(len(all_found), bool)
+    new[1:] = (all_found[1:, :2] != all_found[:-1, :2]).any(axis=1)
+    return all_found[new]
+
+
+def _search(column: pa.Array, s: Seeds, any_item: bool = False) -> np.ndarray:
+    found = [np.zeros((0, 6), np.int64)]
     for b in blocks(column):
         w = _tokens(b)
-        for row, *rest in _overlaps(word_hashes(b.data, w), w.first, s):
-            yield (row + b.lo, *rest)
-
-
-def _seed_blocks(benchmark: DataFrame, item_id: str, text: str) -> list:
-    """The test set in broadcast blocks, each of about BLOCK_TOKENS tokens at most; one item is never split."""
-    spark = benchmark.sparkSession
-    size = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n = -(-size // (2 * BLOCK_TOKENS)) or 1
-    made = []
-    for k in range(n):
-        part = benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        rows = part.collect()
-        made.append(spark.sparkContext.broadcast(seeds([r[0] for r in rows], [r[1] for r in rows])))
-    return made
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
+        if len(w.starts) and s.masks:
+            found.append(_overlaps(word_hashes(b.data, w), w.first, s, any_item) + [b.lo, 0, 0, 0, 0, 0])
+    return np.concatenate(found)
+
+
+def _sent(benchmark: DataFrame, item_id: str, text: str, least_item: int):
+    """The test set as a broadcast, or None if it is larger than BLOCK_BYTES."""
+    if (benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0) > BLOCK_BYTES:
+        return None
+    rows = benchmark.select(item_id, F.lower(text)).where(F.length(text) > 0).collect()
+    return benchmark.sparkSession.sparkContext.broadcast(seeds([r[0] for r in rows], [r[1] for r in rows], least_item))
+
+
+def _text_key(text: Column) -> list[Column]:
+    """128 bits of a text's hash."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2")]
+
+
+def _runs(masks: dict[str, set[int] | None], bits):
+    """Rows of (hash, position of the tokens around, token hashes around, tokens of the row) and the row's first columns, of every masked run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = range(batch.num_columns - 1)
+            for b in blocks(batch.column(batch.num_columns - 1)):
+                w = _tokens(b)
+                h = word_hashes(b.data, w)
+                row, begin, end = _bounds(w.first)
+                for m, sizes in masks.items():
+                    value = _masked(h, m)
+                    n = len(value)
+                    ok = end[:n] - np.arange(n) >= len(m)
+                    if sizes is not None:
+                        ok &= np.isin(np.minimum(end[:n] - begin[:n], WINDOW), sorted(sizes))
+                    if bits is not None:
+                        place = (value & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
+                        ok &= (bits.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+                    all_at = np.flatnonzero(ok)
+                    for lot in range(0, len(all_at), LOT):
+                        at = all_at[lot : lot + LOT]
+                        tokens = _around(at, m, h, begin, end)
+                        kept = [batch.column(k).take(pa.array(row[at] + b.lo)) for k in keys]
+                        yield pa.RecordBatch.from_arrays(
+                            [*kept, pa.array(value[at].view(np.int64)), pa.array((at + len(m) - WINDOW - begin[at]).astype(np.int32)), pa.array([t.tobytes() for t in tokens], pa.binary()), pa.array((end[at] - begin[at]).astype(np.int32))],
+                            [*batch.schema.names[:-1], "hash", "start", "around", "size"],
+                        )
+
+    return run
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of runs (k1, k2, item, start, around, item_around, item_size) that overlap."""
+    enough = np.array([needed(n) for n in range(WINDOW + 1)])
+    for batch in batches:
+        around, other = (batch.column(k).cast(pa.large_binary()) for k in (4, 5))
+        length = np.asarray(pc.binary_length(around)) // 8
+        for size in np.unique(length):
+            rows = np.flatnonzero(length == size)
+            x, y = (np.frombuffer(b"".join(c.take(pa.array(rows)).to_pylist()), np.uint64).reshape(-1, size) for c in (around, other))
+            matches, a, z = _best_windows(x, y)
+            n_item = np.asarray(batch.column(6))[rows]
+            ok = matches >= enough[np.minimum(n_item, WINDOW)]
+            at = pa.array(rows[ok])
+            start = np.asarray(batch.column(3))[rows]
+            numbers = [pa.array(v[ok].astype(np.int32)) for v in (matches, start + a, start + z, n_item)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(3)), *numbers], ["k1", "k2", "item_id", "n_matched", "start_token", "end_token", "n_item_tokens"])
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, item_id: str, text: str, least_item: int) -> DataFrame:
+    """(k1, k2, item_id, n_matched, start_token, end_token, n_item_tokens) of every text, by its hash, by a join of hashes."""
+    spark = docs.sparkSession
+    kind = benchmark.schema[item_id].dataType.simpleString()
+    masks: dict[str, set[int]] = {}
+    for n in range(least_item, WINDOW + 1):
+        for m in masks_for(n):
+            masks.setdefault(m, set()).add(n)
+    tail = "hash long, start int, around binary, size int"
+    theirs = saved(benchmark.select(F.col(item_id).alias("item_id"), F.lower(text)).mapInArrow(_runs(masks, None), f"item_id {kind}, {tail}").withColumnsRenamed({"around": "item_around", "size": "item_size"}).drop("start"), "seeds")
+    bit = F.pmod("hash", F.lit(1 << MAP_BITS)) + 1
+    maps = theirs.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect()
+    bits = np.zeros((1 << MAP_BITS >> 15, 4096), np.uint8)
+    for r in maps:
+        bits[r["b"] - 1] = np.frombuffer(r["m"], np.uint8)
+    shared = spark.sparkContext.broadcast(bits.ravel())
+    runs = docs.select(*_text_key(F.lower(text)), F.lower(text)).mapInArrow(_runs(dict.fromkeys(masks), shared), f"k1 long, k2 long, {tail}")
+    ours = runs.drop("size").dropDuplicates(["hash", "k1", "k2", "start"])
+    pairs = ours.join(theirs, "hash").where(F.length("around") == F.length("item_around")).select("k1", "k2", "item_id", "start", "around", "item_around", "item_size")
+    found = pairs.mapInArrow(_verify, f"k1 long, k2 long, item_id {kind}, n_matched int, start_token int, end_token int, n_item_tokens int")
+    best = F.min_by(F.struct("n_matched", "start_token", "end_token", "n_item_tokens"), F.struct(-F.col("n_matched"), "start_token", "end_token"))
+    return found.groupBy("k1", "k2", "item_id").agg(best.alias("best")).select("k1", "k2", "item_id", "best.*")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", least_item: int = LEAST_ITEM) -> DataFrame:
     """Verified overlaps: doc_id, item_id, n_matched, start_token, end_token (exclusive), n_item_tokens.
 
-    A document and an item give their best overlap once. Null and empty texts, and items of
-    fewer than LEAST_ITEM tokens, overlap with nothing; rows that repeat give their overlaps each. Tokens are lower-cased letters and digits.
+    A document and an item overlap if at least 13 of some 16 aligned tokens match, or four fifths
+    of an item of fewer tokens; every such pair is found. It gives one row: the most matches of a
+    window, and where the first of its tokens lie (ties: the earliest). Null and empty texts, and
+    items of fewer than ``least_item`` tokens, overlap with nothing; with 1 every item takes part.
+    Rows that repeat give their overlaps each. Tokens are lower-cased letters and digits.
     """
-    ids, kinds = [], [docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()]
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, n_matched int, start_token int, end_token int, n_item_tokens int"
-
-    def runner(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            s = shared.value
-            for batch in batches:
-                rows = list(_search(batch.column(1), s))
-                if rows:
-                    cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_pydict(
-                        {"doc_id": batch.column(0).take(pa.array(cols[0])), "item_id": [s.items[i] for i in cols[1]]}
-                        | {n: pa.array(c, pa.int32()) for n, c in zip(("n_matched", "start_token", "end_token", "n_item_tokens"), cols[2:], strict=True)}
-                    )
-
-        return run
-
-    narrow = docs.select(doc_id, F.lower(text).alias("text"))
-    ids = [narrow.mapInArrow(runner(b), schema) for b in _seed_blocks(benchmark, item_id, text)]
-    out = ids[0]
-    for more in ids[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that overlap with no test item, all columns as they were; nothing is shuffled."""
-
-    def runner(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                keep[[r[0] for r in _search(batch.column(batch.num_columns - 1), shared.value)]] = False
-                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep))
-
-        return run
-
-    for b in _seed_blocks(benchmark, item_id, text):
-        docs = docs.withColumn("_q_lower", F.lower(text)).mapInArrow(runner(b), docs.schema)
-    return docs
+    kinds = [docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()]
+    shared = _sent(benchmark, item_id, text, least_item)
+    if shared is None:
+        best = _joined(docs, benchmark, item_id, text, least_item)
+        rows = docs.select(F.col(doc_id).alias("doc_id"), *_text_key(F.lower(text)))
+        return rows.join(best, ["k1", "k2"]).drop("k1", "k2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = shared.value
+        for batch in batches:
+            found = _search(batch.column(1), s)
+            if len(found):
+                numbers = {n: pa.array(found[:, k + 2], pa.int32()) for k, n in enumerate(("n_matched", "start_token", "end_token", "n_item_tokens"))}
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(found[:, 0])), "item_id": [s.items[i] for i in found[:, 1]]} | numbers)
+
+    return docs.select(doc_id, F.lower(text).alias("text")).mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, n_matched int, start_token int, end_token int, n_item_tokens int")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", text: str = "text", least_item: int = LEAST_ITEM) -> DataFrame:
+    """The rows of ``docs`` that overlap with no test item, all columns as they were; with a broadcast test set nothing is shuffled."""
+    shared = _sent(benchmark, item_id, text, least_item)
+    if shared is None:
+        gone = _joined(docs, benchmark, item_id, text, least_item).select(F.col("k1").alias("_q_k1"), F.col("k2").alias("_q_k2")).distinct()
+        k1, k2 = _text_key(F.lower(text))
+        return docs.withColumns({"_q_k1": k1, "_q_k2": k2}).join(gone, ["_q_k1", "_q_k2"], "left_anti").select(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[_search(batch.column(batch.num_columns - 1), shared.value, any_item=True)[:, 0]] = False
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep))
+
+    return docs.withColumn("_q_lower", F.lower(text)).mapInArrow(run, docs.schema)

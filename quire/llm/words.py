@@ -100,8 +100,8 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data | 32, data)
 
 
-def split(block: Block, is_word: np.ndarray | None = None) -> Words:
-    """The words of each row. ``is_word`` marks word bytes where the default class does not serve."""
+def split(block: Block, is_word: np.ndarray | None = None, cuts: np.ndarray | None = None) -> Words:
+    """The words of each row. ``is_word`` marks word bytes where the default class does not serve; at ``cuts`` a new word begins."""
     d, n = block.data, len(block.data)
     if is_word is None:
         is_word = ~((d == 32) | ((d >= 9) & (d <= 13)))
@@ -111,6 +111,9 @@ def split(block: Block, is_word: np.ndarray | None = None) -> Words:
     begins = is_word & ~before[:-1]
     cut = edge[edge < n]
     begins[cut] = is_word[cut]
+    if cuts is not None:
+        cuts = cuts[cuts < n]
+        begins[cuts] = is_word[cuts]
     ends = np.zeros(n + 1, bool)
     ends[1:] = is_word
     ends[:-1] &= ~is_word | begins
