@@ -18,14 +18,23 @@ ORACLE_SQL = None
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: Languages that stay; None for all that the labelled rows name.
+LANGUAGES: list[str] | None = None
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language: null texts and texts without a letter go, and texts that score little above chance.
+    """Documents of a kept language (LANGUAGES), by prediction; where ``lang`` is null the prediction is filled in.
 
-    Without a labelled row to learn from there is no field, and every document with a letter stays.
+    Null texts and texts without a letter go, and texts that score little above chance. Without a
+    labelled row to learn from there is no field, and every document with a letter stays as it is.
     """
     field = language.fit(language.sample(docs))
-    named = language.identify(docs, field, into="_q_lang", score="_q_score")
-    return named.where(language.has_language(field, "text", "_q_lang", "_q_score")).select(*COLUMNS)
+    named = language.identify(docs, field, into="_q_lang", score="_q_score").where(language.has_language(field, "text", "_q_lang", "_q_score"))
+    if field is not None:
+        if LANGUAGES is not None:
+            named = named.where(F.col("_q_lang").isin(LANGUAGES))
+        named = named.withColumn("lang", F.coalesce("lang", "_q_lang"))
+    return named.select(*COLUMNS)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Language of words and documents by a linear-chain conditional random field.
 
-Each word is scored per language by its character n-grams (those that touch its ends are its
-affixes) and, if the lexicon has it, by itself; learned transitions tie neighbours together.
+Each word is scored per language by its affixes (prefixes and suffixes, with weights of their
+own), its character n-grams and, if the lexicon has it, by itself; a learned start and learned
+transitions tie neighbours together.
 Forward-backward over a whole text gives each word's posterior, so code-switched text is labelled
 word by word; a document's language is the one with the largest mean posterior of its words.
 
@@ -25,10 +26,14 @@ from quire.llm.words import Block, Words, blocks, lower_ascii, rows_of, split, w
 #: The sample: rows of each language, and characters of each row, from a place hashed from its text.
 SAMPLE_ROWS = 250
 SAMPLE_CHARS = 1500
-#: Hashed n-gram features; words of the sample seen this often are the lexicon.
+#: Cells of hashed n-gram features, and as many of affixes; words of the sample seen this often are the lexicon.
 FEATURES = 1 << 16
 LEAST_SEEN = 3
 GRAMS = 4
+#: Bytes of the prefixes and suffixes.
+AFFIXES = (2, 3, 4)
+#: Row of the weights for what is not there; the lexicon comes after it.
+NOTHING = 2 * FEATURES
 EPOCHS = 4
 #: Words that the recursions take side by side.
 SEGMENT = 128
@@ -44,7 +49,7 @@ _MULTIPLY = np.uint32(2654435761)
 
 @dataclass
 class Field:
-    """Labels, feature weights (n-grams, a row of zeros, then lexicon words), lexicon hashes and transitions."""
+    """Labels, feature weights (n-grams, affixes, a row of zeros, then lexicon words), lexicon hashes, scores of a start and of transitions."""
 
     labels: list[str]
     weights: np.ndarray
@@ -79,10 +84,24 @@ def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     for n in range(GRAMS):
         h[: len(b)] = (h[: len(b)] ^ (padded[n : n + len(b)] + np.uint32(n + 1))) * _MULTIPLY
         h[: len(b)] ^= h[: len(b)] >> np.uint32(15)
-        out[n] = np.where(left > n, ((h[: len(b)] * _MULTIPLY) >> np.uint32(16)).astype(np.int64), FEATURES)
+        out[n] = np.where(left > n, ((h[: len(b)] * _MULTIPLY) >> np.uint32(16)).astype(np.int64), NOTHING)
     return out, first
 
 
+def _affixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Feature of each prefix and suffix of AFFIXES bytes, a row a word."""
+    found = []
+    for side in (0, 1):
+        h = np.full(len(starts), 77 + side, np.uint32)
+        for n in range(max(AFFIXES)):
+            at = np.clip(ends - 1 - n if side else starts + n, 0, max(len(data) - 1, 0))
+            h = (h ^ (data[at].astype(np.uint32) + np.uint32(1))) * _MULTIPLY
+            h ^= h >> np.uint32(15)
+            if n + 1 in AFFIXES:
+                found.append(np.where(ends - starts > n, FEATURES + ((h * _MULTIPLY) >> np.uint32(16)).astype(np.int64), NOTHING))
+    return np.stack(found, axis=1)
+
+
 def _has_letter(data: np.ndarray, words: Words) -> np.ndarray:
     """Words with an ASCII letter or a byte beyond ASCII; the others say nothing of a language."""
     letter = (data >= 128) | (data >= 97) & (data <= 122)
@@ -99,18 +118,21 @@ def _word_scores(field: Field, block: Block, words: Words) -> tuple[np.ndarray,
     for n in range(1, GRAMS):
         total += field.weights[grams[n]]
     scores = np.add.reduceat(total, first, axis=0) if len(first) else np.zeros((0, len(field.labels)), np.float32)
+    affixes = _affixes(block.data, words.starts[where], words.ends[where])
+    for j in range(affixes.shape[1]):
+        scores += field.weights[affixes[:, j]]
     if len(field.lexicon):
         at = np.minimum(np.searchsorted(field.lexicon, distinct), len(field.lexicon) - 1)
         hit = field.lexicon[at] == distinct
-        scores[hit] += field.weights[FEATURES + 1 + at[hit]]
+        scores[hit] += field.weights[NOTHING + 1 + at[hit]]
     letter = _has_letter(block.data, words)
     return np.where(letter[:, None], scores[back], 0), letter
 
 
-def posteriors(scores: np.ndarray, begins: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.ndarray:
+def posteriors(scores: np.ndarray, begins: np.ndarray, first: np.ndarray, moves: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
     """Forward-backward over all texts of a block as one chain that starts anew where ``begins`` is set.
 
-    The chain is cut into segments of SEGMENT words. Products of the steps of each segment carry
+    The expected number of each transition is added to ``pairs``, if given. The chain is cut into segments of SEGMENT words. Products of the steps of each segment carry
     what comes from before and after it, so that all segments are worked through side by side.
     """
     n, k = scores.shape
@@ -153,14 +175,46 @@ def posteriors(scores: np.ndarray, begins: np.ndarray, first: np.ndarray, moves:
         v = alpha[:, t] = forward(v, t)
     beta = leave
     for t in range(seg - 1, -1, -1):
-        alpha[:, t] *= beta
         w = beta * e[:, t]
+        if pairs is not None:
+            # alpha of the word before, the transition, and all that the word and those after it say.
+            joint = (alpha[:, t - 1] if t else enter)[:, :, None] * a * w[:, None, :]
+            joint = joint / np.maximum(joint.sum(axis=(1, 2), keepdims=True), 1e-300)
+            pairs += joint[~new[:, t]].sum(axis=0)
+        alpha[:, t] *= beta
         beta = np.where(new[:, t][:, None], (w @ start)[:, None], w @ a.T)
         beta = beta / np.maximum(beta.sum(axis=1, keepdims=True), 1e-300)
     p = alpha.reshape(m * seg, k)[:n]
     return p / p.sum(axis=1, keepdims=True)
 
 
+def log_likelihood(scores: np.ndarray, begins: np.ndarray, first: np.ndarray, moves: np.ndarray, gold: np.ndarray) -> float:
+    """Log of the probability of the labels ``gold``, word by word."""
+    total, before = 0.0, None
+    for t in range(len(scores)):
+        if begins[t] or before is None:
+            if before is not None:
+                total -= np.logaddexp.reduce(before)
+            before = first + scores[t]
+            total += first[gold[t]] + scores[t, gold[t]]
+        else:
+            before = np.logaddexp.reduce(before[:, None] + moves, axis=0) + scores[t]
+            total += moves[gold[t - 1], gold[t]] + scores[t, gold[t]]
+    return float(total - np.logaddexp.reduce(before)) if before is not None else 0.0
+
+
+def gradient(scores: np.ndarray, begins: np.ndarray, first: np.ndarray, moves: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradient of the log likelihood by scores, start and transitions: what is observed less what is expected."""
+    k = len(first)
+    observed, expected = np.zeros((k, k)), np.zeros((k, k))
+    error = np.eye(k)[gold] - posteriors(scores, begins, first, moves, expected)
+    anew = begins.copy()
+    anew[:1] = True
+    inside = np.flatnonzero(~anew)
+    np.add.at(observed, (gold[inside - 1], gold[inside]), 1)
+    return error, error[anew].sum(axis=0), observed - expected
+
+
 def _begins(words: Words) -> np.ndarray:
     out = np.zeros(len(words.starts), bool)
     at = words.first[:-1]
@@ -206,14 +260,15 @@ def fit(rows: list[tuple[str, str]], seed: int = 5) -> Field | None:
     letter = _has_letter(block.data, words)
     distinct, where, back, seen = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
     grams, first = _grams(block.data, words.starts[where], words.ends[where])
+    affixes = _affixes(block.data, words.starts[where], words.ends[where])
     places = np.diff(np.concatenate([first, [grams.shape[1]]]))
     lexicon = distinct[seen >= LEAST_SEEN]
-    entry = np.full(len(distinct), FEATURES)
-    entry[seen >= LEAST_SEEN] = FEATURES + 1 + np.arange(len(lexicon))
-    weights = np.zeros((FEATURES + 1 + len(lexicon), k), np.float32)
+    entry = np.full(len(distinct), NOTHING)
+    entry[seen >= LEAST_SEEN] = NOTHING + 1 + np.arange(len(lexicon))
+    weights = np.zeros((NOTHING + 1 + len(lexicon), k), np.float32)
     squares = np.full_like(weights, 1e-2)
     moves, start = np.eye(k) * 1.0, np.zeros(k)
-    move_squares = np.full((k, k), 1e-2)
+    move_squares, start_squares = np.full((k, k), 1e-2), np.full(k, 1e-2)
     # Runs of words of one row, cut at hashed places, in an order that mixes languages.
     rate = 0.5
     for _ in range(EPOCHS):
@@ -236,10 +291,10 @@ def fit(rows: list[tuple[str, str]], seed: int = 5) -> Field | None:
             spot = np.repeat(first[kinds] - (np.cumsum(size) - size), size) + np.arange(size.sum())
             lead = np.cumsum(size) - size
             total = sum(weights[grams[n, spot]] for n in range(GRAMS))
-            scores = np.add.reduceat(total, lead, axis=0) + weights[entry[kinds]]
+            scores = np.add.reduceat(total, lead, axis=0) + weights[entry[kinds]] + weights[affixes[kinds]].sum(axis=1)
             known = letter[index]
-            p = posteriors(np.where(known[:, None], scores[inverse], 0).astype(np.float64), begins, start, moves)
-            error = (np.eye(k)[gold] - p) * known[:, None]
+            error, start_push, push = gradient(np.where(known[:, None], scores[inverse], 0).astype(np.float64), begins, start, moves, gold)
+            error *= known[:, None]
             per_word = np.zeros((len(kinds), k))
             np.add.at(per_word, inverse, error)
             step = np.zeros_like(weights)
@@ -247,18 +302,16 @@ def fit(rows: list[tuple[str, str]], seed: int = 5) -> Field | None:
             for n in range(GRAMS):
                 np.add.at(step, grams[n, spot], spread)
             np.add.at(step, entry[kinds], per_word.astype(np.float32))
-            step[FEATURES] = 0
+            for j in range(affixes.shape[1]):
+                np.add.at(step, affixes[kinds, j], per_word.astype(np.float32))
+            step[NOTHING] = 0
             step = step / len(index) - 1e-5 * weights
             squares += step * step
             weights += rate * step / np.sqrt(squares)
-            inside = ~begins[1:]
-            observed, expected = np.zeros((k, k)), np.zeros((k, k))
-            np.add.at(observed, (gold[:-1][inside], gold[1:][inside]), 1)
-            joint = p[:-1][inside][:, :, None] * np.exp(moves) * p[1:][inside][:, None, :]
-            expected = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-            push = (observed - expected) / len(index)
-            move_squares += push * push
-            moves += 0.1 * push / np.sqrt(move_squares)
+            for value, change, total in ((moves, push, move_squares), (start, start_push, start_squares)):
+                change = change / len(index)
+                total += change * change
+                value += 0.1 * change / np.sqrt(total)
         rate *= 0.7
     return Field(labels, weights, lexicon, start, moves)
 

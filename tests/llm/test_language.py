@@ -51,6 +51,43 @@ def test_forward_backward_matches_enumeration():
         assert np.allclose(two[:n], exact) and np.allclose(two[n:], exact)
 
 
+def test_gradient_matches_finite_differences(monkeypatch):
+    rng = np.random.default_rng(4)
+    n, k = 23, 3
+    scores, moves, first, gold = rng.normal(size=(n, k)), rng.normal(size=(k, k)), rng.normal(size=k), rng.integers(0, k, n)
+    begins = np.isin(np.arange(n), (0, 5, 6, 15))
+    for segment in (128, 4):
+        monkeypatch.setattr(L, "SEGMENT", segment)
+        exact = L.gradient(scores, begins, first, moves, gold)
+        for at, found in zip((scores, first, moves), exact, strict=True):
+            for i in np.ndindex(at.shape):
+                was, sides = at[i], []
+                for step in (1e-5, -1e-5):
+                    at[i] = was + step
+                    sides.append(L.log_likelihood(scores, begins, first, moves, gold))
+                at[i] = was
+                assert abs((sides[0] - sides[1]) / 2e-5 - found[i]) < 1e-6
+
+
+def test_pair_marginals_match_enumeration():
+    rng = np.random.default_rng(5)
+    n, k = 4, 3
+    scores, moves, first = rng.normal(size=(n, k)), rng.normal(size=(k, k)), rng.normal(size=k)
+    weight = {p: np.exp(first[p[0]] + sum(scores[i, p[i]] for i in range(n)) + sum(moves[p[i], p[i + 1]] for i in range(n - 1))) for p in itertools.product(range(k), repeat=n)}
+    exact, found = np.zeros((k, k)), np.zeros((k, k))
+    for p, w in weight.items():
+        np.add.at(exact, (p[:-1], p[1:]), w / sum(weight.values()))
+    L.posteriors(scores, np.arange(n) == 0, first, moves, found)
+    assert np.allclose(found, exact)
+
+
+def test_transitions_and_start_are_learnt(field, spark):
+    assert (np.diag(field.moves)[:, None] >= field.moves).all() and np.diag(field.moves).min() > field.moves[~np.eye(3, dtype=bool)].max()
+    assert np.abs(field.first).max() > 0 and np.isfinite(field.first).all()
+    skewed = L.fit([("aa", "ka to mi ka to")] * 9 + [("bb", "ber ung")])
+    assert skewed.first[0] > skewed.first[1]
+
+
 def test_segments_do_not_matter(monkeypatch):
     rng = np.random.default_rng(3)
     scores, moves, first = rng.normal(size=(1000, 4)), rng.normal(size=(4, 4)), np.zeros(4)

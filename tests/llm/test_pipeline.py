@@ -64,6 +64,29 @@ def test_language_stage_without_labels_keeps_documents_with_letters(spark):
     assert ids(P.identified(spark, docs, SF)) == {1, None, 5}
 
 
+def test_language_stage_uses_its_prediction(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    bare = docs.where(~language.may_learn(F.col("doc_id"))).withColumns({"doc_id": F.col("doc_id") + 10**6, "lang": F.lit(None).cast("string")})
+    both = docs.union(bare)
+    named = P.identified(spark, both, SF).where("doc_id >= 1000000").select("doc_id", "lang").collect()
+    truth = {r.doc_id + 10**6: r.lang for r in docs.collect()}
+    assert len(named) > 20 and sum(r.lang == truth[r.doc_id] for r in named) >= 0.95 * len(named)
+    monkeypatch.setattr(P, "LANGUAGES", ["de"])
+    kept = P.identified(spark, both, SF).where("doc_id >= 1000000").collect()
+    assert kept and {r.lang for r in kept} == {"de"} and len(kept) < len(named)
+
+
+def test_repeated_rows_and_extra_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    wide = docs.union(docs).withColumns({"rank": F.lit(1), "k1": F.lit("x"), "label": F.lit(0.5)})
+    for k, (_, stage) in enumerate(P.STAGES):
+        wide = stage(spark, wide, SF)
+        assert set(P.COLUMNS) <= set(wide.columns)
+        if k == 1:
+            assert wide.count() == wide.select("doc_id").distinct().count() <= 60
+            wide = wide.cache()
+
+
 def test_language_stage_rejects_what_scores_near_chance(spark):
     rng = random.Random(1)
     noise = " ".join("".join(rng.choice("zqxjkwv") for _ in range(5)) for _ in range(40))
