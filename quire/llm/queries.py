@@ -95,11 +95,12 @@ with recursive n as (select source, count(*) n_docs from documents group by sour
 ), cdf(source, k, p, c) as (
   select source, 0, exp(-l), exp(-l) from parts
   union all select cdf.source, k + 1, p * l / (k + 1), c + p * l / (k + 1) from cdf join parts using (source) where k < 120
-), u as (select d.doc_id, d.source, d.text, j.j, ('0x' || substr(md5('17:' || d.doc_id || ':' || j.j), 1, 13))::bigint / 4503599627370496.0 as u
-  from documents d join parts using (source), lateral (select unnest(range(1, m + 1)) j) j
-), c as (select doc_id, source, any_value(text) as text, sum((select count(*) from cdf where cdf.source = u.source and c <= u.u)) as n from u group by doc_id, source)
+), d as materialized (select doc_id, source, text, md5(doc_id || ':' || md5(coalesce(text, '')) || '::1') as draw from documents
+), u as (select d.*, j.j, ('0x' || substr(md5('17:' || draw || ':' || j.j), 1, 13))::bigint / 4503599627370496.0 as u
+  from d join parts on d.source is not distinct from parts.source, lateral (select unnest(range(1, m + 1)) j) j
+), c as (select doc_id, source, draw, any_value(text) as text, sum((select count(*) from cdf where cdf.source is not distinct from u.source and c <= u.u)) as n from u group by doc_id, source, draw)
 select doc_id, source, r.r::int as replica, n::int as n_replicas,
-  ('0x' || substr(md5('order17:' || doc_id || ':' || r.r), 1, 15))::bigint as order_key, text
+  ('0x' || substr(md5('order17:' || draw || ':' || r.r), 1, 15))::bigint as order_key, text
 from c, lateral (select unnest(range(1, n::bigint + 1)) r) r
 """
 
