@@ -5,6 +5,10 @@ Compaction merges runs of similarly sized shards into files near a target size.
 writes its files and a new manifest aside, then commits the manifest by one rename that fails
 if the version exists: readers see the old version or the new one, and a lost race or a failed
 job leaves only files that no manifest names.
+
+A version keeps its files in one folder a tier (``data/v00000002-1a2b3c4d/_q_tier=3``), so that
+compaction reads only folders that hold shards to be merged, never those of full-sized files, and
+the driver lists folders (versions times tiers), never shards.
 """
 
 from __future__ import annotations
@@ -12,12 +16,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.work import saved, write
+from quire.llm.work import discard, saved, write
 
 #: Shards smaller than this count as of the lowest tier.
 LEAST_BYTES = 1 << 16
 #: Rows of the manifest that one window puts in order.
 SLICE_SHARDS = 4096
+#: Tasks of one compaction; a task merges every so many-th run, one after the other.
+MOST_TASKS = 20_000
+#: Buckets in which runs are numbered.
+BUCKETS = 64
+#: Manifest rows of one file.
+MANIFEST_ROWS = 1_000_000
 #: Maps from old to new shards up to this many rows are sent to every executor.
 BROADCAST_SHARDS = 100_000
 
@@ -32,6 +42,11 @@ def _files(spark: SparkSession, store: str):
     return jvm, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _folders(shards: DataFrame) -> list[str]:
+    """Folders that hold the files: one a version and tier."""
+    return [r[0] for r in shards.select(F.regexp_extract("path", "^(.*/data/[^/]+(?:/_q_tier=[^/]*)?)/", 1)).distinct().collect()]
+
+
 def versions(spark: SparkSession, store: str) -> list[int]:
     """Committed versions in order; empty for a new store."""
     jvm, fs = _files(spark, store)
@@ -52,7 +67,7 @@ def commit(table: DataFrame, store: str, version: int) -> None:
     spark = table.sparkSession
     jvm, fs = _files(spark, store)
     aside = f"{store}/aside/{jvm.java.util.UUID.randomUUID().toString()}"
-    table.coalesce(1).write.parquet(aside)
+    table.repartition(1 + table.count() // MANIFEST_ROWS).write.parquet(aside)
     fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{store}/manifest"))
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
     none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
@@ -80,8 +95,9 @@ def append(df: DataFrame, store: str, shard_rows: int = 2000) -> int:
     version = before[-1] + 1 if before else 1
     folder = f"{store}/data/v{version:08d}-{spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()[:8]}"
     write(df, folder, maxRecordsPerFile=shard_rows)
-    new = _shards_in(spark, folder, df.schema, version)
+    new = saved(_shards_in(spark, folder, df.schema, version), "new")
     commit(manifest(spark, store).unionByName(new) if before else new, store, version)
+    discard(new)
     return version
 
 
@@ -90,18 +106,30 @@ def _tier(n_bytes: Column, fanout: int) -> Column:
 
 
 def plan_merges(shards: DataFrame, target_bytes: int, fanout: int = 4) -> DataFrame:
-    """(path, run) for the shards to merge: runs of one tier whose sizes add up to about ``target_bytes``.
+    """(path, run, run_bytes) for the shards to merge: runs of one tier whose sizes add up to about ``target_bytes``.
 
-    A shard of at least the target, or left alone in its run, stays. A window orders a slice of
+    A shard of at least half the target, or left alone in its run, stays. A window orders a slice of
     a tier at a time, never a whole tier.
     """
-    small = shards.where(F.col("n_bytes") < target_bytes).withColumn("tier", _tier(F.col("n_bytes"), fanout))
+    small = shards.where(2 * F.col("n_bytes") < target_bytes).withColumn("tier", _tier(F.col("n_bytes"), fanout))
     slices = small.groupBy("tier").agg(F.ceil(F.count(F.lit(1)) / SLICE_SHARDS).alias("slices"))
     cut = small.join(F.broadcast(slices), "tier").withColumn("slice", F.pmod(F.xxhash64("path"), F.col("slices")))
     before = F.sum("n_bytes").over(Window.partitionBy("tier", "slice").orderBy("n_bytes", "path").rowsBetween(Window.unboundedPreceding, -1))
     runs = cut.withColumn("part", F.floor(F.coalesce(before, F.lit(0)) / target_bytes)).withColumn("run", F.concat_ws("-", "tier", "slice", "part"))
-    several = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("run")
-    return runs.join(several, "run").select("path", "run")
+    several = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("run_bytes")).where("n > 1").select("run", "run_bytes")
+    return runs.join(several, "run").select("path", "run", "run_bytes")
+
+
+def _numbered(runs: DataFrame) -> DataFrame:
+    """``runs`` (distinct run) with number: 0, 1, 2, ... without a gap, counted by buckets."""
+    dealt = runs.withColumn("bucket", F.pmod(F.xxhash64("run"), F.lit(BUCKETS)))
+    sizes = {r["bucket"]: r["count"] for r in dealt.groupBy("bucket").count().collect()}
+    base, bases = 0, []
+    for b in range(BUCKETS):
+        bases.append(base)
+        base += sizes.get(b, 0)
+    offset = F.element_at(F.array(*[F.lit(b).cast("long") for b in bases]), F.col("bucket").cast("int") + 1)
+    return dealt.withColumn("number", offset + F.row_number().over(Window.partitionBy("bucket").orderBy("run")) - 1).drop("bucket")
 
 
 def compact(spark: SparkSession, store: str, schema, target_bytes: int = 64 << 20, fanout: int = 4) -> int:
@@ -115,20 +143,25 @@ def compact(spark: SparkSession, store: str, schema, target_bytes: int = 64 << 2
     merges = saved(plan_merges(live, target_bytes, fanout), "merges")
     n = merges.count()
     if not n:
+        discard(merges)
         return version - 1
-    folders = [r[0] for r in live.select(F.regexp_replace("path", "/[^/]*$", "")).distinct().collect()]
-    rows = spark.read.schema(schema).parquet(*folders).select("*", F.col("_metadata.file_path").alias("_q_path"))
-    table = merges.select(F.col("path").alias("_q_path"), F.col("run").alias("_q_run"))
+    runs = saved(_numbered(merges.select("run", "run_bytes").distinct()), "runs")
+    tasks = min(runs.count(), MOST_TASKS)
+    tier = F.when(2 * F.col("run_bytes") >= target_bytes, F.lit(-1)).otherwise(_tier(F.col("run_bytes"), fanout))
+    table = merges.drop("run_bytes").join(runs, "run").select(F.col("path").alias("_q_path"), F.col("number").alias("_q_run"), tier.alias("_q_tier"))
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*_folders(merges)).select("*", F.col("_metadata.file_path").alias("_q_path"))
     moved = rows.join(F.broadcast(table) if n <= BROADCAST_SHARDS else table, "_q_path").drop("_q_path")
+    dealt = moved.repartitionById(tasks, F.pmod("_q_run", F.lit(tasks)).cast("int"))
     folder = f"{store}/data/v{version:08d}-{spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()[:8]}"
-    write(moved.repartition("_q_run"), folder, "_q_run")
-    new = _shards_in(spark, folder, schema, version)
+    write(dealt, folder, "_q_tier", "_q_run") if tasks < runs.count() else write(dealt.drop("_q_run"), folder, "_q_tier")
+    new = saved(_shards_in(spark, folder, schema, version), "new")
     commit(live.join(merges, "path", "left_anti").unionByName(new), store, version)
+    discard(merges, runs, new)
     return version
 
 
 def vacuum(spark: SparkSession, store: str, keep: int = 1) -> None:
-    """Delete folders of files that none of the latest ``keep`` versions names, and older manifests."""
+    """Delete files that none of the latest ``keep`` versions names, and older manifests; a folder without a live file goes whole."""
     jvm, fs = _files(spark, store)
     all_versions = versions(spark, store)
     needed = set()
@@ -137,6 +170,14 @@ def vacuum(spark: SparkSession, store: str, keep: int = 1) -> None:
     for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{store}/data")):
         if s.getPath().getName() not in needed:
             fs.delete(s.getPath(), True)
+    if needed:
+        name = F.regexp_extract("path", "/data/(.*)$", 1).alias("name")
+        live = manifest(spark, store, all_versions[-1]).select(name)
+        for v in all_versions[-keep:-1]:
+            live = live.union(manifest(spark, store, v).select(name))
+        held = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter="*.parquet").load([f"{store}/data/{n}" for n in sorted(needed)]).select(name)
+        for r in held.join(live, "name", "left_anti").toLocalIterator():
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{store}/data/{r['name']}"), False)
     for v in all_versions[:-keep]:
         fs.delete(jvm.org.apache.hadoop.fs.Path(f"{store}/manifest/v{v:08d}"), True)
 
@@ -144,11 +185,11 @@ def vacuum(spark: SparkSession, store: str, keep: int = 1) -> None:
 def read(spark: SparkSession, store: str, schema, version: int | None = None) -> DataFrame:
     """The rows of a version with shard (its file's path below data/), shard_rows, shard_bytes and shard_since."""
     live = manifest(spark, store, version)
-    folders = [r[0] for r in live.select(F.regexp_replace("path", "/[^/]*$", "")).distinct().collect()]
+    folders = _folders(live)
     if not folders:
         empty = spark.createDataFrame([], schema)
         return empty.selectExpr("*", "cast(null as string) shard", "0L shard_rows", "0L shard_bytes", "0 shard_since")
-    rows = spark.read.schema(schema).parquet(*folders).select("*", F.col("_metadata.file_path").alias("_q_path"))
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*folders).select("*", F.col("_metadata.file_path").alias("_q_path"))
     named = live.select(
         F.col("path").alias("_q_path"), F.regexp_extract("path", "/data/(.*)$", 1).alias("shard"), F.col("n_rows").alias("shard_rows"), F.col("n_bytes").alias("shard_bytes"), F.col("since").alias("shard_since")
     )
