@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import decontam, jaccard, language, mixing, sharding
-from quire.llm.work import new_folder, saved
+from quire.llm.work import new_folder, release, saved, tables_made
 
 #: No SQL expresses the first stage (a fitted random field); tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -67,10 +67,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what a stage wrote on its way goes once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
+        before = tables_made()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
+            on_the_way = set(tables_made()) - set(before)
             docs = saved(docs, f"stage{k}")
+            release(spark, sorted(on_the_way))
     return docs

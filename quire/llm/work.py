@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import json
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
+_made: list[str] = []
+_lock, _writing, _before = threading.Lock(), [0], [""]
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one where none is set, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one where none is set and Spark is local, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="quire-"))
 
 
@@ -26,16 +32,28 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/quire/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def _shuffles_go(spark: SparkSession):
+    """While any write runs, shuffle files go with the query that took them; the setting is then as it was."""
+    with _lock:
+        if not _writing[0]:
+            _before[0] = spark.conf.get(_CLEANUP)
+            spark.conf.set(_CLEANUP, "true")
+        _writing[0] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writing[0] -= 1
+            if not _writing[0]:
+                spark.conf.set(_CLEANUP, _before[0])
+
+
 def write(df: DataFrame, path: str, *partition_by: str, **options) -> None:
     """Write a table as Parquet; the shuffle files that it took go when it is written."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP)
-    conf.set(_CLEANUP, "true")
-    try:
+    with _shuffles_go(df.sparkSession):
         writer = df.write.options(compression="zstd", **options)
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    finally:
-        conf.set(_CLEANUP, before)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -43,17 +61,36 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     write(df, path)
+    with _lock:
+        _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tables_made() -> list[str]:
+    """Folders of the tables that ``saved`` made and nobody deleted; see ``release``."""
+    with _lock:
+        return list(_made)
+
+
+def release(spark: SparkSession, folders: list[str]) -> None:
+    """Delete tables that ``saved`` made, by folder: a result that was read from them must be written before."""
+    for folder in folders:
+        _delete(spark, folder)
+        with _lock:
+            if folder in _made:
+                _made.remove(folder)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``saved`` made, once what was made of them is written."""
     for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        names = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
+        release(df.sparkSession, [f for f in tables_made() if f.rpartition("/")[2] in names])
 
 
 def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
