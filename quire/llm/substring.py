@@ -3,7 +3,9 @@
 Every window of a fixed number of words has a Rabin-Karp hash; hashes are counted in Spark and
 windows that repeat merge into maximal removal intervals. Only windows that can repeat are sent
 to be counted: a window's smallest hash of ``GRAM`` consecutive words is the same wherever the
-window is, so a window whose smallest one stands at one place only is counted as one where it is. Windows are compared by 64-bit hashes.
+window is, so a window whose smallest one stands at one place only is counted as one where it is.
+Windows are compared by two hashes of 64 bits each with different bases: among 10^13 windows two
+different ones share both with a chance below 10^-12.
 """
 
 from __future__ import annotations
@@ -15,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.words import Words, blocks, inside, rolling, rows_of, split, word_hashes
+from quire.llm.words import Words, blocks, inside, mix, rolling, rows_of, split, word_hashes
 from quire.llm.work import discard, saved
 
 GRAM = 12
 
+_OTHER = np.uint64(0x2545F4914F6CDD1D)
+
 
 def sliding_least(x: np.ndarray, size: int) -> np.ndarray:
     """The least of every ``size`` consecutive entries."""
@@ -68,7 +72,8 @@ def _windows(window: int):
             runs = batch.column(3)
             for b in blocks(batch.column(2)):
                 w = split(b)
-                h = rolling(word_hashes(b.data, w), window)
+                words = word_hashes(b.data, w)
+                h, check = rolling(words, window), rolling(mix(words ^ _OTHER), window)
                 part = runs.slice(b.lo, b.hi - b.lo)
                 n_runs = np.diff(np.asarray(part.offsets))
                 lo, hi = (np.asarray(part.flatten().field(k)).astype(np.int64) for k in (0, 1))
@@ -77,7 +82,8 @@ def _windows(window: int):
                 start = np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 row = np.repeat(row, size)
                 at = pa.array(row + b.lo)
-                yield pa.RecordBatch.from_arrays([pa.array(h[w.first[row] + start].view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32))], ["hash", "_q_id", "_q_text", "start"])
+                place = w.first[row] + start
+                yield pa.RecordBatch.from_arrays([pa.array(h[place].view(np.int64)), pa.array(check[place].view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32))], ["hash", "check", "_q_id", "_q_text", "start"])
 
     return run
 
@@ -125,15 +131,15 @@ def remove_repeats(docs: DataFrame, window: int = 35, doc_id: str = "doc_id", te
 
     runs = saved(rows.mapInArrow(_runs(window), f"least long, _q_id {kind}, _q_text long, lo int, hi int, places int"), "runs")
     shared = saved(runs.groupBy("least").agg(F.sum("places").alias("n")).where("n > 1").select("least"), "shared")
-    some = saved(runs.join(shared.hint("shuffle_hash"), "least", "left_semi").groupBy("_q_id", "_q_text").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "candidates")
+    some = saved(runs.join(shared, "least", "left_semi").groupBy("_q_id", "_q_text").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "candidates")
     discard(runs, shared)
 
-    met = rows.join(some.hint("shuffle_hash"), key(rows, some)).select(rows["_q_id"], rows["_q_text"], "text", "runs")
-    windows = saved(met.mapInArrow(_windows(window), f"hash long, _q_id {kind}, _q_text long, start int"), "windows")
+    met = rows.join(some, key(rows, some)).select(rows["_q_id"], rows["_q_text"], "text", "runs")
+    windows = saved(met.mapInArrow(_windows(window), f"hash long, check long, _q_id {kind}, _q_text long, start int"), "windows")
     discard(some)
-    twice = saved(windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "twice")
-    gone = saved(windows.join(twice.hint("shuffle_hash"), "hash", "left_semi").groupBy("_q_id", "_q_text").agg(F.collect_set("start").alias("starts")), "gone")
+    twice = saved(windows.groupBy("hash", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "check"), "twice")
+    gone = saved(windows.join(twice, ["hash", "check"], "left_semi").groupBy("_q_id", "_q_text").agg(F.collect_set("start").alias("starts")), "gone")
     discard(windows, twice)
 
-    left = rows.join(gone.hint("shuffle_hash"), key(rows, gone), "left").select(rows["_q_id"], "text", "starts")
+    left = rows.join(gone, key(rows, gone), "left").select(rows["_q_id"], "text", "starts")
     return left.mapInArrow(_remove(window), f"doc_id {kind}, n_words long, n_removed long, text string, removed array<struct<from: long, to: long>>")
