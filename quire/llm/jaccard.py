@@ -10,7 +10,10 @@ Rarity is taken from counts of hash ranges over all documents, of fixed size: an
 is right, and in large groups of copies or of documents with a passage in common the counts are
 far above their error. Equal sets are one node. For groups, each prefix shingle's documents are
 first compared with the one that has it earliest; only documents that are then still in different
-groups are joined with each other, so groups of near copies do not grow into all their pairs.
+groups are joined with each other, so groups of near copies do not grow into all their pairs. That
+join takes a pair only if the parities of the sets' hash cells allow it: two sets differ in at
+least as many shingles as their parities do in cells, so documents that share a common passage but
+no more are not paired, however many they are.
 """
 
 from __future__ import annotations
@@ -32,6 +35,9 @@ RANGES = 1 << 20
 CHUNK = 1 << 12
 #: Hash ranges of the suffix filter.
 BINS = 64
+#: Cells of hashes whose parities are compared, 64 in a number.
+PARITY_CELLS = 256
+PARITIES = [f"parity{k}" for k in range(PARITY_CELLS // 64)]
 SALTS = 64
 
 
@@ -62,42 +68,54 @@ def signature(s: np.ndarray) -> int:
     return int(mix(t).view(np.int64)[0])
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Whether each cell holds an odd number of the hashes, as bits of 64-bit numbers."""
+    odd = np.bincount((s & np.uint64(PARITY_CELLS - 1)).astype(np.int64), minlength=PARITY_CELLS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _facts(size: int):
-    """Rows of each document (n, sig), then the task's counts of hash ranges in chunks."""
+    """Rows of each document (n, sig, parities), then the task's counts of hash ranges in chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(RANGES, np.int32)
-        names = ["_q_id", "_q_key", "n", "sig", "chunk", "counts"]
+        names = ["_q_id", "_q_key", "n", "sig", "chunk", "counts", *PARITIES]
         kind, any_row = None, False
         for batch in batches:
             kind = batch.schema.field(0).type
             n, sig = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int64)
+            odd = np.zeros((len(PARITIES), batch.num_rows), np.int64)
             for row, s in shingle_sets(batch.column(2), size):
-                n[row], sig[row] = len(s), signature(s)
+                n[row], sig[row], odd[:, row] = len(s), signature(s), parities(s)
                 np.add.at(counts, (s >> np.uint64(44)).astype(np.int64), 1)
                 any_row = True
             nothing = pa.nulls(batch.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(sig), nothing, pa.nulls(batch.num_rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(sig), nothing, pa.nulls(batch.num_rows, pa.binary()), *map(pa.array, odd)], names)
         if any_row:
             parts = [c.tobytes() for c in counts.reshape(-1, CHUNK)]
             k = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary()), *[pa.nulls(k, pa.int64())] * len(PARITIES)], names)
 
     return run
 
 
-def _add_counts(t: pa.Table) -> pa.Table:
-    total = np.zeros(CHUNK, np.int64)
-    for c in t.column("counts").to_pylist():
-        total += np.frombuffer(c, np.int32)
-    return pa.table({"chunk": t.column("chunk").slice(0, 1), "counts": pa.array([np.minimum(total, np.iinfo(np.int32).max).astype(np.int32).tobytes()], pa.binary())})
+def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of counts a chunk, whatever the number of rows: a task holds the sums of all chunks at most."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            total.setdefault(chunk, np.zeros(CHUNK, np.int64))
+            total[chunk] += np.frombuffer(c.as_buffer(), np.int32)
+    if total:
+        most = np.iinfo(np.int32).max
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(t, most).astype(np.int32).tobytes() for t in total.values()], pa.binary())], ["chunk", "counts"])
 
 
 def range_counts(facts: DataFrame) -> np.ndarray:
     """Documents by hash range of their shingles, over all documents; its size is fixed."""
     parts = facts.where("chunk is not null").select("chunk", "counts", F.pmod(F.xxhash64("counts"), F.lit(SALTS)).alias("salt"))
-    some = parts.groupBy("chunk", "salt").applyInArrow(lambda t: _add_counts(t), "chunk int, counts binary")
-    rows = some.groupBy("chunk").applyInArrow(lambda t: _add_counts(t), "chunk int, counts binary").collect()
+    some = parts.repartition("chunk", "salt").select("chunk", "counts").mapInArrow(_add_counts, "chunk int, counts binary")
+    rows = some.repartition("chunk").mapInArrow(_add_counts, "chunk int, counts binary").collect()
     out = np.zeros((RANGES // CHUNK, CHUNK), np.int32)
     for r in rows:
         out[r["chunk"]] = np.frombuffer(r["counts"], np.int32)
@@ -175,6 +193,12 @@ def _enough(x: str, y: str, percent: int) -> Column:
     return (F.lit(100) * F.least(nx, ny) >= F.lit(percent) * F.greatest(nx, ny)) & (F.lit(100 + percent) * F.least(nx - ax, ny - ay) >= least)
 
 
+def _may_match(x: str, y: str, percent: int) -> Column:
+    """The bound of the parities: sets that differ in more cells than alike sets differ in shingles are not alike."""
+    apart = sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))).cast("long") for p in PARITIES), F.lit(0).cast("long"))
+    return F.lit(100 + percent) * apart <= F.lit(100 - percent) * (F.col(f"{x}.n").cast("long") + F.col(f"{y}.n"))
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Verified pairs (a, b) of candidate pairs; the suffix filter comes before whole sets are fetched."""
     thin = lambda s: sets.select(F.col("sig").alias(s), F.col("bins").alias(f"bins_{s}"))
@@ -196,13 +220,13 @@ def _linked(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("_q_id"), _key(doc_id, text).alias("_q_key"), F.col(text).alias("text"))
-    facts = saved(rows.mapInArrow(_facts(size), f"_q_id {kind}, _q_key long, n int, sig long, chunk int, counts binary"), "facts")
-    known = facts.where("chunk is null").select("_q_id", "_q_key", "n", "sig")
+    facts = saved(rows.mapInArrow(_facts(size), f"_q_id {kind}, _q_key long, n int, sig long, chunk int, counts binary, {', '.join(f'{p} long' for p in PARITIES)}"), "facts")
+    known = facts.where("chunk is null").select("_q_id", "_q_key", "n", "sig", *PARITIES)
     shared = spark.sparkContext.broadcast(range_counts(facts))
 
     prefix = saved(rows.select("text").mapInArrow(_prefixes(size, percent, shared), "token long, sig long, n int, at int"), "prefix")
     met = saved(prefix.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("token"), "met")
-    held = saved(prefix.join(met.hint("shuffle_hash"), "token", "left_semi").distinct(), "held")
+    held = saved(prefix.join(met, "token", "left_semi").distinct(), "held")
     discard(prefix, met)
 
     repeated = known.where("n > 0").groupBy("_q_key").count().where("count > 1").limit(1).count() > 0
@@ -211,7 +235,7 @@ def _linked(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
         """Whole sets of the signatures in candidate pairs, each from one row that has it."""
         sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
         first = known.groupBy("sig").agg(F.min("_q_key").alias("_q_key")).join(sigs, "sig", "left_semi")
-        again = rows.join(first.hint("shuffle_hash"), "_q_key").select("sig", "text")
+        again = rows.join(first, "_q_key").select("sig", "text")
         sets = again.mapInArrow(_sets(size), "sig long, bins array<int>, set binary")
         return saved(sets.dropDuplicates(["sig"]) if repeated else sets, "sets")
 
@@ -227,7 +251,9 @@ def _linked(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
     placed = saved(held.join(group, held["sig"] == group["node"], "left").select("token", "sig", "n", "at", F.coalesce("label", "sig").alias("group")), "placed")
     by_token = placed.groupBy("token", "group").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.max_by("group", F.struct("size", "group")).alias("main"), F.count(F.lit(1)).alias("groups"))
     split_tokens = saved(by_token.where("groups > 1").select("token", "main"), "split")
-    apart = saved(placed.join(split_tokens, "token"), "apart")
+    apart = placed.join(split_tokens, "token")
+    odd = known.where("n > 0").select("sig", *PARITIES).dropDuplicates(["sig"])
+    apart = saved(apart.join(odd, "sig"), "apart")
     cross = (
         apart.where(F.col("group") != F.col("main"))
         .alias("x")
@@ -236,15 +262,17 @@ def _linked(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
             (F.col("x.token") == F.col("y.token"))
             & (F.col("x.group") != F.col("y.group"))
             & ((F.col("y.group") == F.col("y.main")) | (F.col("x.sig") < F.col("y.sig")))
-            & _enough("x", "y", percent),
+            & _enough("x", "y", percent)
+            & _may_match("x", "y", percent),
         )
     )
     rest = saved(cross.select(*ordered).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     sets = sets_of(rest)
     more = saved(_links(rest, sets, percent), "links")
-    final = components(linked.union(more))
-    discard(held, sets, tried, placed, split_tokens, apart, rest)
-    return known, final
+    if more.limit(1).count():
+        group = components(linked.union(more))
+    discard(held, sets, tried, placed, split_tokens, apart, rest, linked, more)
+    return known, group
 
 
 def _best_of_sets(known: DataFrame, final: DataFrame, best: Column) -> DataFrame:
@@ -285,7 +313,7 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str =
     of_sig = _best_of_sets(known, final, F.min(F.struct(F.col("_q_id").isNull().alias("none"), "_q_id", "_q_key")))
     stays = F.col("_q_id").eqNullSafe(F.col("best._q_id")) & (F.col("_q_key") == F.col("best._q_key"))
     gone = saved(known.where("n > 0").join(of_sig, "sig").where(~stays).select(F.col("_q_id").alias("_q_gone"), F.col("_q_key").alias("_q_gone_key")).distinct(), "gone")
-    left = docs.withColumn("_q_key", _key(doc_id, text)).join(gone.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("_q_gone")) & (F.col("_q_key") == F.col("_q_gone_key")), "left_anti")
+    left = docs.withColumn("_q_key", _key(doc_id, text)).join(gone, F.col(doc_id).eqNullSafe(F.col("_q_gone")) & (F.col("_q_key") == F.col("_q_gone_key")), "left_anti")
     alone = "n = 0 and _q_id is null"
     if not known.where(f"not ({alone})").groupBy("_q_id", "_q_key").count().where("count > 1").limit(1).count():
         return left.select(*docs.columns)

@@ -1,10 +1,13 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quire.llm import components, jaccard
 
+from .conftest import sentence
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -109,3 +112,26 @@ def test_one_row_of_each_group_stays(spark):
     want = [(1, twice[0][1], "s"), (2, twice[1][1], second), (3, "", "s"), (4, "", "s"), (20, rows[11][1], "s"), (10, "the text of a smaller id", "s")]
     want += [(11, "words that stand nowhere but here", "s"), (None, "only null ids have this", "s"), (None, "", "s"), (None, " ", "s"), (None, "", "s")]
     assert kept == sorted(want, key=str)
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (1, 20, 300, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        b = np.unique(np.concatenate([a[: rng.integers(0, n + 1)], rng.integers(0, 1 << 63, n // 3, np.uint64)]))
+        differ = len(np.setxor1d(a, b))
+        assert sum(bin(int(x) & (1 << 64) - 1).count("1") for x in jaccard.parities(a) ^ jaccard.parities(b)) <= differ
+
+
+def test_a_common_template_makes_few_pairs(spark, monkeypatch):
+    rng = random.Random(12)
+    phrases = [sentence(rng, 14, 10**6) for _ in range(40)]
+    template = sentence(rng, 60, 10**6)
+    rows = [(i, f"{' '.join(rng.sample(phrases, 3))} {template}") for i in range(240)] + [(1000 + i, " ".join(rng.sample(phrases, 6))) for i in range(600)]
+    made, real = {}, jaccard.saved
+    monkeypatch.setattr(jaccard, "saved", lambda df, name: made.setdefault(name, []).append(real(df, name)) or made[name][-1])
+    monkeypatch.setattr(jaccard, "discard", lambda *tables: None)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.similar_groups(df, 4, 85).collect()}
+    assert got == {d: c for d, _, c in brute(rows, 4, 85)}
+    assert made["rest"][0].count() < 2 * len(rows)
