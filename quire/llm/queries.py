@@ -74,9 +74,9 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op3_exact_topk"] = """
-with v as (select distinct vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
-  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
-), s as (select q.vec_id as query_id, d.vec_id, list_dot_product(q.v, d.v)::bigint as score from v q join v d on q.vec_id % 20 = 0 and d.vec_id <> q.vec_id
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (select q.vec_id as query_id, d.vec_id, list_dot_product(q.v, d.v)::bigint as score from (select distinct * from v where vec_id % 20 = 0) q join v d on d.vec_id <> q.vec_id
 ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 20
 """
