@@ -17,6 +17,8 @@ from quire.llm.work import literal_rows
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TOKEN = "[a-z0-9]+"
+#: A rule without a whole literal token is filed under tokens that no URL has by itself; each URL asks for one of so many.
+EMPTY_TOKENS = 64
 #: Rules up to this many are sent to every executor; more are joined by a shuffle on the token.
 BROADCAST_RULES = 100_000
 
@@ -54,10 +56,15 @@ def _tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(f"({_TOKEN})"), 1))
 
 
+def _empty(k: Column) -> Column:
+    return F.concat(F.lit("#"), k.cast("string"))
+
+
 def index(urls: DataFrame, rules: list[Rule], spark: SparkSession) -> DataFrame:
     """(token, name, verdict, pattern, rank): every rule under its rarest token over all ``urls`` (column ``target``).
 
-    A rule without a whole literal token is filed under the empty token, which every URL has.
+    A rule without a whole literal token is filed under each of EMPTY_TOKENS empty tokens, of which
+    every URL has one by its hash, so that no single token is every URL's.
     """
     schema = "name: string, verdict: string, pattern: string, tokens: array<string>, rank: int"
     listed = literal_rows(spark, [asdict(r) | {"tokens": r.tokens or [""]} for r in rules], schema)
@@ -67,7 +74,9 @@ def index(urls: DataFrame, rules: list[Rule], spark: SparkSession) -> DataFrame:
         wanted = F.broadcast(wanted)
     seen = urls.select(F.explode(_tokens(F.col("target"))).alias("token")).join(wanted, "token", "left_semi").groupBy("token").count()
     rarest = needs.join(seen, "token", "left").groupBy("name", "rank").agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token"))
-    return listed.join(rarest, ["name", "rank"]).select("token", "name", "verdict", "pattern", "rank")
+    filed = listed.join(rarest, ["name", "rank"])
+    every = F.transform(F.sequence(F.lit(0), F.lit(EMPTY_TOKENS - 1)), _empty)
+    return filed.select(F.explode(F.when(F.col("token") == "", every).otherwise(F.array("token"))).alias("token"), "name", "verdict", "pattern", "rank")
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow") -> DataFrame:
@@ -76,7 +85,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default: s
     Among the rules that match, the highest rank wins, then the longest name, then the smallest.
     Without one the rule is null and the verdict is ``default``. Null URLs have empty host and
     path and match nothing. Rows that repeat keep their number. Input columns named like an
-    added one are replaced. Each distinct URL is judged once; only URLs are shuffled.
+    added one are replaced. Each distinct URL is judged once and its answer is joined to its rows:
+    URLs are shuffled for the judging, and the rows of ``pages`` for the join where Spark does not
+    broadcast the answers. Without rules all rows get the default.
     """
     spark = pages.sparkSession
     key = "_q_url"
@@ -85,7 +96,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default: s
     indexed = index(urls, rules, spark)
     if len(rules) <= BROADCAST_RULES:
         indexed = F.broadcast(indexed)
-    fetched = urls.select(key, "target", F.explode(F.concat(_tokens(F.col("target")), F.array(F.lit("")))).alias("token")).join(indexed, "token")
+    fetched = urls.select(key, "target", F.explode(F.concat(_tokens(F.col("target")), F.array(_empty(F.pmod(F.xxhash64(key), F.lit(EMPTY_TOKENS)))))).alias("token")).join(indexed, "token")
     won = (
         fetched.where(F.expr("target rlike pattern"))
         .groupBy(key)

@@ -42,3 +42,13 @@ def test_pairs_of_conversations(spark):
     assert [t.text for t in pairs[4].rejected] == []
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert P.format_preferences(P.pairs_of(empty)).count() == 0
+
+
+def test_very_long_texts_null_and_repeated_turns(spark):
+    long = "x" * 2_000_000
+    rows = [(0, None, "user", long), (0, 1, "assistant", "a"), (0, 1, "assistant", "a"), (1, 0, "user", long), (1, 1, "assistant", None), (1, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("prompt", F.lit("clash"))
+    got = {r.conv_id: r for r in P.format_preferences(P.pairs_of(df)).collect()}
+    # A null turn comes first; turns that repeat are both kept.
+    assert got[0].prompt == render([("user", long), ("assistant", "a")]) and got[0].chosen == render([("assistant", "a")]) and got[0].rejected == render([("assistant", None)])
+    assert got[1].prompt == render([(None, None), ("user", long)]) and got[1].rejected == render([("assistant", "a")])

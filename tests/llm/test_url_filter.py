@@ -47,3 +47,20 @@ def test_rarest_token_is_the_index(spark):
     rule = U.Rule("r", "block", "example", ["com", "example", "never"])
     assert [r.token for r in U.index(urls, [rule], spark).collect()] == ["never"]
     assert [r.token for r in U.index(urls, [U.Rule("r", "block", "e", ["com", "example"])], spark).collect()] == ["example"]
+
+
+def test_no_rules_and_very_long_urls(spark):
+    long = "http://spam.de/" + "x/" * 500_000
+    df = spark.createDataFrame([(1, long), (2, "http://ok.de/"), (None, None)], "page_id long, url string")
+    assert {(r.page_id, r.rule, r.verdict) for r in U.judge_urls(df, []).collect()} == {(1, None, "allow"), (2, None, "allow"), (None, None, "allow")}
+    got = {r.page_id: r for r in U.judge_urls(df, [U.Rule("spam", "block", "^spam", ["spam"]), U.Rule("deep", "block", r"x/$", [])]).collect()}
+    assert got[1].rule in ("spam", "deep") and got[1].path == long[len("http://spam.de") :] and got[2].rule is None
+
+
+def test_many_rules_are_joined_by_a_shuffle(spark, monkeypatch):
+    rules = [U.Rule("digits", "block", r"\d{6}", []), *[U.prefix_rule(r, "block") for r in LISTED]]
+    urls = [f"http://{h}{p}" for h in ("a.net", "example.com", "org", "x.de") for p in ("/", "/de/1", "/fr/123456", "/123456")] * 3
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = sorted(map(tuple, U.judge_urls(df, rules).collect()), key=str)
+    monkeypatch.setattr(U, "BROADCAST_RULES", 0)
+    assert sorted(map(tuple, U.judge_urls(df, rules).collect()), key=str) == want and {r[4] for r in want} >= {"digits", "net/", "org/fr/", None}
