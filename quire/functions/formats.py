@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 # Fixed values.
 TEXT_EXTENSIONS = ["txt", "text", "md", "markdown", "log"]
@@ -20,6 +22,9 @@ HIGHLIGHTS = {
 INDEXED = ["000000", "0000FF", "00FFFF", "00FF00", "FF00FF", "FF0000", "FFFF00", "FFFFFF", "000080", "008080", "008000", "800080", "800000", "808000", "C0C0C0"]
 EMU_PER_POINT = 12_700
 EMU_PER_INCH = 914_400
+# FNV-1a.
+ID_SEEDS = (0xCBF29CE484222325, 0x84222325CBF29CE4)
+ID_PRIME = 0x100000001B3
 ANNOTATION_MACHINERY = ["Link", "Widget", "Popup"]
 EMU_BY_UNIT = {"pt": EMU_PER_POINT, "": EMU_PER_POINT, "in": EMU_PER_INCH, "cm": 360_000, "mm": 36_000, "px": EMU_PER_INCH / 96}
 
@@ -73,6 +78,19 @@ def picture_type(content: Column) -> Column:
     )
 
 
+def picture_mime(content: Column) -> Column:
+    """The media type of a picture; octet-stream if it is none."""
+    kind = picture_type(content)
+    return F.when(kind.isNotNull(), F.concat(F.lit("image/"), kind)).otherwise("application/octet-stream")
+
+
+def picture_emu(width: Column, height: Column, most: Column) -> Column:
+    """(cx, cy) of a picture of so many pixels at 96 dpi, shrunk to a width of ``most`` EMU where that is above 0."""
+    w, h = (F.greatest(c, F.lit(1)).cast("long") * (EMU_PER_INCH // 96) for c in (width, height))
+    over = (most > 0) & (w > most)
+    return F.struct(F.when(over, most).otherwise(w).cast("long").alias("cx"), F.when(over, F.floor(h * most / w)).otherwise(h).cast("long").alias("cy"))
+
+
 def title(text: Column) -> Column:
     """A title without blanks around it; null if it says no more than a placeholder."""
     t = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -134,6 +152,91 @@ def style_id(kind: Column, level: Column) -> Column:
     return F.when(kind == "title", "Title").when(kind == "heading", heading).when(kind == "list", "ListParagraph").when(kind == "quote", "Quote")
 
 
+def style_tag(kind: Column, level: Column) -> Column:
+    """The editor's name of a kind of paragraph; lists go five levels down."""
+    return (
+        F.when(kind == "heading", F.concat(F.lit("h"), F.least(F.greatest(level, F.lit(1)), F.lit(6)).cast("string")))
+        .when(kind == "list", F.concat(F.lit("list"), F.least(level, F.lit(5)).cast("string")))
+        .when(kind.isin("title", "quote"), kind)
+        .otherwise("body")
+    )
+
+
+def style_of_tag(tag: Column) -> Column:
+    """(kind, level) of an editor's name; null if it is none."""
+    number = lambda head: F.regexp_extract(tag, f"^{head}([0-9]{{1,3}})$", 1).try_cast("int")
+    lit = lambda kind, level: F.struct(F.lit(kind).alias("kind"), level.cast("int").alias("level"))
+    zero = F.lit(0)
+    return (
+        F.when(tag == "body", lit("normal", zero))
+        .when(tag == "title", lit("title", zero))
+        .when(tag == "quote", lit("quote", zero))
+        .when(number("list").isNotNull(), lit("list", number("list")))
+        .when(number("h").isNotNull(), lit("heading", number("h")))
+    )
+
+
+def run_prop(props: Column, name: str) -> Column:
+    """The value of a run property in XML; empty for one that is just on, null for none or one that is off."""
+    tag = F.regexp_extract(props, rf"<w:{name}((?:\s[^>]*)?)/?>", 1)
+    has = props.rlike(rf"<w:{name}(?:\s[^>]*)?/?>")
+    value = F.regexp_extract(tag, r'w:val="([^"]*)"', 1)
+    on = F.when(tag.rlike(r'w:val="'), F.when(~value.isin("false", "0", "none", "auto"), value)).otherwise("")
+    return F.when(has, on)
+
+
+def run_font(props: Column) -> Column:
+    """The font that a run's XML names, for plain or else for other Latin letters."""
+    tag = F.regexp_extract(props, r"<w:rFonts([^>]*)>", 1)
+    return F.coalesce(*[F.nullif(F.regexp_extract(tag, rf'w:{a}="([^"]*)"', 1), F.lit("")) for a in ("ascii", "hAnsi")])
+
+
+def high_bytes(samples: Column) -> Column:
+    """16-bit samples as 8-bit ones."""
+    return F.transform(samples, lambda s: F.shiftright(s, 8))
+
+
+def on_white(samples: Column, colours: int) -> Column:
+    """Pixels of ``colours`` samples and an alpha, laid on white."""
+    pixels = F.sequence(F.lit(0), F.floor(F.size(samples) / (colours + 1)).cast("int") - 1)
+    at = lambda p, k: F.element_at(samples, p * (colours + 1) + k + 1)
+    one = lambda p: F.array(*[F.floor((at(p, k) * at(p, colours) + 255 * (255 - at(p, colours))) / 255).cast("int") for k in range(colours)])
+    return F.when(F.size(samples) > colours, F.flatten(F.transform(pixels, one))).otherwise(F.array().cast("array<int>"))
+
+
+def rgb_of_ycbcr(y: Column, cb: Column, cr: Column) -> Column:
+    """(r, g, b) of a sample of luma and two chromas."""
+    byte = lambda v: F.least(F.greatest(F.round(v), F.lit(0.0)), F.lit(255.0)).cast("int")
+    b, r = cb - 128.0, cr - 128.0
+    return F.struct(byte(y + 1.402 * r).alias("r"), byte(y - 0.344136 * b - 0.714136 * r).alias("g"), byte(y + 1.772 * b).alias("b"))
+
+
+def grey(r: Column, g: Column, b: Column) -> Column:
+    return F.shiftright((77 * r + 150 * g + 29 * b).cast("int"), 8)
+
+
+@F.pandas_udf(BinaryType())
+def _picture_id(content: pd.Series) -> pd.Series:
+    mask = (1 << 64) - 1
+
+    def one(data: bytes | None) -> bytes | None:
+        if data is None:
+            return None
+        both = []
+        for h in ID_SEEDS:
+            for b in data:
+                h = ((h ^ b) * ID_PRIME) & mask
+            both.append(h.to_bytes(8, "little"))
+        return b"".join(both)
+
+    return content.map(one)
+
+
+def picture_id(content: Column) -> Column:
+    """The 16-byte id of a picture: two 64-bit FNV-1a hashes of its bytes."""
+    return _picture_id(content)
+
+
 def colour(text: Column) -> Column:
     """RRGGBB as a number; null for anything else, such as auto."""
     return F.when(text.rlike("^[0-9A-Fa-f]{6}$"), F.conv(text, 16, 10).cast("int"))

@@ -13,6 +13,7 @@ TILE = 1024
 MAX_EDGE = 16_384.0
 WHOLE_PAGE_PIXELS = 24_000_000.0
 TEXTURE_BUDGET = 384 << 20
+MIN_ZOOM, MAX_ZOOM = 0.1, 8.0
 TAP_EDGE = 1.0 / 3.0
 GAP_SHARE = 0.12
 SCAN_SHARE = 0.3
@@ -116,3 +117,29 @@ def picture_fit(w: Column, h: Column, width: Column, height: Column) -> Column:
     """A picture's size shrunk to a box, never enlarged."""
     k = F.least(F.lit(1.0), width / w, height / h)
     return F.struct((w * k).alias("width"), (h * k).alias("height"))
+
+
+def fit_zoom(width: Column, widest: Column) -> Column:
+    """The zoom at which the widest page fits across a viewport, between MIN_ZOOM and MAX_ZOOM; 1 where there is no room."""
+    room = width - 2.0 * MARGIN
+    return F.when(room <= 0, F.lit(1.0)).otherwise(F.least(F.greatest(room / F.greatest(widest, F.lit(1.0)), F.lit(MIN_ZOOM)), F.lit(MAX_ZOOM)))
+
+
+def fit_spread(width: Column, height: Column, sizes: Column, across: Column) -> Column:
+    """The zoom at which the pages on show (width, height) fit; places without a page count as one like the last."""
+    last = F.element_at(sizes, -1)["width"]
+    total = F.aggregate(sizes, F.lit(0.0), lambda t, s: t + s["width"]) + (across - F.size(sizes)) * last
+    tallest = F.aggregate(sizes, F.lit(1.0), lambda t, s: F.greatest(t, s["height"]))
+    w, h = width - 2.0 * MARGIN - (across - 1) * float(SPREAD_GAP), height - 2.0 * MARGIN
+    zoom = F.least(w / F.greatest(total, F.lit(1.0)), h / tallest)
+    return F.when((F.size(sizes) == 0) | (w <= 0) | (h <= 0), F.lit(1.0)).otherwise(F.least(F.greatest(zoom, F.lit(MIN_ZOOM)), F.lit(MAX_ZOOM)))
+
+
+def row_height(content: Column, asked: Column, exact: Column) -> Column:
+    """A table row's height: as asked if exact, at least as asked, else as its content, 12 points at least."""
+    return F.when(exact & asked.isNotNull(), asked).otherwise(F.greatest(content, F.coalesce(asked, F.lit(12.0))))
+
+
+def line_height(natural: Column, rule: Column, value: Column) -> Column:
+    """A line's height by a spacing rule: auto (a multiple, a half at least), exact, or at least."""
+    return F.when(rule == "exact", value).when(rule == "atLeast", F.greatest(value, natural)).otherwise(natural * F.greatest(value, F.lit(0.5)))

@@ -14,6 +14,8 @@ PLAIN = {"‘": "'", "’": "'", "“": '"', "”": '"', "‐": "-", "‑": "-",
 CP1252_HIGH = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
 #: White space and the soft hyphen.
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\xad"
+#: What PDF's own encoding has where Latin-1 has control characters.
+PDF_DOC = dict(zip([*range(0x18, 0x20), *range(0x80, 0x9F), 0xA0], "˘ˇˆ˙˝˛˚˜•†‡…—–ƒ⁄‹›−‰„“”‘’‚™ﬁﬂŁŒŠŸŽıłœšž€", strict=True))
 WIN_ANSI = {"€": 0x80, "…": 0x85, "‘": 0x91, "’": 0x92, "“": 0x93, "”": 0x94, "•": 0x95, "–": 0x96, "—": 0x97}
 
 
@@ -109,6 +111,17 @@ def utf16_units(text: Column) -> Column:
 
 
 def pdf_string(value: Column) -> Column:
-    """A PDF literal string of ASCII text: brackets and backslashes escaped, the rest in octal."""
-    escaped = F.regexp_replace(value, r"([()\\])", r"\\$1")
-    return F.concat(F.lit("("), escaped, F.lit(")"))
+    """A PDF literal string in the encoding of a standard font: brackets and backslashes escaped, what is not ASCII in octal."""
+    codes = F.transform(F.regexp_extract_all(win_ansi(value), F.lit("(..)"), 1), lambda h: F.conv(h, 16, 10).cast("int"))
+    escape = lambda c: F.when(c.isin(*map(ord, "()\\")), F.concat(F.lit("\\"), F.char(c.cast("long"))))
+    octal = lambda c: F.concat(F.lit("\\"), F.lpad(F.conv(c.cast("string"), 10, 8), 3, "0"))
+    shown = F.transform(codes, lambda c: F.coalesce(escape(c), F.when(c.between(32, 126), F.char(c.cast("long"))), octal(c)))
+    return F.concat(F.lit("("), F.array_join(shown, ""), F.lit(")"))
+
+
+def pdf_text(content: Column) -> Column:
+    """A PDF text string's bytes as one line: UTF-16 by its mark, else the format's own encoding."""
+    even = lambda c: F.substring(c, F.lit(1), (F.floor(F.octet_length(c) / 2) * 2).cast("int"))
+    own = F.translate(F.decode(content, "ISO-8859-1"), "".join(map(chr, PDF_DOC)), "".join(PDF_DOC.values()))
+    text = F.when(F.hex(F.substring(content, 1, 2)) == "FEFF", F.decode(even(F.substring(content, 3, 2147483647)), "UTF-16BE")).otherwise(own)
+    return one_line(F.regexp_replace(text, "^\ufeff+", ""))

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What a floating picture's place is measured from.
+# What a floating picture's place is measured from.
 PAGE_FRAMES = ["page", "margin", "topMargin", "bottomMargin", "insideMargin", "outsideMargin"]
-EDGES = ["top", "left", "bottom", "right", "inside_h", "inside_v"]
 FORMAT_FLAGS = ["bold", "italic", "underline", "highlight"]
 
 
@@ -67,10 +66,96 @@ def has_borders(edges: Column) -> Column:
     return F.exists(F.map_values(edges), lambda e: e.isNotNull())
 
 
-def without_elements(xml: Column, name: str) -> Column:
-    """XML without elements of a name, whatever their prefix; they do not nest."""
-    tag = rf"(?:\w+:)?{name}"
-    return F.regexp_replace(F.regexp_replace(xml, rf"(?s)<{tag}(?:\s[^>]*)?/>", ""), rf"(?s)<{tag}(?:\s[^>]*)?>.*?</{tag}>", "")
+def visible_items(items: DataFrame) -> DataFrame:
+    """Children of a body that show: those with blocks, and paragraphs, locked ones and tables."""
+    return items.where((F.col("n_blocks") > 0) | F.col("kind").isin("paragraph", "locked", "table"))
+
+
+def column_count(cells: DataFrame, keys: list[str], n_widths: Column | None = None) -> DataFrame:
+    """(keys, n_columns) of tables of cells (row, span): the widest row's spans, or the widths given if they are more."""
+    rows = cells.groupBy(*keys, "row").agg(F.sum(F.greatest(F.coalesce("span", F.lit(1)), F.lit(1))).alias("_n"), F.max(n_widths if n_widths is not None else F.lit(0)).alias("_w"))
+    return rows.groupBy(*keys).agg(F.greatest(F.max("_n"), F.max("_w")).cast("int").alias("n_columns"))
+
+
+def counts_pages(runs: DataFrame, keys: list[str], field: Column) -> DataFrame:
+    """(keys, counts_pages): whether any run of headers and footers, in tables too, shows the number of pages."""
+    return runs.groupBy(*keys).agg(F.bool_or(F.coalesce(field == "pages", F.lit(False))).alias("counts_pages"))
+
+
+def annotation_ids(annots: DataFrame, keys: list[str], pos: str, ident: str) -> DataFrame:
+    """(keys, ids): the annotations of each page in order."""
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(ident).alias("id"))))
+    return annots.groupBy(*keys).agg(F.transform(ordered, lambda a: a["id"]).alias("ids"))
+
+
+def line_runs(chars: DataFrame, keys: list[str], pos: str, text: str, skip: Column) -> DataFrame:
+    """(keys, run, flags, text): an editor line's characters as runs of equal flags; bullets and placeholders (``skip``) are left out."""
+    kept = chars.where(~F.coalesce(skip, F.lit(False)))
+    flags = F.struct(*[F.coalesce(F.col(f), F.lit(False)).alias(f) for f in FORMAT_FLAGS])
+    w = Window.partitionBy(*keys).orderBy(pos)
+    marked = kept.withColumn("_flags", flags).withColumn("_new", F.when(F.lag("_flags").over(w) == F.col("_flags"), 0).otherwise(1))
+    runs = marked.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t")))), lambda c: c["t"]), "")
+    return runs.groupBy(*keys, "run", "_flags").agg(joined.alias("text")).select(*keys, "run", "_flags.*", "text")
+
+
+def reloads(old: DataFrame, new: DataFrame, keys: list[str], epoch: str) -> DataFrame:
+    """(keys, action, epoch): swap a document in place where its pages (page, width, height) are as before, else rebuild it.
+
+    ``old`` has the epoch of its texts; a swap begins the next one, and a rebuild begins at 0.
+    """
+    sizes = F.array_sort(F.collect_list(F.struct("page", "width", "height"))).alias("_sizes")
+    a, b = old.groupBy(*keys).agg(sizes, F.max(epoch).alias("_epoch")), new.groupBy(*keys).agg(sizes).withColumnRenamed("_sizes", "_new")
+    same = F.col("_sizes") == F.col("_new")
+    return b.join(a, keys, "left").select(*keys, F.when(same, "swap").otherwise("rebuild").alias("action"), F.when(same, F.col("_epoch") + 1).otherwise(0).alias("epoch"))
+
+
+def of_epoch(texts: DataFrame, epochs: DataFrame, keys: list[str], epoch: str) -> DataFrame:
+    """Texts that were read in their document's epoch; others come too late."""
+    return texts.join(epochs.select(*keys, epoch), [*keys, epoch], "left_semi")
+
+
+def serial_edits(edits: DataFrame, keys: list[str], seq: str, n_pages: Column) -> DataFrame:
+    """(keys, seq, ok, n_pages): one edit (op, page) at a time; one that cannot be done changes nothing and says so.
+
+    Inserting puts a page at a place up to the end; deleting and rotating need the page, and the last page stays.
+    """
+    log = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), "op", "page")))
+    kind = "array<struct<seq:bigint,ok:boolean,n_pages:int>>"
+
+    def step(done: Column, e: Column) -> Column:
+        n = F.coalesce(F.try_element_at(done, F.lit(-1))["n_pages"], n_pages)
+        there = (e["page"] >= 0) & (e["page"] < n)
+        ok = F.when(e["op"] == "insert", (e["page"] >= 0) & (e["page"] <= n)).when(e["op"] == "delete", there & (n > 1)).otherwise(there)
+        change = F.when(ok & (e["op"] == "insert"), 1).when(ok & (e["op"] == "delete"), -1).otherwise(0)
+        return F.concat(done, F.array(F.struct(e["seq"].cast("long").alias("seq"), ok.alias("ok"), (n + change).cast("int").alias("n_pages")))).cast(kind)
+
+    folded = edits.groupBy(*keys).agg(log.alias("_log")).select(*keys, F.explode(F.aggregate("_log", F.array().cast(kind), step)).alias("_e"))
+    return folded.select(*keys, "_e.*")
+
+
+def version_history(log: DataFrame, keys: list[str], seq: str, keep: int = 500) -> DataFrame:
+    """(keys, version, n_undo, n_redo) after a log of edit (version), undo and redo; a new edit clears what could be redone."""
+    ops = F.array_sort(F.collect_list(F.struct(seq, "op", "version")))
+    texts = "array<string>"
+    start = F.struct(F.lit(None).cast("string").alias("now"), F.array().cast(texts).alias("undo"), F.array().cast(texts).alias("redo"))
+    state = lambda now, undo, redo: F.struct(now.cast("string").alias("now"), undo.cast(texts).alias("undo"), redo.cast(texts).alias("redo"))
+    cut = lambda a: F.slice(a, F.lit(1), F.size(a) - 1)
+
+    def step(s: Column, e: Column) -> Column:
+        back = (e["op"] == "undo") & (F.size(s["undo"]) > 0)
+        forth = (e["op"] == "redo") & (F.size(s["redo"]) > 0)
+        pushed = F.array_append(s["undo"], s["now"])
+        latest = F.slice(pushed, F.greatest(F.size(pushed) - keep + 1, F.lit(1)), F.lit(keep))
+        return (
+            F.when(e["op"] == "edit", state(e["version"], latest, F.array()))
+            .when(back, state(F.try_element_at(s["undo"], F.lit(-1)), cut(F.when(back, s["undo"]).otherwise(F.array(F.lit("")))), F.array_append(s["redo"], s["now"])))
+            .when(forth, state(F.try_element_at(s["redo"], F.lit(-1)), F.array_append(s["undo"], s["now"]), cut(F.when(forth, s["redo"]).otherwise(F.array(F.lit(""))))))
+            .otherwise(s)
+        )
+
+    after = log.groupBy(*keys).agg(ops.alias("_log")).select(*keys, F.aggregate("_log", start, step).alias("_s"))
+    return after.select(*keys, F.col("_s.now").alias("version"), F.size("_s.undo").alias("n_undo"), F.size("_s.redo").alias("n_redo"))
 
 
 def over_text(lines: Column, x: Column, y: Column) -> Column:

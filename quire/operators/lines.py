@@ -69,8 +69,9 @@ def caret_at(boxes: Column, x: Column) -> Column:
 
 
 def bounding_box(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, x0, y0, x1, y1) around boxes."""
-    return boxes.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    """(keys, x0, y0, x1, y1) around boxes; zeros for a group without any."""
+    side = lambda f, c: F.coalesce(f(c), F.lit(0.0)).alias(c)
+    return boxes.groupBy(*keys).agg(side(F.min, "x0"), side(F.min, "y0"), side(F.max, "x1"), side(F.max, "y1"))
 
 
 def text_width(line: Column, widths: dict[str, int], size: float, other: int = 556) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Styles of a chain that count, the style itself included.
@@ -12,23 +12,62 @@ CHAIN = 17
 def style_chain(styles: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, style_id, ancestor, depth): each style and what it is based on, nearest first, at most CHAIN long.
 
-    A style based on itself or on one that is not there is based on nothing. Each step is a join
-    of all styles at once; a cycle ends with the chain.
+    A style based on itself or on one that is not there is based on nothing; a cycle ends with the
+    chain. A document's sheet is one map, along which each of its styles walks.
     """
     keys = keys or []
-    base = styles.select(*keys, F.col("style_id").alias("ancestor"), F.when(F.col("based_on") != F.col("style_id"), F.col("based_on")).alias("next"))
-    step = styles.select(*keys, "style_id", F.col("style_id").alias("ancestor"), F.lit(0).alias("depth"))
-    out = step
-    for depth in range(1, CHAIN):
-        step = step.join(base, [*keys, "ancestor"]).where(F.col("next").isNotNull()).select(*keys, "style_id", F.col("next").alias("ancestor"), F.lit(depth).alias("depth"))
-        out = out.unionByName(step)
-    return out.join(styles.select(*keys, F.col("style_id").alias("ancestor")), [*keys, "ancestor"], "left_semi")
+    base = F.when(F.col("based_on") != F.col("style_id"), F.col("based_on"))
+    pair = F.struct(F.col("style_id").alias("key"), F.coalesce(base, F.lit("")).alias("value"))
+    sheet = styles.groupBy(*keys).agg(F.map_from_entries(F.array_distinct(F.collect_list(pair))).alias("_sheet"))
 
+    def step(chain: Column, _: Column) -> Column:
+        next_one = F.try_element_at(F.col("_sheet"), F.element_at(chain, -1))
+        return F.when(next_one.isNotNull() & F.map_contains_key(F.col("_sheet"), next_one), F.array_append(chain, next_one)).otherwise(chain)
 
-def cascade(styles: DataFrame, props: list[str], defaults: dict | None = None, keys: list[str] | None = None) -> DataFrame:
-    """(keys, style_id, props): each property as the nearest style of the chain sets it, else the default."""
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(CHAIN - 1)), F.array("style_id"), step)
+    named = styles.select(*keys, "style_id")
+    joined = named.join(F.broadcast(sheet) if not keys else sheet, keys) if keys else named.withColumn("_sheet", sheet.scalar())
+    return joined.select(*keys, "style_id", F.posexplode(walked).alias("depth", "ancestor")).select(*keys, "style_id", "ancestor", "depth")
+
+
+def nearest_value(nodes: DataFrame, keys: list[str], node: str, up: str, value: str, most: int) -> DataFrame:
+    """(keys, node, value, hops): the value of the nearest of each node and those above it that has one, ``most`` of them at most.
+
+    Each round doubles the way that is looked up, so there are about log2(most) joins; loops end with the way.
+    """
+    state = nodes.select(*keys, F.col(node).alias(node), F.col(up).alias("_up"), F.col(value).alias("value"), F.when(F.col(value).isNotNull(), 0).alias("hops"))
+    way = 1
+    while way < most:
+        above = state.select(*keys, F.col(node).alias("_up"), F.col("_up").alias("_next"), F.col("value").alias("_value"), F.col("hops").alias("_hops"))
+        joined = state.join(above, [*keys, "_up"], "left")
+        found = F.col("value").isNotNull()
+        state = joined.select(*keys, node, F.col("_next").alias("_up"), F.when(found, F.col("value")).otherwise(F.col("_value")).alias("value"), F.when(found, F.col("hops")).otherwise(F.col("_hops") + way).alias("hops"))
+        way *= 2
+    near = F.col("hops") < most
+    return state.select(*keys, node, F.when(near, F.col("value")).alias("value"), F.when(near, F.col("hops")).alias("hops"))
+
+
+def inherited_attribute(nodes: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, node, value): what a page (node, parent) has or takes from those above it, itself and 63 more."""
+    return nearest_value(nodes, keys, "node", "parent", value, 64).drop("hops")
+
+
+def destinations(objects: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, page): where each object leads: a page, or by a name, dictionary or reference (target) to another, eight steps at most."""
+    return nearest_value(objects, keys, "node", "target", "page", 9).select(*keys, "node", F.col("value").alias("page"))
+
+
+def referenced(rels: DataFrame, bodies: DataFrame, keys: list[str]) -> DataFrame:
+    """Relationships whose id stands quoted in their document's body (keys, xml); quoted words are joined, no text is searched for each id."""
+    quoted = bodies.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all("xml", F.lit('"([^"]*)"'), 1))).alias("rel_id"))
+    return rels.join(quoted, [*keys, "rel_id"], "left_semi")
+
+
+def cascade(styles: DataFrame, props: list[str], defaults: dict | None = None, keys: list[str] | None = None, only: Column | None = None) -> DataFrame:
+    """(keys, style_id, props): each property as the nearest style of the chain (those that ``only`` allows) sets it, else the default."""
     keys = keys or []
-    values = style_chain(styles, keys).join(styles.select(*keys, F.col("style_id").alias("ancestor"), *props), [*keys, "ancestor"])
+    allowed = styles.where(only) if only is not None else styles
+    values = style_chain(styles, keys).join(allowed.select(*keys, F.col("style_id").alias("ancestor"), *props), [*keys, "ancestor"])
     nearest = [F.min_by(p, F.when(F.col(p).isNotNull(), F.col("depth"))).alias(p) for p in props]
     found = values.groupBy(*keys, "style_id").agg(*nearest)
     return found.select(*keys, "style_id", *[F.coalesce(F.col(p), F.lit((defaults or {}).get(p))).alias(p) for p in props])

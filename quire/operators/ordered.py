@@ -12,6 +12,8 @@ from quire.functions import geometry as G
 from quire.functions import numbers
 
 LEVELS = 9
+#: Levels of an outline that count.
+OUTLINE_DEPTH = 32
 
 
 def _upto(keys: list[str], *order) -> Window:
@@ -65,10 +67,12 @@ def list_labels(items: DataFrame, levels: DataFrame, keys: list[str], pos: str,
     return counted.withColumn("label", F.when(text != "", text)).drop("_level", *[f"_{a}{k}" for a in "dgc" for k in range(LEVELS)])
 
 
-def note_numbers(refs: DataFrame, keys: list[str], pos: str, foot: Column) -> DataFrame:
-    """Adds mark: footnotes counted 1, 2, ... and endnotes i, ii, ... in order of their references."""
-    n = F.row_number().over(Window.partitionBy(*keys, "_foot").orderBy(pos))
-    return refs.withColumn("_foot", foot).withColumn("mark", numbers.number(n, F.when(F.col("_foot"), "decimal").otherwise("lowerRoman"))).drop("_foot")
+def note_numbers(refs: DataFrame, keys: list[str], pos: str, foot: Column, custom: Column | None = None) -> DataFrame:
+    """Adds mark: footnotes counted 1, 2, ... and endnotes i, ii, ... in order of their references; custom marks are empty and not counted."""
+    own = F.coalesce(custom, F.lit(False)) if custom is not None else F.lit(False)
+    n = F.row_number().over(Window.partitionBy(*keys, "_foot", "_own").orderBy(pos))
+    mark = F.when(F.col("_own"), "").otherwise(numbers.number(n, F.when(F.col("_foot"), "decimal").otherwise("lowerRoman")))
+    return refs.withColumns({"_foot": foot, "_own": own}).withColumn("mark", mark).drop("_foot", "_own")
 
 
 def contextual_spacing(paragraphs: DataFrame, keys: list[str], pos: str, style: str, before: str, contextual: str) -> DataFrame:
@@ -104,16 +108,26 @@ def heading_parents(headings: DataFrame, keys: list[str], pos: str, level: str,
 
 
 def outline_pages(outline: DataFrame, keys: list[str], pos: str, level: str, page: str) -> DataFrame:
-    """Entries in order, page-less ones with the page of what comes below them first; those without any go.
+    """Entries in order, page-less ones with the page of the first entry below them that has one; those without any go.
 
-    Applied from the deepest level up, so a page is handed on through several levels.
+    An entry's part of the outline ends before the next entry of its level or a higher one.
+    Entries OUTLINE_DEPTH or more below the top go first.
     """
-    out = outline
-    w = Window.partitionBy(*keys).orderBy(pos)
-    for _ in range(8):
-        child = (F.lead(level).over(w) == F.col(level) + 1)
-        out = out.withColumn(page, F.coalesce(F.col(page), F.when(child, F.lead(page).over(w))))
-    return out.where(F.col(page).isNotNull())
+    kept = outline.where(F.col(level) - F.lit(1) < OUTLINE_DEPTH)
+    after = Window.partitionBy(*keys).orderBy(pos).rowsBetween(1, Window.unboundedFollowing)
+    next_page = F.first(F.when(F.col(page).isNotNull(), F.struct(F.col(pos).alias("pos"), F.col(page).alias("page"))), ignorenulls=True).over(after)
+    known = kept.withColumn("_next", next_page)
+    nearer = known.withColumns({f"_e{k}": F.first(F.when(F.col(level) <= k, F.col(pos)), ignorenulls=True).over(after) for k in range(1, OUTLINE_DEPTH + 1)})
+    end = F.element_at(F.array(*[F.col(f"_e{k}") for k in range(1, OUTLINE_DEPTH + 1)]), F.col(level).cast("int"))
+    own = F.coalesce(F.col(page), F.when(end.isNull() | (F.col("_next.pos") < end), F.col("_next.page")))
+    return nearer.withColumn(page, own).where(F.col(page).isNotNull()).select(outline.columns)
+
+
+def line_tops(lines: DataFrame, keys: list[str], pos: str, natural: str, rule: str, value: str) -> DataFrame:
+    """Adds height and top of the lines of a paragraph (keys), by its spacing rule."""
+    tall = lines.withColumn("height", G.line_height(F.col(natural), F.col(rule), F.col(value)))
+    before = F.sum("height").over(Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1))
+    return tall.withColumn("top", F.coalesce(before, F.lit(0.0)))
 
 
 def evict(held: DataFrame, keys: list[str], page: str, size: str, first: str, last: str, ahead: int, budget: int = G.TEXTURE_BUDGET) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 
-#: Queries that one pass over the pages takes; more are taken in several.
-QUERIES_A_PASS = 1000
+#: Characters of the runs that queries are filed under.
+GRAM = 24
 
 
 def search(pages: DataFrame, text: str, query: str) -> DataFrame:
@@ -37,22 +37,40 @@ def next_in_page(matches: DataFrame, keys: list[str], page: str, index: str) ->
     return matches.withColumns({"next_page": at(page), "next_index": at(index)})
 
 
+def next_outcome(starts: DataFrame, matches: DataFrame, keys: list[str], page: str, index: str) -> DataFrame:
+    """Starts (keys, page) with outcome and, for a match, next_page: nothing without a match, only where the start is the one match, else match.
+
+    ``here`` says whether the start's page has a match; next_page is then the page after it, wrapping.
+    """
+    n = matches.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    after = next_in_page(matches, keys, page, index).select(*keys, page, "next_page")
+    joined = starts.join(n, keys, "left").join(after, [*keys, page], "left")
+    here = F.col("next_page").isNotNull()
+    outcome = F.when(F.col("_n").isNull(), "nothing").when(here & (F.col("_n") == 1), "only").otherwise("match")
+    return joined.select(*starts.columns, outcome.alias("outcome"), here.alias("here"), "next_page")
+
+
 def containment(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, query: str) -> DataFrame:
     """(doc id, query id) of every text that holds a query text, compared normalised.
 
-    The queries are a given, bounded set: they go to the executors QUERIES_A_PASS at a time,
-    and each pass reads every document once. Empty queries are held by none.
+    A query is filed under the rarest of its runs of GRAM characters, by their counts over all queries; a text's
+    runs fetch their queries by a join, and only those are looked for. Queries of fewer than GRAM characters
+    are filed under what they are, and texts have runs of those lengths too. Empty queries are held by none.
     """
     asked = queries.select(F.col(query_id).alias("_id"), T.normalize(F.col(query)).alias("_q")).where(F.length("_q") > 0)
-    passes = max(1, -(-asked.count() // QUERIES_A_PASS))
-    normal = docs.select(doc_id, T.normalize(F.col(text)).alias("_t"))
-    out = None
-    for k in range(passes):
-        part = asked.where(F.pmod(F.xxhash64("_id"), F.lit(passes)) == k).agg(F.collect_list(F.struct("_id", "_q")).alias("_all"))
-        hits = F.filter("_all", lambda q: F.contains(F.col("_t"), q["_q"]))
-        held = normal.withColumn("_all", part.scalar()).select(doc_id, F.explode(hits).alias("_hit")).select(doc_id, F.col("_hit._id").alias(query_id))
-        out = held if out is None else out.unionByName(held)
-    return out
+    normal = docs.select(F.col(doc_id).alias("_doc"), T.normalize(F.col(text)).alias("_t"))
+    runs = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(c, i, n))))
+    size = F.least(F.length("_q"), F.lit(GRAM))
+    grams = asked.select("_id", "_q", size.alias("_size"), F.explode(runs(F.col("_q"), size)).alias("_gram"))
+    counts = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    filed = grams.join(counts, "_gram").groupBy("_id", "_q", "_size").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
+    sizes = [r[0] for r in filed.select("_size").distinct().collect()]
+    if not sizes:
+        return normal.join(asked, F.lit(False)).select(F.col("_doc").alias(doc_id), F.col("_id").alias(query_id))
+    found = normal.select("_doc", F.explode(F.array_distinct(F.flatten(F.array(*[runs(F.col("_t"), F.lit(n)) for n in sizes])))).alias("_gram"))
+    pairs = found.join(filed.select("_gram", "_id"), "_gram").select(F.col("_doc").alias("_key"), "_id").distinct()
+    hits = pairs.join(asked, "_id").join(normal, F.col("_key").eqNullSafe(F.col("_doc")))
+    return hits.where(F.contains("_t", F.col("_q"))).select(F.col("_doc").alias(doc_id), F.col("_id").alias(query_id))
 
 
 def recall(expected: DataFrame, expected_text: str, got_text: str) -> DataFrame:

@@ -62,9 +62,12 @@ def text_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.paragraphs(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("select doc_id, (case when ends_with(text, chr(10)) then left(text, length(text) - 1) else text end) || chr(10) as text from documents where text is not null and not contains(text, chr(13))")
+_UNIX = "replace((case when ends_with(text, chr(10)) then left(text, length(text) - 1) else text end) || chr(10), chr(13) || chr(10), chr(10))"
+
+
+@query(f"select doc_id, {_UNIX} as text from documents where text is not null")
 def text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("\r")))
+    docs = table(spark, sf_dir, "documents")
     return texts.text_of(texts.paragraphs(docs, "doc_id", "text"), ["doc_id"])
 
 
@@ -378,17 +381,6 @@ def save_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.save_diff(old, new, ["conv_id"], "turn", "text")
 
 
-@query("""select * from (values (1, '2:0,0:90'), (2, '0:0'), (3, '0:0,2:270,1:0')) t(book, pages)""")
-def page_edits_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edits = values(
-        spark,
-        "(1, 1, 'rotate', 0, 90), (1, 2, 'move', 2, 0), (1, 3, 'delete', 2, 0), (1, 4, 'delete', 9, 0), (2, 1, 'delete', 2, 0), (2, 2, 'delete', 1, 0), (2, 3, 'delete', 0, 0), (3, 1, 'rotate', 2, -90), (3, 2, 'move', 1, 2), (3, 3, 'move', 7, 0)",
-        "book, seq, op, page, arg",
-    )
-    shown = F.array_join(F.transform("pages", lambda p: F.concat_ws(":", p["page"], p["turn"])), ",")
-    return sets.fold_page_edits(edits, ["book"], "seq", F.lit(3)).select("book", shown.alias("pages"))
-
-
 # Logs of edits and requests --------------------------------------------------------
 
 
@@ -396,12 +388,12 @@ def page_edits_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 with e as (select user_id, event_id, ts, event_type, (value * 10)::bigint // 50 as pos, row_number() over (partition by user_id order by ts, event_id) n from events
 ), j as (select *, case when (lag(pos) over w) + 1 = pos and lag(event_type) over w <> 'view' and event_type <> 'view' then 0 else 1 end as new from e window w as (partition by user_id order by n)
 ), s as (select *, sum(new) over (partition by user_id order by n) as step from j)
-select user_id, event_id, step::bigint as step from (select *, max(step) over (partition by user_id) as m from s) where step > m - 20
+select user_id, event_id, step::bigint as step from (select *, max(step) over (partition by user_id) as m from s) where step > m - 500
 """)
 def undo_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.floor(F.round(F.col("value") * 10).cast("long") / 50)
     ops = table(spark, sf_dir, "events").select("user_id", "event_id", F.struct("ts", "event_id").alias("seq"), at.alias("at"), F.when(F.col("event_type") != "view", F.lit("x")).alias("typed"))
-    return ordered.undo_groups(ops, ["user_id"], "seq", "at", "typed", keep=20).select("user_id", "event_id", "step")
+    return ordered.undo_groups(ops, ["user_id"], "seq", "at", "typed", keep=500).select("user_id", "event_id", "step")
 
 
 @query("select user_id, arg_max(event_id, (ts, event_id)) as event_id, arg_max(event_type, (ts, event_id)) as event_type from events group by user_id")
@@ -434,12 +426,6 @@ def heading_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.heading_parents(values(spark, _HEADINGS, "doc, pos, level"), ["doc"], "pos", "level").select("doc", "pos", F.col("parent").cast("long").alias("parent"))
 
 
-@query("select * from (values (1, 0, 1, 4), (1, 1, 2, 4), (1, 2, 3, 4), (1, 3, 1, 9)) t(doc, pos, level, page)")
-def outline_first_child(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outline = values(spark, "(1, 0, 1, null), (1, 1, 2, null), (1, 2, 3, 4), (1, 3, 1, 9), (1, 4, 1, null)", "doc, pos, level, page")
-    return ordered.outline_pages(outline, ["doc"], "pos", "level", "page")
-
-
 @query("""
 select event_id, case event_type when 'click' then 'Note' when 'view' then 'Highlight' else 'Text' end as kind, least(greatest((100.0 - greatest(value, 50.0)) / 100.0, 0), 1)::double as y_fraction
 from events where event_type <> 'purchase'
@@ -456,16 +442,6 @@ def dominant_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dominant_turn(chars, ["l_orderkey"], "turn")
 
 
-@query("""select * from (values (1, 'Hello world' || chr(10) || 'Second line', 2), (2, 'x2y', 1)) t(page, text, n_lines)""")
-def line_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    word = lambda text, x, y, page: [(page, c, x + 6 * i, y, x + 6 * i + 6, y + 12) for i, c in enumerate(text)]
-    glyphs = [*word("Hello", 72, 80, 1), *word("world", 106, 80, 1), *word("Second", 72, 100, 1), *word("line", 112, 100, 1), (2, "x", 10, 10, 16, 22), (2, "2", 16, 7, 20, 14), (2, "y", 20, 10, 26, 22)]
-    rows = ", ".join(f"({p}, {i}, '{c}', {x0}d, {y0}d, {x1}d, {y1}d)" for i, (p, c, x0, y0, x1, y1) in enumerate(glyphs))
-    chars = values(spark, rows, "page, i, text, x0, y0, x1, y1").groupBy("page").agg(F.array_sort(F.collect_list(F.struct("i", "text", "x0", "y0", "x1", "y1"))).alias("chars"))
-    lined = chars.withColumn("lines", lines.lines(F.col("chars")))
-    return lined.select("page", lines.text(F.col("chars"), F.col("lines")).alias("text"), F.size("lines").alias("n_lines"))
-
-
 @query("select l_orderkey, min(l_quantity) as x0, min(l_discount) as y0, max(l_extendedprice) as x1, max(l_tax) as y1 from lineitem group by 1")
 def bounding_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").alias("x0"), F.col("l_discount").alias("y0"), F.col("l_extendedprice").alias("x1"), F.col("l_tax").alias("y1"))
@@ -571,15 +547,20 @@ def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", formats.colour(text).alias("colour"))
 
 
-@query("select page_id, array_to_string(list_filter(string_split('word/' || url, '/'), lambda p: p not in ('', '.')), '/') as part from pages where url is not null and not contains(url, '..') and not starts_with(url, '/')")
+@query("""
+with t as (select page_id, case page_id % 3 when 0 then '../media/./' || url when 1 then '/abs/' || url else url || '/../../x' end as t from pages where url is not null)
+select page_id, case when starts_with(t, '/') then substr(t, 2) else array_to_string(list_reduce(list_prepend(['word'], list_transform(string_split(t, '/'), lambda s: [s])),
+  lambda a, x: case when x[1] = '..' then a[1:len(a) - 1] when x[1] in ('', '.') then a else list_concat(a, x) end), '/') end as part from t
+""")
 def resolved_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").where(~F.contains("url", F.lit("..")) & ~F.col("url").startswith("/"))
-    return pages.select("page_id", formats.resolve_path(F.lit("word/"), F.col("url")).alias("part"))
+    k, url = F.col("page_id") % 3, F.col("url")
+    target = F.when(k == 0, F.concat(F.lit("../media/./"), url)).when(k == 1, F.concat(F.lit("/abs/"), url)).otherwise(F.concat(url, F.lit("/../../x")))
+    return table(spark, sf_dir, "pages").where("url is not null").select("page_id", formats.resolve_path(F.lit("word/"), target).alias("part"))
 
 
-@query("select l_orderkey, l_linenumber, case when l_quantity < 50 * (1.0 / 3) then 'previous' when l_quantity > 50 * (1 - 1.0 / 3) then 'next' end as turn from lineitem where l_quantity between 0 and 50")
+@query("select l_orderkey, l_linenumber, case when l_quantity < 0 or l_quantity > 50 then null when l_quantity < 50 * (1.0 / 3) then 'previous' when l_quantity > 50 * (1 - 1.0 / 3) then 'next' end as turn from lineitem")
 def tap_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where("l_quantity between 0 and 50").select("l_orderkey", "l_linenumber", geometry.tap_turn(F.col("l_quantity"), F.lit(50.0)).alias("turn"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", geometry.tap_turn(F.col("l_quantity"), F.lit(50.0)).alias("turn"))
 
 
 # Edits, notes and selections -----------------------------------------------------------------
@@ -629,10 +610,10 @@ def annotation_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editing.topmost(boxes, ["l_orderkey"], "page", 20.0, 5.0)
 
 
-@query("select doc_id, md5((case when ends_with(text, chr(10)) then left(text, length(text) - 1) else text end) || chr(10)) as digest from documents where text is not null and not contains(text, chr(13))")
+@query(f"select doc_id, md5({_UNIX}) as digest from documents where text is not null")
 def convert_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a text file, turned into a package and back."""
-    docs = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("\r")))
+    docs = table(spark, sf_dir, "documents").where("text is not null")
     found = docs.select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"), F.lit("text").alias("format"))
     made = convert.convert(found, "docx").select("path", "content", F.lit("docx").alias("format"))
     back = convert.convert(made, "text")

@@ -8,17 +8,25 @@ import zipfile
 from collections.abc import Iterator
 from xml.parsers import expat
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from quire.functions import formats
+from quire.functions import equations, formats
 from quire.functions import text as T
+from quire.functions.xml import walk
 
 #: Subtrees that hold what is shown elsewhere, or not at all.
 SKIPPED = {"txbxContent", "Fallback"}
 #: Ancestors that each element names.
-NAMED = ("p", "r", "tc", "tr", "tbl", "pPr", "rPr")
+NAMED = ("p", "r", "tc", "tr", "tbl", "pPr", "rPr", "oMath", "oMathPara", "fldSimple", "drawing")
+#: Elements whose text is all of their XML.
+WHOLE = {"pPr", "rPr", "oMath", "oMathPara", "drawing", "tblBorders", "tcBorders", "tblCellMar", "tcMar", "style", "abstractNum", "num"}
+#: An equation that is no part of another one.
+EQUATION = "p is not null and oMath is null and oMathPara is null and name in ('oMath', 'oMathPara')"
+PAGE_BREAK = "[page break]"
 PARTS = "path string, part string, content binary, error string"
 ELEMENTS = "path string, part string, pos int, parent int, name string, attrs map<string,string>, text string, first int, end int, error string, " + ", ".join(f"{n} int" for n in NAMED)
 
@@ -26,7 +34,23 @@ ELEMENTS = "path string, part string, pos int, parent int, name string, attrs ma
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, content, format): every file below a folder, and what its bytes are."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content", formats.sniff(F.col("content")).alias("format"))
+    return files.select("path", "content", formats.sniff(F.col("content"), holds_word97(F.col("content"))).alias("format"))
+
+
+@F.pandas_udf(BooleanType())
+def _holds_word97(content: pd.Series) -> pd.Series:
+    def one(c: bytes | None) -> bool:
+        try:
+            return c is not None and "WordDocument" in compound_streams(c)
+        except (IndexError, struct.error):
+            return False
+
+    return content.map(one).astype(bool)
+
+
+def holds_word97(content: Column) -> Column:
+    """Whether a compound file holds a Word document; only compound files go to Python."""
+    return _holds_word97(F.when(F.hex(F.substring(content, 1, 8)) == "D0CF11E0A1B11AE1", content))
 
 
 def text_files(files: DataFrame) -> DataFrame:
@@ -51,41 +75,41 @@ def package_parts(files: DataFrame) -> DataFrame:
 
 
 def _shred(content: bytes) -> list[tuple]:
-    """Elements of an XML part in order: names without prefixes, their own text, byte span and named ancestors."""
-    parser = expat.ParserCreate(namespace_separator=" ")
-    parser.buffer_text = True
+    """Elements of an XML part in order: names without prefixes, their own text, byte span and named ancestors.
+
+    Of what SKIPPED names only the element itself is there.
+    """
     rows: list[list] = []
     stack: list[int] = []
     near: list[dict] = [dict.fromkeys(NAMED)]
     skip = [0]
-    local = lambda n: n.rpartition(" ")[2]
 
-    def start(name: str, attrs: dict) -> None:
-        name = local(name)
-        if skip[0] or name in SKIPPED:
+    def start(name: str, attrs: dict, first: int) -> None:
+        if skip[0]:
             skip[0] += 1
             return
         pos = len(rows)
-        above = dict(near[-1])
-        rows.append([pos, stack[-1] if stack else None, name, {local(k): v for k, v in attrs.items()}, "", parser.CurrentByteIndex, None, above])
-        if name in NAMED:
-            above = above | {name: pos}
-        near.append(above)
+        rows.append([pos, stack[-1] if stack else None, name, attrs, "", first, None, dict(near[-1])])
         stack.append(pos)
+        near.append(near[-1] | {name: pos} if name in NAMED else near[-1])
+        skip[0] = int(name in SKIPPED)
 
-    def end(name: str) -> None:
+    def end(at: int) -> None:
         if skip[0]:
             skip[0] -= 1
-            return
-        rows[stack.pop()][6] = parser.CurrentByteIndex
+            if skip[0]:
+                return
+        row = rows[stack.pop()]
+        row[6] = at
+        if row[2] in WHOLE:
+            row[4] = content[row[5] : at].decode("utf-8", "replace")
         near.pop()
 
     def chars(data: str) -> None:
         if stack and not skip[0]:
             rows[stack[-1]][4] += data
 
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, chars
-    parser.Parse(content, True)
+    walk(content, start, end, chars)
     return [(*r[:7], *(r[7][n] for n in NAMED)) for r in rows]
 
 
@@ -109,12 +133,15 @@ def elements(parts: DataFrame) -> DataFrame:
 def paragraphs(shredded: DataFrame, part: str = "word/document.xml") -> DataFrame:
     """(path, pos, style_id, kind, style_level, num, level, in_cell, first, end, text) of a document's paragraphs in order.
 
-    Text is that of the runs, with tabs and breaks as characters; notes' and fields' codes are none.
+    Text is that of the runs, with tabs and line breaks as characters and equations on one line; page breaks, notes' and fields' codes are none.
     """
     own = shredded.where((F.col("part") == part) & F.col("error").isNull())
     value = lambda name: F.max(F.when((F.col("name") == name) & F.col("pPr").isNotNull() & F.col("rPr").isNull(), F.element_at("attrs", "val")))
-    shown = F.when(F.col("name") == "t", F.col("text")).when(F.col("name") == "tab", F.lit("\t")).when(F.col("name").isin("br", "cr"), F.lit("\n"))
-    pieces = F.array_sort(F.collect_list(F.when(F.col("r").isNotNull() & F.col("pPr").isNull() & shown.isNotNull(), F.struct("pos", shown.alias("s")))))
+    breaks = F.coalesce(F.element_at("attrs", "type").isin("page", "column"), F.lit(False))
+    shown = F.when(F.col("name") == "t", F.col("text")).when(F.col("name") == "tab", F.lit("\t")).when(F.col("name").isin("br", "cr") & ~breaks, F.lit("\n"))
+    plain = F.col("r").isNotNull() & F.col("pPr").isNull() & F.col("oMath").isNull() & F.col("drawing").isNull() & shown.isNotNull()
+    pieces = F.array_sort(F.collect_list(F.when(plain, F.struct("pos", shown.alias("s"))).when(F.expr(EQUATION), F.struct("pos", F.col("math").alias("s")))))
+    own = own.withColumn("math", equations.equation_text(F.when(F.expr(EQUATION), F.col("text")))["plain"])
     inner = own.where(F.col("p").isNotNull()).groupBy("path", F.col("p").alias("pos")).agg(
         value("pStyle").alias("style_id"), value("numId").try_cast("int").alias("num"), value("ilvl").try_cast("int").alias("_ilvl"), value("outlineLvl").try_cast("int").alias("_outline"),
         F.array_join(F.transform(pieces, lambda x: x["s"]), "").alias("text"),
@@ -128,8 +155,6 @@ def paragraphs(shredded: DataFrame, part: str = "word/document.xml") -> DataFram
 def cells(shredded: DataFrame, part: str = "word/document.xml") -> DataFrame:
     """(path, tbl, row, col, span, text) of table cells: rows and columns counted from 0, paragraphs apart by line ends."""
     own = shredded.where((F.col("part") == part) & F.col("error").isNull())
-    from pyspark.sql import Window
-
     tc = own.where("name = 'tc'").select("path", "tbl", F.col("tr").alias("tr"), F.col("pos").alias("tc"))
     span = own.where("name = 'gridSpan'").select("path", "tc", F.greatest(F.element_at("attrs", "val").try_cast("int"), F.lit(1)).alias("span"))
     body = paragraphs(shredded, part).where("in_cell").groupBy("path", "tc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("text"))
@@ -142,8 +167,6 @@ def styles(shredded: DataFrame) -> DataFrame:
     own = shredded.where("part = 'word/styles.xml' and error is null")
     heads = own.where("name = 'style'").select("path", F.col("pos").alias("style"), F.element_at("attrs", "styleId").alias("style_id"), F.element_at("attrs", "type").alias("kind"))
     # The style that an element is in begins last before it.
-    from pyspark.sql import Window
-
     w = Window.partitionBy("path", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     within = own.withColumn("style", F.last(F.when(F.col("name") == "style", F.col("pos")), ignorenulls=True).over(w)).where("style is not null")
     val = lambda name, attr="val": F.max(F.when(F.col("name") == name, F.element_at("attrs", attr)))
@@ -155,6 +178,14 @@ def styles(shredded: DataFrame) -> DataFrame:
     return heads.join(props, ["path", "style"], "left").drop("style")
 
 
+def all_relationships(shredded: DataFrame) -> DataFrame:
+    """(path, source_part, seq, rel_id, type, target, external) as they stand in every relationships part."""
+    rel = shredded.where("name = 'Relationship' and error is null")
+    source = F.regexp_replace("part", r"_rels/([^/]*)\.rels$", "$1")
+    attr = lambda a: F.element_at("attrs", a)
+    return rel.select("path", source.alias("source_part"), F.col("pos").alias("seq"), attr("Id").alias("rel_id"), attr("Type").alias("type"), attr("Target").alias("target"), F.coalesce(attr("TargetMode") == "External", F.lit(False)).alias("external"))
+
+
 def relationships(shredded: DataFrame) -> DataFrame:
     """(path, source_folder, rel_id, target) of internal relationships, targets as part names."""
     rel = shredded.where("name = 'Relationship'")
@@ -259,26 +290,34 @@ TIFF_TAGS = {256: "width", 257: "height", 258: "bits", 274: "orientation", 282:
 
 
 def tiff_pages(content: bytes) -> list[dict]:
-    """Tags of every page of a classic TIFF; a chain of directories that loops ends."""
+    """Tags of every page of a classic or big TIFF; a chain of directories that loops or leaves the file ends."""
     e = "<" if content[:2] == b"II" else ">"
-    at, pages, seen = struct.unpack_from(e + "I", content, 4)[0], [], set()
-    while at and at not in seen and at + 2 <= len(content):
+    big = struct.unpack_from(e + "H", content, 2)[0] == 43
+    # Counts of entries, an entry's count and offsets: 2, 4 and 4 bytes, or 8 each.
+    entries, word, width = ("Q", "Q", 20) if big else ("H", "I", 12)
+    number = struct.calcsize(e + word)
+    sizes = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 16: ("Q", 8)}
+    at, pages, seen = struct.unpack_from(e + word, content, 8 if big else 4)[0], [], set()
+    while at and at not in seen and at + struct.calcsize(e + entries) <= len(content):
         seen.add(at)
         tags = {}
-        n = struct.unpack_from(e + "H", content, at)[0]
+        n = struct.unpack_from(e + entries, content, at)[0]
+        base = at + struct.calcsize(e + entries)
+        if base + width * n + number > len(content):
+            break
         for k in range(n):
-            tag, kind, count = struct.unpack_from(e + "HHI", content, at + 2 + 12 * k)
-            spot = at + 10 + 12 * k
-            if tag in TIFF_TAGS:
-                if kind == 5:
-                    a, b = struct.unpack_from(e + "II", content, struct.unpack_from(e + "I", content, spot)[0])
-                    tags[TIFF_TAGS[tag]] = a / b if b else 0.0
-                elif kind == 3 and count > 2:
-                    tags[TIFF_TAGS[tag]] = float(struct.unpack_from(e + "H", content, struct.unpack_from(e + "I", content, spot)[0])[0])
-                else:
-                    tags[TIFF_TAGS[tag]] = float(struct.unpack_from(e + ("H" if kind == 3 else "I"), content, spot)[0])
+            spot = base + width * k
+            tag, kind, count = struct.unpack_from(e + "HH" + word, content, spot)
+            if tag in TIFF_TAGS and kind in sizes:
+                form, size = sizes[kind]
+                place = spot + 4 + number
+                if size * count > number:
+                    place = struct.unpack_from(e + word, content, place)[0]
+                if place + size <= len(content):
+                    value = struct.unpack_from(e + form, content, place)
+                    tags[TIFF_TAGS[tag]] = float(value[0]) if len(value) == 1 else value[0] / value[1] if value[1] else 0.0
         pages.append(tags)
-        at = struct.unpack_from(e + "I", content, at + 2 + 12 * n)[0]
+        at = struct.unpack_from(e + word, content, base + width * n)[0]
     return pages
 
 
@@ -301,14 +340,16 @@ def tiff_table(files: DataFrame) -> DataFrame:
 
 # More of word-processor packages -------------------------------------------------------
 
-#: What in a paragraph means that it is kept word for word.
-LOCKING = ["fldChar", "fldSimple", "instrText", "oMath", "oMathPara", "footnoteReference", "endnoteReference", "ins", "del", "moveFrom", "moveTo", "object", "pict", "lastRenderedPageBreak"]
+# Elements in a paragraph that mean that it is kept word for word. A drawing that is just a picture in a run does not.
+LOCKING = [
+    "drawing", "pict", "object", "fldChar", "fldSimple", "oMath", "oMathPara", "footnoteReference", "endnoteReference", "commentReference",
+    "ins", "del", "moveFrom", "moveTo", "sdt", "ruby", "sym", "AlternateContent",
+]
+PICTURE = "http://schemas.openxmlformats.org/drawingml/2006/picture"
 
 
 def _within(shredded: DataFrame, head: str) -> DataFrame:
     """Elements with ``at``: the position of the last ``head`` element that begins before or with each."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("path", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return shredded.withColumn("at", F.last(F.when(F.col("name") == head, F.col("pos")), ignorenulls=True).over(w))
 
@@ -347,8 +388,6 @@ def note_references(shredded: DataFrame) -> DataFrame:
 
 def sections(shredded: DataFrame) -> DataFrame:
     """(path, section, width, height, top, right, bottom, left) in points; what a section leaves out is that of the one before."""
-    from pyspark.sql import Window
-
     own = _within(shredded.where("part = 'word/document.xml' and error is null"), "sectPr").where("at is not null")
     attr = lambda name, a: formats.twips(F.max(F.when(F.col("name") == name, F.element_at("attrs", a))))
     names = {"width": ("pgSz", "w"), "height": ("pgSz", "h"), **{m: ("pgMar", m) for m in ("top", "right", "bottom", "left")}}
@@ -359,7 +398,130 @@ def sections(shredded: DataFrame) -> DataFrame:
 
 
 def locked_paragraphs(shredded: DataFrame) -> DataFrame:
-    """(path, pos) of paragraphs that are kept word for word: fields, equations, notes, tracked changes, objects, page breaks."""
+    """(path, pos) of paragraphs that are kept word for word: fields, equations, notes, tracked changes, objects, page breaks, drawings but pictures."""
     body = shredded.where("part = 'word/document.xml' and error is null and p is not null")
     breaks = (F.col("name") == "br") & F.element_at("attrs", "type").isin("page", "column")
-    return body.where(F.col("name").isin(*LOCKING) | breaks).select("path", F.col("p").alias("pos")).distinct()
+    picture = (F.col("parent") == F.col("r")) & F.contains("text", F.lit(f'"{PICTURE}"')) & F.contains("text", F.lit(":embed=")) & ~F.contains("text", F.lit("txbxContent"))
+    locking = F.col("name").isin(*LOCKING) & ~((F.col("name") == "drawing") & F.coalesce(picture, F.lit(False)))
+    inside = F.col("drawing").isNull()
+    return body.where(inside & (locking | breaks)).select("path", F.col("p").alias("pos")).distinct()
+
+
+def items(shredded: DataFrame) -> DataFrame:
+    """(path, item, pos, name, kind, n_blocks, first, end) of what a document's body holds, in order.
+
+    Kinds are paragraph, locked, table and other. A span goes on to where the next one begins, so that
+    all spans together are the body. n_blocks counts the paragraphs in it.
+    """
+    own = shredded.where("part = 'word/document.xml' and error is null")
+    body = own.where("name = 'body'").select("path", F.col("pos").alias("parent"))
+    tops = own.join(body, ["path", "parent"]).select("path", "pos", "name", "first", "end")
+    locked = locked_paragraphs(shredded).withColumn("locked", F.lit(True))
+    kind = F.when(F.col("name") == "tbl", "table").when(F.col("name") != "p", "other").when(F.col("locked"), "locked").otherwise("paragraph")
+    w = Window.partitionBy("path").orderBy("pos")
+    placed = tops.join(locked, ["path", "pos"], "left").withColumns({"item": F.row_number().over(w) - 1, "last": F.coalesce(F.lead("first").over(w), "end"), "next": F.lead("pos").over(w)})
+    marks = own.where("name = 'p'").select("path", F.col("pos").alias("_p"))
+    within = _as_of(placed.select("path", "pos"), marks).groupBy("path", "pos").agg(F.count(F.lit(1)).alias("n_blocks"))
+    counted = placed.join(within, ["path", "pos"], "left")
+    return counted.select("path", "item", "pos", "name", kind.alias("kind"), F.coalesce("n_blocks", F.lit(0)).cast("int").alias("n_blocks"), "first", F.col("last").alias("end"))
+
+
+def _as_of(tops: DataFrame, marks: DataFrame) -> DataFrame:
+    """(path, pos): for each mark (path, _p) the last of ``tops`` that begins before or with it."""
+    both = tops.select("path", F.col("pos").alias("_at"), F.lit(0).alias("_kind"), "pos").unionByName(marks.select("path", F.col("_p").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("pos")))
+    w = Window.partitionBy("path").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("pos", F.last("pos", ignorenulls=True).over(w)).where("_kind = 1 and pos is not null").select("path", "pos")
+
+
+def runs(shredded: DataFrame, part: str = "word/document.xml") -> DataFrame:
+    """(path, p, pos, text, bold, italic, underline, highlight, hidden, caps, props, field, math, foot, note_id, placeholder) of runs in order of pos.
+
+    ``p`` is the run's paragraph and ``props`` the XML in its properties. Tabs and breaks are characters;
+    equations and page breaks are runs of their own, with placeholder set. ``field`` is page or pages for
+    runs of a field that shows them; fields in fields are not told apart.
+    """
+    own = shredded.where((F.col("part") == part) & F.col("error").isNull() & F.col("p").isNotNull() & F.col("pPr").isNull())
+    plain = own.where("r is not null and oMath is null and drawing is null")
+    value, kind = F.element_at("attrs", "val"), F.element_at("attrs", "type")
+    code = F.conv(F.element_at("attrs", "char"), 16, 10).cast("long")
+    symbol = F.char(F.when(code.between(0xF000, 0xF0FF), code - 0xF000).otherwise(code))
+    is_break = (F.col("name") == "br") & F.coalesce(kind.isin("page", "column"), F.lit(False))
+    shown = (
+        F.when(F.col("name") == "t", F.col("text")).when(F.col("name") == "tab", F.lit("\t")).when(F.col("name") == "noBreakHyphen", F.lit("\u2011")).when(F.col("name") == "sym", symbol)
+        .when(F.col("name").isin("footnoteReference", "endnoteReference"), F.lit("*")).when(F.col("name").isin("br", "cr") & ~is_break, F.lit("\n"))
+    )
+    pieces = F.array_sort(F.collect_list(F.when(shown.isNotNull(), F.struct("pos", shown.alias("s")))))
+    flag = lambda name, on: F.coalesce(F.max(F.when((F.col("name") == name) & F.col("rPr").isNotNull(), on)), F.lit(False))
+    toggled, said = formats.toggle(value), F.coalesce(value != "none", F.lit(False))
+    note = lambda c: F.max(F.when(F.col("name").isin("footnoteReference", "endnoteReference"), c))
+    of_run = plain.groupBy("path", "p", F.col("r").alias("pos")).agg(
+        F.array_join(F.transform(pieces, lambda x: x["s"]), "").alias("text"), flag("b", toggled).alias("bold"), flag("i", toggled).alias("italic"), flag("u", said).alias("underline"), flag("highlight", said).alias("highlight"),
+        flag("vanish", toggled).alias("hidden"), flag("caps", toggled).alias("caps"), F.max(F.when(F.col("name") == "rPr", F.regexp_replace("text", r"(?s)^<[^>]*>|</[^>]*>$", ""))).alias("props"),
+        note(F.col("name") == "footnoteReference").alias("foot"), note(F.element_at("attrs", "id").try_cast("int")).alias("note_id"),
+        F.max(F.when(is_break, F.lit(True))).alias("breaks"), F.max(F.when(F.col("name") == "fldChar", F.element_at("attrs", "fldCharType"))).alias("mark"),
+        F.max(F.when(F.col("name") == "instrText", F.col("text"))).alias("instr"), F.max("fldSimple").alias("simple"),
+    )
+    simple = own.where("name = 'fldSimple'").select("path", F.col("pos").alias("simple"), F.element_at("attrs", "instr").alias("_simple"))
+    w = Window.partitionBy("path", "p").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    state = F.last(F.when(F.col("mark").isNotNull(), F.col("mark")), ignorenulls=True).over(w)
+    code_of = F.last(F.when(F.col("instr").isNotNull(), F.col("instr")), ignorenulls=True).over(w)
+    fielded = of_run.join(simple, ["path", "simple"], "left").withColumns({"_state": state, "_code": code_of})
+    field = formats.field_kind(F.coalesce("_simple", F.when(F.col("_state") == "separate", F.col("_code"))))
+    texts = fielded.where(F.length("text") > 0).select("path", "p", "pos", "text", "bold", "italic", "underline", "highlight", "hidden", "caps", F.coalesce("props", F.lit("")).alias("props"), field.alias("field"), F.lit(None).cast("string").alias("math"), "foot", "note_id", F.lit(False).alias("placeholder"))
+    no = F.lit(False)
+    bare = lambda df, text, math: df.select("path", "p", "pos", text.alias("text"), *[no.alias(n) for n in ("bold", "italic", "underline", "highlight", "hidden", "caps")], F.lit("").alias("props"), F.lit(None).cast("string").alias("field"), math.alias("math"), F.lit(None).cast("boolean").alias("foot"), F.lit(None).cast("int").alias("note_id"), F.lit(True).alias("placeholder"))
+    breaks = bare(of_run.where("breaks"), F.lit(PAGE_BREAK), F.lit(None).cast("string"))
+    maths = own.where(F.expr(EQUATION)).withColumn("_m", equations.equation_text(F.col("text")))
+    return texts.unionByName(breaks).unionByName(bare(maths, F.col("_m.plain"), F.col("_m.markup")))
+
+
+def borders(shredded: DataFrame, name: str = "tblBorders") -> DataFrame:
+    """(path, part, pos, edge, colour, width): lines that border sets name; a line that is explicitly none has a null width. Widths are points."""
+    sets = shredded.where((F.col("name") == name) & F.col("error").isNull()).select("path", "part", F.col("pos").alias("parent"))
+    lines = shredded.join(sets, ["path", "part", "parent"])
+    edge = F.when(F.col("name") == "start", "left").when(F.col("name") == "end", "right").otherwise(F.col("name"))
+    kind = F.coalesce(F.element_at("attrs", "val"), F.lit(""))
+    there = ~kind.isin("nil", "none", "")
+    width = F.greatest(F.coalesce(F.element_at("attrs", "sz").try_cast("double"), F.lit(4.0)) / 8, F.lit(0.25))
+    shown = lines.select("path", "part", F.col("parent").alias("pos"), edge.alias("edge"), F.when(there, F.coalesce(formats.colour(F.element_at("attrs", "color")), F.lit(0))).alias("colour"), F.when(there, width).alias("width"))
+    return shown.where(F.col("edge").isin("top", "left", "bottom", "right", "insideH", "insideV"))
+
+
+def cell_margins(shredded: DataFrame, name: str = "tblCellMar") -> DataFrame:
+    """(path, part, pos, top, right, bottom, left) in points of margin sets, null where a set is silent."""
+    sets = shredded.where((F.col("name") == name) & F.col("error").isNull()).select("path", "part", F.col("pos").alias("parent"))
+    inner = shredded.join(sets, ["path", "part", "parent"])
+    side = lambda *names: formats.twips(F.max(F.when(F.col("name").isin(*names), F.element_at("attrs", "w"))))
+    return inner.groupBy("path", "part", F.col("parent").alias("pos")).agg(side("top").alias("top"), side("right", "end").alias("right"), side("bottom").alias("bottom"), side("left", "start").alias("left"))
+
+
+def content_types(shredded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((path, name, type) of parts named one by one, (path, ext, type) by extension)."""
+    own = shredded.where("part = '[Content_Types].xml' and error is null")
+    attr = lambda a: F.element_at("attrs", a)
+    by_name = own.where("name = 'Override'").select("path", F.regexp_replace(attr("PartName"), "^/", "").alias("name"), attr("ContentType").alias("type"))
+    by_ext = own.where("name = 'Default'").select("path", F.lower(attr("Extension")).alias("ext"), attr("ContentType").alias("type"))
+    return by_name, by_ext
+
+
+def drawings(shredded: DataFrame, part: str = "word/document.xml") -> DataFrame:
+    """(path, p, pos, kind, rel_id, cx, cy, shape, h_from, v_from, h_offset, v_offset, h_align, v_align, behind, wrapped) of drawings.
+
+    Kinds are picture, textbox and shape; offsets are EMU. Inline ones have no anchor: their frames are null.
+    """
+    own = shredded.where((F.col("part") == part) & F.col("error").isNull())
+    heads = own.where("name = 'drawing'").select("path", "p", "pos", F.contains("text", F.lit("txbxContent")).alias("_box"))
+    inner = own.where("drawing is not null").withColumn("_up", F.col("parent"))
+    names = own.where("drawing is not null").select("path", F.col("pos").alias("_up"), F.col("name").alias("up"))
+    near = inner.join(names, ["path", "_up"], "left")
+    attr = lambda name, a: F.max(F.when(F.col("name") == name, F.element_at("attrs", a)))
+    under = lambda name, up: F.max(F.when((F.col("name") == name) & (F.col("up") == up), F.trim("text")))
+    read = near.groupBy("path", F.col("drawing").alias("pos")).agg(
+        attr("blip", "embed").alias("rel_id"), attr("extent", "cx").try_cast("long").alias("cx"), attr("extent", "cy").try_cast("long").alias("cy"), attr("prstGeom", "prst").alias("shape"),
+        attr("positionH", "relativeFrom").alias("h_from"), attr("positionV", "relativeFrom").alias("v_from"), under("posOffset", "positionH").try_cast("long").alias("h_offset"), under("posOffset", "positionV").try_cast("long").alias("v_offset"),
+        under("align", "positionH").alias("h_align"), under("align", "positionV").alias("v_align"), F.coalesce(attr("anchor", "behindDoc").isin("1", "true"), F.lit(False)).alias("behind"),
+        F.bool_or(F.col("name").isin("wrapSquare", "wrapTight", "wrapThrough", "wrapTopAndBottom")).alias("wrapped"),
+    )
+    joined = heads.join(read, ["path", "pos"], "left")
+    kind = F.when(F.col("_box"), "textbox").when(F.col("rel_id").isNotNull(), "picture").otherwise("shape")
+    return joined.select("path", "p", "pos", kind.alias("kind"), *[c for c in read.columns if c not in ("path", "pos")])

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from quire.functions import geometry
+from quire.functions import geometry, xml
 from quire.operators import editing as E
 from quire.operators import lines as L
 
@@ -30,7 +30,7 @@ def test_predicates(spark):
         E.page_header(b, F.lit("own"), F.lit("first"), F.lit(None)).alias("d"), E.page_header(b, F.lit("own"), F.lit("first"), F.lit("f")).alias("e"),
         E.floats(~b, b, F.lit("paragraph")).alias("f"), E.floats(~b, b, F.lit("margin")).alias("g"),
         E.has_borders(F.expr("map('top', cast(null as int), 'left', 1)")).alias("h"), E.has_borders(F.expr("map('top', cast(null as int))")).alias("i"),
-        E.without_elements(F.lit('<w:p><w:numPr w:x="1"><w:a/></w:numPr>t<w:numPr/></w:p>'), "numPr").alias("j"),
+        xml.without_elements(F.lit('<w:p><w:numPr w:x="a>b"><w:numPr>in</w:numPr>s</w:numPr>t<w:numPr/></w:p>'), "numPr").alias("j"),
         E.over_text(F.expr("array(named_struct('x0', 0d, 'y0', 0d, 'x1', 1d, 'y1', 1d))"), F.lit(1.0), F.lit(0.5)).alias("k"), E.reading_fraction(F.lit(5.0), F.lit(10.0), F.lit(20.0)).alias("l"),
     ).first()
     assert tuple(row) == (True, False, False, "own", "first", False, True, True, False, "<w:p>t</w:p>", True, 0.0)
