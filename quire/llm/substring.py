@@ -4,8 +4,8 @@ Every window of a fixed number of words has a Rabin-Karp hash; hashes are counte
 windows that repeat merge into maximal removal intervals. Only windows that can repeat are sent
 to be counted: a window's smallest hash of ``GRAM`` consecutive words is the same wherever the
 window is, so a window whose smallest one stands at one place only is counted as one where it is.
-Windows are compared by two hashes of 64 bits each with different bases: among 10^13 windows two
-different ones share both with a chance below 10^-12.
+Windows are compared by two hashes of 64 and 32 bits: that any two of 10^13 different windows
+share both has a chance below 10^-3.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ def _windows(window: int):
                 row = np.repeat(row, size)
                 at = pa.array(row + b.lo)
                 place = w.first[row] + start
-                yield pa.RecordBatch.from_arrays([pa.array(h[place].view(np.int64)), pa.array(check[place].view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32))], ["hash", "check", "_q_id", "_q_text", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[place].view(np.int64)), pa.array((check[place] >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32))], ["hash", "check", "_q_id", "_q_text", "start"])
 
     return run
 
@@ -135,7 +135,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, doc_id: str = "doc_id", te
     discard(runs, shared)
 
     met = rows.join(some, key(rows, some)).select(rows["_q_id"], rows["_q_text"], "text", "runs")
-    windows = saved(met.mapInArrow(_windows(window), f"hash long, check long, _q_id {kind}, _q_text long, start int"), "windows")
+    windows = saved(met.mapInArrow(_windows(window), f"hash long, check int, _q_id {kind}, _q_text long, start int"), "windows")
     discard(some)
     twice = saved(windows.groupBy("hash", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "check"), "twice")
     gone = saved(windows.join(twice, ["hash", "check"], "left_semi").groupBy("_q_id", "_q_text").agg(F.collect_set("start").alias("starts")), "gone")
