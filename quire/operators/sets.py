@@ -53,6 +53,39 @@ def save_diff(old: DataFrame, new: DataFrame, keys: list[str], pos: str, text: s
     return both.select(*keys, "pos", action.alias("action"))
 
 
+def editor_lines(lines: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, line, action, item): what each line of an editor (origins, locked_item, kind, level, look) is saved as, from a document's paragraphs (item, kind, level, look).
+
+    Origins are the items that left their mark on a line; ``look`` compares runs. A locked item is kept
+    once, however many lines it takes. A line like one of its origins keeps it. A line that is not, above
+    an unmarked line that is like its last origin, came of Enter at a paragraph's start: it is new, and
+    the next line keeps that item. Other lines are made anew (para) from their last origin; a list item
+    without one carries on from the list item before it.
+    """
+    w = Window.partitionBy(*keys).orderBy("line")
+    kind = lambda p="": F.struct(*[F.col(p + c) for c in ("kind", "level", "look")])
+    known = items.select(*keys, "item", kind().alias("_like"))
+    marks = lines.select(*keys, "line", kind().alias("_own"), F.posexplode("origins").alias("_at", "item")).join(known, [*keys, "item"])
+    same = F.min_by("item", F.when(F.col("_like").eqNullSafe(F.col("_own")), F.col("_at")))
+    of_line = marks.groupBy(*keys, "line").agg(same.alias("_same"), F.max_by(F.struct("item", "_like"), "_at").alias("_last"))
+    free = F.col("locked_item").isNull()
+    known_lines = lines.withColumn("_own", kind()).join(of_line, [*keys, "line"], "left")
+    unmarked = F.coalesce(F.size("origins"), F.lit(0)) <= 0
+    enters = free & F.col("_same").isNull() & F.col("_last").isNotNull() & F.lead(unmarked & free).over(w) & F.lead("_own").over(w).eqNullSafe(F.col("_last._like"))
+    entered = known_lines.withColumn("_enters", F.coalesce(enters, F.lit(False)))
+    claimed = entered.withColumn("_claimed", F.when(F.lag("_enters").over(w), F.lag("_last.item").over(w)))
+    own = F.when(~F.col("_enters"), F.coalesce("_claimed", "_same", "_last.item"))
+    in_list = F.coalesce(F.col("kind") == "list", F.lit(False)) & free
+    run = F.sum(F.when(in_list | F.col("_enters"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    runs = claimed.withColumns({"_base": own, "_run": run, "_list": in_list})
+    carried = F.last(F.when(F.col("_list"), F.col("_base")), ignorenulls=True).over(Window.partitionBy(*keys, "_run").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    again = F.coalesce(F.lag("locked_item").over(w) == F.col("locked_item"), F.lit(False))
+    decided = runs.withColumns({"_carried": carried, "_again": again}).where(free | ~F.col("_again"))
+    kept = F.coalesce("locked_item", "_claimed", F.when(~F.col("_enters"), F.col("_same")))
+    base = F.when(~F.col("_enters"), F.coalesce("_base", F.when(F.col("_list"), F.col("_carried"))))
+    return decided.select(*keys, "line", F.when(kept.isNotNull(), "keep").otherwise("para").alias("action"), F.coalesce(kept, base).alias("item"))
+
+
 def fold_page_edits(edits: DataFrame, keys: list[str], seq: str, n_pages: Column) -> DataFrame:
     """(keys, pages): page numbers and turns after a log of move, delete and rotate, in order.
 

@@ -106,8 +106,8 @@ def merge(found: DataFrame) -> DataFrame:
     key = F.to_json(F.struct(*_FILE))
     names = found.select(*_FILE, key.alias("path"))
     known = lambda df: df.join(F.broadcast(names) if False else names, "path").drop("path")
-    raw = files.package_parts(found.select(key.alias("path"), "content", F.lit("docx").alias("format")))
-    shred = files.elements(raw)
+    packed = found.select(key.alias("path"), "content", F.lit("docx").alias("format"))
+    raw, shred = files.package_parts(packed), files.shredded_packages(packed)
     parts, shredded, items = known(raw.where("error is null")), known(shred), known(files.items(shred))
     rels = known(files.all_relationships(shred))
     bodies = _bodies(parts, items.where("file_no > 0"))

@@ -42,7 +42,7 @@ def _packages(docs: DataFrame, **parts: Column) -> DataFrame:
 
 
 def _shredded(found: DataFrame) -> DataFrame:
-    return files.elements(files.package_parts(found))
+    return files.shredded_packages(found)
 
 
 def _text(t: Column) -> Column:

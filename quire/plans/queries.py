@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -615,6 +616,6 @@ def convert_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a text file, turned into a package and back."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
     found = docs.select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"), F.lit("text").alias("format"))
-    made = convert.convert(found, "docx").select("path", "content", F.lit("docx").alias("format"))
+    made = convert.convert(found, "docx").select("path", "content", F.lit("docx").alias("format")).persist(StorageLevel.DISK_ONLY)  # as files between two programs
     back = convert.convert(made, "text")
     return back.select(F.col("path").cast("long").alias("doc_id"), F.md5("content").alias("digest"))

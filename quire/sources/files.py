@@ -10,6 +10,7 @@ from xml.parsers import expat
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -130,6 +131,14 @@ def elements(parts: DataFrame) -> DataFrame:
     return parts.where("error is null and (part like '%.xml' or part like '%.rels')").select("path", "part", "content").mapInArrow(run, ELEMENTS)
 
 
+def shredded_packages(files: DataFrame) -> DataFrame:
+    """``elements`` of packages, kept on disk: plans that read them in several places parse each file once.
+
+    What is kept goes with ``unpersist``, or with the session; a lost executor's part is parsed again.
+    """
+    return elements(package_parts(files)).persist(StorageLevel.DISK_ONLY)
+
+
 def paragraphs(shredded: DataFrame, part: str = "word/document.xml") -> DataFrame:
     """(path, pos, style_id, kind, style_level, num, level, in_cell, first, end, text) of a document's paragraphs in order.
 

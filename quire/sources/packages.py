@@ -136,7 +136,7 @@ def save(found: DataFrame, out: DataFrame) -> DataFrame:
     ``xml``. What does not show, such as bookmarks, goes before the item that it stood before, once; that of
     items that are gone comes after all others, and what stood last, such as section properties, ends the body.
     """
-    shredded = files.elements(files.package_parts(found))
+    shredded = files.shredded_packages(found)
     body_items = files.items(shredded)
     shows = (F.col("n_blocks") > 0) | F.col("kind").isin("paragraph", "locked", "table")
     owned = ordered.owner_of_hidden(body_items, ["path"], "item", shows).withColumn("shows", shows)
