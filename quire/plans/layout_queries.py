@@ -703,3 +703,18 @@ def page_edits_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("seq"), F.element_at(F.array(*map(F.lit, ["move", "rotate", "delete"])), (n % 3 + 1).cast("int")).alias("op"), (n % 4).cast("int").alias("page"), F.when(n % 3 == 1, (n % 3 + 1) * 90).otherwise(n % 3).cast("int").alias("arg"))
     shown = F.array_join(F.transform("pages", lambda p: F.concat_ws(":", p["page"], p["turn"])), ",")
     return sets.fold_page_edits(edits, ["user_id"], "seq", F.lit(3)).select("user_id", shown.alias("pages"))
+
+
+@query("""
+with l as (select conv_id, turn, role, row_number() over (partition by conv_id order by turn) - 1 as k from conversations)
+select conv_id, k as line, case when role = 'system' or (role = 'user' and k > 0) then 'keep' else 'para' end as action, k as item from l
+""")
+def editor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as an editor's lines: systems' are locked, users' are as they were but for the first line, assistants' are changed."""
+    k = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    turns = table(spark, sf_dir, "conversations").withColumn("k", k)
+    kind = F.when(F.col("role") == "assistant", "list").otherwise("normal")
+    items = turns.select("conv_id", F.col("k").alias("item"), kind.alias("kind"), F.lit(0).alias("level"), F.md5("text").alias("look"))
+    changed = (F.col("role") == "assistant") | (F.col("k") == 0)
+    lines_ = turns.select("conv_id", F.col("k").alias("line"), F.array("k").alias("origins"), F.when(F.col("role") == "system", F.col("k")).alias("locked_item"), kind.alias("kind"), F.lit(0).alias("level"), F.md5(F.concat("text", F.when(changed, "+").otherwise(""))).alias("look"))
+    return sets.editor_lines(lines_, items, ["conv_id"]).select("conv_id", F.col("line").cast("long").alias("line"), "action", F.col("item").cast("long").alias("item"))

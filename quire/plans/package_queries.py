@@ -8,12 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.functions import equations
+from quire.functions import formats
 from quire.functions import xml as X
 from quire.operators import lookup, ordered
 from quire.plans import merge
 from quire.plans.queries import _PAGES_SQL, _pages, query, table
-from quire.sources import files, packages, sinks
+from quire.sources import files, packages, sinks, word97
 
 _W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 _M = 'xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"'
@@ -354,3 +354,26 @@ def merge_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = files.paragraphs(_shredded(joined.select(F.col("job").cast("string").alias("path"), "content", F.lit("docx").alias("format"))))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda p: p["text"]), "\n")
     return back.groupBy("path").agg(F.md5(text).alias("digest")).select(F.col("path").cast("long").alias("conv_id"), "digest")
+
+
+@query("select doc_id, 'doc' as format, md5(replace(coalesce(text, ''), chr(13), chr(10))) as digest from documents")
+def word97_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a Word 97 file in its container, told by its streams and read back through its piece table."""
+    made = word97.text_documents(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"), "path", "text")
+    found = made.withColumn("format", formats.sniff(F.col("content"), files.holds_word97(F.col("content"))))
+    read = files.word97_texts(found).join(found.select("path", "format"), "path")
+    return read.select(F.col("path").cast("long").alias("doc_id"), "format", F.md5("text").alias("digest"))
+
+
+@query("""
+select p_partkey, case when p_size % 3 > 0 then p_size % 2 end::int as bold, p_size::int as half_points, case when p_size % 5 = 0 then (p_partkey % 17)::int end as colour, null::int as italic, 3 + (p_size % 5 = 0)::int + (p_size % 3 > 0)::int as n from part
+""")
+def word97_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Property changes, applied in order: the last of each wins; a table's long one is skipped, one that is cut off ends them."""
+    n, k = F.col("p_size"), F.col("p_partkey")
+    size = lambda v: F.concat(F.lit("434A"), _le(v.cast("long"), 2))
+    bold = F.when(n % 3 > 0, F.concat(F.lit("3508"), _le((n % 2).cast("long"), 1))).otherwise("")
+    colour = F.when(n % 5 == 0, F.concat(F.lit("422A"), _le(k % 17, 1))).otherwise("")
+    data = F.unhex(F.concat(size(F.lit(99)), bold, F.lit("15C603AABBCC"), colour, size(n), F.lit("3608")))
+    found = table(spark, sf_dir, "part").select("p_partkey", word97.property_changes(data).alias("c"))
+    return found.select("p_partkey", word97.character_properties(F.col("c")).alias("p"), F.size("c").alias("n")).select("p_partkey", "p.bold", "p.half_points", "p.colour", "p.italic", "n")
