@@ -169,12 +169,23 @@ def topmost(annots: DataFrame, keys: list[str], pos: str, x: float, y: float) ->
     return held.groupBy(*keys).agg(F.max(pos).alias(pos))
 
 
-def selection(pages: DataFrame, page: str, n_chars: str, start: tuple[int, int], end: tuple[int, int]) -> DataFrame:
-    """Adds from and to: the part of each page between two (page, caret) places; pages with nothing of it go."""
-    (p0, c0), (p1, c1) = sorted([start, end])
-    begin = F.when(F.col(page) == p0, F.lit(c0)).otherwise(0)
-    stop = F.when(F.col(page) == p1, F.least(F.lit(c1), F.col(n_chars))).otherwise(F.col(n_chars))
-    return pages.where(F.col(page).between(p0, p1)).withColumns({"from": begin, "to": stop}).where(F.col("from") < F.col("to"))
+def selection(pages: DataFrame, page: str, n_chars: str, start: tuple[int | Column, int | Column], end: tuple[int | Column, int | Column], text: str | None = None) -> DataFrame:
+    """Adds from and to (and selected, the part of ``text``): the part of each page between two (page, caret) places, in either order; pages with nothing of it go."""
+    place = lambda p: F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast("long").alias(n) for n, v in zip(("page", "caret"), p, strict=True)])
+    a, z = place(start), place(end)
+    both = pages.withColumns({"_first": F.least(a, z), "_last": F.greatest(a, z)})
+    begin = F.when(F.col(page) == F.col("_first.page"), F.col("_first.caret")).otherwise(0)
+    stop = F.when(F.col(page) == F.col("_last.page"), F.least(F.col("_last.caret"), F.col(n_chars))).otherwise(F.col(n_chars))
+    held = both.where(F.col(page).between(F.col("_first.page"), F.col("_last.page"))).withColumns({"from": begin.cast("int"), "to": stop.cast("int")}).where(F.col("from") < F.col("to"))
+    if text is not None:
+        held = held.withColumn("selected", F.substring(F.col(text), F.col("from") + 1, F.col("to") - F.col("from")))
+    return held.drop("_first", "_last")
+
+
+def selected_text(selected: DataFrame, keys: list[str], page: str) -> DataFrame:
+    """(keys, text): the selected parts of the pages, a line end between any two."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.col("selected").alias("t"))))
+    return selected.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda s: s["t"]), "\n").alias("text"))
 
 
 def reading_fraction(y: Column, top: Column, height: Column) -> Column:

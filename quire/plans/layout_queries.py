@@ -718,3 +718,16 @@ def editor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = (F.col("role") == "assistant") | (F.col("k") == 0)
     lines_ = turns.select("conv_id", F.col("k").alias("line"), F.array("k").alias("origins"), F.when(F.col("role") == "system", F.col("k")).alias("locked_item"), kind.alias("kind"), F.lit(0).alias("level"), F.md5(F.concat("text", F.when(changed, "+").otherwise(""))).alias("look"))
     return sets.editor_lines(lines_, items, ["conv_id"]).select("conv_id", F.col("line").cast("long").alias("line"), "action", F.col("item").cast("long").alias("item"))
+
+
+@query("""
+with s as (select conv_id, turn, text, greatest(conv_id % 3, 0) as a, 2 + conv_id % 2 as b from conversations where text is not null
+), p as (select *, case when turn = least(a, b) then case when a <= b then 3 else 12 end else 0 end as f, case when turn = greatest(a, b) then least(case when a <= b then 12 else 3 end, length(text)) else length(text) end as t from s where turn between least(a, b) and greatest(a, b))
+select conv_id, md5(string_agg(substr(text, (f + 1)::int, (t - f)::int), chr(10) order by turn)) as digest from (select * from p where a <> b union all select * exclude (f, t), 3, least(12, length(text)) from p where a = b) where f < t group by conv_id
+""")
+def selected_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is selected from a place on one turn to a place on another, which depend on the conversation."""
+    pages = table(spark, sf_dir, "conversations").where("text is not null").withColumn("n", F.length("text"))
+    conv = F.col("conv_id")
+    held = editing.selection(pages, "turn", "n", (conv % 3, 3), (conv % 2 + 2, 12), "text")
+    return editing.selected_text(held, ["conv_id"], "turn").select("conv_id", F.md5("text").alias("digest"))

@@ -172,3 +172,17 @@ def test_pictures_and_tables_as_xml(spark):
     table = packages.table_xml(cells, ["t"], 100.0).first().xml
     assert '<w:tblW w:w="2000"' in table and table.count("<w:gridCol") == 2 and '<w:gridSpan w:val="2"/><w:shd w:val="clear" w:color="auto" w:fill="AABB00"/>' in table and "<w:vMerge/>" in table and "a&lt;b" in table
     assert table.count("<w:tc>") == 3 and table.count("<w:p>") == 3  # the short row is filled out
+
+
+def test_new_packages_have_styles_lists_and_paper(spark):
+    rows = spark.createDataFrame([("a", 0, "Almanac", "title", 0, None), ("a", 1, "Spring", "heading", 3, None), ("a", 2, "sow", "list", 1, 1), ("a", 3, "wait", "quote", 0, None), ("a", 4, "plain", "normal", 0, None)], "path string, pos int, text string, kind string, level int, num int")
+    made = sinks.packages(rows, ["path"], "letter").withColumn("format", F.lit("docx"))
+    shredded = files.elements(files.package_parts(made))
+    back = files.paragraphs(shredded).orderBy("pos").collect()
+    assert [(r.text, r.kind, r.style_level, r.num, r.level) for r in back] == [("Almanac", "title", 0, None, None), ("Spring", "heading", 3, None, None), ("sow", "list", 0, 1, 1), ("wait", "quote", 0, None, None), ("plain", "normal", 0, None, None)]
+    named = {r.style_id: r for r in files.styles(shredded).collect()}
+    assert {r.style_id for r in back if r.style_id} <= set(named) and named["Heading3"].size == 12.0 and named["Heading3"].based_on == "Normal"
+    assert [(r.width, r.height, r.left) for r in files.sections(shredded).collect()] == [(612.0, 792.0, 72.0)]
+    assert {r.num for r in files.list_levels(shredded).where("format = 'bullet'").collect()} == {1}
+    by_name, _ = files.content_types(shredded)
+    assert {r.name for r in by_name.collect()} == {"word/document.xml", "word/styles.xml", "word/numbering.xml"} <= set(names(bytes(made.first().content)))
