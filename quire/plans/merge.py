@@ -105,7 +105,7 @@ def merge(found: DataFrame) -> DataFrame:
     """(job, content): the packages (job, file_no from 0, content) of each job as one, each later one on a new page."""
     key = F.to_json(F.struct(*_FILE))
     names = found.select(*_FILE, key.alias("path"))
-    known = lambda df: df.join(F.broadcast(names) if False else names, "path").drop("path")
+    known = lambda df: df.join(names, "path").drop("path")
     packed = found.select(key.alias("path"), "content", F.lit("docx").alias("format"))
     raw, shred = files.package_parts(packed), files.shredded_packages(packed)
     parts, shredded, items = known(raw.where("error is null")), known(shred), known(files.items(shred))
