@@ -37,20 +37,21 @@ def test_find_next_wraps_with_the_start_last(spark):
     assert search.search(pages, "text", "  ").count() == 0
 
 
-def test_containment_in_several_passes(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "One two three"), (2, "deﬁned here"), (3, None)], "doc_id int, text string")
+def test_containment_whatever_the_runs(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "One two three"), (2, "deﬁned here"), (3, None), (3, "")], "doc_id int, text string")
     queries = spark.createDataFrame([(1, "TWO"), (2, "defined"), (3, " "), (4, None), (5, "e")], "item_id int, q string")
     want = [(1, 1), (1, 5), (2, 2), (2, 5)]
     assert rows(search.containment(docs, queries, "doc_id", "text", "item_id", "q")) == want
-    monkeypatch.setattr(search, "QUERIES_A_PASS", 2)
+    monkeypatch.setattr(search, "GRAM", 2)  # longer queries are filed under one of their runs
     assert rows(search.containment(docs, queries, "doc_id", "text", "item_id", "q")) == want
+    assert rows(search.containment(docs, queries.limit(0), "doc_id", "text", "item_id", "q")) == []
 
 
 def test_texts(spark):
-    text = "First line\n\tIndented\n\nAfter a blank\r\n"
+    text = "Salt\n\tand pepper\n\nthyme\r\n"
     df = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "\n\n")], "doc_id int, text string")
     paragraphs = texts.paragraphs(df, "doc_id", "text")
-    assert rows(paragraphs) == [(1, 0, "First line"), (1, 1, "\tIndented"), (1, 2, ""), (1, 3, "After a blank"), (2, 0, ""), (4, 0, ""), (4, 1, "")]
+    assert rows(paragraphs) == [(1, 0, "Salt"), (1, 1, "\tand pepper"), (1, 2, ""), (1, 3, "thyme"), (2, 0, ""), (4, 0, ""), (4, 1, "")]
     assert dict(rows(texts.text_of(paragraphs, ["doc_id"])))[1] == text.replace("\r", "")
     labelled = spark.createDataFrame([(1, 0, "a", "1.", 0), (1, 1, "b", "i)", 1), (1, 2, "c", None, None)], "d int, pos int, text string, label string, level int")
     assert texts.text_of(labelled, ["d"], "label", "level").first().text == "1. a\n    i) b\nc\n"
