@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontam, jaccard, language, mixing, preference, sharding, substring, token_counts, topk, url_filter
+from quire.llm import decontam, jaccard, language, mixing, preference, sharding, spelling, substring, token_counts, topk, url_filter
 from quire.llm.work import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,36 @@ select doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(root) as c
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.shard_corpus(table(spark, sf_dir, "documents"), new_folder(spark, "shards"))
     return sharded.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "shard", "shard_rows", "shard_bytes", "shard_since")
+
+
+@query
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+#: crc32 in SQL: the bytes of a text as eight steps each, folded over the reversed polynomial.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::ubigint, flatten(list_transform(range(1, octet_length(encode({0})) + 1),
+    lambda i: [('0x' || substr(hex(encode({0})), 2 * i - 1, 2))::ubigint, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295::ubigint)"""
+
+ORACLE["op13_spelling_groups"] = (
+    r"""
+with recursive runs as (select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents
+), d as (select doc_id, run, count(*) as k from runs where length(run) >= 5 group by doc_id, run
+), h as (select run, k, """
+    + CRC32.format("coalesce(doc_id::varchar, '') || ':' || run")
+    + r""" as h from d
+), w as (select case when h % 97 = 0 then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word, k from h
+), v as materialized (select word, sum(k)::bigint as n from w where length(word) >= 5 group by word having sum(k) >= 3
+), cuts as materialized (select distinct word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as cut from v, lateral (select unnest(range(1, length(word) + 1)) i)
+), near as (
+  select a.word, b.word as near, b.n as near_n from cuts a join cuts b on a.cut = b.cut and a.i = b.i and a.word <> b.word
+  union select a.word, b.word, b.n from (select distinct word, cut from cuts) a join v b on a.cut = b.word
+  union select b.word, a.word, a.n from (select distinct word, n, cut from cuts) a join v b on a.cut = b.word
+), best as (select word, count(*) as n_near, first(near order by near_n desc, near collate "binary") as near, max(near_n) as near_n from near group by word
+), f as (select v.word, n, coalesce(n_near, 0)::bigint as n_near, case when near_n >= 2 * n then near end as form, case when near_n >= 2 * n then near_n end as form_n from v left join best using (word)
+), climb as (select word, word as at from f union select climb.word, f.form from climb join f on climb.at = f.word where f.form is not null
+), r as (select climb.word, climb.at as root from climb join f on climb.at = f.word where f.form is null)
+select word, form, root, n, n_near, form_n from f join r using (word)
+"""
+)
