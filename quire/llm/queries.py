@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontam, jaccard, language, mixing, preference, sharding, spelling, substring, token_counts, topk, url_filter
+from quire.llm import decontam, jaccard, language, mixing, preference, sharding, spelling, substring, token_counts, topk, trie, url_filter
 from quire.llm.work import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,3 +220,32 @@ with recursive runs as (select doc_id, translate(unnest(regexp_extract_all(text,
 select word, form, root, n, n_near, form_n from f join r using (word)
 """
 )
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.with_openings(trie.turn_rows(table(spark, sf_dir, "conversations"))))
+
+
+ORACLE["op12_prefix_trie"] = (
+    r"""
+with t as (select conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as x, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as words, turn from conversations where conv_id is not null
+), o as materialized (select conv_id, x, words, row_number() over (partition by conv_id order by turn nulls first, x) as pos from t
+), c as materialized (select conv_id, conv_id - conv_id % 20 as lender, """
+    + CRC32.format("conv_id::varchar")
+    + r""" % 4 as h from (select distinct conv_id from o)
+), r as (
+  select c.conv_id, 0 as part, o.pos, x, words from c join o on o.conv_id = c.lender and o.pos <= c.h
+  union all select c.conv_id, 1, o.pos, x, words from c join o on o.conv_id = c.conv_id and o.pos > c.h
+), n as (select *, row_number() over (partition by conv_id order by part, pos) as depth from r
+), m as materialized (
+  select conv_id, depth, md5(string_agg(x, '') over (partition by conv_id order by depth)) as node, words from n
+  union all select conv_id, 0, 'root', 0 from c
+), up as (select m.*, lag(node) over (partition by conv_id order by depth) as above, lead(node) over (partition by conv_id order by depth) as below from m
+), nodes as materialized (select node, depth, min(conv_id) as conv_id, count(*) as n_convs, count(distinct below) as n_children, any_value(above) as above, any_value(words) as words,
+    coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (below is null), '') as ends from up group by node, depth
+), sums as (select a.node, count(*) filter (b.n_children = 0) as n_leaves, sum((b.n_convs - 1) * b.words) as saved from nodes b join m a on a.conv_id = b.conv_id and a.depth <= b.depth group by a.node)
+select a.conv_id, a.depth::bigint as depth, p.conv_id as parent_conv_id, a.n_convs::bigint as n_convs, a.n_children::bigint as n_children, n_leaves::bigint as n_leaves, saved::bigint as saved_tokens, sha256(a.ends) as ends_sha256
+from nodes a join sums using (node) left join nodes p on p.node = a.above
+"""
+)
