@@ -28,6 +28,9 @@ PARTS = 3
 #: One occurrence in so many loses a letter, by a checksum of document and word.
 NOISE = 97
 
+#: Texts are worked through in blocks of about so many bytes, for which a task holds some 70 times as much.
+BLOCK_BYTES = 1 << 20
+
 _CRC = np.zeros(256, np.uint32)
 for _byte in range(256):
     _c = _byte
@@ -103,7 +106,7 @@ def occurrences(docs: DataFrame, least_length: int = 5, noise: int = NOISE) -> D
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for block in W.blocks(batch.column(1), 2 * W.BLOCK_BYTES):
+            for block in W.blocks(batch.column(1), BLOCK_BYTES):
                 yield _block_counts(block, ids[block.lo : block.hi], least_length, noise)
 
     return docs.select("doc_id", "text").mapInArrow(count, "word string, n long")
