@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontam, jaccard, language, mixing, preference, sharding, spelling, substring, token_counts, topk, trie, url_filter
+from quire.llm import decontam, jaccard, language, mixing, personal, preference, sharding, spelling, substring, token_counts, topk, trie, url_filter
 from quire.llm.work import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -249,3 +249,9 @@ select a.conv_id, a.depth::bigint as depth, p.conv_id as parent_conv_id, a.n_con
 from nodes a join sums using (node) left join nodes p on p.node = a.above
 """
 )
+
+
+@query
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return personal.detect(docs, personal.fit(docs)).drop("text")

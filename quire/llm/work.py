@@ -96,3 +96,11 @@ def discard(*tables: DataFrame) -> None:
 def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small table of given values, made by SQL functions only."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with as many marks behind it as it takes, such that no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
