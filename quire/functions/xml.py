@@ -156,3 +156,13 @@ def children_of(xml: Column) -> Column:
         return values.map(lambda v: None if v is None else [{"name": n, "xml": x} for n, x in children(v)])
 
     return run(xml)
+
+
+def children_of_each(xml: Column) -> Column:
+    """``children`` of each element of an array of XML."""
+
+    @F.pandas_udf("array<array<struct<name:string,xml:string>>>")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else [[{"name": n, "xml": x} for n, x in children(each or "")] for each in v])
+
+    return run(xml)

@@ -25,8 +25,10 @@ RUN_ORDER = (
     "rStyle rFonts b bCs i iCs caps smallCaps strike dstrike outline shadow emboss imprint noProof snapToGrid vanish webHidden color spacing w kern "
     "position sz szCs highlight u effect bdr shd fitText vertAlign rtl cs em lang eastAsianLayout specVanish oMath"
 ).split()
-#: Half points of a title and of headings where a document has no style for them; deeper ones are like the third.
-TITLE_SIZE, HEADING_SIZES = 56, (32, 26, 24)
+#: Half points of a title where a document has no style for it; a heading has so many at level 0 and so many less a level.
+TITLE_SIZE, HEADING_SIZE, SIZE_STEP = 44, 30, 2
+#: Twentieths of a point that a quotation without a style is moved in, and what stands before an item of a list without numbering.
+QUOTE_INDENT, TYPED_BULLET = 480, "• "
 PAGE_BREAK = '<w:p><w:r><w:br w:type="page"/></w:r></w:p>'
 HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 # Namespaces.
@@ -39,62 +41,88 @@ DRAWING_NS = "http://schemas.openxmlformats.org/drawingml/2006/main"
 RUN = "struct<text:string,bold:boolean,italic:boolean,underline:boolean,highlight:boolean,props:string,drawing:string>"
 
 
-def in_order(parts: list[tuple[str, str]], order: list[str]) -> str:
-    place = {name: k for k, name in enumerate(order)}
-    return "".join(x for _, x in sorted(parts, key=lambda p: place.get(p[0], len(order))))
-
-
-def run_xml(run: dict, direct: list[tuple[str, str]] = ()) -> str:
-    """A run: what its properties say but for the four flags, which are its own; tabs and breaks are elements."""
-    if run.get("drawing"):
-        props = f"<w:rPr>{run['props']}</w:rPr>" if run.get("props") else ""
-        return f"<w:r>{props}{run['drawing']}</w:r>"
-    fixed = {n for n, _ in direct}
-    props = [(n, x) for n, x in X.children(run.get("props") or "") if n not in {"b", "bCs", "i", "iCs", "u", "highlight", *fixed}]
-    flags = (("bold", "b", "<w:b/>"), ("italic", "i", "<w:i/>"), ("underline", "u", '<w:u w:val="single"/>'), ("highlight", "highlight", '<w:highlight w:val="yellow"/>'))
-    props += [(name, x) for flag, name, x in flags if run.get(flag) and name not in fixed] + list(direct)
-    text = "".join(c for c in run["text"] if c >= " " or c in "\t\n")
-    pieces = []
-    for k, part in enumerate(text.replace("\t", "\n\t").split("\n")):
-        mark = "<w:tab/>" if part.startswith("\t") else "<w:br/>"
-        part = part.removeprefix("\t")
-        pieces.append((mark if k else "") + (f'<w:t xml:space="preserve">{X.escape(part)}</w:t>' if part else ""))
-    inner = in_order(props, RUN_ORDER)
-    return f"<w:r>{f'<w:rPr>{inner}</w:rPr>' if inner else ''}{''.join(pieces)}</w:r>"
-
-
-def paragraph_xml(p: dict, base: str | None, base_kind: tuple | None, styles: set[str], bullet: int | None) -> str:
-    """A paragraph made anew: with its origin's properties if it is of the same kind, else with those of its kind's style."""
-    kind, level = p["kind"], p["level"] or 0
-    old = (X.inner(base, "pPr") if base else None) or ""
-    style = {"title": "Title", "heading": f"Heading{min(level, 6)}", "list": "ListParagraph", "quote": "Quote"}.get(kind)
-    styled = style in styles
-    if base_kind == (kind, level):
-        props = old
-    else:
-        parts = [(n, x) for n, x in X.children(old) if n not in ("pStyle", "numPr", "outlineLvl")]
-        if styled:
-            parts.append(("pStyle", f'<w:pStyle w:val="{style}"/>'))
-        elif kind == "heading":
-            parts.append(("outlineLvl", f'<w:outlineLvl w:val="{level - 1}"/>'))
-        elif kind == "quote":
-            parts = [*((n, x) for n, x in parts if n != "ind"), ("ind", '<w:ind w:left="720"/>')]
-        if kind == "list":
-            number = X.attribute(dict(X.children((X.inner(base, "numPr") if base else None) or "")).get("numId", ""), "val") or bullet
-            if number is not None:
-                parts.append(("numPr", f'<w:numPr><w:ilvl w:val="{level}"/><w:numId w:val="{number}"/></w:numPr>'))
-        if p.get("align"):
-            parts = [*((n, x) for n, x in parts if n != "jc"), ("jc", f'<w:jc w:val="{p["align"]}"/>')]
-        props = in_order(parts, PARAGRAPH_ORDER)
-    direct: list[tuple[str, str]] = []
-    if kind in ("title", "heading") and not styled:
-        size = TITLE_SIZE if kind == "title" else HEADING_SIZES[min(level, 3) - 1]
-        direct = [("b", "<w:b/>"), ("sz", f'<w:sz w:val="{size}"/>')]
-    elif kind == "quote" and not styled:
-        direct = [("i", "<w:i/>")]
-    typed = '<w:r><w:t xml:space="preserve">• </w:t></w:r>' if kind == "list" and "numPr" not in props else ""
-    body = "".join(run_xml(r, direct) for r in p["runs"] or [] if r["text"] or r.get("drawing"))
-    return f"<w:p>{f'<w:pPr>{props}</w:pPr>' if props else ''}{typed}{body}</w:p>"
+PROPERTIES = "array<struct<name:string,xml:string>>"
+#: Properties that say what kind of paragraph it is, and those that a run's own flags stand for.
+OF_KIND, OF_FLAGS = ["pStyle", "numPr", "outlineLvl"], ["b", "bCs", "i", "iCs", "u", "highlight"]
+
+
+def _element(name: str, **attributes: Column | str) -> Column:
+    """An empty element as a property (name, xml); null where an attribute is."""
+    said = [x for key, value in attributes.items() for x in (F.lit(f' w:{key}="'), value if isinstance(value, Column) else F.lit(value), F.lit('"'))]
+    return _property(name, F.concat(F.lit(f"<w:{name}"), *said, F.lit("/>")))
+
+
+def _property(name: str, xml: Column) -> Column:
+    return F.when(xml.isNotNull(), F.struct(F.lit(name).alias("name"), xml.alias("xml")))
+
+
+def properties(order: list[str], *sources: Column) -> Column:
+    """The XML of one set of properties out of several, the nearest first: of a name the first one counts, in the schema's order.
+
+    A source is an array of (name, xml), in which nulls are nothing; a null source is empty. Names that the
+    schema does not list come last.
+    """
+    every = F.concat(*(F.coalesce(source.cast(PROPERTIES), F.array().cast(PROPERTIES)) for source in sources))
+    place = F.create_map(*(x for k, name in enumerate(order) for x in (F.lit(name), F.lit(k))))
+    seen = F.filter(every, lambda x: x.isNotNull())
+    named = F.transform(seen, lambda x, i: F.struct(F.coalesce(F.element_at(place, x["name"]), F.lit(len(order))).alias("place"), i.alias("i"), x["name"].alias("name"), x["xml"].alias("xml")))
+    once = lambda all_: F.filter(all_, lambda x: ~F.exists(all_, lambda y: (y["name"] == x["name"]) & (y["i"] < x["i"])))
+    return F.array_join(F.transform(F.array_sort(F.flatten(F.transform(F.array(named), once))), lambda x: x["xml"]), "")
+
+
+def _wrapped(name: str, inner: Column) -> Column:
+    return F.when(inner != "", F.concat(F.lit(f"<w:{name}>"), inner, F.lit(f"</w:{name}>"))).otherwise("")
+
+
+def _text(text: Column) -> Column:
+    """Text as elements of a run: tabs and line ends are elements, other control characters go."""
+    out = F.regexp_replace(text, "[\\x00-\\x08\\x0b-\\x1f]", "")
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(char), F.lit(name))
+    for char, mark in (("\t", "<w:tab/>"), ("\n", "<w:br/>")):
+        out = F.replace(out, F.lit(char), F.lit(f'</w:t>{mark}<w:t xml:space="preserve">'))
+    return F.replace(F.concat(F.lit('<w:t xml:space="preserve">'), out, F.lit("</w:t>")), F.lit('<w:t xml:space="preserve"></w:t>'), F.lit(""))
+
+
+def run_xml(run: Column, own: Column, kind: Column) -> Column:
+    """A run: its kind's properties before its four flags before what else its properties (``own``) say; a drawing as it is."""
+    flags = F.array(F.when(run["bold"], _element("b")), F.when(run["italic"], _element("i")), F.when(run["underline"], _element("u", val="single")), F.when(run["highlight"], _element("highlight", val="yellow")))
+    rest = F.filter(own, lambda x: ~x["name"].isin(OF_FLAGS))
+    written = F.concat(_wrapped("rPr", properties(RUN_ORDER, kind, flags, rest)), _text(run["text"]))
+    drawn = F.concat(_wrapped("rPr", F.coalesce(run["props"], F.lit(""))), run["drawing"])
+    return F.concat(F.lit("<w:r>"), F.coalesce(drawn, written), F.lit("</w:r>"))
+
+
+def paragraphs_xml(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``made``: each as a paragraph element.
+
+    A line has kind, level, align and runs; of the paragraph that it was edited from, if any, base_kind,
+    origin (the XML in its properties) and num; of its document, styles (ids) and bullet (a list of bullets).
+    A paragraph of its origin's kind keeps the origin's properties as they are. Another one has, the nearest
+    first, its alignment, what its kind takes (a style if the document has it), and the origin's others.
+    """
+    kind, level = F.col("kind"), F.coalesce(F.col("level"), F.lit(0))
+    style = formats.style_id(kind, level)
+    lines = lines.withColumns({"_origin": X.children_of(F.col("origin")), "_own": X.children_of_each(F.transform("runs", lambda r: r["props"])), "_styled": F.coalesce(F.array_contains("styles", style), F.lit(False))})
+    bare = ~F.col("_styled")
+    number = F.coalesce("num", "bullet").cast("string")
+    listed = F.concat(F.lit('<w:numPr><w:ilvl w:val="'), level.cast("string"), F.lit('"/><w:numId w:val="'), number, F.lit('"/></w:numPr>'))
+    takes = F.array(
+        F.when(F.col("_styled"), _element("pStyle", val=style)),
+        F.when(bare & (kind == "heading"), _element("outlineLvl", val=(level - 1).cast("string"))),
+        F.when(bare & (kind == "quote"), _element("ind", left=str(QUOTE_INDENT))),
+        F.when(kind == "list", _property("numPr", listed)),
+    )
+    size = F.when(kind == "title", TITLE_SIZE).when(kind == "heading", HEADING_SIZE - SIZE_STEP * level).cast("string")
+    looks = F.array(F.when(bare & size.isNotNull(), _element("b")), F.when(bare, _element("sz", val=size)), F.when(bare & (kind == "quote"), _element("i")))
+    rest = F.filter("_origin", lambda x: ~x["name"].isin(OF_KIND))
+    fresh = properties(PARAGRAPH_ORDER, F.array(_element("jc", val=F.col("align"))), takes, rest)
+    same = F.col("base_kind").eqNullSafe(F.struct(kind.alias("kind"), level.alias("level")))
+    lines = lines.withColumns({"_looks": looks.cast(PROPERTIES), "_props": F.when(same, F.coalesce("origin", F.lit(""))).otherwise(fresh)})
+    shown = F.transform("runs", lambda r, i: F.when((r["text"] != "") | r["drawing"].isNotNull(), run_xml(r, F.get("_own", i), F.col("_looks"))).otherwise(""))
+    typed = F.when((kind == "list") & ~F.contains("_props", F.lit("<w:numPr")), F.concat(F.lit("<w:r>"), _text(F.lit(TYPED_BULLET)), F.lit("</w:r>"))).otherwise("")
+    made = F.concat(F.lit("<w:p>"), _wrapped("pPr", F.col("_props")), typed, F.coalesce(F.array_join(shown, ""), F.lit("")), F.lit("</w:p>"))
+    return lines.withColumn("made", made).drop("_origin", "_own", "_styled", "_looks", "_props")
 
 
 def repackaged(package: bytes, replace: dict[str, bytes], remove: set[str] = frozenset()) -> bytes:
@@ -141,21 +169,21 @@ def save(found: DataFrame, out: DataFrame) -> DataFrame:
     shows = (F.col("n_blocks") > 0) | F.col("kind").isin("paragraph", "locked", "table")
     owned = ordered.owner_of_hidden(body_items, ["path"], "item", shows).withColumn("shows", shows)
     hidden = owned.where(~F.col("shows")).select("path", "item", "owner", "first", "end")
-    kinds = files.paragraphs(shredded).select("path", F.col("pos"), F.struct("kind", F.coalesce("level", "style_level").alias("level")).alias("base_kind"))
-    known = body_items.join(kinds, ["path", "pos"], "left").select("path", "item", "first", "end", "base_kind")
+    of_item = files.paragraphs(shredded).select("path", "pos", F.struct("kind", F.coalesce("level", "style_level").alias("level")).cast("struct<kind:string,level:int>").alias("base_kind"), "num")
+    origin = shredded.where("name = 'pPr' and part = 'word/document.xml'").select("path", F.col("parent").alias("pos"), F.regexp_replace("text", r"(?s)^<[^>]*>|</[^>]*>$", "").alias("origin"))
+    known = body_items.join(of_item, ["path", "pos"], "left").join(origin, ["path", "pos"], "left").select("path", "item", "first", "end", "base_kind", "num", "origin")
+    styles = files.styles(shredded).groupBy("path").agg(F.collect_set("style_id").alias("styles"))
+    bullets = files.list_levels(shredded).where("level = 0 and format = 'bullet'").groupBy("path").agg(F.min("num").alias("bullet"))
 
-    lines = out.join(known, ["path", "item"], "left").select("path", F.lit(0).alias("part"), "seq", F.lit(1).alias("late"), F.coalesce("item", F.lit(0)).alias("item"), "action", "first", "end", "kind", F.col("level").cast("int").alias("level"), "align", "runs", "base_kind", "xml")
+    lines = out.withColumns({"runs": F.col("runs").cast(f"array<{RUN}>"), "level": F.col("level").cast("int")}).join(known, ["path", "item"], "left").join(styles, "path", "left").join(bullets, "path", "left")
+    placed_lines = paragraphs_xml(lines).select("path", F.lit(0).alias("part"), "seq", F.lit(1).alias("late"), F.coalesce("item", F.lit(0)).alias("item"), "action", "first", "end", F.when(F.col("action") == "para", F.col("made")).otherwise(F.col("xml")).alias("xml"))
     first_use = out.where("item is not null").groupBy("path", F.col("item").alias("owner")).agg(F.min("seq").alias("seq"))
     placed = hidden.join(first_use, ["path", "owner"], "left")
     part = F.when(F.col("seq").isNotNull(), 0).when(F.col("owner").isNotNull(), 1).otherwise(2)
-    null = F.lit(None)
-    kept = placed.select("path", part.alias("part"), F.coalesce("seq", F.lit(0)).alias("seq"), F.lit(0).alias("late"), "item", F.lit("keep").alias("action"), "first", "end", null.cast("string").alias("kind"), null.cast("int").alias("level"), null.cast("string").alias("align"), null.cast(f"array<{RUN}>").alias("runs"), null.cast("struct<kind:string,level:int>").alias("base_kind"), null.cast("string").alias("xml"))
-    row = F.struct("part", "seq", "late", "item", "action", "first", "end", "kind", "level", "align", "runs", "base_kind", "xml")
-    pieces = lines.withColumn("runs", F.col("runs").cast(f"array<{RUN}>")).withColumn("base_kind", F.col("base_kind").cast("struct<kind:string,level:int>")).unionByName(kept).groupBy("path").agg(F.array_sort(F.collect_list(row)).alias("pieces"))
+    kept = placed.select("path", part.alias("part"), F.coalesce("seq", F.lit(0)).alias("seq"), F.lit(0).alias("late"), "item", F.lit("keep").alias("action"), "first", "end", F.lit(None).cast("string").alias("xml"))
+    pieces = placed_lines.unionByName(kept).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("part", "seq", "late", "item", "action", "first", "end", "xml"))).alias("pieces"))
     span = body_items.groupBy("path").agg(F.min("first").alias("first"), F.max("end").alias("end"))
-    styles = files.styles(shredded).groupBy("path").agg(F.collect_set("style_id").alias("styles"))
-    bullets = files.list_levels(shredded).where("level = 0 and format = 'bullet'").groupBy("path").agg(F.min("num").alias("bullet"))
-    docs = found.where("format = 'docx'").select("path", "content").join(pieces, "path").join(span, "path", "left").join(styles, "path", "left").join(bullets, "path", "left")
+    docs = found.where("format = 'docx'").select("path", "content").join(pieces, "path").join(span, "path", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,15 +194,11 @@ def save(found: DataFrame, out: DataFrame) -> DataFrame:
                 first, end = d["first"], d["end"]
                 if first is None:
                     first = end = xml.rindex(b"</", 0, xml.rindex(b"</"))
-                body = []
-                for p in d["pieces"]:
-                    base = xml[p["first"] : p["end"]].decode() if p["first"] is not None else None
-                    base_kind = p["base_kind"] and (p["base_kind"]["kind"], p["base_kind"]["level"])
-                    body.append(base if p["action"] == "keep" else p["xml"] if p["action"] == "block" else paragraph_xml(p, base, base_kind, set(d["styles"] or []), d["bullet"]))
-                made.append(repackaged(d["content"], {"word/document.xml": xml[:first] + "".join(b or "" for b in body).encode() + xml[end:]}))
+                body = b"".join((p["xml"] or "").encode() if p["action"] != "keep" else xml[p["first"] : p["end"]] if p["first"] is not None else b"" for p in d["pieces"])
+                made.append(repackaged(d["content"], {"word/document.xml": xml[:first] + body + xml[end:]}))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["path", "content"])
 
-    return docs.select("path", "content", "pieces", "first", "end", "styles", "bullet").mapInArrow(run, "path string, content binary")
+    return docs.select("path", "content", "pieces", "first", "end").mapInArrow(run, "path string, content binary")
 
 
 # Tables, pictures and manifests, as XML made by expressions ---------------------------------

@@ -82,7 +82,7 @@ def test_lists_and_quotes(save):
     bulleted = f'<w:numbering {W}><w:abstractNum w:abstractNumId="3"><w:lvl w:ilvl="0"><w:numFmt w:val="bullet"/></w:lvl></w:abstractNum><w:num w:numId="9"><w:abstractNumId w:val="3"/></w:num></w:numbering>'
     made = part(save(docx(listed, numbering=bulleted), para("deeper", 0, kind="list", level=1), para("new", kind="list", level=2), para("said", kind="quote", align="center")))
     assert '<w:numPr><w:ilvl w:val="1"/><w:numId w:val="7"/></w:numPr><w:spacing w:after="2"/>' in made and '<w:numPr><w:ilvl w:val="2"/><w:numId w:val="9"/></w:numPr>' in made
-    assert '<w:ind w:left="720"/><w:jc w:val="center"/>' in made and "<w:i/>" in made
+    assert '<w:ind w:left="480"/><w:jc w:val="center"/>' in made and "<w:i/>" in made
     assert "• " in part(save(docx("<w:p/>"), para("typed", kind="list")))
 
 
