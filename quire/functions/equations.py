@@ -1,9 +1,12 @@
-"""Equations of word-processor packages as one line of text, plain and with markup."""
+"""Equations of word-processor packages as one line of text, plain and with markup.
+
+An equation's elements are read to flat rows (name, parent, attributes, text). From the last row to the
+first, so from the inside out, each element fills the template of its name with what its children became.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from typing import NamedTuple
+from collections import defaultdict
 from xml.parsers import expat
 
 import pandas as pd
@@ -16,164 +19,140 @@ from quire.functions.xml import escape, walk
 # Letters and signs that have a form below or above the line.
 LOW = dict(zip("0123456789+-−=()aeoxhklmnpstijruv", "₀₁₂₃₄₅₆₇₈₉₊₋₋₌₍₎ₐₑₒₓₕₖₗₘₙₚₛₜᵢⱼᵣᵤᵥ", strict=True))
 HIGH = dict(zip("0123456789+-−=()niT", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁻⁼⁽⁾ⁿⁱᵀ", strict=True))
-# What a bracket, a large operator and an accent are where nothing says.
-OPEN, CLOSE, BETWEEN, INTEGRAL, HAT = "(", ")", "|", "∫", "̂"
-THIN_SPACE = " "
-
-
-class Line(NamedTuple):
-    plain: str = ""
-    markup: str = ""
-
-    def __add__(self, other: Line) -> Line:
-        return Line(self.plain + other.plain, self.markup + other.markup)
-
-
-@dataclass
-class Part:
-    name: str
-    attrs: dict = field(default_factory=dict)
-    parts: list[Part] = field(default_factory=list)
-    text: str = ""
-
-    def all(self, name: str) -> list[Part]:
-        return [p for p in self.parts if p.name == name]
-
-    def one(self, name: str) -> Part:
-        return next(iter(self.all(name)), Part(""))
-
-    def says(self, name: str) -> str | None:
-        """The value that the part's properties give."""
-        return self.one(f"{self.name}Pr").one(name).attrs.get("val")
-
-    def hides(self, name: str) -> bool:
-        return self.says(name) in ("1", "on", "true")
+# What an element becomes. Words are children: name, name/look for the first of a name, name*separator for all;
+# $property:usual is what a property says or, if it says nothing, the usual sign; anything in quotes stands for itself.
+TEMPLATES = {
+    "f": "num/group '/' den/group",
+    "rad": "deg/high '√' e/group",
+    "sSub": "e sub/low",
+    "sSup": "e sup/high",
+    "sSubSup": "e sub/low sup/high",
+    "sPre": "sub/low sup/high e",
+    "limLow": "e lim/low",
+    "limUpp": "e lim/high",
+    "nary": "$chr:∫ sub/low sup/high ' ' e",
+    "d": "$begChr:( e*$sepChr:| $endChr:)",
+    "func": "fName/upright ' ' e",
+    "acc": "e $chr:̂",
+    "bar": "e/over",
+    "r": "t*/letters",
+    "m": "mr*'; '",
+    "mr": "e*'  '",
+    "eqArr": "e*';  '",
+    "oMathPara": "oMath*'    '",
+}
+Line = tuple[str, str]
 
 
-def parsed(xml: str) -> Part:
-    """The tree of a piece of XML; what is left open at an error is closed there."""
-    stack = [Part("")]
+def _sub(table: dict[str, str], mark: str, tag: str):
+    """A script: signs of their own where all of them have one, else the mark and brackets."""
 
-    def start(name: str, attrs: dict, _: int) -> None:
-        new = Part(name, attrs)
-        stack[-1].parts.append(new)
-        stack.append(new)
+    def look(line: Line, _: dict) -> Line:
+        plain, markup = line
+        signs = [table.get(c) for c in plain]
+        return ("".join(signs) if None not in signs else f"{mark}({plain})", f"<{tag}>{markup}</{tag}>") if plain else ("", "")
 
-    def chars(data: str) -> None:
-        stack[-1].text += data
-
-    try:
-        walk(xml.encode(), start, lambda _: stack.pop(), chars)
-    except expat.ExpatError:
-        pass
-    return stack[0]
+    return look
 
 
-def plain(text: str) -> Line:
-    return Line(text, escape(text))
+#: Looks that a template gives to what a child became; the properties are those of the element itself.
+LOOKS = {
+    "low": _sub(LOW, "_", "sub"),
+    "high": _sub(HIGH, "^", "sup"),
+    "group": lambda line, _: line if len(line[0]) < 2 else (f"({line[0]})", f"({line[1]})"),
+    "upright": lambda line, _: (line[0], line[1].replace("<i>", "").replace("</i>", "")),
+    "over": lambda line, _: (line[0], f'<span overline="single">{line[1]}</span>'),
+    "letters": lambda line, said: line if "nor" in said or said.get("sty") == "p" else (line[0], "".join(f"<i>{escape(c)}</i>" if c.isalpha() else escape(c) for c in line[0])),
+}
 
 
-def joined(parts: list[Part], between: str = "") -> Line:
-    out = Line()
-    for k, p in enumerate(parts):
-        out += (plain(between) if k else Line()) + line(p)
+def _tokens(template: str) -> list[str]:
+    """A template's words; spaces in quotes do not part them."""
+    out, quoted = [""], False
+    for c in template:
+        quoted ^= c == "'"
+        if c == " " and not quoted:
+            out.append("")
+        else:
+            out[-1] += c
     return out
 
 
-def inside(part: Part) -> Line:
-    return joined(part.parts)
-
+_PARTS = {name: _tokens(template) for name, template in TEMPLATES.items()}
 
-def _shifted(text: str, forms: dict[str, str], mark: str) -> str:
-    return "".join(forms[c] for c in text) if all(c in forms for c in text) else f"{mark}({text})"
 
+def _sign(word: str, said: dict) -> str:
+    """A quoted sign, or what a property says: nothing said is the usual sign, and so is an operator without one."""
+    if word[:1] != "$":
+        return word.strip("'")
+    name, usual = word[1:].split(":", 1)
+    value = said.get(name)
+    return usual if value is None or (value == "" and usual == "∫") else value
 
-def scripts(below: Line, above: Line) -> Line:
-    low = Line(_shifted(below.plain, LOW, "_"), f"<sub>{below.markup}</sub>") if below.plain else Line()
-    high = Line(_shifted(above.plain, HIGH, "^"), f"<sup>{above.markup}</sup>") if above.plain else Line()
-    return low + high
 
+def _filled(word: str, kids: dict[str, list[Line]], said: dict) -> Line:
+    if word[0] in "$'":
+        sign = _sign(word, said)
+        return sign, escape(sign)
+    word, _, look = word.partition("/")
+    name, every, between = word.partition("*")
+    found = kids[name] if every else kids[name][:1]
+    if said.get(f"{name}Hide") in ("1", "on", "true"):
+        found = []
+    sign = _sign(between, said) if between else ""
+    line = sign.join(x[0] for x in found), escape(sign).join(x[1] for x in found)
+    return LOOKS[look](line, said) if look else line
 
-def bracketed(of: Line) -> Line:
-    """In brackets, but for a single sign."""
-    return of if len(of.plain) < 2 else plain("(") + of + plain(")")
 
+def flat(xml: str) -> list[tuple[str, int, dict, str]]:
+    """(name, parent, attributes, text) of each element in order; what is left open at an error ends there."""
+    rows, open_ = [["", -1, {}, ""]], [0]
 
-def run(p: Part) -> Line:
-    """Letters are variables, in italics, where the run is not upright."""
-    upright = bool(p.one("rPr").all("nor")) or p.one("rPr").one("sty").attrs.get("val") == "p"
-    text = "".join(t.text for t in p.all("t"))
-    return Line(text, "".join(f"<i>{escape(c)}</i>" if c.isalpha() and not upright else escape(c) for c in text))
-
-
-def operator(p: Part) -> Line:
-    low, high = (Line() if p.hides(h) else inside(p.one(n)) for n, h in (("sub", "subHide"), ("sup", "supHide")))
-    return plain(p.says("chr") or INTEGRAL) + scripts(low, high) + plain(" ") + inside(p.one("e"))
-
-
-def brackets(p: Part) -> Line:
-    chosen = lambda name, usual: usual if p.says(name) is None else p.says(name)
-    return plain(chosen("begChr", OPEN)) + joined(p.all("e"), chosen("sepChr", BETWEEN)) + plain(chosen("endChr", CLOSE))
-
-
-def function(p: Part) -> Line:
-    name = inside(p.one("fName"))
-    return Line(name.plain, name.markup.replace("<i>", "").replace("</i>", "")) + plain(THIN_SPACE) + inside(p.one("e"))
-
-
-def overlined(p: Part) -> Line:
-    e = inside(p.one("e"))
-    return Line(e.plain, f'<span overline="single">{e.markup}</span>')
-
-
-def matrix(p: Part) -> Line:
-    out = Line()
-    for k, row in enumerate(p.all("mr")):
-        out += (plain("; ") if k else Line()) + joined(row.all("e"), "  ")
-    return out
-
-
-def accent(p: Part) -> Line:
-    mark = p.says("chr")
-    return inside(p.one("e")) + plain(HAT if mark is None else mark)
-
-
-FORMS = {
-    "r": run,
-    "t": lambda p: plain(p.text),
-    "f": lambda p: bracketed(inside(p.one("num"))) + plain("/") + bracketed(inside(p.one("den"))),
-    "rad": lambda p: scripts(Line(), inside(p.one("deg"))) + plain("√") + bracketed(inside(p.one("e"))),
-    "sSub": lambda p: inside(p.one("e")) + scripts(inside(p.one("sub")), Line()),
-    "sSup": lambda p: inside(p.one("e")) + scripts(Line(), inside(p.one("sup"))),
-    "sSubSup": lambda p: inside(p.one("e")) + scripts(inside(p.one("sub")), inside(p.one("sup"))),
-    "sPre": lambda p: scripts(inside(p.one("sub")), inside(p.one("sup"))) + inside(p.one("e")),
-    "limLow": lambda p: inside(p.one("e")) + scripts(inside(p.one("lim")), Line()),
-    "limUpp": lambda p: inside(p.one("e")) + scripts(Line(), inside(p.one("lim"))),
-    "nary": operator,
-    "d": brackets,
-    "func": function,
-    "acc": accent,
-    "bar": overlined,
-    "m": matrix,
-    "eqArr": lambda p: joined(p.all("e"), ";  "),
-    "oMathPara": lambda p: joined(p.all("oMath"), "    "),
-}
+    def start(name: str, attrs: dict, _: int) -> None:
+        rows.append([name, open_[-1], attrs, ""])
+        open_.append(len(rows) - 1)
 
+    def chars(data: str) -> None:
+        rows[open_[-1]][3] += data
 
-def line(p: Part) -> Line:
-    """A part of an equation; properties are nothing by themselves, unknown parts are what is in them."""
-    if p.name in FORMS:
-        return FORMS[p.name](p)
-    return Line() if p.name.endswith("Pr") else inside(p)
+    try:
+        walk(xml.encode(), start, lambda _: open_.pop(), chars)
+    except expat.ExpatError:
+        pass
+    return [tuple(r) for r in rows]
 
 
 def linear(xml: str) -> Line:
-    return inside(parsed(xml))
+    """(plain, markup) of an equation. Properties are nothing by themselves; elements without a template are what is in them."""
+    rows = flat(xml)
+    kids: list[list[tuple[str, Line]]] = [[] for _ in rows]
+    values: list[dict] = [{} for _ in rows]
+    said: list[dict] = [{} for _ in rows]
+    line = ("", "")
+    for i in range(len(rows) - 1, -1, -1):
+        name, parent, attrs, text = rows[i]
+        if name == "t":
+            line = text, escape(text)
+        elif name in _PARTS:
+            by_name = defaultdict(list)
+            for kid, made in reversed(kids[i]):
+                by_name[kid].append(made)
+            pieces = [_filled(word, by_name, said[i]) for word in _PARTS[name]]
+            line = "".join(p[0] for p in pieces), "".join(p[1] for p in pieces)
+        else:
+            inner = [] if name.endswith("Pr") else [made for _, made in reversed(kids[i])]
+            line = "".join(p[0] for p in inner), "".join(p[1] for p in inner)
+        if parent >= 0:
+            kids[parent].append((name, line))
+            values[parent][name] = attrs.get("val")
+            if name == f"{rows[parent][0]}Pr":
+                said[parent] = values[i]
+    return line
 
 
 @F.pandas_udf(StructType([StructField("plain", StringType()), StructField("markup", StringType())]))
 def _linear(xml: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([Line(None, None) if x is None else linear(x) for x in xml], columns=["plain", "markup"])
+    return pd.DataFrame([(None, None) if x is None else linear(x) for x in xml], columns=["plain", "markup"])
 
 
 def equation_text(xml: Column) -> Column:

@@ -176,10 +176,9 @@ def equations_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "<m:oMath><m:f><m:num>", run("a+b"), "</m:num><m:den>", run(n), "</m:den></m:f><m:rad><m:deg/><m:e>", run("x"), "</m:e></m:rad><m:sSup><m:e>", run("q"), "</m:e><m:sup>", run("&amp;"), "</m:sup></m:sSup>",
         "<m:sSub><m:e>", run("x"), "</m:e><m:sub>", run(n), '</m:sub></m:sSub><m:d><m:dPr><m:begChr m:val="["/><m:sepChr m:val=";"/><m:endChr m:val="]"/></m:dPr><m:e>', run("u"), "</m:e><m:e>", run("v"), "</m:e></m:d></m:oMath>",
     )
-    body = table(spark, sf_dir, "part").groupBy(F.lit("one").alias("path")).agg(_joined(F.col("p_partkey"), _cat("<w:p>", math, "</w:p>")).alias("body"))
+    body = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), _cat("<w:p>", math, "</w:p>").alias("body"))
     paragraphs = files.paragraphs(_shredded(_packages(body, document=_document(F.col("body")))))
-    placed = table(spark, sf_dir, "part").select("p_partkey", (F.row_number().over(Window.orderBy("p_partkey")) - 1).alias("k"))
-    return paragraphs.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("pos")) - 1).join(placed, "k").select("p_partkey", F.col("text").alias("plain"))
+    return paragraphs.select(F.col("path").cast("long").alias("p_partkey"), F.col("text").alias("plain"))
 
 
 @query("select conv_id, turn, '<w:p>' || turn || '<w:r/></w:p>' as left_over, turn || '<w:numPr><w:numPr/>x</w:numPr><w:r/>' as inside, 1 as n_children from conversations")
