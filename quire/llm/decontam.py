@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.words import Block, Words, blocks, mix, split, word_hashes
-from quire.llm.work import saved
+from quire.llm.work import free_name, saved
 
 #: Of WINDOW aligned tokens four fifths must match (13 of 16), or four fifths of a shorter test item.
 WINDOW = 16
@@ -331,9 +331,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id
     """The rows of ``docs`` that overlap with no test item, all columns as they were; with a broadcast test set nothing is shuffled."""
     shared = _sent(benchmark, item_id, text, least_item)
     if shared is None:
-        gone = _joined(docs, benchmark, item_id, text, least_item).select(F.col("k1").alias("_q_k1"), F.col("k2").alias("_q_k2")).distinct()
-        k1, k2 = _text_key(F.lower(text))
-        return docs.withColumns({"_q_k1": k1, "_q_k2": k2}).join(gone, ["_q_k1", "_q_k2"], "left_anti").select(docs.columns)
+        names = [free_name(docs, x) for x in ("_q_k1", "_q_k2")]
+        gone = _joined(docs, benchmark, item_id, text, least_item).select("k1", "k2").distinct().toDF(*names)
+        return docs.withColumns(dict(zip(names, _text_key(F.lower(text)), strict=True))).join(gone, names, "left_anti").select(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,4 +341,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id
             keep[_search(batch.column(batch.num_columns - 1), shared.value, any_item=True)[:, 0]] = False
             yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep))
 
-    return docs.withColumn("_q_lower", F.lower(text)).mapInArrow(run, docs.schema)
+    return docs.withColumn(free_name(docs, "_q_lower"), F.lower(text)).mapInArrow(run, docs.schema)

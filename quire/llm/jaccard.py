@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.components import components
 from quire.llm.words import blocks, lower_ascii, mix, rolling, split, word_hashes
-from quire.llm.work import discard, saved
+from quire.llm.work import discard, keeps_names, saved
 
 #: Hash ranges that are counted; 32-bit counts of all are sent to every executor (4 MB).
 RANGES = 1 << 20
@@ -302,6 +302,7 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: st
     return out.select(F.col("_q_id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
+@keeps_names()
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of ``docs``, all columns as they were.
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.work import literal_rows, saved
+from quire.llm.work import keeps_names, literal_rows, saved
 
 #: Rates of up to this many sources (at most 100 numbers each) are sent to every executor; more are joined salted.
 BROADCAST_SOURCES = 20_000
@@ -81,6 +81,7 @@ def _told_apart(docs: DataFrame, identity: list[Column]) -> DataFrame:
     return alone.unionByName(copies.select(*docs.columns, digest(F.col("_q_mark").cast("string"), F.col("_q_copy").cast("string")).alias("_q_draw")))
 
 
+@keeps_names()
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, total: int | None = None, seed: int = 17, source: str = "source", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns of ``docs`` and replica (from 1), n_replicas, rate, order_key, in globally shuffled order.
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.work import keeps_names
+
 #: Marks around a turn's role and text.
 BEGIN, MIDDLE, END = "<|turn|>", "\n", "<|end|>\n"
 
@@ -43,6 +45,7 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(both <= 0, F.lit(0)).when(at > 0, at - 1).otherwise(both).cast("int")
 
 
+@keeps_names()
 def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected", trained: str = "assistant") -> DataFrame:
     """Replaces two columns of turns, array<struct<role, text>>, by prompt, n_prompt_turns, chosen, rejected and their masks.
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontam, jaccard, language, mixing, personal, preference, sharding, spelling, substring, token_counts, topk, trie, url_filter
+from quire.llm import decontam, jaccard, language, mixing, personal, preference, sharding, spelling, substring, token_counts, topk, trie, url_filter, url_rules
 from quire.llm.work import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,42 +29,14 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-#: Given rules (host/path), then the method's own patterns for hosts that are named after spam.
-URL_RULES = [
-    url_filter.prefix_rule("net/", "block", 2),
-    url_filter.prefix_rule("example.net/en/", "allow", 2),
-    url_filter.prefix_rule("example.com/de/", "block", 2),
-    url_filter.prefix_rule("org/fr/", "allow", 2),
-    url_filter.Rule("cheap-pills", "block", r"^(?:[^/]*\.)?cheap-pills\.", ["cheap", "pills"]),
-    url_filter.Rule("spam-farm", "block", r"^(?:[^/]*\.)?spam-farm\.", ["spam", "farm"]),
-]
-
-
 @query
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), url_rules.RULES)
     given = F.when(F.col("rule_rank") == 2, F.col("rule"))
     return judged.select("page_id", "host", "path", given.alias("rule"), "verdict", F.when(F.col("rule_rank") == 1, F.col("rule")).alias("pattern"))
 
 
-ORACLE["op2_url_filter"] = r"""
-with cut as (
-  select page_id, coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '') h, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') path from pages
-), p as (select page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, path from cut
-), r as (
-  select *, case
-    when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
-    when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
-    when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
-    when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule,
-    case when regexp_matches(host || path, '^([^/]*\.)?cheap-pills\.') then 'cheap-pills'
-         when regexp_matches(host || path, '^([^/]*\.)?spam-farm\.') then 'spam-farm' end as own
-  from p)
-select page_id, host, path, rule,
-  case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' when own is not null then 'block' else 'allow' end as verdict,
-  case when rule is null then own end as pattern
-from r
-"""
+ORACLE["op2_url_filter"] = f"{url_rules.JUDGED_SQL} select page_id, host, path, given as rule, {url_rules.VERDICT_SQL}, case when given is null then own end as pattern from r"
 
 
 @query

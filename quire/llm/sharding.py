@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.work import discard, saved, write
+from quire.llm.work import discard, free_name, saved, write
 
 #: Shards smaller than this count as of the lowest tier.
 LEAST_BYTES = 1 << 16
@@ -42,9 +42,13 @@ def _files(spark: SparkSession, store: str):
     return jvm, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _folder(path: Column) -> Column:
+    return F.regexp_extract(path, "^(.*/data/[^/]+(?:/_q_tier_*=[^/]*)?)/", 1)
+
+
 def _folders(shards: DataFrame) -> list[str]:
     """Folders that hold the files: one a version and tier."""
-    return [r[0] for r in shards.select(F.regexp_extract("path", "^(.*/data/[^/]+(?:/_q_tier=[^/]*)?)/", 1)).distinct().collect()]
+    return [r[0] for r in shards.select(_folder(F.col("path"))).distinct().collect()]
 
 
 def versions(spark: SparkSession, store: str) -> list[int]:
@@ -108,8 +112,9 @@ def _tier(n_bytes: Column, fanout: int) -> Column:
 def plan_merges(shards: DataFrame, target_bytes: int, fanout: int = 4) -> DataFrame:
     """(path, run, run_bytes) for the shards to merge: runs of one tier whose sizes add up to about ``target_bytes``.
 
-    A shard of at least half the target, or left alone in its run, stays. A window orders a slice of
-    a tier at a time, never a whole tier.
+    A shard of at least half the target, or left alone in its run, stays, unless others of its folder
+    are merged: then it moves, as a run of its own, so that no folder keeps files both live and dead. A
+    window orders a slice of a tier at a time, never a whole tier.
     """
     small = shards.where(2 * F.col("n_bytes") < target_bytes).withColumn("tier", _tier(F.col("n_bytes"), fanout))
     slices = small.groupBy("tier").agg(F.ceil(F.count(F.lit(1)) / SLICE_SHARDS).alias("slices"))
@@ -117,7 +122,10 @@ def plan_merges(shards: DataFrame, target_bytes: int, fanout: int = 4) -> DataFr
     before = F.sum("n_bytes").over(Window.partitionBy("tier", "slice").orderBy("n_bytes", "path").rowsBetween(Window.unboundedPreceding, -1))
     runs = cut.withColumn("part", F.floor(F.coalesce(before, F.lit(0)) / target_bytes)).withColumn("run", F.concat_ws("-", "tier", "slice", "part"))
     several = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("run_bytes")).where("n > 1").select("run", "run_bytes")
-    return runs.join(several, "run").select("path", "run", "run_bytes")
+    merged = runs.join(several, "run").select("path", "run", "run_bytes")
+    left = shards.join(merged.select("path"), "path", "left_anti").withColumn("folder", _folder(F.col("path")))
+    beside = left.join(merged.select(_folder(F.col("path")).alias("folder")).distinct(), "folder", "left_semi")
+    return merged.unionByName(beside.select("path", F.concat(F.lit("alone-"), "path").alias("run"), F.col("n_bytes").alias("run_bytes")))
 
 
 def _numbered(runs: DataFrame) -> DataFrame:
@@ -148,12 +156,14 @@ def compact(spark: SparkSession, store: str, schema, target_bytes: int = 64 << 2
     runs = saved(_numbered(merges.select("run", "run_bytes").distinct()), "runs")
     tasks = min(runs.count(), MOST_TASKS)
     tier = F.when(2 * F.col("run_bytes") >= target_bytes, F.lit(-1)).otherwise(_tier(F.col("run_bytes"), fanout))
-    table = merges.drop("run_bytes").join(runs, "run").select(F.col("path").alias("_q_path"), F.col("number").alias("_q_run"), tier.alias("_q_tier"))
-    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*_folders(merges)).select("*", F.col("_metadata.file_path").alias("_q_path"))
-    moved = rows.join(F.broadcast(table) if n <= BROADCAST_SHARDS else table, "_q_path").drop("_q_path")
-    dealt = moved.repartitionById(tasks, F.pmod("_q_run", F.lit(tasks)).cast("int"))
+    old = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*_folders(merges))
+    at, to, of_tier = (free_name(old, x) for x in ("_q_path", "_q_run", "_q_tier"))
+    table = merges.drop("run_bytes").join(runs, "run").select(F.col("path").alias(at), F.col("number").alias(to), tier.alias(of_tier))
+    rows = old.select("*", F.col("_metadata.file_path").alias(at))
+    moved = rows.join(F.broadcast(table) if n <= BROADCAST_SHARDS else table, at).drop(at)
+    dealt = moved.repartitionById(tasks, F.pmod(to, F.lit(tasks)).cast("int"))
     folder = f"{store}/data/v{version:08d}-{spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()[:8]}"
-    write(dealt, folder, "_q_tier", "_q_run") if tasks < runs.count() else write(dealt.drop("_q_run"), folder, "_q_tier")
+    write(dealt, folder, of_tier, to) if tasks < runs.count() else write(dealt.drop(to), folder, of_tier)
     new = saved(_shards_in(spark, folder, schema, version), "new")
     commit(live.join(merges, "path", "left_anti").unionByName(new), store, version)
     discard(merges, runs, new)
@@ -183,18 +193,20 @@ def vacuum(spark: SparkSession, store: str, keep: int = 1) -> None:
 
 
 def read(spark: SparkSession, store: str, schema, version: int | None = None) -> DataFrame:
-    """The rows of a version with shard (its file's path below data/), shard_rows, shard_bytes and shard_since."""
+    """The rows of a version with shard (its file's path below data/), shard_rows, shard_bytes and shard_since; columns so named are replaced."""
     live = manifest(spark, store, version)
     folders = _folders(live)
     if not folders:
         empty = spark.createDataFrame([], schema)
         return empty.selectExpr("*", "cast(null as string) shard", "0L shard_rows", "0L shard_bytes", "0 shard_since")
-    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*folders).select("*", F.col("_metadata.file_path").alias("_q_path"))
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*folders)
+    at = free_name(rows, "_q_path")
+    rows = rows.select("*", F.col("_metadata.file_path").alias(at))
     named = live.select(
-        F.col("path").alias("_q_path"), F.regexp_extract("path", "/data/(.*)$", 1).alias("shard"), F.col("n_rows").alias("shard_rows"), F.col("n_bytes").alias("shard_bytes"), F.col("since").alias("shard_since")
+        F.col("path").alias(at), F.regexp_extract("path", "/data/(.*)$", 1).alias("shard"), F.col("n_rows").alias("shard_rows"), F.col("n_bytes").alias("shard_bytes"), F.col("since").alias("shard_since")
     )
     named = F.broadcast(named) if live.count() <= BROADCAST_SHARDS else named
-    return rows.drop("shard", "shard_rows", "shard_bytes", "shard_since").join(named, "_q_path").drop("_q_path")
+    return rows.drop("shard", "shard_rows", "shard_bytes", "shard_since").join(named, at).drop(at)
 
 
 def shard_corpus(docs: DataFrame, store: str, shard_rows: int = 2000, target_bytes: int = 64 << 20, fanout: int = 4) -> DataFrame:

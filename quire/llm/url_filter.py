@@ -13,7 +13,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.work import literal_rows
+from quire.llm.work import keeps_names, literal_rows
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TOKEN = "[a-z0-9]+"
@@ -79,6 +79,7 @@ def index(urls: DataFrame, rules: list[Rule], spark: SparkSession) -> DataFrame:
     return filed.select(F.explode(F.when(F.col("token") == "", every).otherwise(F.array("token"))).alias("token"), "name", "verdict", "pattern", "rank")
 
 
+@keeps_names("won")
 def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow") -> DataFrame:
     """Adds host, path, rule and verdict (and rule_rank) to every row of ``pages``.
 

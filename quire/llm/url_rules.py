@@ -1,4 +1,4 @@
-"""A general list of URL rules by kind of junk, and the query that judges ``pages`` by it.
+"""The given rules of URLs, a general list by kind of junk, and the query that judges ``pages`` and names the kinds.
 
 A rule's words must stand in the host as whole tokens, one after the other in one label
 (``casino``, ``ads-track``); they are the rule's literal tokens too. Words that clean hosts
@@ -10,7 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import url_filter
-from quire.llm.queries import URL_RULES
+
+#: Given rules (host/path).
+GIVEN = [
+    url_filter.prefix_rule("net/", "block", 2),
+    url_filter.prefix_rule("example.net/en/", "allow", 2),
+    url_filter.prefix_rule("example.com/de/", "block", 2),
+    url_filter.prefix_rule("org/fr/", "allow", 2),
+]
 
 KINDS = {
     "gambling": "casino casinos casino-win bets free-bets betting sportsbook bookmaker poker roulette blackjack jackpot jackpots free-slots online-slots slot-machines free-spins",
@@ -28,8 +35,8 @@ def kind_rule(kind: str, words: str) -> url_filter.Rule:
 
 
 GENERAL = [kind_rule(kind, words) for kind, listed in KINDS.items() for words in listed.split()]
-#: The given rules of op2 go before.
-RULES = [r for r in URL_RULES if r.rank == 2] + GENERAL
+#: The given rules go before.
+RULES = GIVEN + GENERAL
 
 
 def url_filter_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +45,9 @@ def url_filter_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"url_filter_kinds": url_filter_kinds}
-ORACLE = {
-    "url_filter_kinds": r"""
+#: Pages with host, path, the given rule and the pattern of the general list that is the longest.
+JUDGED_SQL = (
+    r"""
 with cut as (
   select page_id, coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '') h, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') path from pages
 ), p as (select page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, path from cut
@@ -57,8 +65,7 @@ with cut as (
     when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
     when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as given
   from p left join own using (host))
-select page_id, host, path, coalesce(given, own) as rule,
-  case when given in ('net/', 'example.com/de/') then 'block' when given is not null then 'allow' when own is not null then 'block' else 'allow' end as verdict
-from r
 """
-}
+)
+VERDICT_SQL = "case when given in ('net/', 'example.com/de/') then 'block' when given is not null then 'allow' when own is not null then 'block' else 'allow' end as verdict"
+ORACLE = {"url_filter_kinds": f"{JUDGED_SQL} select page_id, host, path, coalesce(given, own) as rule, {VERDICT_SQL} from r"}

@@ -7,6 +7,7 @@ import tempfile
 import threading
 import uuid
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,3 +105,28 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def keeps_names(*reserved: str):
+    """For operators that add columns to a table and give its other columns back: the table's own may have any names.
+
+    Columns that are named like one that the operator works with (``_q_...`` or ``reserved``) get other
+    names for as long as it works; so do arguments that name them.
+    """
+
+    def wrap(operator):
+        @wraps(operator)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            clash = [c for c in docs.columns if c.lower().startswith("_q_") or c.lower() in reserved]
+            if not clash:
+                return operator(docs, *args, **kwargs)
+            aside: dict[str, str] = {}
+            for i, c in enumerate(clash):
+                aside[c] = free_name(docs, f"aside{i}")
+            named = lambda v: aside.get(v, v) if isinstance(v, str) else v
+            out = operator(docs.withColumnsRenamed(aside), *map(named, args), **{k: named(v) for k, v in kwargs.items()})
+            return out.withColumnsRenamed({v: k for k, v in aside.items()})
+
+        return run
+
+    return wrap

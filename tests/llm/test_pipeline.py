@@ -1,4 +1,5 @@
 import random
+import re
 import shutil
 
 import pytest
@@ -22,13 +23,20 @@ def staged(spark):
         t.unpersist()
 
 
+def is_marks(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    odd = sum(not any(c.isalnum() for c in w) for w in words) + sum(len(re.findall(r"(?<=[^\W_]|[.,])([#$%&*!?~=+<>|])\1+(?![^\W_])", w)) for w in words)
+    return len(words) >= 5 and odd > 0.25 * len(words)
+
+
 def ids(df):
     return {r.doc_id for r in df.select("doc_id").collect()}
 
 
 def test_stages(staged):
     docs, named, single, clean, mixed, sharded = staged
-    assert ids(docs) - ids(named) == {5000, 5001, 5002}
+    no_text = {r.doc_id for r in docs.collect() if r.text and is_marks(r.text)}
+    assert no_text and ids(docs) - ids(named) == {5000, 5001, 5002} | no_text
     assert all(t.columns == P.COLUMNS for t in (named, single, clean, mixed))
     groups = {r.doc_id: r.component_id for r in __import__("quire.llm.jaccard", fromlist=["x"]).similar_groups(named, 5, 80).collect()}
     assert ids(single) == {d for d, c in groups.items() if d == c} < ids(named)
@@ -55,7 +63,7 @@ def test_empty_documents(spark, tmp_path):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_language_stage_without_labels_keeps_documents_with_letters(spark):
@@ -95,3 +103,20 @@ def test_language_stage_rejects_what_scores_near_chance(spark):
     kept = ids(P.identified(spark, docs.union(odd), SF))
     held_out = ids(docs.where(~language.may_learn(F.col("doc_id"))))
     assert 6000 not in kept and 6001 in kept and held_out and held_out <= kept
+
+
+def test_first_stage_rejects_what_is_no_running_text(spark):
+    clean = ["Wh thtion eraon the, 12 of and 97.51.17.173 at +1 (269) 555-3296 in.", "dash - by dash, and so on... yes?! quite right!", "¿Qué? ¡sí! uno | dos tres cuatro cinco seis", "one | two", "", None, "C++ and C# and R, all of them are languages"]
+    junk = ["ciónza | quedo | asca | oscios, | enlla |", "la### ega%%% de$$$ tan&&& del***", "THE!! EEAIN!! STONTION!! AND!! OF!! the", "- - - = = = word word", "*** a *** b *** c ***"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(clean + junk)], "doc_id long, text string")
+    kept = {r.doc_id for r in df.where(language.is_running_text()).collect()}
+    assert kept == set(range(len(clean)))
+
+
+def test_first_stage_keeps_rows_of_good_quality(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    kept = P.identified(spark, docs, sf)
+    counts = labels.join(docs, "doc_id").join(kept.select("doc_id", F.lit(1).alias("kept")), "doc_id", "left").groupBy("quality").agg(F.count("*").alias("n"), F.count("kept").alias("kept")).collect()
+    rows = {r.quality: r for r in counts}
+    assert rows[1].kept == rows[1].n and rows[0].kept < rows[0].n / 2

@@ -135,3 +135,18 @@ def test_empty(spark, no_docs):
     out = S.shard_corpus(no_docs, store)
     assert out.count() == 0 and {"shard", "shard_rows", "shard_bytes", "shard_since"} <= set(out.columns)
     assert S.append(no_docs, store) == S.versions(spark, store)[-1]
+
+
+@pytest.mark.parametrize("target", [1 << 20, 40_000])
+def test_live_folders_hold_live_files_only(spark, tmp_path, target):
+    """After compactions a read opens the live files and no dead one, and every row is there once."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    store = f"file://{tmp_path}/live"
+    for seed in range(3):
+        S.append(docs.where(f"doc_id % 3 = {seed}").repartition(5), store, 37)
+        S.compact(spark, store, docs.schema, target)
+        live = S.manifest(spark, store)
+        listed = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter="*.parquet").load(S._folders(live)).agg({"length": "sum"}).first()[0]
+        assert listed == live.agg({"n_bytes": "sum"}).first()[0]
+    back = S.read(spark, store, docs.schema)
+    assert back.count() == docs.count() == back.select("doc_id").distinct().count()
