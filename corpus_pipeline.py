@@ -25,11 +25,12 @@ LANGUAGES: list[str] | None = None
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a kept language (LANGUAGES), by prediction; where ``lang`` is null the prediction is filled in.
 
-    Null texts and texts without a letter go, and texts that score little above chance. Without a
-    labelled row to learn from there is no field, and every document with a letter stays as it is.
+    Null texts and texts without a letter go, texts that score little above chance, and texts that are
+    no running text in any language: lists of words between marks, words with marks run on to them.
+    Without a labelled row to learn from there is no field and no score to go by.
     """
     field = language.fit(language.sample(docs))
-    named = language.identify(docs, field, into="_q_lang", score="_q_score").where(language.has_language(field, "text", "_q_lang", "_q_score"))
+    named = language.identify(docs, field, into="_q_lang", score="_q_score").where(language.has_language(field, "text", "_q_lang", "_q_score") & language.is_running_text("text"))
     if field is not None:
         if LANGUAGES is not None:
             named = named.where(F.col("_q_lang").isin(LANGUAGES))
