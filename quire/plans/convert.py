@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators import ordered, texts
-from quire.sources import files, sinks
+from quire.plans import merge
+from quire.sources import files, sinks, tables
 
 PARAGRAPH = ["path", "pos", "text", "kind", "level", "num", "label"]
 
@@ -47,16 +48,25 @@ def convert(found: DataFrame, target: str) -> DataFrame:
 def combine(found: DataFrame) -> DataFrame:
     """(job, content, error): the files of each job (job, file_no, path, content, format) as one package, in order of file_no.
 
-    Lists of later files get numbers behind those of the files before. A job of fewer than two
-    files, with a PDF or with an unreadable file has an error instead.
+    Packages go over as they are, with their tables, looks, pictures, lists and all that they refer to;
+    text and Word 97 files become packages first. Each later file begins on a new page. A job of fewer
+    than two files, with a PDF or with an unreadable file has an error instead. The result is a written
+    table (``tables.release``).
     """
-    jobs = found.groupBy("job").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce(F.col("format") == "pdf", F.lit(False))).alias("pdf"), F.bool_or(F.col("format").isNull()).alias("unknown"))
-    error = F.when(F.col("n") < 2, "combining takes two files at least").when(F.col("pdf"), "no PDF sink").when(F.col("unknown"), "not a PDF, Word document or text file")
-    told = jobs.select("job", error.alias("error"))
-    paragraphs = as_paragraphs(found.drop("job", "file_no")).join(found.select("job", "file_no", "path"), "path")
-    tops = found.select("job", "file_no").join(paragraphs.groupBy("job", "file_no").agg(F.max("num").alias("top")), ["job", "file_no"], "left")
-    before = Window.partitionBy("job").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
-    bases = tops.withColumn("base", F.coalesce(F.sum(F.coalesce(F.col("top"), F.lit(0))).over(before), F.lit(0)).cast("int")).drop("top")
-    moved = paragraphs.join(bases, ["job", "file_no"]).withColumn("num", F.when(F.col("num") != 0, F.col("num") + F.col("base")))
-    made = sinks.packages(moved.select("job", F.struct("file_no", "pos").alias("pos"), "text", "kind", "level", "num"), ["job"])
-    return told.join(made, "job", "left").select("job", F.when(F.col("error").isNull(), F.col("content")).alias("content"), "error")
+    unreadable = files.package_parts(found.where("format = 'docx'")).where("error is not null").select("path").distinct()
+    told = found.join(unreadable.withColumn("bad", F.lit(True)), "path", "left").groupBy("job").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce(F.col("format") == "pdf", F.lit(False))).alias("pdf"), F.bool_or(F.col("format").isNull()).alias("unknown"), F.bool_or(F.coalesce("bad", F.lit(False))).alias("bad")
+    )
+    error = F.when(F.col("n") < 2, "combining takes two files at least").when(F.col("pdf"), "no PDF sink").when(F.col("unknown"), "not a PDF, Word document or text file").when(F.col("bad"), "a file could not be read")
+    with tables.steps(found.sparkSession) as keep:
+        told = keep(told.select("job", error.alias("error")), "jobs")
+        taken = keep(found.join(told.where("error is null").select("job"), "job").withColumn("key", F.to_json(F.struct("job", "file_no"))), "files")
+        others = taken.where("format <> 'docx'").select(F.col("key").alias("path"), "content", "format")
+        made = sinks.packages(as_paragraphs(others), ["path"]).withColumnRenamed("path", "key")
+        ready = taken.where("format = 'docx'").select("job", "file_no", "content").unionByName(taken.where("format <> 'docx'").select("job", "file_no", "key").join(made, "key").select("job", "file_no", "content"))
+        order = F.row_number().over(Window.partitionBy("job").orderBy("file_no")) - 1
+        complete = keep(ready.withColumn("file_no", order), "ready")
+        joined = merge.merge(complete)
+        short = taken.groupBy("job").agg(F.count(F.lit(1)).alias("n")).join(complete.groupBy("job").agg(F.count(F.lit(1)).alias("k")), "job", "left").where("n > coalesce(k, 0)").select("job", F.lit("a file could not be read").alias("lacks"))
+        out = told.join(joined, "job", "left").join(short, "job", "left")
+        return tables.saved(out.select("job", F.when(F.col("lacks").isNull(), F.col("content")).alias("content"), F.coalesce("error", "lacks").alias("error")), "combined")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quire.functions import formats
 from quire.functions import xml as X
 from quire.operators import lookup
-from quire.sources import files, packages
+from quire.sources import files, packages, tables
 
 LEFT_BEHIND = ("footnoteReference", "endnoteReference", "commentReference", "commentRangeStart", "commentRangeEnd")
 DOCUMENT, STYLES, NUMBERING, TYPES = "word/document.xml", "word/styles.xml", "word/numbering.xml", "[Content_Types].xml"
@@ -47,7 +47,7 @@ def _bodies(parts: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _renamed(part, n):
-    return F.concat(F.regexp_extract(part, "^(.*/)?[^/]*$", 1), F.lit("merged"), n.cast("string"), F.lit("_"), F.regexp_extract(part, "([^/]*)$", 1))
+    return F.concat(F.regexp_extract(part, "^(.*/)?[^/]*$", 1), F.lit("from"), n.cast("string"), F.lit("-"), F.regexp_extract(part, "([^/]*)$", 1))
 
 
 def _numbers(shredded: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -102,32 +102,43 @@ def _copies(rels: DataFrame, taken: DataFrame) -> DataFrame:
 
 
 def merge(found: DataFrame) -> DataFrame:
-    """(job, content): the packages (job, file_no from 0, content) of each job as one, each later one on a new page."""
+    """(job, content): the packages (job, file_no from 0, content) of each job as one, each later one on a new page.
+
+    Each package is unzipped and parsed once. What several steps read (parts, elements, body items,
+    relationships, what goes over) is written and read back, so that no plan holds another one many times;
+    those tables go when the result, itself a table, is written (``tables.release`` deletes that one).
+    """
+    with tables.steps(found.sparkSession) as keep:
+        return tables.saved(_merged(found, keep), "merged")
+
+
+def _merged(found: DataFrame, keep: Callable[..., DataFrame]) -> DataFrame:
     key = F.to_json(F.struct(*_FILE))
-    names = found.select(*_FILE, key.alias("path"))
-    known = lambda df: df.join(names, "path").drop("path")
-    packed = found.select(key.alias("path"), "content", F.lit("docx").alias("format"))
-    raw, shred = files.package_parts(packed), files.shredded_packages(packed)
-    parts, shredded, items = known(raw.where("error is null")), known(shred), known(files.items(shred))
-    rels = known(files.all_relationships(shred))
-    bodies = _bodies(parts, items.where("file_no > 0"))
+    found = keep(found.select(*_FILE, "content", key.alias("path")), "packages")
+    names = found.select(*_FILE, "path")
+    known = lambda df, name: keep(df.join(names, "path").drop("path"), name)
+    raw = keep(files.package_parts(found.select("path", "content", F.lit("docx").alias("format"))).where("error is null"), "parts")
+    shred = keep(files.elements(raw), "elements")
+    parts, shredded, items = known(raw, "parts"), known(shred, "elements"), known(files.items(shred), "items")
+    rels = known(files.all_relationships(shred), "relationships")
+    bodies = keep(_bodies(parts, items.where("file_no > 0")), "bodies")
     of_body = rels.where((F.col("source_part") == DOCUMENT) & (F.col("file_no") > 0))
-    taken = lookup.referenced(of_body, bodies, _FILE)
-    copies = _copies(rels.where("file_no > 0"), taken)
-    new_id = F.concat(F.lit("rMerged"), F.col("file_no").cast("string"), F.lit("_"), "rel_id")
+    taken = keep(lookup.referenced(of_body, bodies, _FILE), "taken")
+    copies = keep(_copies(rels.where("file_no > 0"), taken), "copies")
+    new_id = F.concat(F.lit("f"), F.col("file_no").cast("string"), F.lit("."), "rel_id")
 
     # Relationships of the joined document: those of the first, then of what goes over.
     own_target = F.regexp_replace(_renamed(formats.resolve_path(F.lit("word/"), F.col("target")), F.col("file_no")), "^word/", "")
     outside = ~formats.resolve_path(F.lit("word/"), F.col("target")).startswith("word/")
     moved = taken.select("job", "file_no", "seq", new_id.alias("rel_id"), "type", F.when(F.col("external"), F.col("target")).otherwise(F.concat(F.when(outside, "/").otherwise(""), own_target)).alias("target"), "external")
     first = rels.where((F.col("source_part") == DOCUMENT) & (F.col("file_no") == 0)).select("job", "file_no", "seq", "rel_id", "type", "target", "external")
-    numbers, num_bases = _numbers(shredded)
+    numbers, num_bases = (keep(df, "numbers") for df in _numbers(shredded))
     lists = num_bases.groupBy("job").agg(F.min("file_no").alias("_first"))
-    lacking = lists.where("_first > 0").select("job", F.lit(2**30).alias("file_no"), F.lit(0).alias("seq"), F.lit("rMergedNumbering").alias("rel_id"), F.lit(f"{packages.OFFICE_NS}/numbering").alias("type"), F.lit("numbering.xml").alias("target"), F.lit(False).alias("external"))
+    lacking = lists.where("_first > 0").select("job", F.lit(2**30).alias("file_no"), F.lit(0).alias("seq"), F.lit("fNumbering").alias("rel_id"), F.lit(f"{packages.OFFICE_NS}/numbering").alias("type"), F.lit("numbering.xml").alias("target"), F.lit(False).alias("external"))
     document_rels = packages.relationships_xml(first.unionByName(moved).unionByName(lacking).withColumn("seq", F.struct("file_no", "seq")), ["job"]).withColumn("name", F.lit("word/_rels/document.xml.rels"))
 
     # Parts under new names, and the relationships of those that have any, which name parts from the root.
-    went = copies.withColumn("name", _renamed(F.col("part"), F.col("file_no")))
+    went = keep(copies.withColumn("name", _renamed(F.col("part"), F.col("file_no"))), "went")
     bytes_of = parts.join(went, [*_FILE, "part"]).select("job", "name", "content")
     inner = rels.where("file_no > 0").join(went.select(*_FILE, F.col("part").alias("source_part"), "name"), [*_FILE, "source_part"])
     folder = F.regexp_extract("source_part", "^(.*/)?[^/]*$", 1)
@@ -136,7 +147,7 @@ def merge(found: DataFrame) -> DataFrame:
     inner_parts = inner_rels.select("job", formats.rels_path(F.col("name")).alias("name"), F.encode("xml", "UTF-8").alias("content"))
 
     # Content types: the first package's, and by name those that it does not know by extension.
-    named, by_ext = (known(df) for df in files.content_types(shred))
+    named, by_ext = (known(df, "types") for df in files.content_types(shred))
     ext = F.lower(F.regexp_extract("part", r"\.([^./]*)$", 1))
     typed = went.withColumn("ext", ext).join(named.withColumnRenamed("name", "part").withColumnRenamed("type", "_o"), [*_FILE, "part"], "left").join(by_ext.withColumnRenamed("type", "_d"), [*_FILE, "ext"], "left")
     ours = by_ext.where("file_no = 0").select("job", "ext", F.col("type").alias("_ours"))
@@ -157,7 +168,7 @@ def merge(found: DataFrame) -> DataFrame:
     defs = numbers.where("file_no > 0").groupBy("job").agg(F.array_sort(F.collect_list(F.struct("kind", "file_no", "pos", "id", "num_base", "abstract_base", "xml"))).alias("defs"))
     ends = items.where("file_no = 0 and not (kind = 'other' and name = 'sectPr')").groupBy("job").agg(F.max("end").alias("end"))
     other = bytes_of.unionByName(inner_parts).unionByName(document_rels.select("job", "name", F.encode("xml", "UTF-8").alias("content"))).unionByName(types.select("job", "name", F.encode("xml", "UTF-8").alias("content")))
-    added = other.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("name", "content"))).alias("added"))
+    added = keep(other.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("name", "content"))).alias("added")), "added")
     base = found.where("file_no = 0").select("job", "content")
     jobs = base.join(ends, "job", "left").join(appended, "job", "left").join(defs, "job", "left").join(extra, "job", "left").join(added, "job", "left")
 

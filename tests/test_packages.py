@@ -145,22 +145,22 @@ def test_merge_brings_all_that_a_body_refers_to(spark):
 
     text = part(made[1])
     assert text.index("Plums") < text.index('w:type="page"') < text.index("Pears") < text.index("Quinces") < text.index("<w:sectPr>") and text.count("sectPr") == 2 and text.count('w:type="page"') == 2
-    assert 'r:id="rMerged1_web"' in text and 'r:embed="rMerged1_one"' in text and "footnoteReference" not in text
+    assert 'r:id="f1.web"' in text and 'r:embed="f1.one"' in text and "footnoteReference" not in text
     assert '<w:numId w:val="13"/>' in text and text.count("numPr") == 2  # 6 moved behind the first one's 6; the third has no definitions
     numbers = part(made[1], "word/numbering.xml")
     assert 'abstractNumId="9"' in numbers and '<w:num w:numId="13"><w:abstractNumId w:val="9"/>' in numbers and numbers.index('abstractNumId="9"') < numbers.index("<w:num ")
     styles = part(made[1], "word/styles.xml")
     assert styles.count('"Heading2"') == 1 and styles.count('"Fancy"') == 1 and "customStyle" not in styles
-    assert {"word/media/merged1_pear.png", "word/charts/merged1_c.xml", "word/charts/_rels/merged1_c.xml.rels", "word/embeddings/merged1_d.bin"} <= set(names(made[1])) and not any("unused" in n for n in names(made[1]))
-    inner_rels = part(made[1], "word/charts/_rels/merged1_c.xml.rels")
-    assert 'Target="/word/embeddings/merged1_d.bin"' in inner_rels and 'Target="/word/charts/merged1_c.xml"' in inner_rels
+    assert {"word/media/from1-pear.png", "word/charts/from1-c.xml", "word/charts/_rels/from1-c.xml.rels", "word/embeddings/from1-d.bin"} <= set(names(made[1])) and not any("unused" in n for n in names(made[1]))
+    inner_rels = part(made[1], "word/charts/_rels/from1-c.xml.rels")
+    assert 'Target="/word/embeddings/from1-d.bin"' in inner_rels and 'Target="/word/charts/from1-c.xml"' in inner_rels
     rels_made = part(made[1], "word/_rels/document.xml.rels")
-    assert 'Id="rMerged1_one" Type="t/image" Target="media/merged1_pear.png"' in rels_made and 'Target="http://p.example/?a&amp;b" TargetMode="External"' in rels_made and "unused" not in rels_made
+    assert 'Id="f1.one" Type="t/image" Target="media/from1-pear.png"' in rels_made and 'Target="http://p.example/?a&amp;b" TargetMode="External"' in rels_made and "unused" not in rels_made
     with zipfile.ZipFile(io.BytesIO(made[1])) as z:
-        assert z.read("word/media/merged1_pear.png") == PNG
+        assert z.read("word/media/from1-pear.png") == PNG
 
     # A first package without lists gets a numbering part, with its relationship and its type.
-    assert 'Id="rMergedNumbering"' in part(made[2], "word/_rels/document.xml.rels") and 'PartName="/word/numbering.xml"' in part(made[2], "[Content_Types].xml") and '<w:num w:numId="7">' in part(made[2], "word/numbering.xml")
+    assert 'Id="fNumbering"' in part(made[2], "word/_rels/document.xml.rels") and 'PartName="/word/numbering.xml"' in part(made[2], "[Content_Types].xml") and '<w:num w:numId="7">' in part(made[2], "word/numbering.xml")
     back = files.paragraphs(files.elements(files.package_parts(spark.createDataFrame([("m", bytearray(made[1]), "docx")], "path string, content binary, format string")))).orderBy("pos")
     assert [r.text for r in back.collect()] == ["Plums", "", "Pears", "", "", "Quinces"]
 
