@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.sources import tables
+
 #: Styles of a chain that count, the style itself included.
 CHAIN = 17
 
@@ -33,15 +35,20 @@ def style_chain(styles: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def nearest_value(nodes: DataFrame, keys: list[str], node: str, up: str, value: str, most: int) -> DataFrame:
     """(keys, node, value, hops): the value of the nearest of each node and those above it that has one, ``most`` of them at most.
 
-    Each round doubles the way that is looked up, so there are about log2(most) joins; loops end with the way.
+    Each round doubles the way that is looked up and is written, so a plan holds one round; at most
+    log2(most) rounds run, and none once every way has found a value or come to its end. Loops end with
+    the way. The result is a written table (``tables.release``).
     """
     state = nodes.select(*keys, F.col(node).alias(node), F.col(up).alias("_up"), F.col(value).alias("value"), F.when(F.col(value).isNotNull(), 0).alias("hops"))
     way = 1
-    while way < most:
+    state = tables.saved(state, "ways")
+    while way < most and state.where("value is null and _up is not null").limit(1).count():
+        # Only ways that go on look further up.
+        going, done = state.where("value is null and _up is not null"), state.where("value is not null or _up is null")
         above = state.select(*keys, F.col(node).alias("_up"), F.col("_up").alias("_next"), F.col("value").alias("_value"), F.col("hops").alias("_hops"))
-        joined = state.join(above, [*keys, "_up"], "left")
-        found = F.col("value").isNotNull()
-        state = joined.select(*keys, node, F.col("_next").alias("_up"), F.when(found, F.col("value")).otherwise(F.col("_value")).alias("value"), F.when(found, F.col("hops")).otherwise(F.col("_hops") + way).alias("hops"))
+        further = going.join(above, [*keys, "_up"], "left").select(*keys, node, F.col("_next").alias("_up"), F.col("_value").alias("value"), (F.col("_hops") + way).alias("hops"))
+        before, state = state, tables.saved(done.unionByName(further), "ways")
+        tables.release(before)
         way *= 2
     near = F.col("hops") < most
     return state.select(*keys, node, F.when(near, F.col("value")).alias("value"), F.when(near, F.col("hops")).alias("hops"))

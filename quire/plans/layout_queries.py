@@ -334,27 +334,28 @@ def part_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with recursive n as (select c_custkey as node, c_custkey // 3 as up, case when c_custkey % 5 = 0 then c_name end as value from customer where c_custkey > 0
-), w as (select node, up, value, 0 as hops from n union all select w.node, n.up, n.value, hops + 1 from w join n on n.node = w.up where w.value is null and hops < 63)
-select n.node, max(w.value) as value from n left join w on w.node = n.node and w.value is not null group by n.node
+with recursive n as (select c_custkey % 7 as doc, c_custkey // 7 as node, c_custkey // 21 as up, case when c_custkey % 5 = 0 then c_name end as value from customer where c_custkey > 6
+), w as (select doc, node, up, value, 0 as hops from n union all select w.doc, w.node, n.up, n.value, hops + 1 from w join n on n.doc = w.doc and n.node = w.up where w.value is null and hops < 63)
+select n.doc, n.node, max(w.value) as value from n left join w on w.doc = n.doc and w.node = n.node and w.value is not null group by n.doc, n.node
 """)
 def inherited_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as nodes of a page tree: the name of the nearest one above whose number is a multiple of five."""
+    """Customers as nodes of seven page trees: the name of the nearest one above whose number is a multiple of five."""
     k = F.col("c_custkey")
-    nodes = table(spark, sf_dir, "customer").where("c_custkey > 0").select(F.lit(0).alias("doc"), k.alias("node"), F.floor(k / 3).alias("parent"), F.when(k % 5 == 0, F.col("c_name")).alias("value"))
-    return lookup.inherited_attribute(nodes, ["doc"], "value").select("node", "value")
+    nodes = table(spark, sf_dir, "customer").where("c_custkey > 6").select((k % 7).alias("doc"), F.floor(k / 7).alias("node"), F.floor(k / 21).alias("parent"), F.when(k % 5 == 0, F.col("c_name")).alias("value"))
+    return lookup.inherited_attribute(nodes, ["doc"], "value").select("doc", "node", "value")
 
 
 @query("""
-with recursive n as (select p_partkey as node, case when p_partkey % 4 > 0 then p_partkey - 1 - p_partkey % 3 end as up, case when p_partkey % 4 = 0 then p_size end as page from part
-), w as (select node, up, page, 0 as hops from n union all select w.node, n.up, n.page, hops + 1 from w join n on n.node = w.up where w.page is null and hops < 8)
-select n.node, max(w.page) as page from n left join w on w.node = n.node and w.page is not null group by n.node
+with recursive n as (select p_partkey % 5 as doc, p_partkey // 5 as node, case when p_partkey % 4 > 0 then p_partkey // 5 - 1 - p_partkey // 5 % 3 end as up, case when p_partkey % 4 = 0 then p_size end as page from part
+), w as (select doc, node, up, page, 0 as hops from n union all select w.doc, w.node, n.up, n.page, hops + 1 from w join n on n.doc = w.doc and n.node = w.up where w.page is null and hops < 8)
+select n.doc, n.node, max(w.page) as page from n left join w on w.doc = n.doc and w.node = n.node and w.page is not null group by n.doc, n.node
 """)
 def named_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as objects that lead to a page or to another object, eight steps at most."""
+    """Parts as objects of five documents that lead to a page or to another object, eight steps at most."""
     k = F.col("p_partkey")
-    objects = table(spark, sf_dir, "part").select(F.lit(0).alias("doc"), k.alias("node"), F.when(k % 4 > 0, k - 1 - k % 3).alias("target"), F.when(k % 4 == 0, F.col("p_size")).alias("page"))
-    return lookup.destinations(objects, ["doc"]).select("node", "page")
+    node = F.floor(k / 5)
+    objects = table(spark, sf_dir, "part").select((k % 5).alias("doc"), node.alias("node"), F.when(k % 4 > 0, node - 1 - node % 3).alias("target"), F.when(k % 4 == 0, F.col("p_size")).alias("page"))
+    return lookup.destinations(objects, ["doc"]).select("doc", "node", "page")
 
 
 @query("select page_id, k as rel_id from pages, (select unnest(range(0, 40)) k) where contains(html, '\"' || k || '\"')")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import formats
 from quire.functions import xml as X
 from quire.operators import lookup, ordered
-from quire.plans import merge
+from quire.plans import convert, merge
 from quire.plans.queries import _PAGES_SQL, _pages, query, table
 from quire.sources import files, packages, sinks, word97
 
@@ -355,6 +355,21 @@ def merge_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("path").agg(F.md5(text).alias("digest")).select(F.col("path").cast("long").alias("conv_id"), "digest")
 
 
+@query("""
+with t as (select conv_id, string_agg(text || chr(9), chr(10) order by turn) as t, max(turn) as last from conversations where text is not null group by 1)
+select conv_id, md5('start of ' || conv_id || chr(10) || chr(10) || t || chr(10) || chr(10) || 'end' || chr(10) || last) as digest from t
+""")
+def combined_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text file, a conversation's package and another text file of each conversation, as one package."""
+    made = _conversation_packages(spark, sf_dir).select(F.col("path").alias("job"), F.lit(1).alias("file_no"), "content", F.lit("docx").alias("format"))
+    lasts = table(spark, sf_dir, "conversations").where("text is not null").groupBy(F.col("conv_id").cast("string").alias("job")).agg(F.max("turn").cast("string").alias("last"))
+    text = lambda no, body: lasts.select("job", F.lit(no).alias("file_no"), F.encode(body, "UTF-8").alias("content"), F.lit("text").alias("format"))
+    found = made.unionByName(text(0, _cat("start of ", F.col("job"), "\n"))).unionByName(text(2, _cat("end\n", F.col("last"), "\n"))).withColumn("path", F.concat_ws("/", "job", "file_no"))
+    back = files.paragraphs(_shredded(convert.combine(found).select(F.col("job").alias("path"), "content", F.lit("docx").alias("format"))))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda p: p["text"]), "\n")
+    return back.groupBy("path").agg(F.md5(lines).alias("digest")).select(F.col("path").cast("long").alias("conv_id"), "digest")
+
+
 @query("select doc_id, 'doc' as format, md5(replace(coalesce(text, ''), chr(13), chr(10))) as digest from documents")
 def word97_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a Word 97 file in its container, told by its streams and read back through its piece table."""

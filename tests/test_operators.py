@@ -42,7 +42,7 @@ def test_containment_in_several_passes(spark, monkeypatch):
     queries = spark.createDataFrame([(1, "TWO"), (2, "defined"), (3, " "), (4, None), (5, "e")], "item_id int, q string")
     want = [(1, 1), (1, 5), (2, 2), (2, 5)]
     assert rows(search.containment(docs, queries, "doc_id", "text", "item_id", "q")) == want
-    monkeypatch.setattr(search, "QUERIES_A_PASS", 2)
+    monkeypatch.setattr(search, "SET_BYTES", 2)
     assert rows(search.containment(docs, queries, "doc_id", "text", "item_id", "q")) == want
     assert rows(search.containment(docs, queries.limit(0), "doc_id", "text", "item_id", "q")) == []
 
