@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,12 +14,15 @@ from quire.sources import files, sinks, tables
 PARAGRAPH = ["path", "pos", "text", "kind", "level", "num", "label"]
 
 
-def as_paragraphs(found: DataFrame) -> DataFrame:
-    """(path, pos, text, kind, level, num, label) of text, Word and package files (path, content, format), list labels as shown."""
+def as_paragraphs(found: DataFrame, keep: Callable[..., DataFrame] = tables.saved) -> DataFrame:
+    """(path, pos, text, kind, level, num, label) of text, Word and package files (path, content, format), list labels as shown.
+
+    ``keep`` writes the elements of packages, which several steps read.
+    """
     plain = lambda df: df.select("path", "pos", "text", F.lit("normal").alias("kind"), F.lit(0).alias("level"), F.lit(None).cast("int").alias("num"), F.lit(None).cast("string").alias("label"))
     of_text = plain(texts.paragraphs(files.text_files(found), "path", "text"))
     of_word = plain(texts.paragraphs(files.word97_texts(found).where("error is null"), "path", "text"))
-    shredded = files.shredded_packages(found)
+    shredded = keep(files.elements(files.package_parts(found)), "elements")
     read = files.paragraphs(shredded).select("path", "pos", "text", "kind", "style_level", "num", "level")
     labelled = ordered.list_labels(read, files.list_levels(shredded), ["path"], "pos", level_keys=["path"])
     of_package = labelled.select("path", "pos", "text", "kind", F.coalesce("level", "style_level").alias("level"), "num", "label")
@@ -28,7 +33,7 @@ def convert(found: DataFrame, target: str) -> DataFrame:
     """(path, content, error): each file as text or docx; a file of that format comes back as it is.
 
     PDFs are not converted, and nothing becomes a PDF or a Word 97 file: such rows and files of no
-    known format have an error and no content.
+    known format have an error and no content. The result is a written table (``tables.release``).
     """
     if target not in ("text", "docx"):
         raise ValueError(f"no sink for {target}")
@@ -36,13 +41,14 @@ def convert(found: DataFrame, target: str) -> DataFrame:
     why = F.when(F.col("format") == "pdf", "a PDF cannot be turned into another format").otherwise("not a PDF, Word document or text file")
     refused = found.where("format is null or format = 'pdf'").select("path", F.lit(None).cast("binary").alias("content"), why.alias("error"))
     rest = found.where(F.col("format").isin("text", "docx", "doc") & (F.col("format") != target))
-    paragraphs = as_paragraphs(rest)
-    if target == "text":
-        made = texts.text_of(paragraphs, ["path"], "label", "level").select("path", F.encode("text", "UTF-8").alias("content"))
-    else:
-        made = sinks.packages(paragraphs, ["path"])
-    done = rest.select("path").join(made, "path", "left").select("path", "content", F.when(F.col("content").isNull(), "the file could not be read").alias("error"))
-    return same.unionByName(refused).unionByName(done)
+    with tables.steps(found.sparkSession) as keep:
+        paragraphs = as_paragraphs(rest, keep)
+        if target == "text":
+            made = texts.text_of(paragraphs, ["path"], "label", "level").select("path", F.encode("text", "UTF-8").alias("content"))
+        else:
+            made = sinks.packages(paragraphs, ["path"])
+        done = rest.select("path").join(made, "path", "left").select("path", "content", F.when(F.col("content").isNull(), "the file could not be read").alias("error"))
+        return tables.saved(same.unionByName(refused).unionByName(done), "converted")
 
 
 def combine(found: DataFrame) -> DataFrame:
@@ -62,7 +68,7 @@ def combine(found: DataFrame) -> DataFrame:
         told = keep(told.select("job", error.alias("error")), "jobs")
         taken = keep(found.join(told.where("error is null").select("job"), "job").withColumn("key", F.to_json(F.struct("job", "file_no"))), "files")
         others = taken.where("format <> 'docx'").select(F.col("key").alias("path"), "content", "format")
-        made = sinks.packages(as_paragraphs(others), ["path"]).withColumnRenamed("path", "key")
+        made = sinks.packages(as_paragraphs(others, keep), ["path"]).withColumnRenamed("path", "key")
         ready = taken.where("format = 'docx'").select("job", "file_no", "content").unionByName(taken.where("format <> 'docx'").select("job", "file_no", "key").join(made, "key").select("job", "file_no", "content"))
         order = F.row_number().over(Window.partitionBy("job").orderBy("file_no")) - 1
         complete = keep(ready.withColumn("file_no", order), "ready")

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from quire.functions import formats, geometry, numbers
 from quire.functions import text as T
 from quire.operators import editing, lines, lookup, ordered, requests, search, sets, texts
 from quire.plans import convert
+from quire.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -177,16 +177,16 @@ _FORMATS = ["lowerLetter", "upperLetter", "lowerRoman", "upperRoman", "decimalZe
 
 
 @query("""
-with n as (select unnest(range(0, 4200))::bigint as n), f as (select unnest(['lowerLetter', 'upperLetter', 'lowerRoman', 'upperRoman', 'decimalZero', 'ordinal', 'decimal', 'none']) as format
-), r as (select n, repeat('M', (n // 1000)::int) || (['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'])[n // 100 % 10 + 1] || (['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'])[n // 10 % 10 + 1]
+with n as (select p_partkey % 4200 as n, p_partkey from part), f as (select unnest(['lowerLetter', 'upperLetter', 'lowerRoman', 'upperRoman', 'decimalZero', 'ordinal', 'decimal', 'none']) as format
+), r as (select p_partkey, n, repeat('M', (n // 1000)::int) || (['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'])[n // 100 % 10 + 1] || (['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'])[n // 10 % 10 + 1]
   || (['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'])[n % 10 + 1] as r, case when n = 0 then '' else repeat(chr((97 + (n - 1) % 26)::int), ((n - 1) // 26 + 1)::int) end as l from n)
-select n, format, case format when 'lowerLetter' then l when 'upperLetter' then upper(l) when 'lowerRoman' then lower(r) when 'upperRoman' then r when 'decimalZero' then case when n < 10 then '0' || n else n::varchar end
+select p_partkey, n, format, case format when 'lowerLetter' then l when 'upperLetter' then upper(l) when 'lowerRoman' then lower(r) when 'upperRoman' then r when 'decimalZero' then case when n < 10 then '0' || n else n::varchar end
   when 'ordinal' then n || case when n % 100 in (11, 12, 13) then 'th' when n % 10 = 1 then 'st' when n % 10 = 2 then 'nd' when n % 10 = 3 then 'rd' else 'th' end when 'decimal' then n::varchar else '' end as label
 from r, f
 """)
 def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = spark.range(4200).select(F.col("id").alias("n"), F.explode(F.array(*map(F.lit, _FORMATS))).alias("format"))
-    return n.select("n", "format", numbers.number(F.col("n"), F.col("format")).alias("label"))
+    n = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 4200).alias("n"), F.explode(F.array(*map(F.lit, _FORMATS))).alias("format"))
+    return n.select("p_partkey", "n", "format", numbers.number(F.col("n"), F.col("format")).alias("label"))
 
 
 @query("""
@@ -219,20 +219,25 @@ def contextual_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.contextual_spacing(paragraphs, ["conv_id"], "turn", "role", "before", "ask").select("conv_id", "turn", "space_before")
 
 
-_STYLES = """('Normal', null, 'Tahoma', null, null, 6), ('Title', 'Normal', 'Georgia', 18, true, 9), ('Big', 'Title', null, 24, null, null),
- ('Own', 'Own', null, 8, null, null), ('A', 'B', 'Loop', null, null, null), ('B', 'A', null, 11, null, null), ('Lost', 'Nowhere', null, null, true, null)"""
-
-
-@query(f"""
-with recursive s(id, based, font, size, bold, after) as (values {_STYLES}
-), c(id, anc, depth) as (select id, id, 0 from s union all select c.id, n.id, depth + 1 from c join s a on a.id = c.anc join s n on n.id = a.based and a.based <> a.id where depth < 16)
-select c.id as style_id, coalesce(arg_min(font, depth) filter (font is not null), 'Arial') as font, coalesce(arg_min(size, depth) filter (size is not null), 12) as size,
-  coalesce(arg_min(bold, depth) filter (bold is not null), false) as bold, coalesce(arg_min(after, depth) filter (after is not null), 6) as after
-from c join s on s.id = c.anc group by c.id
+@query("""
+with recursive s as (select c_nationkey as sheet, 'S' || c_custkey // 25 as id, 'S' || case c_custkey // 25 % 7 when 0 then null when 1 then c_custkey // 25 when 2 then c_custkey // 25 + 1 when 3 then c_custkey // 25 - 1 when 6 then -5 else c_custkey // 75 end as based,
+  case when c_custkey % 3 = 0 then c_name end as font, case when c_custkey % 4 = 0 then (c_custkey % 30 + 6)::int end as size, case when c_custkey % 5 < 2 then c_custkey % 5 = 0 end as bold
+  from (select *, row_number() over (partition by c_nationkey, c_custkey // 25 order by c_custkey) as k from customer) where k = 1
+), c(sheet, id, anc, depth) as (select sheet, id, id, 0 from s union all select c.sheet, c.id, n.id, depth + 1 from c join s a on a.sheet = c.sheet and a.id = c.anc join s n on n.sheet = a.sheet and n.id = a.based and a.based <> a.id where depth < 16)
+select c.sheet, c.id as style_id, coalesce(arg_min(font, depth) filter (font is not null), 'Arial') as font, coalesce(arg_min(size, depth) filter (size is not null), 12) as size,
+  coalesce(arg_min(bold, depth) filter (bold is not null), false) as bold
+from c join s on s.sheet = c.sheet and s.id = c.anc group by c.sheet, c.id
 """)
 def style_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    styles = values(spark, _STYLES, "style_id, based_on, font, size, bold, after")
-    return lookup.cascade(styles, ["font", "size", "bold", "after"], {"font": "Arial", "size": 12, "bold": False, "after": 6})
+    """Customers as the styles of a sheet a nation: some based on themselves, on each other, or on none that is there."""
+    k, style = F.col("c_custkey"), F.floor(F.col("c_custkey") / 25)
+    named = lambda c: F.concat(F.lit("S"), c.cast("string"))
+    first = F.row_number().over(Window.partitionBy("c_nationkey", style).orderBy("c_custkey"))
+    based = F.when(style % 7 == 0, None).when(style % 7 == 1, style).when(style % 7 == 2, style + 1).when(style % 7 == 3, style - 1).when(style % 7 == 6, -5).otherwise(F.floor(k / 75))
+    styles = table(spark, sf_dir, "customer").withColumn("k", first).where("k = 1").select(
+        F.col("c_nationkey").alias("sheet"), named(style).alias("style_id"), named(based).alias("based_on"), F.when(k % 3 == 0, F.col("c_name")).alias("font"), F.when(k % 4 == 0, (k % 30 + 6).cast("int")).alias("size"), F.when(k % 5 < 2, k % 5 == 0).alias("bold")
+    )
+    return lookup.cascade(styles, ["font", "size", "bold"], {"font": "Arial", "size": 12, "bold": False}, ["sheet"])
 
 
 # Geometry ---------------------------------------------------------------------
@@ -616,6 +621,6 @@ def convert_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a text file, turned into a package and back."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
     found = docs.select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"), F.lit("text").alias("format"))
-    made = convert.convert(found, "docx").select("path", "content", F.lit("docx").alias("format")).persist(StorageLevel.DISK_ONLY)  # as files between two programs
-    back = convert.convert(made, "text")
+    made = convert.convert(found, "docx").select("path", "content", F.lit("docx").alias("format"))
+    back = convert.convert(tables.saved(made, "packages"), "text")  # as files between two programs
     return back.select(F.col("path").cast("long").alias("doc_id"), F.md5("content").alias("digest"))

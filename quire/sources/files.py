@@ -10,7 +10,6 @@ from xml.parsers import expat
 
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -18,6 +17,7 @@ from pyspark.sql.types import BooleanType
 from quire.functions import equations, formats
 from quire.functions import text as T
 from quire.functions.xml import walk
+from quire.sources import tables
 
 #: Subtrees that hold what is shown elsewhere, or not at all.
 SKIPPED = {"txbxContent", "Fallback"}
@@ -132,11 +132,8 @@ def elements(parts: DataFrame) -> DataFrame:
 
 
 def shredded_packages(files: DataFrame) -> DataFrame:
-    """``elements`` of packages, kept on disk: plans that read them in several places parse each file once.
-
-    What is kept goes with ``unpersist``, or with the session; a lost executor's part is parsed again.
-    """
-    return elements(package_parts(files)).persist(StorageLevel.DISK_ONLY)
+    """``elements`` of packages as a written table (``tables.release``): plans that read them in several places parse each file once."""
+    return tables.saved(elements(package_parts(files)), "elements")
 
 
 def paragraphs(shredded: DataFrame, part: str = "word/document.xml") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quire.functions import formats
 from quire.functions import xml as X
 from quire.operators import ordered
-from quire.sources import files
+from quire.sources import files, tables
 
 # The schema's order of a paragraph's and of a run's properties.
 PARAGRAPH_ORDER = (
@@ -163,8 +163,13 @@ def save(found: DataFrame, out: DataFrame) -> DataFrame:
     as it was; para makes a paragraph anew, from the item (which may be null) it was edited from; block puts
     ``xml``. What does not show, such as bookmarks, goes before the item that it stood before, once; that of
     items that are gone comes after all others, and what stood last, such as section properties, ends the body.
+    The result is a written table (``tables.release``).
     """
-    shredded = files.shredded_packages(found)
+    with tables.steps(found.sparkSession) as keep:
+        return tables.saved(_saved_packages(found, out, keep(files.elements(files.package_parts(found)), "elements")), "saved")
+
+
+def _saved_packages(found: DataFrame, out: DataFrame, shredded: DataFrame) -> DataFrame:
     body_items = files.items(shredded)
     shows = (F.col("n_blocks") > 0) | F.col("kind").isin("paragraph", "locked", "table")
     owned = ordered.owner_of_hidden(body_items, ["path"], "item", shows).withColumn("shows", shows)
