@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quire.plans import layout_queries, package_queries  # noqa: F401  they register with the others
+from quire.plans import layout_queries, object_queries, package_queries  # noqa: F401  they register with the others
 from quire.plans import queries as documents
 
 SF = "/root/testdata/sf0.001"
