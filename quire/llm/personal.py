@@ -33,6 +33,8 @@ WIDE = {
     "card": r"(?<![0-9])(?:(?:[0-9]{4}[ .-]?){3}[0-9]{4}|3[47][0-9]{2}[ .-]?[0-9]{6}[ .-]?[0-9]{5})(?![0-9])",
     "phone": r"(?:(?:\+|(?<![0-9A-Za-z])00)1[ .-]?)?(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])|(?:\+|(?<![0-9A-Za-z])00)[1-9][0-9]{0,2}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
 }
+#: What a candidate of a kind must hold besides: the last label of an address has no digits.
+WIDE_HOLDS = {"email": "[A-Za-z]{2,}$"}
 _ALL_OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])){3}$"
 #: Common top-level domains, card issuers' first digits, calling codes.
 DOMAINS = "com org net edu gov int info biz io ai app dev de fr es uk it nl be ch at pt pl se no dk fi ie eu us ca mx br ar cl co au nz jp cn in ru"
@@ -186,7 +188,7 @@ def _found(docs: DataFrame, text: str, name: str, base_too: bool) -> DataFrame:
     def more(k: str) -> Column:
         wide, own = F.col(at[k, 1]), F.col(kept[k])
         clear = lambda x: ~F.exists(own, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & ~F.exists(F.col(every), lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
-        found = F.filter(wide, lambda x: F.array_contains(F.col(new[k]), packed(x)) & clear(x))
+        found = F.filter(wide, lambda x: F.array_contains(F.col(new[k]), packed(x)) & x["span"].rlike(WIDE_HOLDS.get(k, "")) & clear(x))
         return F.when(F.size(new[k]) > 0, _judged(k, found)).otherwise(F.array().cast(_JUDGED))
 
     base = lambda k: _judged(k, F.col(kept[k])) if base_too else F.transform(F.col(kept[k]), _span)

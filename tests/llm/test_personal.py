@@ -80,8 +80,8 @@ def test_odd_and_very_long_texts(spark, model, odd_docs, no_docs):
     rng = random.Random(5)
     long = lambda n: ["1" * n, "a.b" * n, "a@" * n, "1.2." * n, "+1" + "(" * n, " ".join(["x.y@mail.example.com 10.0.0.1"] * (n // 50)), "x" * n + "@" + "y." * n, "x@y.z_" * n]
     check_base(P.detect(spark.createDataFrame([(t,) for t in [*long(1000), " ".join(corpus(rng, 300))]], "text string"), model).collect())
-    counts = {r.text[:9]: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.n_added) for r in P.detect(spark.createDataFrame([(t,) for t in long(100_000)], "text string"), model).collect()}
-    assert counts == {"1" * 9: (0, 0, 0, 0, 0), "a.ba.ba.b": (0, 0, 0, 0, 0), "a@a@a@a@a": (0, 0, 0, 0, 0), "1.2.1.2.1": (0, 50_000, 0, 0, 0), "+1" + "(" * 7: (0, 0, 0, 0, 0), "x.y@mail.": (2000, 2000, 0, 0, 0), "x" * 9: (1, 0, 0, 0, 0), "x@y.z_x@y": (100_000, 0, 0, 0, 0)}
+    counts = {r.text[:9]: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.n_added) for r in P.detect(spark.createDataFrame([(t,) for t in long(20_000)], "text string"), model).collect()}
+    assert counts == {"1" * 9: (0, 0, 0, 0, 0), "a.ba.ba.b": (0, 0, 0, 0, 0), "a@a@a@a@a": (0, 0, 0, 0, 0), "1.2.1.2.1": (0, 10_000, 0, 0, 0), "+1" + "(" * 7: (0, 0, 0, 0, 0), "x.y@mail.": (400, 400, 0, 0, 0), "x" * 9: (1, 0, 0, 0, 0), "x@y.z_x@y": (20_000, 0, 0, 0, 0)}
     assert P.detect(no_docs, model).count() == 0 and P.fit(no_docs).weights == {}
 
 
