@@ -123,7 +123,7 @@ def plan_merges(shards: DataFrame, target_bytes: int, fanout: int = 4) -> DataFr
     runs = cut.withColumn("part", F.floor(F.coalesce(before, F.lit(0)) / target_bytes)).withColumn("run", F.concat_ws("-", "tier", "slice", "part"))
     several = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("run_bytes")).where("n > 1").select("run", "run_bytes")
     merged = runs.join(several, "run").select("path", "run", "run_bytes")
-    left = shards.join(merged.select("path"), "path", "left_anti").withColumn("folder", _folder(F.col("path")))
+    left = shards.join(merged.select("path"), "path", "left_anti").withColumn("folder", _folder(F.col("path"))).where("folder <> ''")
     beside = left.join(merged.select(_folder(F.col("path")).alias("folder")).distinct(), "folder", "left_semi")
     return merged.unionByName(beside.select("path", F.concat(F.lit("alone-"), "path").alias("run"), F.col("n_bytes").alias("run_bytes")))
 
