@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import ordered, texts
 from quire.plans import merge
-from quire.sources import files, sinks, tables
+from quire.sources import files, packages, sinks, tables, word97_body
 
 PARAGRAPH = ["path", "pos", "text", "kind", "level", "num", "label"]
 
@@ -29,11 +29,43 @@ def as_paragraphs(found: DataFrame, keep: Callable[..., DataFrame] = tables.save
     return of_text.unionByName(of_word).unionByName(of_package)
 
 
+def word97_blocks(found: DataFrame, keep: Callable[..., DataFrame] = tables.saved) -> DataFrame:
+    """(path, pos, text, kind, level, num, label, xml): paragraphs and tables of Word 97 files, their looks in ``xml``.
+
+    Pictures are left out; a table stands where its first paragraph stood, with what its cells hold as text.
+    """
+    read = word97_body.kinds(keep(word97_body.body(found), "word97"))
+    prop = lambda r, name, before, after: F.coalesce(F.concat(F.lit(before), r[name].cast("string"), F.lit(after)), F.lit(""))
+    font = lambda r: F.when(r["font"] != "", F.concat(F.lit('<w:rFonts w:ascii="'), packages.attribute(r["font"]), F.lit('" w:hAnsi="'), packages.attribute(r["font"]), F.lit('"/>')))
+    looks = lambda r: F.concat(F.coalesce(font(r), F.lit("")), F.when(r["strike"], "<w:strike/>").otherwise(""), prop(r, "colour", '<w:color w:val="', '"/>'), prop(r, "half_points", '<w:sz w:val="', '"/>'))
+    page = lambda r: F.when(r["kind"] == "page", '<w:br w:type="page"/>')
+    shown = F.transform(F.filter("runs", lambda r: r["kind"] != "picture"), lambda r: F.struct(r["text"].alias("text"), *[r[n].alias(n) for n in ("bold", "italic", "underline", "highlight")], F.when(r["kind"] == "page", "").otherwise(looks(r)).alias("props"), page(r).alias("drawing")).cast(packages.RUN))
+    styles = F.array(*map(F.lit, sinks.LOOKS))
+    null = lambda kind: F.lit(None).cast(kind)
+    lines = read.where("depth = 0").select(
+        "path", F.col("paragraph").alias("pos"), "kind", F.col("kind_level").alias("level"), F.when(F.col("align") != "left", F.col("align")).alias("align"), shown.alias("runs"),
+        null("struct<kind:string,level:int>").alias("base_kind"), null("string").alias("origin"), null("int").alias("num"), styles.alias("styles"), F.lit(1).alias("bullet"),
+    )
+    made = packages.paragraphs_xml(lines).select("path", "pos", F.col("made").alias("xml"))
+    cells = word97_body.cells(read).where("depth = 1").select("path", F.col("first").alias("pos"), "row", F.col("cell").alias("col"), "text", F.lit(1).alias("span"), F.lit(False).alias("merged"), null("string").alias("shade"))
+    blocks = made.unionByName(packages.table_xml(cells, ["path", "pos"]))
+    return blocks.select("path", "pos", F.lit("").alias("text"), F.lit("normal").alias("kind"), F.lit(0).alias("level"), null("int").alias("num"), null("string").alias("label"), "xml")
+
+
+def as_blocks(found: DataFrame, keep: Callable[..., DataFrame] = tables.saved) -> DataFrame:
+    """``as_paragraphs`` for a package: Word 97 files with their looks and tables. A readable one without text is one empty paragraph."""
+    others = as_paragraphs(found.where("format <> 'doc'"), keep).withColumn("xml", F.lit(None).cast("string"))
+    word = word97_blocks(found.where("format = 'doc'"), keep)
+    empty = files.word97_texts(found).where("text = ''").select("path", F.lit(0).cast("long").alias("pos"), F.lit("").alias("text"), F.lit("normal").alias("kind"), F.lit(0).alias("level"), F.lit(None).cast("int").alias("num"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("xml"))
+    return others.unionByName(word).unionByName(empty)
+
+
 def convert(found: DataFrame, target: str) -> DataFrame:
     """(path, content, error): each file as text or docx; a file of that format comes back as it is.
 
     PDFs are not converted, and nothing becomes a PDF or a Word 97 file: such rows and files of no
-    known format have an error and no content. The result is a written table (``tables.release``).
+    known format have an error and no content. Word 97 files keep their looks and tables in a package; as
+    text, their cells are apart by tabs. The result is a written table (``tables.release``).
     """
     if target not in ("text", "docx"):
         raise ValueError(f"no sink for {target}")
@@ -42,11 +74,10 @@ def convert(found: DataFrame, target: str) -> DataFrame:
     refused = found.where("format is null or format = 'pdf'").select("path", F.lit(None).cast("binary").alias("content"), why.alias("error"))
     rest = found.where(F.col("format").isin("text", "docx", "doc") & (F.col("format") != target))
     with tables.steps(found.sparkSession) as keep:
-        paragraphs = as_paragraphs(rest, keep)
         if target == "text":
-            made = texts.text_of(paragraphs, ["path"], "label", "level").select("path", F.encode("text", "UTF-8").alias("content"))
+            made = texts.text_of(as_paragraphs(rest, keep), ["path"], "label", "level").select("path", F.encode("text", "UTF-8").alias("content"))
         else:
-            made = sinks.packages(paragraphs, ["path"])
+            made = sinks.packages(as_blocks(rest, keep), ["path"])
         done = rest.select("path").join(made, "path", "left").select("path", "content", F.when(F.col("content").isNull(), "the file could not be read").alias("error"))
         return tables.saved(same.unionByName(refused).unionByName(done), "converted")
 
@@ -68,7 +99,7 @@ def combine(found: DataFrame) -> DataFrame:
         told = keep(told.select("job", error.alias("error")), "jobs")
         taken = keep(found.join(told.where("error is null").select("job"), "job").withColumn("key", F.to_json(F.struct("job", "file_no"))), "files")
         others = taken.where("format <> 'docx'").select(F.col("key").alias("path"), "content", "format")
-        made = sinks.packages(as_paragraphs(others, keep), ["path"]).withColumnRenamed("path", "key")
+        made = sinks.packages(as_blocks(others, keep), ["path"]).withColumnRenamed("path", "key")
         ready = taken.where("format = 'docx'").select("job", "file_no", "content").unionByName(taken.where("format <> 'docx'").select("job", "file_no", "key").join(made, "key").select("job", "file_no", "content"))
         order = F.row_number().over(Window.partitionBy("job").orderBy("file_no")) - 1
         complete = keep(ready.withColumn("file_no", order), "ready")

@@ -13,7 +13,7 @@ from quire.functions import xml as X
 from quire.operators import lookup, ordered
 from quire.plans import convert, merge
 from quire.plans.queries import _PAGES_SQL, _pages, query, table
-from quire.sources import files, packages, sinks, word97
+from quire.sources import files, packages, sinks, word97, word97_body
 
 _W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 _M = 'xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"'
@@ -391,3 +391,71 @@ def word97_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.unhex(F.concat(size(F.lit(99)), bold, F.lit("15C603AABBCC"), colour, size(n), F.lit("3608")))
     found = table(spark, sf_dir, "part").select("p_partkey", word97.property_changes(data).alias("c"))
     return found.select("p_partkey", word97.character_properties(F.col("c")).alias("p"), F.size("c").alias("n")).select("p_partkey", "p.bold", "p.half_points", "p.colour", "p.italic", "n")
+
+
+_STYLES = [(0, "Normal"), (1, "heading 1"), (2, "heading 2")]
+_FONTS = ["Georgia", "Arial"]
+
+
+def _word97(rows: DataFrame) -> DataFrame:
+    return word97.formatted_documents(rows, _STYLES, _FONTS).withColumn("format", F.lit("doc"))
+
+
+def _changes(*told: Column) -> Column:
+    return F.concat(*[F.coalesce(c, F.lit(b"")) for c in told])
+
+
+@query("""
+with t as (
+  select conv_id, (row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) - 1)::int as paragraph, coalesce(turn, 0)::int as turn, coalesce(role, '') as role, regexp_replace(coalesce(text, ''), '[\x00-\x1f]', ' ', 'g') as said
+  from conversations
+), r as (
+  select conv_id, paragraph, turn, 1 as k, role as text, true as bold, false as italic, (20 + turn % 9)::int as half_points, null as colour, 'Arial' as font from t
+  union all select conv_id, paragraph, turn, 2, ': ', false, false, null, '0000FF', null from t
+  union all select conv_id, paragraph, turn, 3, said, false, turn % 2 = 1, 22, case when role = 'user' then 'C08040' end, 'Georgia' from t
+)
+select conv_id, paragraph, (row_number() over (partition by conv_id, paragraph order by k) - 1)::int as run, text, bold, italic, half_points, colour, font, case turn % 3 when 0 then 'normal' else 'heading' end as kind, (turn % 3)::int as kind_level
+from r where text <> ''
+""")
+def word97_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as formatted Word 97 files of pieces of both widths; their runs, with the looks that pages of changes say."""
+    turns = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
+    told = table(spark, sf_dir, "conversations").select("conv_id", (F.row_number().over(turns) - 1).alias("pos"), F.coalesce("turn", F.lit(0)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x00-\\x1f]", " ").alias("said"))
+    change, turn = word97.change, F.col("turn")
+    run = lambda text, *how: F.struct(text.alias("text"), _changes(*how).alias("changes"))
+    runs = F.array(
+        run(F.col("role"), change(0x0835, F.lit(1)), change(0x4A43, 20 + turn % 9), change(0x4A4F, F.lit(1))),
+        run(F.lit(": "), change(0x2A42, F.lit(2))),
+        run(F.col("said"), change(0x0836, turn % 2), change(0x4A43, F.lit(22)), change(0x6870, F.when(F.col("role") == "user", 0x4080C0)), change(0x4A4F, F.lit(0))),
+    )
+    made = _word97(told.select(F.col("conv_id").alias("path"), "pos", (turn % 3).cast("int").alias("style"), F.lit(b"").alias("changes"), F.lit("\r").alias("mark"), runs.alias("runs")))
+    read = word97_body.kinds(word97_body.body(made))
+    flat = read.select("path", "paragraph", "kind", "kind_level", F.posexplode("runs").alias("run", "r"))
+    return flat.select(F.col("path").cast("long").alias("conv_id"), F.col("paragraph").cast("int").alias("paragraph"), "run", "r.text", "r.bold", "r.italic", "r.half_points", "r.colour", "r.font", "kind", "kind_level")
+
+
+@query(f"""
+with l as (select l_orderkey, page as n, l_linenumber::varchar as number, l_partkey::varchar as mode, l_returnflag as flag, l_linestatus as status from ({_PAGES_SQL}))
+select l_orderkey, 1 as depth, 0 as tbl, n as row, 0 as cell, number as text from l
+union all select l_orderkey, 1, 0, n, 1, mode || chr(10) || flag || chr(10) || status || chr(10) || chr(10) from l
+union all select l_orderkey, 2, n, 0, 0, flag from l
+union all select l_orderkey, 2, n, 0, 1, status from l
+""")
+def word97_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as tables of Word 97 files, with a table in the last cell of each row; the cells of both depths."""
+    change = word97.change
+    inside = change(0x2416, F.lit(1))
+    deep = _changes(inside, change(0x6649, F.lit(2)))
+
+    def line(text: Column | None, mark: str, *told: Column) -> Column:
+        runs = F.array(F.struct((text if text is not None else F.lit("")).alias("text"), F.lit(b"").alias("changes")))
+        return F.struct(_changes(*told).alias("changes"), F.lit(mark).alias("mark"), runs.alias("runs"))
+
+    number, mode, flag, status = (F.col(f"l_{c}").cast("string") for c in ("linenumber", "partkey", "returnflag", "linestatus"))
+    inner = [line(flag, "\r", deep, change(0x244B, F.lit(1))), line(status, "\r", deep, change(0x244B, F.lit(1))), line(None, "\r", deep, change(0x244C, F.lit(1)))]
+    row = F.array(line(number, "\x07", inside), line(mode, "\r", inside), *inner, line(None, "\x07", inside), line(None, "\x07", inside, change(0x2417, F.lit(1))))
+    lines = _pages(spark, sf_dir).select("l_orderkey", "page", F.posexplode(row).alias("k", "p"))
+    made = _word97(lines.select(F.col("l_orderkey").alias("path"), F.struct("page", "k").alias("pos"), F.lit(0).alias("style"), "p.*"))
+    found = word97_body.cells(word97_body.body(made))
+    number = F.dense_rank().over(Window.partitionBy("path", "depth").orderBy("first")) - 1
+    return found.select(F.col("path").cast("long").alias("l_orderkey"), "depth", number.alias("tbl"), "row", "cell", "text")

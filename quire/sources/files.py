@@ -242,15 +242,19 @@ def compound_streams(content: bytes) -> dict[str, bytes]:
     return found
 
 
-def word97_text(content: bytes) -> str:
-    """The main text of a Word 97 document, through its piece table; paragraph marks as line ends, cell marks as tabs."""
+def word97_streams(content: bytes) -> dict[str, bytes]:
+    """Streams of a Word 97 document, its table stream as ``table``; ValueError for other and encrypted ones."""
     streams = compound_streams(content)
     main = streams["WordDocument"]
     magic, version = struct.unpack_from("<HH", main, 0)
     flags = struct.unpack_from("<H", main, 10)[0]
     if magic != 0xA5EC or version < 193 or flags & 0x0100:
         raise ValueError("not a Word 97 document, or an encrypted one")
-    side = streams["1Table" if flags & 0x0200 else "0Table"]
+    return {**streams, "table": streams["1Table" if flags & 0x0200 else "0Table"]}
+
+
+def word97_pieces(main: bytes, side: bytes) -> Iterator[tuple[int, int, int, int]]:
+    """(place, units, offset, bytes a unit) of the pieces of the main text, in order."""
     n_chars = struct.unpack_from("<I", main, 76)[0]
     at, size = struct.unpack_from("<II", main, 418)
     clx, k = side[at : at + size], 0
@@ -258,17 +262,25 @@ def word97_text(content: bytes) -> str:
         k += 3 + struct.unpack_from("<H", clx, k + 1)[0]
     n = (struct.unpack_from("<I", clx, k + 1)[0] - 4) // 12
     places = struct.unpack_from(f"<{n + 1}I", clx, k + 5)
-    out = []
     for i in range(n):
         fc = struct.unpack_from("<I", clx, k + 5 + 4 * (n + 1) + 8 * i + 2)[0]
-        chars = places[i + 1] - places[i]
-        if fc & 0x40000000:
-            start = (fc & 0x3FFFFFFF) // 2
-            out.append("".join(T.CP1252_HIGH[b - 128] if 128 <= b < 160 else chr(b) for b in main[start : start + chars]))
-        else:
-            out.append(main[fc : fc + 2 * chars].decode("utf-16le", "replace"))
-    text = "".join(out)[:n_chars]
-    return text.replace("\r", "\n").replace("\x07", "\t").replace("\x0b", "\n")
+        units = min(places[i + 1], n_chars) - places[i]
+        if units > 0:
+            yield (places[i], units, (fc & 0x3FFFFFFF) // 2, 1) if fc & 0x40000000 else (places[i], units, fc & 0x3FFFFFFF, 2)
+
+
+def cp1252(data: bytes) -> str:
+    return "".join(T.CP1252_HIGH[b - 128] if 128 <= b < 160 else chr(b) for b in data)
+
+
+def word97_text(content: bytes) -> str:
+    """The main text of a Word 97 document, through its piece table; paragraph marks as line ends, cell marks as tabs."""
+    streams = word97_streams(content)
+    main, out = streams["WordDocument"], []
+    for _, units, start, width in word97_pieces(main, streams["table"]):
+        data = main[start : start + width * units]
+        out.append(cp1252(data) if width == 1 else data.decode("utf-16le", "replace"))
+    return "".join(out).replace("\r", "\n").replace("\x07", "\t").replace("\x0b", "\n")
 
 
 def word97_texts(files: DataFrame) -> DataFrame:

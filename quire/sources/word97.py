@@ -24,6 +24,26 @@ CHANGES = {0x0835: "bold", 0x0836: "italic", 0x2A3E: "underline", 0x2A42: "colou
 OPERANDS = (1, 1, 2, 4, 2, 2, 0, 3)
 
 
+def _table_size(data: bytes, at: int) -> int:
+    """Bytes of a row's definition, by its number of cells; writers differ in what its own size counts."""
+    cells = data[at + 2] if at + 2 < len(data) else 0
+    whole = 3 + 2 * (cells + 1) + 20 * cells
+    return whole if at + whole <= len(data) else 1 + int.from_bytes(data[at : at + 2], "little")
+
+
+def _tabs_size(data: bytes, at: int) -> int | None:
+    """Bytes of a change of tab stops of which 255 says that its two lists tell their sizes; None of another."""
+    if data[at : at + 1] != b"\xff":
+        return None
+    gone = data[at + 1] if at + 1 < len(data) else 0
+    spot = at + 2 + 4 * gone
+    return 3 + 4 * gone + 3 * (data[spot] if spot < len(data) else 0)
+
+
+#: Changes whose size is told otherwise.
+LONG = {0xD608: _table_size, 0xC615: _tabs_size}
+
+
 def compound_file(streams: dict[str, bytes]) -> bytes:
     """A compound file of streams by name, each of whole sectors; more tables than the header lists go to sectors of their own."""
     bodies = {n: b.ljust(max(CUTOFF, -(-len(b) // SECTOR) * SECTOR), b"\0") for n, b in streams.items()}
@@ -77,6 +97,126 @@ def text_document(text: str) -> bytes:
     return compound_file({"WordDocument": bytes(main), "1Table": pieces})
 
 
+def _pages(spans: list[tuple[int, int, bytes]], entry: int) -> tuple[list[bytes], list[int]]:
+    """Formatted pages of spans that follow each other, and the offset that each begins with; equal changes of a page stand there once."""
+    made, begins, at = [], [], 0
+    while at < len(spans):
+        low, places, n = SECTOR - 1, {b"": 0}, 0
+        while at + n < len(spans):
+            body = spans[at + n][2]
+            room = low if body in places else (low - len(body)) // 2 * 2
+            if 4 * (n + 2) + entry * (n + 1) > room:
+                break
+            if body not in places:
+                low = places[body] = room
+            n += 1
+        if not n:
+            raise ValueError("changes that no page holds")
+        taken = spans[at : at + n]
+        page = bytearray(SECTOR)
+        struct.pack_into(f"<{n + 1}I", page, 0, *(s[0] for s in taken), taken[-1][1])
+        for k, (_, _, body) in enumerate(taken):
+            page[4 * (n + 1) + entry * k] = places[body] // 2
+        for body, place in places.items():
+            page[place : place + len(body)] = body if place else page[: len(body)]
+        page[-1] = n
+        made.append(bytes(page))
+        begins.append(taken[0][0])
+        at += n
+    return made, begins
+
+
+def _style_sheet(styles: list[tuple[int, str]]) -> bytes:
+    """Styles by index (built-in number, name), without changes of their own."""
+    head = struct.pack("<HHHHHHHHHH", 18, len(styles), 10, 1, 0x5B, 15, 0, 0, 0, 0)
+    body = b""
+    for number, name in styles:
+        one = struct.pack("<HHHHH", number, 0xFFF1, 0, 0, 0) + struct.pack("<H", len(name)) + name.encode("utf-16le") + b"\0\0"
+        body += struct.pack("<H", len(one)) + one
+    return head + body
+
+
+def _font_names(fonts: list[str]) -> bytes:
+    body = b""
+    for name in fonts:
+        one = b"\0" * 39 + name.encode("utf-16le") + b"\0\0"
+        body += bytes([len(one)]) + one
+    return struct.pack("<HH", len(fonts), 0) + body
+
+
+def formatted_document(paragraphs: list[dict], styles: list[tuple[int, str]], fonts: list[str]) -> bytes:
+    """A document of paragraphs (style, changes, mark, runs of text and changes): a piece for neighbours of one width, 8 bits where all is ASCII."""
+    main, pieces, chars, paras, n = bytearray(2 * SECTOR), [], [], [], 0
+    for p in paragraphs:
+        begin = len(main)
+        texts = [(r["text"] or "", r["changes"] or b"") for r in p["runs"] or []] + [(p["mark"] or "\r", b"")]
+        wide = not all(t.isascii() for t, _ in texts)
+        for text, told in texts:
+            data = text.encode("utf-16le" if wide else "ascii")
+            if data:
+                chars.append((len(main), len(main) + len(data), bytes([len(told)]) + told if told else b""))
+                main += data
+        units = (len(main) - begin) // (1 + wide)
+        if pieces and pieces[-1][2] == wide:
+            pieces[-1][1] += units
+        else:
+            pieces.append([begin, units, wide])
+        n += units
+        told = struct.pack("<H", p["style"] or 0) + (p["changes"] or b"")
+        paras.append((begin, len(main), b"\0" + bytes([(len(told) + 1) // 2]) + told + b"\0" * (len(told) % 2)))
+    end, table = len(main), b""
+
+    def place(at: int, body: bytes) -> None:
+        nonlocal table
+        struct.pack_into("<II", main, at, len(table), len(body))
+        table += body
+
+    for at, spans, entry in ((250, chars, 1), (258, paras, 13)):
+        made, begins = _pages(spans, entry)
+        main += b"\0" * (-len(main) % SECTOR)
+        first = len(main) // SECTOR
+        main += b"".join(made)
+        place(at, struct.pack(f"<{2 * len(made) + 1}I", *begins, end, *range(first, first + len(made))))
+    starts = [0]
+    for _, units, _ in pieces:
+        starts.append(starts[-1] + units)
+    listed = struct.pack(f"<{len(starts)}I", *starts) + b"".join(struct.pack("<HIH", 0, b if wide else 2 * b | 0x40000000, 0) for b, _, wide in pieces)
+    place(418, b"\x02" + struct.pack("<I", len(listed)) + listed)
+    place(162, _style_sheet(styles))
+    place(274, _font_names(fonts))
+    struct.pack_into("<HH", main, 0, 0xA5EC, 193)
+    struct.pack_into("<H", main, 10, 0x0200)
+    struct.pack_into("<H", main, 32, 14)
+    struct.pack_into("<H", main, 62, 22)
+    struct.pack_into("<I", main, 76, n)
+    struct.pack_into("<H", main, 152, 93)
+    return compound_file({"WordDocument": bytes(main), "1Table": table})
+
+
+def formatted_documents(rows: DataFrame, styles: list[tuple[int, str]], fonts: list[str]) -> DataFrame:
+    """(path, content): documents of paragraphs (path, pos, style, changes, mark, runs array of (text, changes)), in order of pos.
+
+    ``style`` is an index into ``styles`` (built-in number, name; null is the first), ``mark`` a paragraph mark
+    where null or a cell mark. Changes are bytes (``change``). A document must fit a task, as its file does.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [formatted_document(p.as_py(), styles, fonts) for p in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["path", "content"])
+
+    each = F.sort_array(F.collect_list(F.struct("pos", "style", "changes", "mark", "runs")))
+    return rows.groupBy(F.col("path").cast("string").alias("path")).agg(each.alias("paragraphs")).mapInArrow(run, "path string, content binary")
+
+
+def change(code: int, value: Column) -> Column:
+    """The bytes of a change with a number of its code's size; null where the value is null."""
+    size = OPERANDS[code >> 13]
+    digits = F.lpad(F.hex(value.cast("long")), 16, "0")
+    turned = F.concat(*[F.substring(digits, 15 - 2 * k, 2) for k in range(size)])
+    return F.unhex(F.concat(F.lit(struct.pack("<H", code).hex()), turned))
+
+
 def text_documents(rows: DataFrame, path: str, text: str) -> DataFrame:
     """(path, content): texts as documents; null texts as empty ones."""
 
@@ -96,7 +236,10 @@ def changes(data: bytes) -> list[tuple[int, bytes]]:
         code = struct.unpack_from("<H", data, at)[0]
         at += 2
         size = OPERANDS[code >> 13]
-        if not size:
+        told = LONG[code](data, at) if code in LONG else None
+        if told is not None:
+            size = told
+        elif not size:
             if at >= len(data):
                 break
             size = data[at]
