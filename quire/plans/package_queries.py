@@ -13,7 +13,7 @@ from quire.functions import xml as X
 from quire.operators import lookup, ordered
 from quire.plans import convert, merge
 from quire.plans.queries import _PAGES_SQL, _pages, query, table
-from quire.sources import files, packages, sinks, word97, word97_body
+from quire.sources import files, packages, sheets, sinks, tables, word97, word97_body
 
 _W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 _M = 'xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"'
@@ -33,7 +33,7 @@ def _document(body: Column) -> Column:
 
 def _packages(docs: DataFrame, **parts: Column) -> DataFrame:
     """(path, content, format): packages of documents (path, and a column of XML for each part named)."""
-    named = {"document": "word/document.xml", "styles": "word/styles.xml", "numbering": "word/numbering.xml", "footnotes": "word/footnotes.xml", "rels": "word/_rels/document.xml.rels", "picture": "word/media/a.png"}
+    named = {"document": "word/document.xml", "styles": "word/styles.xml", "numbering": "word/numbering.xml", "footnotes": "word/footnotes.xml", "rels": "word/_rels/document.xml.rels", "theme": "word/theme/theme1.xml", "picture": "word/media/a.png"}
     base = F.struct(F.lit("_rels/.rels").alias("name"), F.encode(F.lit(sinks.RELS), "UTF-8").alias("content"))
     types = F.struct(F.lit("[Content_Types].xml").alias("name"), F.encode(F.lit(sinks.CONTENT_TYPES), "UTF-8").alias("content"))
     rows = [F.struct(F.lit(named[k]).alias("name"), F.encode(c, "UTF-8").alias("content")) for k, c in parts.items()]
@@ -459,3 +459,42 @@ def word97_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = word97_body.cells(word97_body.body(made))
     number = F.dense_rank().over(Window.partitionBy("path", "depth").orderBy("first")) - 1
     return found.select(F.col("path").cast("long").alias("l_orderkey"), "depth", number.alias("tbl"), "row", "cell", "text")
+
+
+@query("""
+with recursive s as (
+  select c_custkey as k, c_custkey // 50 as sheet, case when c_custkey % 11 > 0 then c_custkey - 7 end as based, case when c_custkey % 6 = 5 then 'character' else 'paragraph' end as kind,
+    case c_custkey % 5 when 0 then c_name when 1 then '@major' when 2 then '@minor' end as font, case when c_custkey % 3 = 0 then (c_custkey % 40 + 12) / 2 end as size, case c_custkey % 4 when 0 then true when 1 then false end as bold,
+    case c_custkey % 8 when 0 then '00AA' || lpad((c_custkey % 100)::varchar, 2, '0') when 1 then 'auto' end as colour, case when c_custkey % 9 = 0 then c_custkey % 50 / 20 end as lft, case when c_custkey % 9 = 1 then -(c_custkey % 50) / 20 end as first
+  from customer
+), c(sheet, k, kind, anc, depth) as (
+  select sheet, k, kind, k, 0 from s union all select c.sheet, c.k, c.kind, n.k, depth + 1 from c join s a on a.k = c.anc join s n on n.k = a.based and n.sheet = c.sheet where depth < 16
+), g as (
+  select c.sheet, c.k, c.kind, arg_min(font, depth) filter (font is not null) as font, arg_min(size, depth) filter (size is not null) as size, arg_min(bold, depth) filter (bold is not null) as bold, arg_min(colour, depth) filter (colour is not null) as colour,
+    arg_min(lft, depth) filter (lft is not null) as lft, arg_min(first, depth) filter (first is not null) as first, arg_min(anc, depth) filter (size is not null) as size_from
+  from c join s on s.k = c.anc where c.kind = 'paragraph' or s.kind = 'character' group by all
+)
+select k as c_custkey, kind, case coalesce(font, '@minor') when '@major' then case when sheet % 3 > 0 then 'Major ' || sheet else 'Calibri Light' end when '@minor' then case when sheet % 3 > 0 then 'Minor ' || sheet else 'Calibri' end else font end as font,
+  coalesce(size, case when kind = 'paragraph' and sheet % 2 = 0 then 11.5 else 10 end)::double as size, coalesce(bold, false) as bold, case when colour <> 'auto' then colour end as colour,
+  lft::double as "left", first::double as first, case when kind = 'paragraph' and sheet % 2 = 0 then 8.0::double end as after,
+  coalesce('S' || size_from, case when kind = 'paragraph' and sheet % 2 = 0 then '(defaults)' end) as size_from
+from g
+""")
+def resolved_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as the styles of packages with document defaults and themes; what each style comes to, and which one said its size."""
+    k, sheet = F.col("c_custkey"), F.floor(F.col("c_custkey") / 50)
+    s = k.cast("string")
+    some = lambda *cases: F.coalesce(*[F.when(c, x if isinstance(x, Column) else F.lit(x)) for c, x in cases], F.lit(""))
+    font = some((k % 5 == 0, _cat('<w:rFonts w:ascii="', F.col("c_name"), '"/>')), (k % 5 == 1, '<w:rFonts w:asciiTheme="majorHAnsi"/>'), (k % 5 == 2, '<w:rFonts w:hAnsiTheme="minorHAnsi"/>'))
+    run = _cat("<w:rPr>", font, some((k % 4 == 0, "<w:b/>"), (k % 4 == 1, '<w:b w:val="off"/>')), some((k % 8 == 0, _cat('<w:color w:val="00AA', F.lpad((k % 100).cast("string"), 2, "0"), '"/>')), (k % 8 == 1, '<w:color w:val="auto"/>')), some((k % 3 == 0, _cat('<w:sz w:val="', (k % 40 + 12).cast("string"), '"/>'))), "<w:rPrChange><w:rPr><w:caps/><w:b/></w:rPr></w:rPrChange></w:rPr>")
+    indent = some((k % 9 == 0, _cat('<w:ind w:left="', (k % 50).cast("string"), '"/>')), (k % 9 == 1, _cat('<w:ind w:hanging="', (k % 50).cast("string"), '"/>')))
+    based = some((k % 11 > 0, _cat('<w:basedOn w:val="S', (k - 7).cast("string"), '"/>')))
+    one = _cat('<w:style w:type="', F.when(k % 6 == 5, "character").otherwise("paragraph"), '" w:styleId="S', s, '">', based, "<w:pPr>", indent, "<w:rPr><w:caps/></w:rPr></w:pPr>", run, "</w:style>")
+    docs = table(spark, sf_dir, "customer").groupBy(sheet.alias("n")).agg(_joined(k, one).alias("styles"))
+    n = F.col("n").cast("string")
+    defaults = some((F.col("n") % 2 == 0, '<w:docDefaults><w:rPrDefault><w:rPr><w:sz w:val="23"/></w:rPr></w:rPrDefault><w:pPrDefault><w:pPr><w:spacing w:after="160"/></w:pPr></w:pPrDefault></w:docDefaults>'))
+    theme = F.when(F.col("n") % 3 > 0, _cat('<a:theme xmlns:a="a"><a:majorFont><a:latin typeface="Major ', n, '"/></a:majorFont><a:minorFont><a:latin typeface="Minor ', n, '"/></a:minorFont></a:theme>'))
+    made = docs.select(n.alias("path"), _cat(f"<w:styles {_W}>", defaults, F.col("styles"), "</w:styles>").alias("sheet"), theme.alias("theme"))
+    shredded = _shredded(_packages(made, document=_document(F.lit("<w:p/>")), styles=F.col("sheet"), theme=F.col("theme")))
+    look = sheets.decided(sheets.resolved(tables.saved(sheets.sheet(shredded), "sheet"), sheets.themes(shredded)))
+    return look.select(F.substring("style_id", 2, 12).cast("long").alias("c_custkey"), "kind", "run.font", "run.size", "run.bold", "run.colour", "paragraph.left", "paragraph.first", "paragraph.after", F.col("origin")["size"].alias("size_from"))
