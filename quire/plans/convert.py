@@ -22,7 +22,7 @@ def as_paragraphs(found: DataFrame, keep: Callable[..., DataFrame] = tables.save
     plain = lambda df: df.select("path", "pos", "text", F.lit("normal").alias("kind"), F.lit(0).alias("level"), F.lit(None).cast("int").alias("num"), F.lit(None).cast("string").alias("label"))
     of_text = plain(texts.paragraphs(files.text_files(found), "path", "text"))
     of_word = plain(texts.paragraphs(files.word97_texts(found).where("error is null"), "path", "text"))
-    shredded = keep(files.elements(files.package_parts(found)), "elements")
+    shredded = keep(files.elements(files.package_parts(found, files.XML)), "elements")
     read = files.paragraphs(shredded).select("path", "pos", "text", "kind", "style_level", "num", "level")
     labelled = ordered.list_labels(read, files.list_levels(shredded), ["path"], "pos", level_keys=["path"])
     of_package = labelled.select("path", "pos", "text", "kind", F.coalesce("level", "style_level").alias("level"), "num", "label")

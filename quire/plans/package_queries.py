@@ -33,7 +33,7 @@ def _document(body: Column) -> Column:
 
 def _packages(docs: DataFrame, **parts: Column) -> DataFrame:
     """(path, content, format): packages of documents (path, and a column of XML for each part named)."""
-    named = {"document": "word/document.xml", "styles": "word/styles.xml", "numbering": "word/numbering.xml", "footnotes": "word/footnotes.xml", "rels": "word/_rels/document.xml.rels", "theme": "word/theme/theme1.xml", "picture": "word/media/a.png"}
+    named = {"document": "word/document.xml", "styles": "word/styles.xml", "numbering": "word/numbering.xml", "footnotes": "word/footnotes.xml", "rels": "word/_rels/document.xml.rels", "theme": "word/theme/theme1.xml", "picture": "word/media/a.png", "header": "word/header1.xml", "footer": "word/footer1.xml"}
     base = F.struct(F.lit("_rels/.rels").alias("name"), F.encode(F.lit(sinks.RELS), "UTF-8").alias("content"))
     types = F.struct(F.lit("[Content_Types].xml").alias("name"), F.encode(F.lit(sinks.CONTENT_TYPES), "UTF-8").alias("content"))
     rows = [F.struct(F.lit(named[k]).alias("name"), F.encode(c, "UTF-8").alias("content")) for k, c in parts.items()]
@@ -498,3 +498,35 @@ def resolved_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     shredded = _shredded(_packages(made, document=_document(F.lit("<w:p/>")), styles=F.col("sheet"), theme=F.col("theme")))
     look = sheets.decided(sheets.resolved(tables.saved(sheets.sheet(shredded), "sheet"), sheets.themes(shredded)))
     return look.select(F.substring("style_id", 2, 12).cast("long").alias("c_custkey"), "kind", "run.font", "run.size", "run.bold", "run.colour", "paragraph.left", "paragraph.first", "paragraph.after", F.col("origin")["size"].alias("size_from"))
+
+
+@query("""
+with t as (select conv_id, turn, coalesce(role, '') as role from conversations where turn is not null)
+select conv_id, 'body' as place, 'turn ' || turn as text, count(*) as n from t group by all
+union all select conv_id, 'box', role || chr(10) || turn, count(*) from t group by all
+union all select conv_id, 'inner box', 'note ' || turn, count(*) from t where turn % 3 = 0 group by all
+union all select distinct conv_id, 'header default', 'head of ' || conv_id, 1 from t
+union all select distinct conv_id, 'footer first', 'box in the foot of ' || conv_id, 1 from t
+""")
+def texts_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents with a header, a footer and a text box a turn, some with a box in the box; the texts and where they stand."""
+    turn, conv = F.col("turn").cast("string"), F.col("conv_id").cast("string")
+    box = lambda inner: _cat("<w:drawing><wps:txbx xmlns:wps=\"s\"><w:txbxContent>", inner, "</w:txbxContent></wps:txbx></w:drawing>")
+    paragraph = lambda *runs: _cat("<w:p>", *[_cat("<w:r>", r, "</w:r>") for r in runs], "</w:p>")
+    note = F.when(F.col("turn") % 3 == 0, paragraph(box(paragraph(_text(_cat("note ", turn)))))).otherwise("")
+    shown = box(_cat(paragraph(_text(F.coalesce("role", F.lit(""))), "<w:br/>", _text(turn)), note))
+    twice = _cat('<mc:AlternateContent xmlns:mc="c"><mc:Choice>', shown, "</mc:Choice><mc:Fallback>", shown, "</mc:Fallback></mc:AlternateContent>")
+    line = paragraph(_text(F.lit("turn ")), twice, _text(turn))
+    told = table(spark, sf_dir, "conversations").where("turn is not null").groupBy(conv.alias("path")).agg(_joined(F.col("turn"), line).alias("body"))
+    section = '<w:sectPr><w:headerReference r:id="h"/><w:footerReference w:type="first" r:id="f"/></w:sectPr>'
+    rels = "".join(f'<Relationship Id="{k}" Type="t" Target="{name}1.xml"/>' for k, name in (("h", "header"), ("f", "footer")))
+    path = F.col("path")
+    made = _packages(
+        told, document=_document(_cat(F.col("body"), section)), rels=F.lit(f'<Relationships xmlns="r">{rels}</Relationships>'),
+        header=_cat(f"<w:hdr {_W}>", paragraph(_text(_cat("head of ", path))), "</w:hdr>"), footer=_cat(f"<w:ftr {_W}>", paragraph(box(paragraph(_text(_cat("box in the foot of ", path))))), "</w:ftr>"),
+    )
+    shredded = tables.saved(files.elements(files.package_parts(made, files.XML), boxes=True), "elements")
+    found = files.texts_of_parts(shredded).where("text <> ''").join(files.part_roles(shredded), ["path", "part"], "left")
+    within = F.when(F.col("outer").isNotNull(), "inner box").when(F.col("box").isNotNull(), "box").otherwise("body")
+    place = F.when(F.col("role").isNotNull(), F.concat_ws(" ", "role", "type")).otherwise(within)
+    return found.groupBy(path.cast("long").alias("conv_id"), place.alias("place"), "text").agg(F.count(F.lit(1)).alias("n"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
 import struct
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 from xml.parsers import expat
 
 import pandas as pd
@@ -20,7 +22,7 @@ from quire.functions.xml import walk
 from quire.sources import tables
 
 #: Subtrees that hold what is shown elsewhere, or not at all.
-SKIPPED = {"txbxContent", "Fallback"}
+SKIPPED = frozenset({"txbxContent", "Fallback"})
 #: Ancestors that each element names.
 NAMED = ("p", "r", "tc", "tr", "tbl", "pPr", "rPr", "oMath", "oMathPara", "fldSimple", "drawing")
 #: Elements whose text is all of their XML.
@@ -28,6 +30,10 @@ WHOLE = {"pPr", "rPr", "oMath", "oMathPara", "drawing", "tblBorders", "tcBorders
 #: An equation that is no part of another one.
 EQUATION = "p is not null and oMath is null and oMathPara is null and name in ('oMath', 'oMathPara')"
 PAGE_BREAK = "[page break]"
+#: Names of parts that are XML.
+XML = ("*.xml", "*.rels")
+#: Bytes of a part: an Arrow value holds less than 2 GB.
+LARGEST = 1 << 30
 PARTS = "path string, part string, content binary, error string"
 ELEMENTS = "path string, part string, pos int, parent int, name string, attrs map<string,string>, text string, first int, end int, error string, " + ", ".join(f"{n} int" for n in NAMED)
 
@@ -59,30 +65,62 @@ def text_files(files: DataFrame) -> DataFrame:
     return files.where("format = 'text'").select("path", T.decode_text(F.col("content")).alias("text"))
 
 
-def package_parts(files: DataFrame) -> DataFrame:
-    """(path, part, content, error): a row a part of each zip package; one row with an error for a broken one."""
+def package_parts(files: DataFrame, parts: Sequence[str] | None = None, largest: int = LARGEST) -> DataFrame:
+    """(path, part, content, error): a row a part of each zip package; one row with an error for a broken one.
+
+    ``parts`` are patterns of names as of a shell (all by default); a package's directory is read first, and
+    only the parts that it wants are unzipped. A part of more than ``largest`` bytes, by its directory or once
+    unzipped, has an error instead of its content.
+    """
+
+    def content_of(z: zipfile.ZipFile, entry: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
+        with z.open(entry) as f:
+            content = f.read(largest + 1) if entry.file_size <= largest else None
+        return (content, None) if content is not None and len(content) <= largest else (None, f"a part of more than {largest} bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        rows = [(path, n, z.read(n), None) for n in z.namelist() if not n.endswith("/")]
-                except (zipfile.BadZipFile, OSError, ValueError) as e:
-                    rows = [(path, None, None, str(e))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.binary(), pa.string()), strict=True)], ["path", "part", "content", "error"]) if rows else batch.slice(0, 0)
+                    with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                        wanted = [e for e in z.infolist() if not e.is_dir() and (parts is None or any(fnmatch.fnmatchcase(e.filename, p) for p in parts))]
+                        rows = [(path, e.filename, *content_of(z, e)) for e in wanted]
+                except (zipfile.BadZipFile, zlib.error, EOFError, OSError, ValueError, TypeError, NotImplementedError, RuntimeError) as e:
+                    rows = [(path, None, None, str(e) or type(e).__name__)]
+                if rows:
+                    kinds = (pa.string(), pa.string(), pa.binary(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "part", "content", "error"])
 
     return files.where("format = 'docx'").select("path", "content").mapInArrow(run, PARTS)
 
 
-def _shred(content: bytes) -> list[tuple]:
+def package_entries(files: DataFrame) -> DataFrame:
+    """(path, part, size, packed): the directories of packages, nothing of which is unzipped; a broken package has no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                        rows += [(path, e.filename, e.file_size, e.compress_size) for e in z.infolist() if not e.is_dir()]
+                except (zipfile.BadZipFile, OSError, ValueError, TypeError, NotImplementedError):
+                    continue
+            if rows:
+                kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "part", "size", "packed"])
+
+    return files.where("format = 'docx'").select("path", "content").mapInArrow(run, "path string, part string, size long, packed long")
+
+
+def _shred(content: bytes, skipped: frozenset[str] = SKIPPED, named: tuple[str, ...] = NAMED) -> list[tuple]:
     """Elements of an XML part in order: names without prefixes, their own text, byte span and named ancestors.
 
-    Of what SKIPPED names only the element itself is there.
+    Of what ``skipped`` names only the element itself is there.
     """
     rows: list[list] = []
     stack: list[int] = []
-    near: list[dict] = [dict.fromkeys(NAMED)]
+    near: list[dict] = [dict.fromkeys(named)]
     skip = [0]
 
     def start(name: str, attrs: dict, first: int) -> None:
@@ -92,8 +130,8 @@ def _shred(content: bytes) -> list[tuple]:
         pos = len(rows)
         rows.append([pos, stack[-1] if stack else None, name, attrs, "", first, None, dict(near[-1])])
         stack.append(pos)
-        near.append(near[-1] | {name: pos} if name in NAMED else near[-1])
-        skip[0] = int(name in SKIPPED)
+        near.append(near[-1] | {name: pos} if name in named else near[-1])
+        skip[0] = int(name in skipped)
 
     def end(at: int) -> None:
         if skip[0]:
@@ -111,29 +149,34 @@ def _shred(content: bytes) -> list[tuple]:
             rows[stack[-1]][4] += data
 
     walk(content, start, end, chars)
-    return [(*r[:7], *(r[7][n] for n in NAMED)) for r in rows]
+    return [(*r[:7], *(r[7][n] for n in named)) for r in rows]
 
 
-def elements(parts: DataFrame) -> DataFrame:
-    """A row an element of every XML part; one row with an error for a part that is not well formed."""
+def elements(parts: DataFrame, boxes: bool = False) -> DataFrame:
+    """A row an element of every XML part; one row with an error for a part that is not well formed.
+
+    With ``boxes``, what is in text boxes too, with a column ``txbxContent``: the box that an element is in.
+    """
+    named = (*NAMED, "txbxContent") if boxes else NAMED
+    skipped = SKIPPED - {"txbxContent"} if boxes else SKIPPED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("path", pa.string()), ("part", pa.string()), ("pos", pa.int32()), ("parent", pa.int32()), ("name", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("first", pa.int32()), ("end", pa.int32()), ("error", pa.string()), *((n, pa.int32()) for n in NAMED)])
+        schema = pa.schema([("path", pa.string()), ("part", pa.string()), ("pos", pa.int32()), ("parent", pa.int32()), ("name", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("first", pa.int32()), ("end", pa.int32()), ("error", pa.string()), *((n, pa.int32()) for n in named)])
         for batch in batches:
             for path, part, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 try:
-                    found = [(path, part, *r[:3], list(r[3].items()), *r[4:7], None, *r[7:]) for r in _shred(content)]
+                    found = [(path, part, *r[:3], list(r[3].items()), *r[4:7], None, *r[7:]) for r in _shred(content, skipped, named)]
                 except expat.ExpatError as e:
-                    found = [(path, part, *[None] * 7, str(e), *[None] * len(NAMED))]
+                    found = [(path, part, *[None] * 7, str(e), *[None] * len(named))]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
-    return parts.where("error is null and (part like '%.xml' or part like '%.rels')").select("path", "part", "content").mapInArrow(run, ELEMENTS)
+    return parts.where("error is null and (part like '%.xml' or part like '%.rels')").select("path", "part", "content").mapInArrow(run, ELEMENTS + (", txbxContent int" if boxes else ""))
 
 
 def shredded_packages(files: DataFrame) -> DataFrame:
     """``elements`` of packages as a written table (``tables.release``): plans that read them in several places parse each file once."""
-    return tables.saved(elements(package_parts(files)), "elements")
+    return tables.saved(elements(package_parts(files, XML)), "elements")
 
 
 def paragraphs(shredded: DataFrame, part: str = "word/document.xml") -> DataFrame:
@@ -543,3 +586,31 @@ def drawings(shredded: DataFrame, part: str = "word/document.xml") -> DataFrame:
     joined = heads.join(read, ["path", "pos"], "left")
     kind = F.when(F.col("_box"), "textbox").when(F.col("rel_id").isNotNull(), "picture").otherwise("shape")
     return joined.select("path", "p", "pos", kind.alias("kind"), *[c for c in read.columns if c not in ("path", "pos")])
+
+
+def part_roles(shredded: DataFrame) -> DataFrame:
+    """(path, section, role, type, part): headers and footers (role) that sections of a document name, by the relationships of the document."""
+    named = shredded.where("part = 'word/document.xml' and name in ('headerReference', 'footerReference')")
+    inner = shredded.where("part = 'word/document.xml' and name = 'sectPr'").select("path", F.col("pos").alias("parent"), (F.row_number().over(Window.partitionBy("path").orderBy("pos")) - 1).alias("section"))
+    own = named.select("path", "parent", F.regexp_replace("name", "Reference$", "").alias("role"), F.coalesce(F.element_at("attrs", "type"), F.lit("default")).alias("type"), F.element_at("attrs", "id").alias("rel_id"))
+    rels = all_relationships(shredded).where("source_part = 'word/document.xml' and not external").select("path", "rel_id", formats.resolve_path(F.lit("word/"), F.col("target")).alias("part"))
+    return own.join(inner, ["path", "parent"]).join(rels, ["path", "rel_id"]).select("path", "section", "role", "type", "part")
+
+
+def texts_of_parts(shredded: DataFrame) -> DataFrame:
+    """(path, part, pos, box, host, outer, text): paragraphs of every Word part (``elements`` with boxes): body, headers, footers, notes, text boxes.
+
+    ``box`` is the text box that a paragraph stands in, ``host`` the paragraph that holds the box, and ``outer``
+    the box around that one; all are null outside of boxes. A host's text is without that of its boxes. What
+    is there twice for older readers is read once.
+    """
+    own = shredded.where("part like 'word/%.xml' and error is null")
+    breaks = F.coalesce(F.element_at("attrs", "type").isin("page", "column"), F.lit(False))
+    shown = F.when(F.col("name") == "t", F.col("text")).when(F.col("name") == "tab", F.lit("\t")).when(F.col("name").isin("br", "cr") & ~breaks, F.lit("\n"))
+    # A run of a box stands in a drawing, but the box begins after it.
+    inside = F.col("drawing").isNull() | F.coalesce(F.col("txbxContent") > F.col("drawing"), F.lit(False))
+    run = F.col("r") > F.col("p")
+    pieces = own.where(inside & run & shown.isNotNull() & F.col("pPr").isNull()).groupBy("path", "part", F.col("p").alias("pos")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", shown.alias("s")))), lambda x: x["s"]), "").alias("text"))
+    boxes = own.where("name = 'txbxContent'").select("path", "part", F.col("pos").alias("box"), F.col("p").alias("host"), F.col("txbxContent").alias("outer"))
+    bare = own.where("name = 'p' and part <> 'word/styles.xml'").select("path", "part", "pos", F.col("txbxContent").alias("box"))
+    return bare.join(pieces, ["path", "part", "pos"], "left").join(boxes, ["path", "part", "box"], "left").select("path", "part", "pos", "box", "host", "outer", F.coalesce("text", F.lit("")).alias("text"))
