@@ -142,3 +142,8 @@ def test_converted_files_keep_looks_and_tables(spark):
     for part in ('w:val="36"', 'w:val="C00000"', 'w:ascii="Georgia"', '<w:br w:type="page"/>', '<w:jc w:val="right"/>', 'w:val="Heading1"'):
         assert part in xml, part
     assert sorted(tuple(r)[1:] for r in files.cells(shredded).select("path", "row", "col", "text").collect()) == [(0, 0, "a"), (0, 1, "b")]
+
+
+def test_a_file_is_parsed_once_and_shuffled_twice(spark):
+    plan = word97_body.cells(word97_body.body(found(spark, d=b"")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange hash") == 2 and "BroadcastExchange" not in plan and "CartesianProduct" not in plan
