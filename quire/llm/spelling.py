@@ -144,13 +144,14 @@ def _keys(words: DataFrame, long_side: bool) -> DataFrame:
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n): every pair of words that differ by one letter inserted, deleted or replaced, once.
 
-    ``words`` has distinct words, their numbers and masks (word, n, mask).
+    ``words`` has distinct words, their numbers and masks (word, n, mask). Neither side is broadcast: Spark
+    would go by the size of the written words, without the 15 keys that each has here.
     """
     left = _keys(words, False).select("key", "same", "band", "part", F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("mask").alias("a_mask"))
     right = _keys(words, True).select("key", F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("mask").alias("b_mask"))
     size, differ = F.length("a"), F.col("a_mask").bitwiseXOR(F.col("b_mask"))
     lengths = F.when(F.col("same"), (F.length("b") == size) & (F.col("a") < F.col("b"))).otherwise(F.length("b") == size + 1)
-    met = left.join(right, "key").where((F.bit_count(differ) <= 2) & lengths & (F.levenshtein("a", "b", 1) == 1))
+    met = left.join(right.hint("merge"), "key").where((F.bit_count(differ) <= 2) & lengths & (F.levenshtein("a", "b", 1) == 1))
     for i in range(2):
         another_part = _cut(F.col("a"), size, F.lit(i)) != _cut(F.col("b"), size, F.lit(i))
         met = met.where((F.col("band") <= i) | (differ.bitwiseAND(F.lit(BANDS[i])) != 0)).where((F.col("part") <= i) | another_part)
@@ -165,7 +166,7 @@ def roots(forms: DataFrame) -> DataFrame:
     at = saved(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         on = at.select(F.col("word").alias("via"), F.col("root").alias("far"))
-        step = saved(at.join(on, at["root"] == on["via"], "left").select("word", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")), "roots")
+        step = saved(at.join(on.hint("merge"), at["root"] == on["via"], "left").select("word", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")), "roots")
         moved = step.where("moved").limit(1).count()
         discard(at)
         at = step.select("word", "root")
@@ -186,7 +187,7 @@ def spelling_groups(docs: DataFrame, least_length: int = 5, least_count: int = 3
     pairs = near_pairs(words)
     both = pairs.select(F.explode(F.array(*(F.struct(F.col(x).alias("word"), F.col(y).alias("near"), F.col(f"{y}_n").alias("near_n")) for x, y in (("a", "b"), ("b", "a"))))).alias("p")).select("p.*")
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct(-F.col("near_n"), "near")).alias("best"))
-    named = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(-F.col("best.col1") >= 2 * F.col("n"), F.col("best")).alias("best"))
+    named = words.join(best.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(-F.col("best.col1") >= 2 * F.col("n"), F.col("best")).alias("best"))
     named = saved(named.select("word", "n", "n_near", F.col("best.near").alias("form"), (-F.col("best.col1")).alias("form_n")), "forms")
     ends = roots(named.where("form is not null")).withColumnRenamed("word", "at")
-    return named.join(ends, named["word"] == ends["at"], "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return named.join(ends.hint("merge"), named["word"] == ends["at"], "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -112,3 +112,10 @@ def test_roots_of_chains(spark, steps):
     chain = [f"w{i}" for i in range(steps + 1)]
     df = spark.createDataFrame(list(zip(chain, chain[1:], strict=False)), "word string, form string")
     assert {r.word: r.root for r in S.roots(df).collect()} == {w: chain[-1] for w in chain[:-1]}
+
+
+def test_the_keys_of_words_are_not_broadcast(spark):
+    words = spark.createDataFrame([("stone", 3), ("store", 9)], "word string, n long").withColumn("mask", S.parity_mask(F.col("word")))
+    pairs = S.near_pairs(words)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in pairs.collect()] == [("stone", 3, "store", 9)]
