@@ -15,21 +15,23 @@ def style_chain(styles: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, style_id, ancestor, depth): each style and what it is based on, nearest first, at most CHAIN long.
 
     A style based on itself or on one that is not there is based on nothing; a cycle ends with the
-    chain. A document's sheet is one map, along which each of its styles walks.
+    chain. Each round doubles the ways and is written: a row holds its own way, never a sheet.
     """
     keys = keys or []
     base = F.when(F.col("based_on") != F.col("style_id"), F.col("based_on"))
-    pair = F.struct(F.col("style_id").alias("key"), F.coalesce(base, F.lit("")).alias("value"))
-    sheet = styles.groupBy(*keys).agg(F.map_from_entries(F.array_distinct(F.collect_list(pair))).alias("_sheet"))
-
-    def step(chain: Column, _: Column) -> Column:
-        next_one = F.try_element_at(F.col("_sheet"), F.element_at(chain, -1))
-        return F.when(next_one.isNotNull() & F.map_contains_key(F.col("_sheet"), next_one), F.array_append(chain, next_one)).otherwise(chain)
-
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(CHAIN - 1)), F.array("style_id"), step)
-    named = styles.select(*keys, "style_id")
-    joined = named.join(F.broadcast(sheet) if not keys else sheet, keys) if keys else named.withColumn("_sheet", sheet.scalar())
-    return joined.select(*keys, "style_id", F.posexplode(walked).alias("depth", "ancestor")).select(*keys, "style_id", "ancestor", "depth")
+    named = styles.select(*keys, "style_id", base.alias("_up"))
+    # What is based on a style that is not there ends here, so that every _up below is one that is there.
+    there = styles.select(*keys, F.col("style_id").alias("_up")).distinct().withColumn("_there", F.lit(True))
+    linked = named.distinct().join(there, [*keys, "_up"], "left").select(*keys, "style_id", F.when(F.col("_there"), F.col("_up")).alias("_up"), F.array("style_id").alias("_way"))
+    state, way = tables.saved(linked, "chains"), 1
+    while way < CHAIN and state.where("_up is not null").limit(1).count():
+        going, done = state.where("_up is not null"), state.where("_up is null")
+        above = state.select(*keys, F.col("style_id").alias("_up"), F.col("_up").alias("_next"), F.col("_way").alias("_far"))
+        further = going.join(above, [*keys, "_up"]).select(*keys, "style_id", F.col("_next").alias("_up"), F.slice(F.concat("_way", "_far"), 1, CHAIN).alias("_way"))
+        before, state = state, tables.saved(done.unionByName(further), "chains")
+        tables.release(before)
+        way *= 2
+    return state.select(*keys, "style_id", F.posexplode("_way").alias("depth", "ancestor")).select(*keys, "style_id", "ancestor", "depth")
 
 
 def nearest_value(nodes: DataFrame, keys: list[str], node: str, up: str, value: str, most: int) -> DataFrame:

@@ -119,3 +119,12 @@ def test_undo_and_outline(spark):
     assert [r.step for r in ordered.undo_groups(ops, ["doc"], "seq", "at", "typed").orderBy("seq").collect()] == [1, 1, 2, 2, 3, 4, 5]
     outline = spark.createDataFrame([("d", 0, 1, None), ("d", 1, 2, 4), ("d", 2, 1, None)], "doc string, pos int, level int, page int")
     assert rows(ordered.outline_pages(outline, ["doc"], "pos", "level", "page"), "pos", "page") == [(0, 4), (1, 4)]
+
+
+def test_a_chain_is_a_row_of_its_own_style_only(spark):
+    styles = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "a"), (2, "a", "b"), (2, "b", None)], "sheet int, style_id string, based_on string")
+    chain = lookup.style_chain(styles, ["sheet"])
+    assert "map_from_entries" not in chain._jdf.queryExecution().toString()
+    got = rows(chain.where("sheet = 1 and style_id = 'b'"), "depth", "ancestor")
+    assert got == [(k, "bca"[k % 3]) for k in range(lookup.CHAIN)]
+    assert rows(chain.where("sheet = 2"), "style_id", "ancestor", "depth") == [("a", "a", 0), ("a", "b", 1), ("b", "b", 0)]
