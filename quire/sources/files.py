@@ -7,7 +7,7 @@ import io
 import struct
 import zipfile
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from xml.parsers import expat
 
 import pandas as pd
@@ -34,6 +34,8 @@ PAGE_BREAK = "[page break]"
 XML = ("*.xml", "*.rels")
 #: Bytes of a part: an Arrow value holds less than 2 GB.
 LARGEST = 1 << 30
+#: Rows and bytes of what a task holds before it passes them on; a single part may be larger.
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 PARTS = "path string, part string, content binary, error string"
 ELEMENTS = "path string, part string, pos int, parent int, name string, attrs map<string,string>, text string, first int, end int, error string, " + ", ".join(f"{n} int" for n in NAMED)
 
@@ -65,6 +67,43 @@ def text_files(files: DataFrame) -> DataFrame:
     return files.where("format = 'text'").select("path", T.decode_text(F.col("content")).alias("text"))
 
 
+def passed_on(found: Iterable[tuple[list[tuple], int]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of the rows of many files, each given with its bytes: a small file has no batch of its own, and no batch grows with the input."""
+    rows, held = [], 0
+    for some, size in found:
+        rows += some
+        held += size
+        if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to some ``BATCH_BYTES`` (a row at least), as Python objects take many times the bytes of their batch."""
+    for batch in batches:
+        n = max(1, min(BATCH_ROWS, batch.num_rows * BATCH_BYTES // max(batch.nbytes, 1)))
+        for k in range(0, batch.num_rows, n):
+            yield batch.slice(k, n)
+
+
+def _unzipped(path: str, content: bytes | None, parts: Sequence[str] | None, largest: int) -> list[tuple]:
+    """Rows of PARTS of a package."""
+
+    def content_of(z: zipfile.ZipFile, entry: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
+        with z.open(entry) as f:
+            content = f.read(largest + 1) if entry.file_size <= largest else None
+        return (content, None) if content is not None and len(content) <= largest else (None, f"a part of more than {largest} bytes")
+
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            wanted = [e for e in z.infolist() if not e.is_dir() and (parts is None or any(fnmatch.fnmatchcase(e.filename, p) for p in parts))]
+            return [(path, e.filename, *content_of(z, e)) for e in wanted]
+    except (zipfile.BadZipFile, zlib.error, EOFError, OSError, ValueError, TypeError, NotImplementedError, RuntimeError) as e:
+        return [(path, None, None, str(e) or type(e).__name__)]
+
+
 def package_parts(files: DataFrame, parts: Sequence[str] | None = None, largest: int = LARGEST) -> DataFrame:
     """(path, part, content, error): a row a part of each zip package; one row with an error for a broken one.
 
@@ -73,23 +112,10 @@ def package_parts(files: DataFrame, parts: Sequence[str] | None = None, largest:
     unzipped, has an error instead of its content.
     """
 
-    def content_of(z: zipfile.ZipFile, entry: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
-        with z.open(entry) as f:
-            content = f.read(largest + 1) if entry.file_size <= largest else None
-        return (content, None) if content is not None and len(content) <= largest else (None, f"a part of more than {largest} bytes")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                        wanted = [e for e in z.infolist() if not e.is_dir() and (parts is None or any(fnmatch.fnmatchcase(e.filename, p) for p in parts))]
-                        rows = [(path, e.filename, *content_of(z, e)) for e in wanted]
-                except (zipfile.BadZipFile, zlib.error, EOFError, OSError, ValueError, TypeError, NotImplementedError, RuntimeError) as e:
-                    rows = [(path, None, None, str(e) or type(e).__name__)]
-                if rows:
-                    kinds = (pa.string(), pa.string(), pa.binary(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "part", "content", "error"])
+        schema = pa.schema([("path", pa.string()), ("part", pa.string()), ("content", pa.binary()), ("error", pa.string())])
+        found = (_unzipped(path.as_py(), content.as_py(), parts, largest) for batch in batches for path, content in zip(batch.column(0), batch.column(1), strict=True))
+        return passed_on(((rows, sum(len(r[2] or b"") for r in rows)) for rows in found), schema)
 
     return files.where("format = 'docx'").select("path", "content").mapInArrow(run, PARTS)
 
@@ -120,7 +146,8 @@ def _shred(content: bytes, skipped: frozenset[str] = SKIPPED, named: tuple[str,
     """
     rows: list[list] = []
     stack: list[int] = []
-    near: list[dict] = [dict.fromkeys(named)]
+    place = {n: i for i, n in enumerate(named)}
+    near: list[tuple] = [(None,) * len(named)]
     skip = [0]
 
     def start(name: str, attrs: dict, first: int) -> None:
@@ -128,9 +155,10 @@ def _shred(content: bytes, skipped: frozenset[str] = SKIPPED, named: tuple[str,
             skip[0] += 1
             return
         pos = len(rows)
-        rows.append([pos, stack[-1] if stack else None, name, attrs, "", first, None, dict(near[-1])])
+        above, i = near[-1], place.get(name)
+        rows.append([pos, stack[-1] if stack else None, name, attrs, "", first, None, above])
         stack.append(pos)
-        near.append(near[-1] | {name: pos} if name in named else near[-1])
+        near.append(above if i is None else (*above[:i], pos, *above[i + 1 :]))
         skip[0] = int(name in skipped)
 
     def end(at: int) -> None:
@@ -149,7 +177,7 @@ def _shred(content: bytes, skipped: frozenset[str] = SKIPPED, named: tuple[str,
             rows[stack[-1]][4] += data
 
     walk(content, start, end, chars)
-    return [(*r[:7], *(r[7][n] for n in named)) for r in rows]
+    return [(*r[:7], *r[7]) for r in rows]
 
 
 def elements(parts: DataFrame, boxes: bool = False) -> DataFrame:
@@ -157,26 +185,41 @@ def elements(parts: DataFrame, boxes: bool = False) -> DataFrame:
 
     With ``boxes``, what is in text boxes too, with a column ``txbxContent``: the box that an element is in.
     """
+    given = parts.where("error is null and (part like '%.xml' or part like '%.rels')").select("path", "part", "content")
+    return given.mapInArrow(_shredding(boxes, lambda path, part, content: [(path, part, content)]), ELEMENTS + (", txbxContent int" if boxes else ""))
+
+
+def _shredding(boxes: bool, parts_of: Callable[..., list[tuple]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What makes rows of ELEMENTS of batches, of whose rows ``parts_of`` gives the parts (path, part, content)."""
     named = (*NAMED, "txbxContent") if boxes else NAMED
     skipped = SKIPPED - {"txbxContent"} if boxes else SKIPPED
 
+    def rows_of(path: str, part: str, content: bytes) -> list[tuple]:
+        try:
+            return [(path, part, *r[:3], list(r[3].items()), *r[4:7], None, *r[7:]) for r in _shred(content, skipped, named)]
+        except expat.ExpatError as e:
+            return [(path, part, *[None] * 7, str(e), *[None] * len(named))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), ("part", pa.string()), ("pos", pa.int32()), ("parent", pa.int32()), ("name", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("first", pa.int32()), ("end", pa.int32()), ("error", pa.string()), *((n, pa.int32()) for n in named)])
-        for batch in batches:
-            for path, part, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                try:
-                    found = [(path, part, *r[:3], list(r[3].items()), *r[4:7], None, *r[7:]) for r in _shred(content, skipped, named)]
-                except expat.ExpatError as e:
-                    found = [(path, part, *[None] * 7, str(e), *[None] * len(named))]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+        given = (part for batch in batches for row in zip(*batch.columns, strict=True) for part in parts_of(*(c.as_py() for c in row)))
+        return passed_on(((rows_of(*part), len(part[2])) for part in given), schema)
+
+    return run
 
-    return parts.where("error is null and (part like '%.xml' or part like '%.rels')").select("path", "part", "content").mapInArrow(run, ELEMENTS + (", txbxContent int" if boxes else ""))
 
+def shredded_packages(files: DataFrame, parts: Sequence[str] = XML) -> DataFrame:
+    """``elements`` of packages as a written table (``tables.release``): plans that read them in several places parse each file once.
+
+    ``parts`` are patterns of the names of parts that are wanted, as in ``package_parts``.
+    """
+
+    def parts_of(path: str, content: bytes | None) -> list[tuple]:
+        found = _unzipped(path, content, parts, LARGEST)
+        return [(path, part, content) for path, part, content, error in found if error is None and part.endswith((".xml", ".rels"))]
 
-def shredded_packages(files: DataFrame) -> DataFrame:
-    """``elements`` of packages as a written table (``tables.release``): plans that read them in several places parse each file once."""
-    return tables.saved(elements(package_parts(files, XML)), "elements")
+    given = files.where("format = 'docx'").select("path", "content")
+    return tables.saved(given.mapInArrow(_shredding(False, parts_of), ELEMENTS), "elements")
 
 
 def paragraphs(shredded: DataFrame, part: str = "word/document.xml") -> DataFrame:

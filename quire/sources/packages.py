@@ -139,10 +139,12 @@ def repackaged(package: bytes, replace: dict[str, bytes], remove: set[str] = fro
 
 def zipped(parts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, content): a package of the parts (name, content as text or bytes) of each document, in order of their names."""
-    body = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("name", F.col("content").cast("binary").alias("content")))).alias("parts"))
+    # A number of partitions that is given stays: by the bytes of its small parts, Spark would leave this work to a task or two.
+    dealt = parts.repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    body = dealt.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("name", F.col("content").cast("binary").alias("content")))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in files.slices(batches):
             made = []
             for row in batch.column(batch.num_columns - 1).to_pylist():
                 out = io.BytesIO()
@@ -191,7 +193,7 @@ def _saved_packages(found: DataFrame, out: DataFrame, shredded: DataFrame) -> Da
     docs = found.where("format = 'docx'").select("path", "content").join(pieces, "path").join(span, "path", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in files.slices(batches):
             made = []
             for d in batch.to_pylist():
                 with zipfile.ZipFile(io.BytesIO(d["content"])) as z:

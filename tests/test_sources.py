@@ -2,6 +2,7 @@ import io
 import struct
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quire.operators import lookup, texts
@@ -116,3 +117,13 @@ def test_word97(spark):
     got = {r.path: r for r in files.word97_texts(df).collect()}
     assert got["ok"].text == "Pâté “œufs”\nŽluť\nbox\t" and got["ok"].error is None
     assert got["bad"].text is None and got["bad"].error
+
+
+def test_small_files_share_batches_and_none_grows_with_the_input():
+    schema = pa.schema([("n", pa.int64())])
+    got = list(files.passed_on((([(k,)], 10) for k in range(10 * files.BATCH_ROWS)), schema))
+    assert [b.num_rows for b in got] == [files.BATCH_ROWS] * 10 and [b.column(0)[0].as_py() for b in got] == [k * files.BATCH_ROWS for k in range(10)]
+    assert [b.num_rows for b in files.passed_on((([(k,)], files.BATCH_BYTES // 2) for k in range(7)), schema)] == [2, 2, 2, 1]
+    big = pa.RecordBatch.from_arrays([pa.array([b"x" * (1 << 20)] * 20)], ["content"])
+    cut = list(files.slices([big]))
+    assert sum(b.num_rows for b in cut) == 20 and max(b.num_rows for b in cut) <= files.BATCH_BYTES >> 20
