@@ -83,6 +83,8 @@ def merged(files: DataFrame, objects: DataFrame, refs: DataFrame, values: list[s
     flat = tables.saved(pages(objects, keys, values), "pages")
     number = F.row_number().over(Window.partitionBy("job").orderBy("file_no", "path", "node")) - 1
     of_pages = shaped(flat.join(bases, keys).withColumn("number", number), moved("node"), F.lit("page"), F.lit(0), F.col("number"), none("string"), none("long"), F.lit(False), True)
+    # Every round reads the references; they are joined by merging, as the size of small files says little of their rows.
+    refs = tables.saved(refs.select(*keys, "node", "to"), "refs")
     led = reached(flat, refs, keys).join(flat.select(*keys, "node"), [*keys, "node"], "left_anti")
     rest = objects.where("kind not in ('tree', 'page', 'outline')").join(led, [*keys, "node"]).join(bases.drop("title"), keys)
     of_rest = shaped(rest, moved("node"), F.col("kind"), F.when(F.col("parent").isNotNull(), moved("parent")), F.col("place"), F.col("title"), none("long"), F.lit(False), True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import objects
 from quire.plans.queries import _PAGES_SQL, _pages, query, table
+from quire.sources import tables
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def objects_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's orders as one file: page trees flattened, fonts that pages lead to, outlines of which some entries are their own parents."""
     files = _files(spark, sf_dir)
     k, keys = F.col("page"), ["job", "file_no"]
-    lines = _pages(spark, sf_dir).join(files, F.col("l_orderkey") == F.col("o_orderkey")).select(*keys, "page", "l_returnflag")
+    lines = tables.saved(_pages(spark, sf_dir).join(files.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).select(*keys, "page", "l_returnflag"), "lines")
     none = lambda kind: F.lit(None).cast(kind)
 
     def made(df: DataFrame, node, kind: str, parent, place, title=None, target=None, rotate=None) -> DataFrame:

@@ -26,7 +26,8 @@ def _write(df: DataFrame, name: str) -> tuple[str, DataFrame]:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quire/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
-    return path, spark.read.schema(df.schema).parquet(path)
+    # Spark sizes a table by its packed files, of which rows may take a hundredfold in memory: it is never broadcast by that.
+    return path, spark.read.schema(df.schema).parquet(path).hint("merge")
 
 
 def saved(df: DataFrame, name: str = "table") -> DataFrame:

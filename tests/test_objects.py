@@ -39,3 +39,13 @@ def test_files_merged(spark):
 def test_nothing_to_merge(spark):
     files = spark.createDataFrame([], "job int, file_no int, title string, encrypted boolean")
     assert O.merged(files, spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "job int, file_no int, node long, to long"), ["rotate"]).count() == 0
+
+
+def test_written_tables_are_not_broadcast_by_the_size_of_their_files(spark):
+    from quire.sources import tables
+
+    a, b = (tables.saved(spark.range(1000).selectExpr("id", f"id % 7 as {c}")) for c in "xy")
+    joined = a.join(b.selectExpr("id", "explode(array(y, y + 1)) as y"), "id")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 2000
+    tables.release(a)
+    tables.release(b)
