@@ -373,7 +373,7 @@ def word97_texts(files: DataFrame) -> DataFrame:
     """(path, text, error) of Word 97 files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, errors = [], []
             for content in batch.column(1).to_pylist():
                 try:

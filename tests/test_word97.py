@@ -24,3 +24,11 @@ def test_documents_and_odd_bytes():
     codes = word97.changes(struct.pack("<HB", 0x0835, 1) + struct.pack("<HH", 0x4A43, 30) + struct.pack("<HB3s", 0xC615, 3, b"abc") + struct.pack("<HI", 0x6870, 7) + b"\x35")
     assert codes == [(0x0835, b"\x01"), (0x4A43, b"\x1e\x00"), (0xC615, b"abc"), (0x6870, b"\x07\x00\x00\x00")]
     assert word97.changes(struct.pack("<HB", 0xC615, 9) + b"short") == [] and word97.changes(b"") == []
+
+
+def test_the_query_of_texts_makes_and_reads_each_file_once(spark):
+    from quire.plans import package_queries
+
+    found = package_queries.word97_roundtrip(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan and "Broadcast" not in plan
