@@ -243,8 +243,11 @@ def style_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Geometry ---------------------------------------------------------------------
 
 
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pages(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """Line items numbered within their order; ``dealt`` ones stay in all partitions, for work that takes long by the bytes of its rows."""
     items = table(spark, sf_dir, "lineitem")
+    if dealt:
+        items = items.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
     return items.withColumn("page", F.row_number().over(w) - 1)
 

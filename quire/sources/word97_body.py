@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,8 +18,8 @@ from quire.sources import word97
 
 #: Bytes of the stream by which pieces and spans meet: both are cut where one begins.
 BLOCK = 4096
-#: Rows of an Arrow batch.
-BATCH = 5000
+#: Pieces and spans of an Arrow batch.
+BATCH = 20_000
 # Changes of paragraphs by code; those of characters that word97.CHANGES does not name; pages of the stream.
 PARAGRAPH = {0x2403: "align", 0x2461: "align_2000", 0x2416: "in_table", 0x2417: "row_end", 0x6649: "depth", 0x244B: "inner_cell", 0x244C: "inner_row", 0x460B: "listed", 0x260A: "level", 0x2640: "outline"}
 CHARACTER = {**word97.CHANGES, 0x2A0C: "highlight", 0x4A4F: "font", 0x6870: "rgb", 0x0855: "special", 0x6A03: "picture"}
@@ -25,8 +27,10 @@ PAGE = 512
 # Where the header tells style sheet, character pages, paragraph pages and fonts, as offset and size in the table stream.
 STYLES_AT, CHARACTERS_AT, PARAGRAPHS_AT, FONTS_AT = 162, 250, 258, 274
 
-LAYOUT = "path string, kind string, block long, start long, end long, width int, place long, text string, sti int, style string, font string, changes map<int,bigint>, error string"
-_ARROW = pa.schema([("path", pa.string()), ("kind", pa.string()), ("block", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("width", pa.int32()), ("place", pa.int64()), ("text", pa.string()), ("sti", pa.int32()), ("style", pa.string()), ("font", pa.string()), ("changes", pa.map_(pa.int32(), pa.int64())), ("error", pa.string())])
+_TEXT = "start:bigint,end:bigint,width:int,place:bigint,text:string"
+_SPAN = "start:bigint,end:bigint,font:string,changes:map<int,bigint>,sti:int,style:string,told:map<int,bigint>"
+LAYOUT = f"path string, kind string, block bigint, texts array<struct<{_TEXT}>>, spans array<struct<{_SPAN}>>, error string"
+
 #: The second unit of a character beyond U+FFFF, so that places of text are places of units.
 SECOND = "\uffff"
 
@@ -63,10 +67,10 @@ def _spans(main: bytes, bins: bytes, entry: int) -> list[tuple[int, int, bytes |
             continue
         count = min(page[-1], (PAGE - 5) // (4 + entry))
         edges = struct.unpack_from(f"<{count + 1}I", page, 0)
-        for k in range(count):
-            spot = 2 * page[4 * (count + 1) + entry * k]
-            found.append((edges[k], edges[k + 1], page[spot:-1] if spot else None))
-    return sorted(found, key=lambda s: s[:2])
+        spots = page[4 * (count + 1) :: entry][:count]
+        bodies = {spot: page[2 * spot : -1] if spot else None for spot in set(spots)}
+        found += [(edges[k], edges[k + 1], bodies[spot]) for k, spot in enumerate(spots)]
+    return sorted(found, key=itemgetter(0, 1))
 
 
 def _whole(spans: list, first: int, last: int) -> Iterator[tuple[int, int, bytes | None]]:
@@ -113,52 +117,115 @@ def _numbers(body: bytes) -> dict[int, int]:
     return {code: int.from_bytes(operand, "little") for code, operand in word97.changes(body) if len(operand) <= 4}
 
 
-def _rows(path: str, content: bytes) -> Iterator[tuple]:
+def _met(chars: Iterator[tuple], paras: Iterator[tuple]) -> Iterator[tuple[int, int, bytes | None, bytes | None]]:
+    """(start, end, body, body): two rows of spans that cover the same stretch, cut where one of either begins."""
+    nothing = (0, 0, None)
+    (start, to, body), (_, until, told) = next(chars, nothing), next(paras, nothing)
+    while start < to:
+        end = min(to, until)
+        yield start, end, body, told
+        start = end
+        if end == to:
+            _, to, body = next(chars, nothing)
+        if end == until:
+            _, until, told = next(paras, nothing)
+
+
+def _character(body: bytes | None, fonts: list[str]) -> tuple:
+    """(font, changes) of characters."""
+    found = _numbers(body[1 : 1 + body[0]]) if body else {}
+    font = fonts[found[0x4A4F]] if found.get(0x4A4F, len(fonts)) < len(fonts) else None
+    return font, tuple(found.items())
+
+
+def _paragraph(body: bytes | None, styles: list[tuple[int, str] | None]) -> tuple:
+    """(built-in number and name of the style, changes) of a paragraph."""
+    inner = b"" if not body else body[1 : 2 * body[0]] if body[0] else body[2 : 2 + 2 * body[1]]
+    index = int.from_bytes(inner[:2], "little")
+    sti, name = (styles[index] if index < len(styles) else None) or (None, None)
+    return sti, name, tuple(_numbers(inner[2:]).items())
+
+
+def _blocks(content: bytes) -> Iterator[tuple[int, list[tuple], list[tuple]]]:
+    """(block, texts, spans) of a file's blocks in order; what spans say is worked out once for all that say the same."""
     streams = source.word97_streams(content)
     main, side = streams["WordDocument"], streams["table"]
     pieces = list(source.word97_pieces(main, side))
     if not pieces:
         return
     fonts, styles = _fonts(_part(main, side, FONTS_AT)), _styles(_part(main, side, STYLES_AT))
+    texts: dict[int, list[tuple]] = {}
     for place, units, start, width in pieces:
         text = _units(main[start : start + units * width], width).ljust(units, SECOND)
         for block, a, b in _cuts(start, start + units * width, width):
             k = (a - start) // width
-            yield path, "text", block, a, b, width, place + k, text[k : (b - start) // width], None, None, None, None, None
+            texts.setdefault(block, []).append((a, b, width, place + k, text[k : (b - start) // width]))
     first, last = min(p[2] for p in pieces), max(p[2] + p[1] * p[3] for p in pieces)
-    for a, b, body in _whole(_spans(main, _part(main, side, CHARACTERS_AT), 1), first, last):
-        found = _numbers(body[1 : 1 + body[0]]) if body else {}
-        font = fonts[found[0x4A4F]] if found.get(0x4A4F, len(fonts)) < len(fonts) else None
-        for cut in _cuts(a, b):
-            yield path, "characters", *cut, None, None, None, None, None, font, list(found.items()), None
-    for a, b, body in _whole(_spans(main, _part(main, side, PARAGRAPHS_AT), 13), first, last):
-        inner = b"" if not body else body[1 : 2 * body[0]] if body[0] else body[2 : 2 + 2 * body[1]]
-        index = int.from_bytes(inner[:2], "little")
-        sti, name = (styles[index] if index < len(styles) else None) or (None, None)
-        found = _numbers(inner[2:])
-        for cut in _cuts(a, b):
-            yield path, "paragraphs", *cut, None, None, None, sti, name, None, list(found.items()), None
+    spans = (_whole(_spans(main, _part(main, side, at), entry), first, last) for at, entry in ((CHARACTERS_AT, 1), (PARAGRAPHS_AT, 13)))
+    looks: dict[bytes | None, tuple] = {}
+    told: dict[bytes | None, tuple] = {}
+    at, held = first // BLOCK, []
+    for a, b, body, own in _met(*spans):
+        if body not in looks:
+            looks[body] = _character(body, fonts)
+        if own not in told:
+            told[own] = _paragraph(own, styles)
+        for block, start, end in ((at, a, b),) if b <= (at + 1) * BLOCK else _cuts(a, b):
+            if block > at:
+                if at in texts:
+                    yield at, texts.pop(at), held
+                at, held = block, []
+            held.append((start, end, looks[body], told[own]))
+    if at in texts:
+        yield at, texts.pop(at), held
+
+
+def _told(values: list[tuple], types: list[pa.DataType]) -> list[pa.Array]:
+    """Columns of tuples of which few differ: each is made once and taken by its number."""
+    numbers: dict[tuple, int] = {}
+    at = pa.array([numbers.setdefault(v, len(numbers)) for v in values], pa.int32())
+    return [pa.array([v[k] for v in numbers], t).take(at) for k, t in enumerate(types)]
+
+
+def _lists(each: list[list[tuple] | None], columns: Callable[[list[tuple]], list[pa.Array]], names: str) -> pa.ListArray:
+    flat = [x for some in each for x in some or ()]
+    edges = pa.array(accumulate((len(some or ()) for some in each), initial=0), pa.int32())
+    return pa.ListArray.from_arrays(edges, pa.StructArray.from_arrays(columns(flat), [n.split(":")[0] for n in names.replace("<int,", "<").split(",")]))
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (path, kind, block, texts, spans, error) of LAYOUT."""
+    changes = pa.map_(pa.int32(), pa.int64())
+    column = lambda k, kind: pa.array([r[k] for r in rows], kind)
+    texts = lambda flat: [pa.array([t[k] for t in flat], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()))]
+    spans = lambda flat: [*(pa.array([s[k] for s in flat], pa.int64()) for k in (0, 1)), *_told([s[2] for s in flat], [pa.string(), changes]), *_told([s[3] for s in flat], [pa.int32(), pa.string(), changes])]
+    made = [column(0, pa.string()), column(1, pa.string()), column(2, pa.int64()), _lists([r[3] for r in rows], texts, _TEXT), _lists([r[4] for r in rows], spans, _SPAN), column(5, pa.string())]
+    return pa.RecordBatch.from_arrays(made, ["path", "kind", "block", "texts", "spans", "error"])
 
 
 def layout(found: DataFrame) -> DataFrame:
-    """Pieces of text and spans of changes of Word 97 files (path, content, format), cut by blocks of the stream; an error row for a file that cannot be read."""
+    """A row a block of the stream of Word 97 files (path, content, format): pieces of text, and spans of one set of changes; an error row for a file that cannot be read.
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+    A block has as many pieces and spans as it has bytes, at most, for pieces that do not overlap.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        size = 0
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    held += list(_rows(path, content.as_py()))
+                    read = [(path, "block", *b, None) for b in _blocks(content.as_py())]
                 except (KeyError, IndexError, ValueError, TypeError, struct.error, MemoryError) as e:
-                    held.append((path, "error", *[None] * 10, str(e) or type(e).__name__))
-                while len(held) >= BATCH:
-                    yield batch_of(held[:BATCH])
-                    held = held[BATCH:]
+                    read = [(path, "error", None, None, None, str(e) or type(e).__name__)]
+                for row in read:
+                    held.append(row)
+                    size += 1 + len(row[3] or ()) + len(row[4] or ())
+                    if size >= BATCH:
+                        yield _batch(held)
+                        held, size = [], 0
         if held:
-            yield batch_of(held)
+            yield _batch(held)
 
     return found.where("format = 'doc'").select(F.col("path").cast("string").alias("path"), "content").mapInArrow(run, LAYOUT)
 
@@ -168,17 +235,13 @@ def layout(found: DataFrame) -> DataFrame:
 
 def _segments(laid: DataFrame) -> DataFrame:
     """(path, place, text, font, c, sti, style, p): text of one span of characters and one of paragraphs."""
-    of = lambda kind, *names: F.collect_list(F.when(F.col("kind") == kind, F.struct(*names)))
-    met = laid.where("kind <> 'error'").groupBy("path", "block").agg(
-        of("text", "start", "end", "width", "place", "text").alias("texts"), of("characters", "start", "end", "font", "changes").alias("chars"), of("paragraphs", "start", "end", "sti", "style", "changes").alias("paras")
-    )
-    over = lambda x, lo, hi: (x["start"] < hi) & (x["end"] > lo)
-    cut = met.select("path", F.explode("texts").alias("t"), "chars", "paras")
-    cut = cut.select("path", "t", F.explode(F.filter("chars", lambda c: over(c, F.col("t.start"), F.col("t.end")))).alias("c"), "paras")
-    cut = cut.select("path", "t", "c", F.explode(F.filter("paras", lambda p: over(p, F.greatest("t.start", "c.start"), F.least("t.end", "c.end")))).alias("p"))
+    # Blocks are dealt to all tasks, as one task may have parsed a large file, or many small ones whose few bytes Spark would leave to it.
+    dealt = laid.where("kind = 'block'").repartition(int(laid.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", "block")
+    cut = dealt.select("path", F.explode("texts").alias("t"), "spans")
+    cut = cut.select("path", "t", F.explode(F.filter("spans", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start")))).alias("s"))
     unit = lambda edge: F.ceil((edge - F.col("t.start")) / F.col("t.width")).cast("int")
-    lo, hi = unit(F.greatest("t.start", "c.start", "p.start")), unit(F.least("t.end", "c.end", "p.end"))
-    placed = cut.select("path", (F.col("t.place") + lo).alias("place"), F.substring("t.text", lo + 1, hi - lo).alias("text"), F.col("c.font").alias("font"), F.col("c.changes").alias("c"), "p.sti", "p.style", F.col("p.changes").alias("p"))
+    lo, hi = unit(F.greatest("t.start", "s.start")), unit(F.least("t.end", "s.end"))
+    placed = cut.select("path", (F.col("t.place") + lo).alias("place"), F.substring("t.text", lo + 1, hi - lo).alias("text"), "s.font", F.col("s.changes").alias("c"), "s.sti", "s.style", F.col("s.told").alias("p"))
     return placed.where("text <> ''")
 
 
@@ -197,6 +260,45 @@ def _look() -> Column:
     return F.struct(on("bold"), on("italic"), any_("underline"), on("strike"), any_("highlight"), value("half_points").cast("int").alias("half_points"), colour, "font")
 
 
+def _tokens(found: DataFrame, looks: bool) -> DataFrame:
+    """(path, paragraph, place, k, kind, text, look, picture, m): text between marks in order, null kinds for what does not show, m what a paragraph's mark says."""
+    tokens = _segments(layout(found)).select("*", F.posexplode(F.split("text", "(?<=[\\x01\\x07\\x08\\x0c\\r\\x13-\\x15])|(?=[\\x01\\x07\\x08\\x0c\\r\\x13-\\x15])")).alias("k", "token")).drop("text").where("token <> ''")
+    special = F.coalesce(_change("c", CHARACTER, "special").isin(1, 0x81), F.lit(False)) & F.col("token").isin("\x01", "\x08")
+    hidden = F.coalesce(_change("c", CHARACTER, "hidden").isin(1, 0x81), F.lit(False))
+    plain = F.regexp_replace(F.translate("token", "\x0b\x1e\n", "\n-"), "[\x00-\x08\x0c-\x1f\ufffc\uffff]", "")
+    ends = F.col("token").isin("\r", "\x07")
+    # What changes say is read before the rows are sorted: only a paragraph's mark takes those of its paragraph along.
+    said = {"look": _look(), "picture": F.when(special, _change("c", CHARACTER, "picture"))} if looks else {}
+    told = F.when(ends, F.struct("token", "sti", "style", "p"))
+    tokens = tokens.select("path", "place", "k", "token", special.alias("_special"), hidden.alias("_hidden"), plain.alias("_plain"), told.alias("m"), *[c.alias(n) for n, c in said.items()])
+    order = Window.partitionBy("path").orderBy("place", "k")
+    before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    opens, parts, closes = (F.col("token") == c for c in "\x13\x14\x15")
+    moved = tokens.withColumns({"paragraph": F.coalesce(F.sum(ends.cast("int")).over(before), F.lit(0)), "_s": F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(upto)})
+    # How many fields are open after a token; one that closes none changes nothing.
+    moved = moved.withColumn("_open", F.col("_s") - F.least(F.min("_s").over(upto), F.lit(0)))
+    moved = moved.withColumn("_level", F.when(opens | parts, F.col("_open")).when(closes, F.coalesce(F.lag("_open").over(order), F.lit(0))))
+    asked = F.coalesce(F.lag("token").over(Window.partitionBy("path", "_level").orderBy("place", "k")), F.lit("")) != "\x13"
+    moved = moved.withColumn("_turn", F.when(opens, 1).when((parts | closes) & ~asked, -1).otherwise(0))
+    kind = F.when(F.col("token") == "\x0c", "page").when(F.col("_special"), "picture").when(F.col("_plain") != "", "text")
+    shown = (F.sum("_turn").over(upto) <= 0) & ~F.col("_hidden")
+    return moved.select("path", "paragraph", "place", "k", F.when(shown, kind).alias("kind"), F.when(kind == "text", F.col("_plain")).otherwise("").alias("text"), "m", *said)
+
+
+def _told_by_marks(whole: DataFrame, *more: str) -> DataFrame:
+    """What the marks (m) of paragraphs (path, paragraph) say, and ``more`` columns."""
+    p = whole.select("path", "paragraph", F.col("m.token").alias("mark"), "m.sti", "m.style", F.col("m.p").alias("p"), *more)
+    value = lambda name: _change("p", PARAGRAPH, name)
+    flag = lambda name: F.coalesce(value(name) != 0, F.lit(False))
+    sides = F.coalesce(value("align_2000"), value("align"))
+    align = F.when(sides == 1, "center").when(sides == 2, "right").when(sides.isin(3, 4), "both").otherwise("left")
+    depth = F.greatest(F.coalesce(value("depth"), F.lit(0)), (flag("in_table") | F.coalesce(F.col("mark") == "\x07", F.lit(False))).cast("long")).cast("int")
+    return p.select(
+        "path", "paragraph", "mark", "sti", "style", align.alias("align"), (depth > 0).alias("in_table"), (flag("row_end") & (flag("in_table") | (value("depth") > 0))).alias("row_end"), depth.alias("depth"), flag("inner_cell").alias("inner_cell"), flag("inner_row").alias("inner_row"),
+        flag("listed").alias("listed"), F.least(F.coalesce(value("level"), F.lit(0)), F.lit(8)).cast("int").alias("level"), F.when(value("outline") < 9, value("outline")).cast("int").alias("outline"), *more,
+    )
+
+
 def body(found: DataFrame) -> DataFrame:
     """(path, paragraph, mark, sti, style, align, in_table, row_end, depth, inner_cell, inner_row, listed, level, outline, runs): paragraphs of Word 97 files in order.
 
@@ -206,43 +308,24 @@ def body(found: DataFrame) -> DataFrame:
     a paragraph without a mark and without properties. A file without text gives no row, nor does one that
     cannot be read (``layout`` has its error).
     """
-    tokens = _segments(layout(found)).select("*", F.posexplode(F.split("text", "(?<=[\\x01\\x07\\x08\\x0c\\r\\x13-\\x15])|(?=[\\x01\\x07\\x08\\x0c\\r\\x13-\\x15])")).alias("k", "token")).drop("text").where("token <> ''")
-    order = Window.partitionBy("path").orderBy("place", "k")
-    before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
-    ends = F.col("token").isin("\r", "\x07")
-    opens, parts, closes = (F.col("token") == c for c in "\x13\x14\x15")
-    moved = tokens.withColumns({"paragraph": F.coalesce(F.sum(ends.cast("int")).over(before), F.lit(0)), "_s": F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(upto)})
-    # How many fields are open after a token; one that closes none changes nothing.
-    moved = moved.withColumn("_open", F.col("_s") - F.least(F.min("_s").over(upto), F.lit(0)))
-    moved = moved.withColumn("_level", F.when(opens | parts, F.col("_open")).when(closes, F.coalesce(F.lag("_open").over(order), F.lit(0))))
-    told = F.coalesce(F.lag("token").over(Window.partitionBy("path", "_level").orderBy("place", "k")), F.lit("")) != "\x13"
-    moved = moved.withColumn("_turn", F.when(opens, 1).when((parts | closes) & ~told, -1).otherwise(0))
-    special = F.coalesce(_change("c", CHARACTER, "special").isin(1, 0x81), F.lit(False)) & F.col("token").isin("\x01", "\x08")
-    plain = F.regexp_replace(F.translate("token", "\x0b\x1e\n", "\n-"), "[\x00-\x08\x0c-\x1f\ufffc\uffff]", "")
-    kind = F.when(F.col("token") == "\x0c", "page").when(special, "picture").when(plain != "", "text")
-    hidden = F.coalesce(_change("c", CHARACTER, "hidden").isin(1, 0x81), F.lit(False))
-    shown = (F.sum("_turn").over(upto) <= 0) & ~hidden
-    moved = moved.withColumns({"kind": F.when(shown, kind), "text": F.when(kind == "text", plain).otherwise(""), "look": _look(), "picture": F.when(special, _change("c", CHARACTER, "picture"))})
+    moved = _tokens(found, True)
     inside = Window.partitionBy("path", "paragraph").orderBy("place", "k")
     visible = F.struct("kind", "look", "picture")
     last = F.last(F.when(F.col("kind").isNotNull(), visible), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.col("kind").isNotNull() & ~((F.col("kind") == "text") & last.eqNullSafe(visible))
     moved = moved.withColumn("run", F.sum(fresh.cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     piece = F.when(F.col("kind").isNotNull(), F.struct("place", "k", "text"))
-    mark = F.when(ends, F.struct("token", "sti", "style", "p"))
-    runs = moved.groupBy("path", "paragraph", "run").agg(F.any_value(F.when(F.col("kind").isNotNull(), visible), ignoreNulls=True).alias("v"), F.array_sort(F.collect_list(piece)).alias("t"), F.any_value(mark, ignoreNulls=True).alias("m"))
+    runs = moved.groupBy("path", "paragraph", "run").agg(F.any_value(F.when(F.col("kind").isNotNull(), visible), ignoreNulls=True).alias("v"), F.array_sort(F.collect_list(piece)).alias("t"), F.any_value("m", ignoreNulls=True).alias("m"))
     one = F.struct("run", F.col("v.kind").alias("kind"), F.array_join(F.transform("t", lambda x: x["text"]), "").alias("text"), "v.look.*", F.col("v.picture").alias("picture"))
     whole = runs.groupBy("path", "paragraph").agg(F.any_value("m", ignoreNulls=True).alias("m"), F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), one))).alias("runs"))
-    p = whole.select("path", "paragraph", F.col("m.token").alias("mark"), "m.sti", "m.style", F.col("m.p").alias("p"), F.transform("runs", lambda r: r.dropFields("run")).alias("runs"))
-    value = lambda name: _change("p", PARAGRAPH, name)
-    flag = lambda name: F.coalesce(value(name) != 0, F.lit(False))
-    sides = F.coalesce(value("align_2000"), value("align"))
-    align = F.when(sides == 1, "center").when(sides == 2, "right").when(sides.isin(3, 4), "both").otherwise("left")
-    depth = F.greatest(F.coalesce(value("depth"), F.lit(0)), (flag("in_table") | F.coalesce(F.col("mark") == "\x07", F.lit(False))).cast("long")).cast("int")
-    return p.select(
-        "path", "paragraph", "mark", "sti", "style", align.alias("align"), (depth > 0).alias("in_table"), (flag("row_end") & (flag("in_table") | (value("depth") > 0))).alias("row_end"), depth.alias("depth"), flag("inner_cell").alias("inner_cell"), flag("inner_row").alias("inner_row"),
-        flag("listed").alias("listed"), F.least(F.coalesce(value("level"), F.lit(0)), F.lit(8)).cast("int").alias("level"), F.when(value("outline") < 9, value("outline")).cast("int").alias("outline"), "runs",
-    )
+    return _told_by_marks(whole.withColumn("runs", F.transform("runs", lambda r: r.dropFields("run"))), "runs")
+
+
+def lines(found: DataFrame) -> DataFrame:
+    """The paragraphs of ``body`` with their ``text`` in place of runs: no looks are worked out."""
+    shown = F.when(F.col("kind") == "text", F.struct("place", "k", "text"))
+    whole = _tokens(found, False).groupBy("path", "paragraph").agg(F.any_value("m", ignoreNulls=True).alias("m"), F.sort_array(F.collect_list(shown)).alias("_texts"))
+    return _told_by_marks(whole.withColumn("text", F.array_join("_texts.text", "")), "text")
 
 
 def runs(paragraphs: DataFrame) -> DataFrame:
@@ -261,26 +344,29 @@ def kinds(paragraphs: DataFrame) -> DataFrame:
 
 
 def cells(paragraphs: DataFrame) -> DataFrame:
-    """(path, depth, first, row, cell, text): cells of the tables of ``body``; ``first`` is the paragraph that a table begins with.
+    """(path, depth, first, row, cell, text): cells of the tables of ``body`` or of ``lines``; ``first`` is the paragraph that a table begins with.
 
     Depth 1 is a table in the text, 2 one within a cell, and so on. Paragraphs of a depth that follow each
     other are a table; what is deeper belongs to the outer cell too. Paragraphs of a cell are apart by line
     ends, empty ones before the first with text go. Text after the last mark of a cell is a cell if not empty.
     """
-    text = F.array_join(F.transform(F.filter("runs", lambda r: r["kind"] == "text"), lambda r: r["text"]), "").alias("line")
-    own = paragraphs.where("depth > 0").select("path", "paragraph", F.col("depth").alias("_depth"), "mark", "row_end", "inner_cell", "inner_row", text, F.explode(F.sequence(F.lit(1), "depth")).alias("depth"))
+    text = F.col("text") if "text" in paragraphs.columns else F.array_join(F.transform(F.filter("runs", lambda r: r["kind"] == "text"), lambda r: r["text"]), "")
+    own = paragraphs.where("depth > 0").select("path", "paragraph", F.col("depth").alias("_depth"), "mark", "row_end", "inner_cell", "inner_row", text.alias("line"), F.explode(F.sequence(F.lit(1), "depth")).alias("depth"))
     here = F.col("_depth") == F.col("depth")
     top = F.col("depth") == 1
     ends_row = F.when(top, F.col("row_end")).otherwise(here & F.col("inner_row"))
     ends_cell = F.when(top, F.coalesce(F.col("mark") == "\x07", F.lit(False)) & ~F.col("row_end")).otherwise(here & F.col("inner_cell") & ~F.col("inner_row"))
+    own = own.select("path", "depth", "paragraph", "line", ends_row.alias("_row"), ends_cell.alias("_cell"))
+    # One order serves all: rows and cells are numbered by what has ended since their table or row began.
     level = Window.partitionBy("path", "depth").orderBy("paragraph")
-    upto = level.rowsBetween(Window.unboundedPreceding, 0)
+    upto, before = (level.rowsBetween(Window.unboundedPreceding, k) for k in (0, -1))
+    past = lambda flag: F.coalesce(F.sum(F.col(flag).cast("int")).over(before), F.lit(0)).cast("int")
     begins = F.coalesce(F.lag("paragraph").over(level) + 1 != F.col("paragraph"), F.lit(True))
-    own = own.withColumns({"_row": ends_row, "_cell": ends_cell, "first": F.when(begins, F.col("paragraph"))})
-    own = own.withColumn("first", F.last("first", ignorenulls=True).over(upto))
-    past = lambda flag, *keys: F.coalesce(F.sum(F.col(flag).cast("int")).over(Window.partitionBy("path", "depth", "first", *keys).orderBy("paragraph").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    own = own.withColumn("row", past("_row")).withColumn("cell", past("_cell", "row")).where(~F.col("_row"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "line"))), lambda x: x["line"])
+    own = own.withColumns({"_begins": begins, "_rows": past("_row"), "_cells": past("_cell")})
+    own = own.withColumn("_fresh", F.col("_begins") | F.lag("_row", 1, False).over(level))
+    since = lambda flag, value: F.last(F.when(F.col(flag), F.col(value)), ignorenulls=True).over(upto)
+    own = own.withColumns({"first": since("_begins", "paragraph"), "row": F.col("_rows") - since("_begins", "_rows"), "cell": F.col("_cells") - since("_fresh", "_cells")}).where(~F.col("_row"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("paragraph", "line"))), lambda x: x["line"])
     made = own.groupBy("path", "depth", "first", "row", "cell").agg(lines.alias("lines"), F.bool_or("_cell").alias("ended"))
     joined = F.aggregate("lines", F.lit(""), lambda a, x: F.when(a == "", x).otherwise(F.concat(a, F.lit("\n"), x)))
     return made.select("path", "depth", "first", "row", "cell", joined.alias("text"), "ended").where("ended or text <> ''").drop("ended")

@@ -147,3 +147,25 @@ def test_converted_files_keep_looks_and_tables(spark):
 def test_a_file_is_parsed_once_and_shuffled_twice(spark):
     plan = word97_body.cells(word97_body.body(found(spark, d=b"")))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.count("Exchange hash") == 2 and "BroadcastExchange" not in plan and "CartesianProduct" not in plan
+
+
+def test_lines_are_paragraphs_without_looks(spark):
+    inner = [cell("i1", 2, told=[(0x244B, 1)]), cell("i2", 2, told=[(0x244B, 1)]), cell("", 2, told=[(0x244C, 1)])]
+    paragraphs = [
+        para(run("a\x13CODE\x14sh"), run("own", BOLD), run("\x15b\x0cc"), run("gone", (0x083C, 1)), run("\x01", (0x0855, 1)), style=1, told=[(0x2461, 1), (0x260A, 2)]), para(),
+        *[p for k in range(400) for p in (cell(f"n{k}"), para(run("žα😀" * (k % 50)), told=[(0x2416, 1)]), *inner, cell("f"), cell("", told=ROW))], para(run("Ž after"), run(" all", ITALIC)), cell("lone"),
+    ]
+    df = found(spark, d=word97.formatted_document(paragraphs, STYLES, FONTS), plain=word97.text_document("one\ntwo"), none=None)
+    whole, lines = word97_body.body(df).cache(), word97_body.lines(df).cache()
+    want = sorted((*r[:-1], "".join(x.text for x in r.runs if x.kind == "text")) for r in whole.collect())
+    assert want == sorted(map(tuple, lines.collect())) and len(want) == len(paragraphs) + 2
+    cells = sorted(map(tuple, word97_body.cells(whole).drop("path").collect()))
+    assert cells == sorted(map(tuple, word97_body.cells(lines).drop("path").collect())) and len(cells) == 400 * 4 + 1
+
+
+def test_the_query_of_cells_deals_its_files_and_blocks(spark):
+    from quire.plans import package_queries
+
+    plan = package_queries.word97_cells(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # Line items by order, blocks, files; Spark's sizes of small rows decide nothing about the first two, where the files are made and read.
+    assert plan.count("Exchange hash") == 3 and plan.count("REPARTITION_BY_NUM") == 2 and plan.count("MapInArrow") == 2
