@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 # Fixed values.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 PLAIN = {"‘": "'", "’": "'", "“": '"', "”": '"', "‐": "-", "‑": "-", "–": "-", "—": "-"}
+#: Characters that are several when normalised, and which letters those have.
+LONGER, LONGER_LETTERS = "".join(LIGATURES) + "İ", frozenset("".join(LIGATURES.values()) + "i")
+# A class of them; ranges are told faster than single characters.
+_LONGER = r"[\x{fb00}-\x{fb06}\x{130}]"
 #: What Windows-1252 has at 0x80 to 0x9F.
 CP1252_HIGH = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
 #: White space and the soft hyphen.
@@ -41,11 +46,60 @@ def count_in_normalized(t: Column, q: Column) -> Column:
     return F.when(F.length(q) > 0, (F.length(t) - F.length(F.replace(t, q, F.lit("")))) / F.length(q)).otherwise(0).cast("int")
 
 
+def holds(text: Column, query: str) -> Column:
+    """Whether a text holds ``query``, both compared normalised; none holds an empty query.
+
+    One pattern goes over the text as it is; only what has ligatures is normalised.
+    """
+    q = normalize_literal(query)
+    if not q:
+        return F.lit(False)
+    whole = F.contains(normalize(text), F.lit(q))
+    if (pattern := _tolerant(q)) is None:
+        return whole
+    if not set(q) & LONGER_LETTERS:
+        return text.rlike(pattern)
+    return text.rlike(f"{pattern}|{_LONGER}") & (~text.rlike(_LONGER) | whole)
+
+
 def match_ranges(text: Column, query: str) -> Column:
     """Array of (from, to) character ranges of ``text`` that match, in order; what is hit within a ligature is all of it."""
     q = normalize_literal(query)
     if not q:
         return F.array().cast("array<struct<from:int,to:int>>")
+    if (pattern := _tolerant(q)) is None:
+        return _owned_ranges(text, q)
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # What follows the last hit has none beside it.
+    pairs = F.filter(F.zip_with(F.split(text, pattern, -1), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("n"))), lambda x: x["n"].isNotNull())
+    none = F.array().cast("array<struct<from:int,to:int>>")
+    step = lambda s, x: F.struct((s["end"] + x["gap"] + x["n"]).alias("end"), F.array_append(s["at"], F.struct((s["end"] + x["gap"]).alias("from"), (s["end"] + x["gap"] + x["n"]).alias("to"))).alias("at"))
+    ranges = F.aggregate(pairs, F.struct(F.lit(0).alias("end"), none.alias("at")), step, lambda s: s["at"])
+    if not set(q) & LONGER_LETTERS:
+        return ranges
+    return F.when(text.rlike(_LONGER), _owned_ranges(text, q)).otherwise(ranges)
+
+
+def _tolerant(q: str) -> str | None:
+    """A pattern of what normalises to ``q`` in text without LONGER; None of queries beyond Latin Extended-A, where versions of Unicode differ."""
+    if max(q) >= "\u0180":
+        return None
+    one_of = lambda chars: "[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]"
+    return f"{one_of(BLANKS)}*+".join(one_of(_raw().get(c, c)) for c in q)
+
+
+@cache
+def _raw() -> dict[str, list[str]]:
+    """By normalised character the others that become it."""
+    found: dict[str, list[str]] = {}
+    for c in map(chr, range(0x2200)):
+        if c not in BLANKS and c not in LONGER:
+            found.setdefault(PLAIN.get(c, c.lower()), []).append(c)
+    return found
+
+
+def _owned_ranges(text: Column, q: str) -> Column:
+    """The ranges that match a normalised query, by the character that owns each normalised one."""
     length = lambda c: F.when(F.instr(F.lit(BLANKS), c) > 0, 0).when(F.instr(F.lit("ﬀﬁﬂﬅﬆİ"), c) > 0, 2).when(F.instr(F.lit("ﬃﬄ"), c) > 0, 3).otherwise(1)
     owner = F.flatten(F.transform(F.split(text, ""), lambda c, i: F.array_repeat(i, length(c))))
     pieces = F.transform(F.split(normalize(text), _quoted(q), -1), lambda p: F.length(p))

@@ -21,8 +21,7 @@ SET_BYTES = 2 << 20
 
 def search(pages: DataFrame, text: str, query: str) -> DataFrame:
     """Pages that hold the query, compared normalised; an empty query finds none."""
-    q = T.normalize_literal(query)
-    return pages.where(F.contains(T.normalize(F.col(text)), F.lit(q)) if q else F.lit(False))
+    return pages.where(T.holds(F.col(text), query))
 
 
 def find_next(pages: DataFrame, keys: list[str], page: str, text: str, starts: DataFrame, query: str, forward: bool = True) -> DataFrame:

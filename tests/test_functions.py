@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +120,38 @@ def test_geometry(spark):
     assert one(spark, geometry.turned(F.lit(0), F.lit(-90))) == 270
     assert abs(one(spark, geometry.fit_scale(F.lit(612.0), F.lit(792.0), F.lit(4e6))) - (4e6 / (612 * 792)) ** 0.5) < 1e-9
     assert tuple(one(spark, geometry.flow_point(F.lit(1), F.lit(0.25), F.lit(0.5)))) == (0.5, 0.75)
+
+
+def _matches(text, query):
+    """Ranges found letter by letter."""
+    letters = [(n, i) for i, c in enumerate(text) for n in T.normalize_literal(c)]
+    q, at, found = T.normalize_literal(query), 0, []
+    while at + len(q) <= len(letters):
+        if all(letters[at + k][0] == c for k, c in enumerate(q)):
+            found.append((letters[at][1], letters[at + len(q) - 1][1] + 1))
+            at += len(q)
+        else:
+            at += 1
+    return found
+
+
+def test_matches_by_pattern_and_by_owners(spark):
+    rng = random.Random(5)
+    texts = ["", None, "\u212aelvin K \u212a", "\u212b\xe5 \xc5", "Οδός ΣΑΣ", "i\u0307 İ", "😀th th😀 T\xadh\u2003TH"]
+    texts += ["".join(rng.choices("tThH \n\u3000\xad", k=30)) for _ in range(60)] + ["".join(rng.choices("fFiIlsStTİſﬁﬃﬆ \u2019'.-–", k=40)) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for query in ("TH th", "k", "å", "σας", "fi", "ff", "st", "t'", "-", ".", "İ", "i", "  "):
+        got = rows.select("id", T.holds(F.col("text"), query).alias("held"), T.match_ranges(F.col("text"), query).alias("m")).collect()
+        for r in got:
+            want = _matches(texts[r.id], query) if texts[r.id] and T.normalize_literal(query) else []
+            assert [tuple(x) for x in r.m or []] == want, (query, texts[r.id])
+            assert bool(r.held) == bool(want)
+
+
+def test_search_looks_at_texts_as_they_are(spark):
+    from quire.operators import search
+
+    pages = spark.createDataFrame([("a",)], "text string")
+    plan = lambda query: search.search(pages, "text", query)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan("dogma") and "RLIKE" in plan("dogma")
+    assert plan("TH th").index("RLIKE") < plan("TH th").index("regexp_replace")
