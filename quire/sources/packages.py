@@ -257,12 +257,17 @@ def media_plan(pictures: DataFrame, taken: DataFrame, keys: list[str], pos: str)
     Content that is no picture is left out.
     """
     kind = formats.picture_type(F.col("content"))
-    real = pictures.withColumn("_kind", kind).where("_kind is not null").withColumn("_hash", F.sha2("content", 256))
-    first = real.groupBy(*keys, "_hash").agg(F.min(pos).alias("_first"))
-    numbered = first.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_first")))
-    joined = real.join(numbered, [*keys, "_hash"]).join(taken, keys, "left")
+    real = pictures.select(*keys, pos, kind.alias("_kind"), F.unhex(F.sha2("content", 256)).alias("_hash")).where("_kind is not null")
+    # Few narrow rows are held at once: a task's sorts add up, and by the packed bytes of such rows Spark would leave many to one task.
+    tasks = int(pictures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    same = Window.partitionBy(*keys, "_hash").orderBy(F.asc_nulls_last(pos)).rowsBetween(Window.unboundedPreceding, 0)
+    first = real.repartition(tasks, *keys, "_hash").withColumn("_first", F.min(pos).over(same))
+    dealt = first.select(*keys, pos, "_kind", "_first", F.substring("_hash", 1, 8).alias("_tie")).repartition(tasks, *keys)
+    numbered = dealt.withColumn("_n", F.dense_rank().over(Window.partitionBy(*keys).orderBy("_first", "_tie"))).drop("_tie")
+    placed = numbered.withColumn("_drawing", F.row_number().over(Window.partitionBy(*keys).orderBy(pos)))
+    joined = placed.join(taken.select(*keys, "n", "drawing").hint("merge"), keys, "left")
     n = (F.col("_n") + F.coalesce("n", F.lit(0))).cast("string")
-    drawing = F.row_number().over(Window.partitionBy(*keys).orderBy(pos)) + F.coalesce("drawing", F.lit(0))
+    drawing = F.col("_drawing") + F.coalesce("drawing", F.lit(0))
     return joined.select(*keys, pos, F.concat(F.lit("rIdPicture"), n).alias("rel_id"), F.concat(F.lit("word/media/picture"), n, F.lit("."), "_kind").alias("part"), (F.col(pos) == F.col("_first")).alias("added"), drawing.cast("long").alias("drawing_id"))
 
 

@@ -1,6 +1,7 @@
 """Packages written back: what is kept stays byte for byte, what is edited is made anew, and packages join into one."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -186,3 +187,23 @@ def test_new_packages_have_styles_lists_and_paper(spark):
     assert {r.num for r in files.list_levels(shredded).where("format = 'bullet'").collect()} == {1}
     by_name, _ = files.content_types(shredded)
     assert {r.name for r in by_name.collect()} == {"word/document.xml", "word/styles.xml", "word/numbering.xml"} <= set(names(bytes(made.first().content)))
+
+
+def test_new_pictures_are_numbered_by_their_first_place(spark):
+    rng = random.Random(6)
+    kinds = [b"\x89PNG" + bytes([k]) for k in range(6)] + [b"no picture"]
+    placed = [(d, p, rng.choice(kinds)) for d in range(5) for p in range(40)]
+    taken = spark.createDataFrame([(d, d, 10 * d) for d in range(1, 5)], "doc int, n int, drawing int")
+    plan = packages.media_plan(spark.createDataFrame(rng.sample(placed, len(placed)), "doc int, pos int, content binary"), taken, ["doc"], "pos")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    # Rows are dealt by number, by content and then by document, and nothing is gathered or broadcast by its packed size.
+    assert text.count("REPARTITION_BY_NUM") == 2 and "Broadcast" not in text and "Aggregate" not in text
+    want, numbers, drawn = [], {}, {}
+    for d, p, content in placed:
+        if content != b"no picture":
+            here = numbers.setdefault(d, {})
+            added = content not in here
+            n = here.setdefault(content, len(here) + 1) + d
+            drawn[d] = drawn.get(d, 10 * d) + 1
+            want.append((d, p, f"rIdPicture{n}", f"word/media/picture{n}.png", added, drawn[d]))
+    assert sorted(map(tuple, plan.collect())) == want
