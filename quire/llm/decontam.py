@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.words import Block, Words, blocks, mix, split, word_hashes
+from quire.llm.words import SMALL_BLOCK_BYTES, Block, Words, blocks, mix, split, word_hashes
 from quire.llm.work import free_name, saved
 
 #: Of WINDOW aligned tokens four fifths must match (13 of 16), or four fifths of a shorter test item.
@@ -206,7 +206,7 @@ def _overlaps(h: np.ndarray, first: np.ndarray, s: Seeds, any_item: bool = False
 
 def _search(column: pa.Array, s: Seeds, any_item: bool = False) -> np.ndarray:
     found = [np.zeros((0, 6), np.int64)]
-    for b in blocks(column):
+    for b in blocks(column, SMALL_BLOCK_BYTES):
         w = _tokens(b)
         if len(w.starts) and s.masks:
             found.append(_overlaps(word_hashes(b.data, w), w.first, s, any_item) + [b.lo, 0, 0, 0, 0, 0])
@@ -328,17 +328,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", text: str = "text", least_item: int = LEAST_ITEM) -> DataFrame:
-    """The rows of ``docs`` that overlap with no test item, all columns as they were; with a broadcast test set nothing is shuffled."""
+    """The rows of ``docs`` that overlap with no test item, all columns as they were; with a broadcast test set nothing is shuffled.
+
+    Then the rows stay in the JVM: only lower-cased texts go to Python, and a flag a row comes back.
+    """
     shared = _sent(benchmark, item_id, text, least_item)
     if shared is None:
         names = [free_name(docs, x) for x in ("_q_k1", "_q_k2")]
         gone = _joined(docs, benchmark, item_id, text, least_item).select("k1", "k2").distinct().toDF(*names)
         return docs.withColumns(dict(zip(names, _text_key(F.lower(text)), strict=True))).join(gone, names, "left_anti").select(docs.columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            keep[_search(batch.column(batch.num_columns - 1), shared.value, any_item=True)[:, 0]] = False
-            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep))
+    @F.arrow_udf("boolean")
+    def clean(column: pa.Array) -> pa.Array:
+        keep = np.ones(len(column), bool)
+        keep[_search(column, shared.value, any_item=True)[:, 0]] = False
+        return pa.array(keep)
 
-    return docs.withColumn(free_name(docs, "_q_lower"), F.lower(text)).mapInArrow(run, docs.schema)
+    return docs.where(clean(F.lower(text)))

@@ -26,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.words import blocks, lower_ascii, mix, rolling, split, word_hashes
+from quire.llm.words import SMALL_BLOCK_BYTES, blocks, lower_ascii, mix, rolling, split, word_hashes
 from quire.llm.work import discard, keeps_names, saved
 
 #: Hash ranges that are counted; 32-bit counts of all are sent to every executor (4 MB).
 RANGES = 1 << 20
 #: Counts that travel in one row.
 CHUNK = 1 << 12
+#: Sets that a task writes at once.
+SETS_BYTES = 1 << 22
 #: Hash ranges of the suffix filter.
 BINS = 64
 #: Cells of hashes whose parities are compared, 64 in a number.
@@ -46,7 +48,7 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; fewer than ``size`` are one shingle.
     """
-    for b in blocks(column):
+    for b in blocks(column, SMALL_BLOCK_BYTES):
         b.data = lower_ascii(b.data)
         w = split(b)
         h = word_hashes(b.data, w)
@@ -149,11 +151,15 @@ def _prefixes(size: int, percent: int, shared):
     return run
 
 
+def _set_rows(sig: pa.Array, rows: list[int], bins: list[np.ndarray], sets: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([sig.take(pa.array(rows)), pa.array(bins, pa.list_(pa.int32())), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["sig", "bins", "set"])
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            rows, bins, sets = [], [], []
+            rows, bins, sets, held = [], [], [], 0
             batch = batch.filter(pa.array([sig not in seen for sig in batch.column(0).to_pylist()], pa.bool_()))
             expected = batch.column(0).to_pylist()
             for row, s in shingle_sets(batch.column(1), size):
@@ -163,8 +169,12 @@ def _sets(size: int):
                 rows.append(row)
                 bins.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS).astype(np.int32))
                 sets.append(s.tobytes())
+                held += len(sets[-1])
+                if held >= SETS_BYTES:
+                    yield _set_rows(batch.column(0), rows, bins, sets)
+                    rows, bins, sets, held = [], [], [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(bins, pa.list_(pa.int32())), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["sig", "bins", "set"])
+                yield _set_rows(batch.column(0), rows, bins, sets)
 
     return run
 

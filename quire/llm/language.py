@@ -19,9 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quire.llm.words import Block, Words, blocks, lower_ascii, rows_of, split, word_hashes
+from quire.llm.words import SMALL_BLOCK_BYTES, Block, Words, blocks, lower_ascii, rows_of, split, word_hashes
 from quire.llm.work import keeps_names
 
 #: The sample: rows of each language, and characters of each row, from a place hashed from its text.
@@ -322,7 +321,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 5) -> Field | None:
 def _documents(field: Field, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(label index, its mean posterior) of each row; -1 for rows without a word of letters."""
     best, score = np.full(len(column), -1), np.zeros(len(column))
-    for b in blocks(column):
+    for b in blocks(column, SMALL_BLOCK_BYTES):
         words, p, letter = _marginals(field, b)
         row = rows_of(words.first)[letter]
         k, n = len(field.labels), b.hi - b.lo
@@ -349,19 +348,19 @@ def identify(docs: DataFrame, field: Field | None, text: str = "text", into: str
     """Adds the language of each row's whole text and its mean posterior (0 to 1); nothing is shuffled.
 
     Null texts and texts without a letter are ``und`` with score 0, as all are without a field.
-    Rows that repeat get the same answer. Input columns named like an added one are replaced.
+    Rows that repeat get the same answer. Input columns named like an added one are replaced. The rows
+    stay in the JVM: only texts go to Python, once, and a name and a number a row come back.
     """
     docs = docs.drop(into, score)
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            name, value = _named(shared.value, batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1))
-            kept = batch.select(range(batch.num_columns - 2))
-            yield pa.RecordBatch.from_arrays([*kept.columns, name, value], [*kept.schema.names, into, score])
+    @F.arrow_udf("name string, value double")
+    def named(column: pa.Array, letters: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(_named(shared.value, column, letters), ["name", "value"])
 
-    schema = StructType([*docs.schema.fields, StructField(into, StringType()), StructField(score, DoubleType())])
-    return docs.withColumn("_q_text", F.col(text)).withColumn("_q_letters", F.col(text).rlike(r"\p{L}")).mapInArrow(run, schema)
+    # Not deterministic for the optimizer, which else runs it again for each filter on what it adds.
+    found = docs.withColumn("_q_named", named.asNondeterministic()(F.col(text), F.col(text).rlike(r"\p{L}")))
+    return found.withColumns({into: F.col("_q_named.name"), score: F.col("_q_named.value")}).drop("_q_named")
 
 
 def has_language(field: Field | None, text: str = "text", lang: str = "lang_pred", score: str = "score") -> Column:

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 21
+#: Blocks of steps that hold many numbers a byte or a word at once and gain nothing by larger ones.
+SMALL_BLOCK_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BASE = np.uint64(0xD1342543DE82EF95)

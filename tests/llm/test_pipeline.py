@@ -1,12 +1,16 @@
 import random
 import re
 import shutil
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from quire.llm import language, queries
+from quire.llm import decontam, jaccard, language, queries
+
+from .conftest import sentence
 
 SF = "/root/testdata/sf0.001"
 
@@ -120,3 +124,42 @@ def test_first_stage_keeps_rows_of_good_quality(spark):
     counts = labels.join(docs, "doc_id").join(kept.select("doc_id", F.lit(1).alias("kept")), "doc_id", "left").groupBy("quality").agg(F.count("*").alias("n"), F.count("kept").alias("kept")).collect()
     rows = {r.quality: r for r in counts}
     assert rows[1].kept == rows[1].n and rows[0].kept < rows[0].n / 2
+
+
+def test_texts_go_to_python_once_and_never_come_back(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    field = language.fit(language.sample(docs))
+    named = language.identify(docs, field, into="_q_lang", score="_q_score").where(language.has_language(field, "text", "_q_lang", "_q_score"))
+    clean = P.decontaminated(spark, docs, SF)
+    for df in (named, clean):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("step", ["language", "decontamination", "shingles"])
+def test_memory_of_python_steps_follows_small_blocks(step):
+    rng = random.Random(2)
+    texts = pa.array([sentence(rng, 2000) for _ in range(400)], pa.large_string())
+    seeds = decontam.seeds([1], [sentence(rng, 30)])
+    field = language.fit([("a", sentence(rng, 200)), ("b", "another language of other words")])
+    runs = {"language": lambda c: language._documents(field, c), "decontamination": lambda c: decontam._search(c, seeds, any_item=True), "shingles": lambda c: [None for _ in jaccard.shingle_sets(c, 5)]}
+    runs[step](texts[:2])
+    tracemalloc.start()
+    runs[step](texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert texts.nbytes > 3e6 and most < 32e6
+    monolith = pa.array([" ".join(texts.to_pylist())], pa.large_string())
+    whole = jaccard.shingle_sets(monolith, 5)
+    assert sum(len(s) for _, s in whole) > 100_000  # a text beyond a block stays whole
+
+
+def test_sets_of_a_batch_are_given_in_parts(monkeypatch):
+    rng = random.Random(4)
+    texts = [sentence(rng, 300) for _ in range(20)]
+    sets = dict(jaccard.shingle_sets(pa.array(texts, pa.large_string()), 5))
+    batch = pa.RecordBatch.from_arrays([pa.array([jaccard.signature(sets[i]) for i in range(20)]), pa.array(texts)], ["sig", "text"])
+    (one,) = jaccard._sets(5)(iter([batch, batch]))
+    monkeypatch.setattr(jaccard, "SETS_BYTES", 5000)
+    parts = list(jaccard._sets(5)(iter([batch, batch])))
+    assert len(parts) > 5 and pa.Table.from_batches(parts).to_pylist() == one.to_pylist() and one.num_rows == 20
