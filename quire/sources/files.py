@@ -18,7 +18,7 @@ from pyspark.sql.types import BooleanType
 
 from quire.functions import equations, formats
 from quire.functions import text as T
-from quire.functions.xml import walk
+from quire.functions.xml import local, tag_end, walk
 from quire.sources import tables
 
 #: Subtrees that hold what is shown elsewhere, or not at all.
@@ -29,6 +29,7 @@ NAMED = ("p", "r", "tc", "tr", "tbl", "pPr", "rPr", "oMath", "oMathPara", "fldSi
 WHOLE = {"pPr", "rPr", "oMath", "oMathPara", "drawing", "tblBorders", "tcBorders", "tblCellMar", "tcMar", "style", "abstractNum", "num"}
 #: An equation that is no part of another one.
 EQUATION = "p is not null and oMath is null and oMathPara is null and name in ('oMath', 'oMathPara')"
+EQUATIONS = frozenset({"oMath", "oMathPara"})
 PAGE_BREAK = "[page break]"
 #: Names of parts that are XML.
 XML = ("*.xml", "*.rels")
@@ -222,6 +223,144 @@ def shredded_packages(files: DataFrame, parts: Sequence[str] = XML) -> DataFrame
     return tables.saved(given.mapInArrow(_shredding(False, parts_of), ELEMENTS), "elements")
 
 
+#: Columns of elements of a few names; ``math`` is the line of an equation that is no part of another one, and positions are those among all elements.
+FEW = "path string, part string, pos int, name string, attrs map<string,string>, text string, math string, error string"
+
+
+class _Few:
+    """Rows of FEW and ``within`` by columns, of elements of some names."""
+
+    def __init__(self, names: frozenset[str], within: tuple[str, ...]):
+        self.names, self.within = names, within
+        self.schema = pa.schema([("path", pa.string()), ("part", pa.string()), ("pos", pa.int32()), ("name", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("math", pa.string()), ("error", pa.string()), *((n, pa.int32()) for n in within)])
+        self.kinds: dict[str, tuple | None] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.paths, self.pos, self.name, self.attrs, self.text, self.near = ([] for _ in range(6))
+        # Rows that have a line of an equation, or an error: few.
+        self.math: dict[int, str] = {}
+        self.error: dict[int, str] = {}
+
+    def kind(self, name: str) -> tuple[str, bool, int | None, bool, bool] | None:
+        """(name without prefix, asked for, its place in ``within``, an equation, skipped); null where all that counts is that it is there."""
+        bare = local(name)
+        found = bare, bare in self.names, self.within.index(bare) if bare in self.within else None, bare in EQUATIONS, bare in SKIPPED
+        self.kinds[name] = found if any(found[1:]) or found[2] is not None else None
+        return self.kinds[name]
+
+    def add(self, path: str, part: str, content: bytes) -> None:
+        before = len(self.pos)
+        try:
+            self._parse(content)
+        except expat.ExpatError as e:
+            for column in (self.pos, self.name, self.attrs, self.text, self.near):
+                column[before:] = [None]
+            self.near[before] = (None,) * len(self.within)
+            self.math, self.error[before] = {k: v for k, v in self.math.items() if k < before}, str(e)
+        self.paths += [(path, part)] * (len(self.pos) - before)
+
+    def _parse(self, content: bytes) -> None:
+        kinds, names, texts, nears = self.kinds, self.name, self.text, self.near
+        add_pos, add_name, add_attrs, add_text, add_near = (c.append for c in (self.pos, names, self.attrs, texts, nears))
+        # What is open: null, or the row of an element, if it has one, and the ancestors around it.
+        open_: list[tuple | None] = []
+        put, take = open_.append, open_.pop
+        near: tuple = (None,) * len(self.within)
+        pos = skip = equations_open = 0
+
+        def start(name: str, attrs: list[str]) -> None:
+            nonlocal near, pos, skip, equations_open
+            if skip:
+                skip += 1
+                return
+            kind = kinds[name] if name in kinds else self.kind(name)
+            if kind is None:
+                put(None)
+                pos += 1
+                return
+            bare, wanted, place, equation, skipped = kind
+            first = None
+            if equation:
+                equations_open += 1
+                first = parser.CurrentByteIndex if wanted and equations_open == 1 else -1
+            if wanted:
+                put((len(names), near, first, pos))
+                add_pos(pos)
+                add_name(bare)
+                add_attrs(list({local(k): v for k, v in zip(attrs[::2], attrs[1::2], strict=True) if not k.startswith("xmlns")}.items()) if attrs else None)
+                add_text("")
+                add_near(near)
+            else:
+                put((None, near, first, pos))
+            if place is not None:
+                near = (*near[:place], pos, *near[place + 1 :])
+            pos += 1
+            if skipped:
+                skip = 1
+
+        def end(_: str) -> None:
+            nonlocal near, skip, equations_open
+            if skip:
+                skip -= 1
+                if skip:
+                    return
+            one = take()
+            if one is None:
+                return
+            row, near, first, at = one
+            if first is not None:
+                equations_open -= 1
+                if first >= 0:
+                    self.math[row] = equations.linear(content[first : tag_end(content, parser.CurrentByteIndex, first if pos == at + 1 else -1)].decode("utf-8", "replace"))[0]
+
+        def chars(data: str) -> None:
+            if open_ and not skip and open_[-1] is not None and open_[-1][0] is not None:
+                texts[open_[-1][0]] += data
+
+        parser = expat.ParserCreate()
+        parser.buffer_text = parser.ordered_attributes = True
+        parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, chars
+        parser.Parse(content, True)
+
+    def batch(self) -> pa.RecordBatch:
+        few = lambda told: [told.get(k) for k in range(len(self.pos))] if told else pa.nulls(len(self.pos), pa.string())
+        columns = *zip(*self.paths, strict=True), self.pos, self.name, self.attrs, self.text, few(self.math), few(self.error), *zip(*self.near, strict=True)
+        made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, self.schema, strict=True)], schema=self.schema)
+        self.clear()
+        return made
+
+
+def few_elements(files: DataFrame, parts: Sequence[str], names: Iterable[str], within: tuple[str, ...] = ()) -> DataFrame:
+    """FEW and ``within`` of packages: elements of some names, parsed as they are read; one row with an error for a part that is not well formed.
+
+    For a plan that reads its elements once, as ``cells`` (CELLS) and ``sections`` (SECTIONS) do: no row is made
+    of what it does not ask for. ``within`` are the named ancestors that it asks for.
+    """
+    names = frozenset(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, held = _Few(names, within), 0
+        for batch in batches:
+            for path, content in zip(*batch.columns, strict=True):
+                for path_, part, xml, error in _unzipped(path.as_py(), content.as_py(), parts, LARGEST):
+                    if error is None and part.endswith((".xml", ".rels")):
+                        made.add(path_, part, xml)
+                        held += len(xml)
+                    if len(made.pos) >= BATCH_ROWS or held >= BATCH_BYTES:
+                        yield made.batch()
+                        held = 0
+        if made.pos:
+            yield made.batch()
+
+    return files.where("format = 'docx'").select("path", "content").mapInArrow(run, FEW + "".join(f", {n} int" for n in within))
+
+
+#: Elements and ancestors that ``cells`` and ``sections`` ask for.
+CELLS = ("tc", "gridSpan", "p", "t", "tab", "br", "cr", "oMath", "oMathPara"), ("p", "r", "tc", "tr", "tbl", "pPr", "oMath", "oMathPara", "drawing")
+SECTIONS = ("sectPr", "pgSz", "pgMar"), ()
+
+
 def paragraphs(shredded: DataFrame, part: str = "word/document.xml") -> DataFrame:
     """(path, pos, style_id, kind, style_level, num, level, in_cell, first, end, text) of a document's paragraphs in order.
 
@@ -245,13 +384,32 @@ def paragraphs(shredded: DataFrame, part: str = "word/document.xml") -> DataFram
 
 
 def cells(shredded: DataFrame, part: str = "word/document.xml") -> DataFrame:
-    """(path, tbl, row, col, span, text) of table cells: rows and columns counted from 0, paragraphs apart by line ends."""
-    own = shredded.where((F.col("part") == part) & F.col("error").isNull())
-    tc = own.where("name = 'tc'").select("path", "tbl", F.col("tr").alias("tr"), F.col("pos").alias("tc"))
-    span = own.where("name = 'gridSpan'").select("path", "tc", F.greatest(F.element_at("attrs", "val").try_cast("int"), F.lit(1)).alias("span"))
-    body = paragraphs(shredded, part).where("in_cell").groupBy("path", "tc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    placed = tc.withColumn("row", F.dense_rank().over(Window.partitionBy("path", "tbl").orderBy("tr")) - 1).withColumn("col", F.row_number().over(Window.partitionBy("path", "tbl", "tr").orderBy("tc")) - 1)
-    return placed.join(span, ["path", "tc"], "left").join(body, ["path", "tc"], "left").select("path", "tbl", "row", "col", F.coalesce("span", F.lit(1)).alias("span"), F.coalesce("text", F.lit("")).alias("text"))
+    """(path, tbl, row, col, span, text) of table cells: rows and columns counted from 0, paragraphs apart by line ends.
+
+    Reads ``elements`` or ``few_elements`` of CELLS, once, and shuffles them once.
+    """
+    name = F.col("name")
+    breaks = F.coalesce(F.element_at("attrs", "type").isin("page", "column"), F.lit(False))
+    shown = F.when(name == "t", F.col("text")).when(name == "tab", F.lit("\t")).when(name.isin("br", "cr") & ~breaks, F.lit("\n"))
+    plain = F.col("p").isNotNull() & F.col("r").isNotNull() & F.col("pPr").isNull() & F.col("oMath").isNull() & F.col("drawing").isNull() & shown.isNotNull()
+    math = F.col("math") if "math" in shredded.columns else equations.equation_text(F.when(F.expr(EQUATION), F.col("text")))["plain"]
+    own = shredded.where((F.col("part") == part) & F.col("error").isNull()).select(
+        "path", "name", "pos", "tbl", "tr", "tc", "p", F.when(plain, shown).when(F.expr(EQUATION), math).alias("s"), F.when(name == "gridSpan", F.greatest(F.element_at("attrs", "val").try_cast("int"), F.lit(1))).alias("span")
+    )
+    dealt = own.where("name in ('tc', 'p') or s is not null or span is not null").repartition(int(shredded.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+    # Text is its paragraph's, and the paragraph is its cell's; a cell and what says its width stand beside the paragraphs.
+    of_cell = F.when(name == "tc", F.col("pos")).when(name == "gridSpan", F.col("tc"))
+    of_p = F.when(name == "p", F.col("pos")).when(F.col("s").isNotNull(), F.col("p"))
+    only = lambda what, c: F.max(F.when(name == what, F.col(c)))
+    joined = lambda by, what: F.sort_array(F.collect_list(F.when(F.col(what).isNotNull(), F.struct(by, what))))[what]
+    lines = dealt.groupBy("path", of_p.alias("line"), of_cell.alias("cell")).agg(
+        only("p", "tc").alias("tc"), F.bool_or(name == "p").alias("is_p"), F.bool_or(name == "tc").alias("is_cell"), only("tc", "tbl").alias("tbl"), only("tc", "tr").alias("tr"), F.min(F.when(name == "gridSpan", F.struct("pos", "span")))["span"].alias("span"), F.array_join(joined("pos", "s"), "").alias("text")
+    )
+    held = lines.select("path", F.coalesce("cell", "tc").alias("tc"), "line", "is_cell", "tbl", "tr", "span", F.when(F.col("is_p"), F.col("text")).alias("text")).where("tc is not null")
+    made = held.groupBy("path", "tc").agg(F.bool_or("is_cell").alias("is_cell"), F.max("tbl").alias("tbl"), F.max("tr").alias("tr"), F.max("span").alias("span"), F.array_join(joined("line", "text"), "\n").alias("text")).where("is_cell")
+    # Columns are numbered first: rows then need no other order.
+    placed = made.withColumn("col", F.row_number().over(Window.partitionBy("path", "tbl", "tr").orderBy("tc")) - 1).withColumn("row", F.dense_rank().over(Window.partitionBy("path", "tbl").orderBy("tr")) - 1)
+    return placed.select("path", "tbl", "row", "col", F.coalesce("span", F.lit(1)).alias("span"), "text")
 
 
 def styles(shredded: DataFrame) -> DataFrame:
@@ -491,8 +649,14 @@ def note_references(shredded: DataFrame) -> DataFrame:
 
 
 def sections(shredded: DataFrame) -> DataFrame:
-    """(path, section, width, height, top, right, bottom, left) in points; what a section leaves out is that of the one before."""
-    own = _within(shredded.where("part = 'word/document.xml' and error is null"), "sectPr").where("at is not null")
+    """(path, section, width, height, top, right, bottom, left) in points; what a section leaves out is that of the one before.
+
+    Reads ``elements`` or ``few_elements`` of SECTIONS.
+    """
+    named = shredded.where("part = 'word/document.xml' and error is null and name in ('sectPr', 'pgSz', 'pgMar')").select("path", "part", "pos", "name", "attrs")
+    # Dealt by file once, for all that is worked out within a file.
+    dealt = named.repartition(int(shredded.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+    own = _within(dealt, "sectPr").where("at is not null")
     attr = lambda name, a: formats.twips(F.max(F.when(F.col("name") == name, F.element_at("attrs", a))))
     names = {"width": ("pgSz", "w"), "height": ("pgSz", "h"), **{m: ("pgMar", m) for m in ("top", "right", "bottom", "left")}}
     rows = own.groupBy("path", "at").agg(*[attr(*where).alias(n) for n, where in names.items()])

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -137,21 +140,58 @@ def repackaged(package: bytes, replace: dict[str, bytes], remove: set[str] = fro
     return out.getvalue()
 
 
+#: Bytes and parts up to which a package is joined of its entries.
+SMALL, MANY = 1 << 30, 1 << 15
+#: Version and system that wrote a part, date (the first of 1980) and rights of its file, as ``zipfile`` has them.
+VERSION, SYSTEM, DATE, RIGHTS = 20, 3, 0x21, 0o600 << 16
+
+
+@lru_cache(256)
+def _small_entry(name: str, content: bytes) -> tuple[bytes, bytes]:
+    """``_entry`` of a part of few bytes, of which packages have many that are the same."""
+    return _entry(name, content)
+
+
+def _entry(name: str, content: bytes) -> tuple[bytes, bytes]:
+    """(a stored part with its head, what the directory says of it up to its offset)."""
+    coded, size = name.encode(), len(content)
+    told = struct.pack("<HHHHIIIHH", 0 if name.isascii() else 0x800, 0, 0, DATE, zlib.crc32(content), size, size, len(coded), 0)
+    return b"PK\3\4" + struct.pack("<H", VERSION) + told + coded + content, b"PK\1\2" + struct.pack("<BBH", VERSION, SYSTEM, VERSION) + told + struct.pack("<HHHI", 0, 0, 0, RIGHTS)
+
+
+def package(parts: list[dict]) -> bytes:
+    """A package of parts (name, content), which are stored. Large ones are left to ``zipfile``, the bytes of small ones are the same as its."""
+    if len(parts) > MANY or sum(len(p["content"]) for p in parts) > SMALL:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for p in parts:
+                z.writestr(zipfile.ZipInfo(p["name"]), p["content"])
+        return out.getvalue()
+    bodies, folder, at = [], [], 0
+    for p in parts:
+        name, content = p["name"], p["content"]
+        body, told = _small_entry(name, content) if len(content) < 512 else _entry(name, content)
+        bodies.append(body)
+        folder.append(told + struct.pack("<I", at) + name.encode())
+        at += len(body)
+    size = sum(map(len, folder))
+    return b"".join([*bodies, *folder, b"PK\5\6" + struct.pack("<HHHHIIH", 0, 0, len(parts), len(parts), size, at, 0)])
+
+
 def zipped(parts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, content): a package of the parts (name, content as text or bytes) of each document, in order of their names."""
     # A number of partitions that is given stays: by the bytes of its small parts, Spark would leave this work to a task or two.
     dealt = parts.repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-    body = dealt.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("name", F.col("content").cast("binary").alias("content")))).alias("parts"))
+    return zipped_rows(dealt.groupBy(*keys).agg(F.collect_list(F.struct("name", F.col("content").cast("binary").alias("content"))).alias("parts")))
+
+
+def zipped_rows(docs: DataFrame) -> DataFrame:
+    """(keys, content): ``zipped`` of documents whose last column is the array of their parts (name, content)."""
+    body = docs.withColumn(docs.columns[-1], F.array_sort(docs.columns[-1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in files.slices(batches):
-            made = []
-            for row in batch.column(batch.num_columns - 1).to_pylist():
-                out = io.BytesIO()
-                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                    for p in row:
-                        z.writestr(zipfile.ZipInfo(p["name"]), p["content"])
-                made.append(out.getvalue())
+            made = [package(row) for row in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary())], [*batch.schema.names[:-1], "content"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in body.schema.fields[:-1]) + ", content binary"
