@@ -18,7 +18,7 @@ from pyspark.sql.types import BooleanType
 
 from quire.functions import equations, formats
 from quire.functions import text as T
-from quire.functions.xml import local, tag_end, walk
+from quire.functions.xml import local, parse, tag_end, walk
 from quire.sources import tables
 
 #: Subtrees that hold what is shown elsewhere, or not at all.
@@ -321,7 +321,7 @@ class _Few:
         parser = expat.ParserCreate()
         parser.buffer_text = parser.ordered_attributes = True
         parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, chars
-        parser.Parse(content, True)
+        parse(parser, content)
 
     def batch(self) -> pa.RecordBatch:
         few = lambda told: [told.get(k) for k in range(len(self.pos))] if told else pa.nulls(len(self.pos), pa.string())

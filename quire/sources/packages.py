@@ -6,8 +6,9 @@ import io
 import struct
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -159,17 +160,16 @@ def _entry(name: str, content: bytes) -> tuple[bytes, bytes]:
     return b"PK\3\4" + struct.pack("<H", VERSION) + told + coded + content, b"PK\1\2" + struct.pack("<BBH", VERSION, SYSTEM, VERSION) + told + struct.pack("<HHHI", 0, 0, 0, RIGHTS)
 
 
-def package(parts: list[dict]) -> bytes:
+def package(parts: Sequence[tuple[str, bytes]]) -> bytes:
     """A package of parts (name, content), which are stored. Large ones are left to ``zipfile``, the bytes of small ones are the same as its."""
-    if len(parts) > MANY or sum(len(p["content"]) for p in parts) > SMALL:
+    if len(parts) > MANY or sum(len(content) for _, content in parts) > SMALL:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as z:
-            for p in parts:
-                z.writestr(zipfile.ZipInfo(p["name"]), p["content"])
+            for name, content in parts:
+                z.writestr(zipfile.ZipInfo(name), content)
         return out.getvalue()
     bodies, folder, at = [], [], 0
-    for p in parts:
-        name, content = p["name"], p["content"]
+    for name, content in parts:
         body, told = _small_entry(name, content) if len(content) < 512 else _entry(name, content)
         bodies.append(body)
         folder.append(told + struct.pack("<I", at) + name.encode())
@@ -191,7 +191,10 @@ def zipped_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in files.slices(batches):
-            made = [package(row) for row in batch.column(batch.num_columns - 1).to_pylist()]
+            lists = batch.column(batch.num_columns - 1)
+            every = list(zip(*(c.to_pylist() for c in lists.flatten().flatten()), strict=True))
+            ends = list(accumulate(lists.value_lengths().to_pylist(), initial=0))
+            made = [package(every[a:b]) for a, b in pairwise(ends)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary())], [*batch.schema.names[:-1], "content"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in body.schema.fields[:-1]) + ", content binary"

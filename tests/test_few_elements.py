@@ -1,8 +1,10 @@
 """Elements of a few names: the same cells and sections as of all elements, in plans that shuffle files once."""
 
+import gc
 import io
 import zipfile
 
+from quire.functions import xml
 from quire.plans import package_queries
 from quire.sources import files, packages
 
@@ -42,10 +44,26 @@ def test_packages_are_those_of_zipfile():
         with zipfile.ZipFile(out, "w") as z:
             for name, content in parts:
                 z.writestr(zipfile.ZipInfo(name), content)
-        assert packages.package([{"name": n, "content": c} for n, c in parts]) == out.getvalue()
+        assert packages.package(parts) == out.getvalue()
 
 
 def test_tables_are_written_and_read_in_two_shuffles(spark):
     plan = package_queries.tables_to_packages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     # Line items by order and elements by file; nothing is written between.
     assert plan.count("Exchange") == 2 and plan.count("MapInArrow") == 2 and "ArrowEvalPython" not in plan and "Join" not in plan
+
+
+def test_sections_are_written_and_read_in_two_shuffles(spark):
+    plan = package_queries.page_setups(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and plan.count("MapInArrow") == 2
+
+
+def test_a_parser_is_let_go_with_its_file():
+    gc.collect()
+    gc.disable()
+    try:
+        for k in range(50):
+            xml.walk(b"<a><b/></a>", lambda *_: None, lambda _: None)
+        assert not sum(type(x).__name__ == "xmlparser" for x in gc.get_objects())
+    finally:
+        gc.enable()
