@@ -175,7 +175,11 @@ def _blocks(content: bytes) -> Iterator[tuple[int, list[tuple], list[tuple]]]:
                 if at in texts:
                     yield at, texts.pop(at), held
                 at, held = block, []
-            held.append((start, end, looks[body], told[own]))
+            # Neighbours that say the same are one span, whatever a file cuts them into.
+            if held and held[-1][1] == start and held[-1][2] is looks[body] and held[-1][3] is told[own]:
+                held[-1] = (held[-1][0], end, *held[-1][2:])
+            else:
+                held.append((start, end, looks[body], told[own]))
     if at in texts:
         yield at, texts.pop(at), held
 
@@ -261,15 +265,19 @@ def _look() -> Column:
 
 
 def _tokens(found: DataFrame, looks: bool) -> DataFrame:
-    """(path, paragraph, place, k, kind, text, look, picture, m): text between marks in order, null kinds for what does not show, m what a paragraph's mark says."""
-    tokens = _segments(layout(found)).select("*", F.posexplode(F.split("text", "(?<=[\\x01\\x07\\x08\\x0c\\r\\x13-\\x15])|(?=[\\x01\\x07\\x08\\x0c\\r\\x13-\\x15])")).alias("k", "token")).drop("text").where("token <> ''")
+    """(path, paragraph, place, k, kind, text, look, picture, m): text between marks in order, null kinds for what does not show, m what a paragraph's mark says.
+
+    A paragraph's mark is in the row of the text before it, if both look alike.
+    """
+    tokens = _segments(layout(found)).select("*", F.posexplode(F.split("text", "(?<=[\\x01\\x07\\x08\\x0c\\r\\x13-\\x15])|(?=[\\x01\\x08\\x0c\\x13-\\x15])")).alias("k", "token")).drop("text").where("token <> ''")
     special = F.coalesce(_change("c", CHARACTER, "special").isin(1, 0x81), F.lit(False)) & F.col("token").isin("\x01", "\x08")
     hidden = F.coalesce(_change("c", CHARACTER, "hidden").isin(1, 0x81), F.lit(False))
     plain = F.regexp_replace(F.translate("token", "\x0b\x1e\n", "\n-"), "[\x00-\x08\x0c-\x1f\ufffc\uffff]", "")
-    ends = F.col("token").isin("\r", "\x07")
+    mark = F.right("token", F.lit(1))
+    ends = mark.isin("\r", "\x07")
     # What changes say is read before the rows are sorted: only a paragraph's mark takes those of its paragraph along.
     said = {"look": _look(), "picture": F.when(special, _change("c", CHARACTER, "picture"))} if looks else {}
-    told = F.when(ends, F.struct("token", "sti", "style", "p"))
+    told = F.when(ends, F.struct(mark.alias("token"), "sti", "style", "p"))
     tokens = tokens.select("path", "place", "k", "token", special.alias("_special"), hidden.alias("_hidden"), plain.alias("_plain"), told.alias("m"), *[c.alias(n) for n, c in said.items()])
     order = Window.partitionBy("path").orderBy("place", "k")
     before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
