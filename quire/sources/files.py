@@ -47,15 +47,17 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content", formats.sniff(F.col("content"), holds_word97(F.col("content"))).alias("format"))
 
 
+def is_word97(content: bytes | None) -> bool:
+    """Whether a compound file holds a Word document."""
+    try:
+        return content is not None and "WordDocument" in compound_streams(content)
+    except (IndexError, struct.error):
+        return False
+
+
 @F.pandas_udf(BooleanType())
 def _holds_word97(content: pd.Series) -> pd.Series:
-    def one(c: bytes | None) -> bool:
-        try:
-            return c is not None and "WordDocument" in compound_streams(c)
-        except (IndexError, struct.error):
-            return False
-
-    return content.map(one).astype(bool)
+    return content.map(is_word97).astype(bool)
 
 
 def holds_word97(content: Column) -> Column:
@@ -81,10 +83,10 @@ def passed_on(found: Iterable[tuple[list[tuple], int]], schema: pa.Schema) -> It
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut to some ``BATCH_BYTES`` (a row at least), as Python objects take many times the bytes of their batch."""
+def slices(batches: Iterable[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut to some ``most`` bytes (a row at least), as Python objects take many times the bytes of their batch."""
     for batch in batches:
-        n = max(1, min(BATCH_ROWS, batch.num_rows * BATCH_BYTES // max(batch.nbytes, 1)))
+        n = max(1, min(BATCH_ROWS, batch.num_rows * most // max(batch.nbytes, 1)))
         for k in range(0, batch.num_rows, n):
             yield batch.slice(k, n)
 

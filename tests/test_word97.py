@@ -32,3 +32,20 @@ def test_the_query_of_texts_makes_and_reads_each_file_once(spark):
     found = package_queries.word97_roundtrip(spark, "/root/testdata/sf0.001")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan and "Broadcast" not in plan
+
+
+def test_files_are_made_and_told_few_at_a_time():
+    import pyarrow as pa
+    from pyspark.sql.types import StringType, StructField
+
+    class Rows:
+        schema = {"path": StructField("path", StringType())}
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    texts = ["x" * (k % 9000) for k in range(4000)] + [None]
+    run = word97.text_documents(Rows(), "path", "text")
+    made = list(run([pa.RecordBatch.from_arrays([pa.array(map(str, range(len(texts)))), pa.array(texts)], ["path", "text"])]))
+    assert max(b.nbytes for b in made) <= 2 * files.BATCH_BYTES and sum(b.num_rows for b in made) == len(texts)
+    assert all(all(b.column(2).to_pylist()) for b in made) and not files.is_word97(word97.compound_file({"Workbook": b"x"})) and not files.is_word97(b"") and not files.is_word97(None)
+    assert [files.word97_text(c) for b in made for c in b.column(1).to_pylist()] == [t or "" for t in texts]
