@@ -49,3 +49,13 @@ def test_written_tables_are_not_broadcast_by_the_size_of_their_files(spark):
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 2000
     tables.release(a)
     tables.release(b)
+
+
+def test_loops_end_with_the_first_round_in_which_no_way_does(spark, monkeypatch):
+    written = []
+    saved = O.tables.saved
+    monkeypatch.setattr(O.tables, "saved", lambda df, name="table": written.append(name) or saved(df, name))
+    rows = [("a", 1, 2, 0), ("a", 2, 3, 0), ("a", 3, 1, 0), ("a", 4, 4, 0), ("b", 1, None, 5), ("b", 2, 1, 6), ("b", 3, 2, 7), ("b", 4, 9, 8)]
+    found = O.paths(spark.createDataFrame(rows, "doc string, node long, parent long, place int"), ["doc"], 64).collect()
+    # The nodes, ways of two, ways of four, and ways of eight, of which there are none.
+    assert {(r.doc, r.node): r.path for r in found} == {("b", 1): [5], ("b", 2): [5, 6], ("b", 3): [5, 6, 7], ("b", 4): [8]} and len(written) == 4
