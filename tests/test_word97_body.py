@@ -169,3 +169,11 @@ def test_the_query_of_cells_deals_its_files_and_blocks(spark):
     plan = package_queries.word97_cells(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     # Line items by order, blocks, files; Spark's sizes of small rows decide nothing about the first two, where the files are made and read.
     assert plan.count("Exchange hash") == 3 and plan.count("REPARTITION_BY_NUM") == 2 and plan.count("MapInArrow") == 2
+
+
+def test_neighbours_that_say_the_same_are_one_span():
+    same = [para(run("one"), run(" two")), para(run("three"))]
+    content = word97.formatted_document([*same, para(run("four", BOLD)), para(run("five"), told=[(0x2461, 1)])], STYLES, FONTS)
+    ((_, texts, spans),) = word97_body._blocks(content)
+    # Both first paragraphs; the bold text; its mark; the one that is centred.
+    assert [b - a for a, b, *_ in spans] == [len("one two\rthree\r"), len("four"), 1, len("five\r")] and len(texts) == 1
